@@ -1,44 +1,78 @@
-"""A training-data pipeline over ``documents``: each stage reads what the one before it kept."""
+"""A training-data pipeline over ``documents``: each stage reads what the one before it kept.
+
+Every stage but the last returns the columns of its input. doc_id is taken to be
+unique, as in ``documents``; rows with one doc_id are kept or dropped together.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from corpusflow.llm.exact_dedup import exact_duplicates
+from corpusflow.llm.language_id import UNKNOWN, identify
 from corpusflow.llm.packing import pack_documents
+from corpusflow.llm.signature_join import jaccard_components
+from corpusflow.llm.source_mixing import mix
 from corpusflow.plans.staging import Staging
 
+#: A document stays if its language is known with this posterior at least.
+LEAST_SCORE = 0.5
+
 #: What the stage before has staged; its result is written by the time the next one starts.
-_STAGED: dict[int, Staging] = {}
+_STAGED: dict[str, Staging] = {}
 
 
 def _staging(spark: SparkSession) -> Staging:
-    if old := _STAGED.pop(0, None):
+    if old := _STAGED.pop("last", None):
         old.clear()
-    _STAGED[0] = Staging(spark)
-    return _STAGED[0]
+    _STAGED["last"] = Staging(spark)
+    return _STAGED["last"]
+
+
+def _only(docs: DataFrame, kept: DataFrame, staging: Staging) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is among ``kept``; both sides may be large."""
+    return docs.join(staging.table(kept.select("doc_id"), "kept"), "doc_id", "left_semi").select(docs.columns)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = identify(docs).where(f"lang_pred <> '{UNKNOWN}' AND score >= {LEAST_SCORE}")
+    return _only(docs, found, _staging(spark))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     staging = _staging(spark)
-    kept = staging.table(exact_duplicates(docs, staging).where("kept").select("doc_id"), "kept")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    return _only(docs, exact_duplicates(docs, staging).where("kept"), staging)
+
+
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    staging = _staging(spark)
+    return _only(docs, jaccard_components(docs, staging).where("doc_id = component_id"), staging)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mix(docs, staging=_staging(spark)).where("kept").select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, staging=_staging(spark))
 
 
-STAGES = [("exact_dedup", exact_dedup), ("packing", packing)]
+STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", exact_dedup),
+    ("ngram_jaccard", ngram_jaccard),
+    ("source_mixing", source_mixing),
+    ("packing", packing),
+]
 
-#: Language identification, raking and packing are not expressible in SQL; tests/llm holds a brute-force run.
+#: Language identification, near-duplicate components and packing are beyond SQL; tests/llm holds a brute-force run.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of what all stages keep of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    keep = Staging(spark)
+    written = Staging(spark)
     for name, stage in STAGES[:-1]:
-        docs = keep.table(stage(spark, docs, sf_dir), name)
+        docs = written.table(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

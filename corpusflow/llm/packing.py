@@ -54,6 +54,9 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        tokens = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(tokens.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in tokens.items() if t.endswith("</w>")]] = True
 
     def encode(self, chunks: list[str]) -> list[bytes]:
         out = []
@@ -62,6 +65,15 @@ class WordIds(dict):
             out.append(struct.pack(f"<{len(ids)}I", *ids))
         return out
 
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """The same for chunks of letters only, which are one word each: in one text, cut at the ends of words."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(words) or cuts[-1] != len(ids):
+            return self.encode(words)
+        raw = ids.tobytes()
+        return [raw[i:j] for i, j in zip([0, *(4 * cuts[:-1]).tolist()], (4 * cuts).tolist(), strict=True)]
+
     def __missing__(self, chunk: str) -> bytes:
         if len(chunk) > 1 and chunk[-1] in ".," and chunk[:-1].isalnum():
             found = self[chunk[:-1]] + self[chunk[-1]]  # letters or digits, then a mark: the pre-tokenizer cuts here
@@ -79,13 +91,14 @@ class WordIds(dict):
             self.clear()
         new = set()
         for text in texts:
-            for c in set(chunks_of(text)).difference(self):
-                c = c.rstrip(".,")
-                new.add(c.lower() if c.isascii() else c)
+            for c in set(chunks_of(text)):
+                if c not in self:
+                    c = c.rstrip(".,")
+                    new.add(c.lower() if c.isascii() else c)
         new = [c for c in new if c.isalpha() and len(c) <= KEPT_CHARS and c not in self]
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
-            self.update(zip(part, self.encode(part), strict=True))
+            self.update(zip(part, self.encode_words(part), strict=True))
 
 
 def chunks_of(text: str) -> list[str]:

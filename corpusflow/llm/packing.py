@@ -14,6 +14,7 @@ rows; other columns of the input are not read, whatever their names.
 
 from __future__ import annotations
 
+import string
 import struct
 import zlib
 from collections.abc import Iterator
@@ -30,7 +31,10 @@ CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
 #: Words kept by a worker, and the longest word that is kept.
-KEPT_WORDS, KEPT_CHARS = 800_000, 48
+KEPT_WORDS, KEPT_CHARS = 1_500_000, 48
+MARKS = string.punctuation
+#: Letters whose lower case depends on their place or is more than one character.
+UNEVEN = "\u03a3\u0130"
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -53,6 +57,7 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.plain = set(" .,")
         self.tokenizer = Tokenizer.from_file(path)
         tokens = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(tokens.values()) + 1, dtype=bool)
@@ -75,34 +80,43 @@ class WordIds(dict):
         return [raw[i:j] for i, j in zip([0, *(4 * cuts[:-1]).tolist()], (4 * cuts).tolist(), strict=True)]
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(chunk) > 1 and chunk[-1] in ".," and chunk[:-1].isalnum():
-            found = self[chunk[:-1]] + self[chunk[-1]]  # letters or digits, then a mark: the pre-tokenizer cuts here
-        elif chunk.isascii() and chunk.isalpha() and not chunk.islower():
-            found = self[chunk.lower()]  # the normalizer lower-cases
+        word = chunk.strip(MARKS)
+        head = chunk[: chunk.find(word)] if word else ""
+        if word and word.isalpha() and "'" not in head and not any(c in UNEVEN for c in word) and (word != chunk or word != word.lower()):
+            found = self[head] + self[word.lower()] + self[chunk[len(head) + len(word) :]]  # the pre-tokenizer cuts here
         else:
             found = self.encode([chunk])[0] if chunk else b""
         if len(chunk) <= KEPT_CHARS:
             self[chunk] = found
         return found
 
-    def learn(self, texts: list[str]) -> None:
-        """Find the ids of all new plain words of ``texts`` in one call; others wait for ``__missing__``."""
+    def learn(self, texts: list[list[str]]) -> None:
+        """Find the ids of all new words of ``texts`` in few calls; chunks with marks wait for ``__missing__``."""
         if len(self) > KEPT_WORDS:
             self.clear()
-        new = set()
-        for text in texts:
-            for c in set(chunks_of(text)):
-                if c not in self:
-                    c = c.rstrip(".,")
-                    new.add(c.lower() if c.isascii() else c)
-        new = [c for c in new if c.isalpha() and len(c) <= KEPT_CHARS and c not in self]
+        unknown = [c for c in set().union(*texts) if c not in self and len(c) <= KEPT_CHARS]
+        new = {c for c in unknown if c.isalpha()}
+        new.update(c for c in {c.strip(MARKS).lower() for c in unknown if c not in new} if c not in self and c.isalpha())
+        new = list(new)
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             self.update(zip(part, self.encode_words(part), strict=True))
 
+    def chunks(self, text: str) -> list[str]:
+        """Parts of a text whose ids, end to end, are the text's.
 
-def chunks_of(text: str) -> list[str]:
-    return text.replace("\n", " ").split(" ")
+        Only spaces and line feeds cut a text, for any text. If it has nothing but letters, digits,
+        white space and single full stops and commas, these are cut off as well
+        and letters are lower-cased, as pre-tokenizer and normalizer would: fewer different parts.
+        """
+        text = text.replace("\n", " ")
+        other = set(text).difference(self.plain)
+        if other and all(c.isalnum() and c not in UNEVEN for c in other):
+            self.plain.update(other)
+            other = None
+        if not other and not any(pair in text for pair in ("..", ",,", ".,", ",.")):
+            text = text.lower().replace(".", " .").replace(",", " ,")
+        return text.split(" ")
 
 
 _WORDS: dict[str, WordIds] = {}
@@ -129,11 +143,11 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                texts = [t or "" for t in batch.column("text").to_pylist()]
+                texts = [words.chunks(t or "") for t in batch.column("text").to_pylist()]
                 words.learn(texts)
                 rows: list[list] = [[] for _ in names]
-                for doc, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-                    ids = b"".join(map(words.__getitem__, chunks_of(text))) + end
+                for doc, chunks in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
+                    ids = b"".join(map(words.__getitem__, chunks)) + end
                     for piece, start in enumerate(range(0, len(ids), width)):
                         part = ids[start : start + width]
                         values = [doc, piece, start // 4, len(part) // 4, zlib.crc32(part)]

@@ -11,8 +11,8 @@ token among the first ``size - ceil(threshold * size) + 1`` of each in one commo
 order, rare tokens first (by a count over all documents, in hashed counters of
 fixed size), so components of "shares such a token, with sizes close enough" are
 a partition. A component larger than ``BLOCK`` is cut into blocks; all blocks hold a
-few common pivots, which joins most of it, and what stays apart is compared
-with all other blocks, pair of blocks by pair of blocks. No pair is capped.
+few common pivots (its first document and some others), which joins most of it. What
+stays apart meets all other blocks, first as bitmaps; the texts that these still allow follow. No pair is capped.
 
 Defined cases: documents without words, with null or empty text are linked with
 nothing; a text of fewer than five words is one shingle of all of them; rows
@@ -38,8 +38,10 @@ from corpusflow.plans.staging import Staging
 PERCENT = 75
 #: Documents in one block of a large group, and pivots that all its blocks hold.
 BLOCK, PIVOTS = 64, 4
-#: Counters of token frequency: 2 ** 21 of 4 bytes, the largest thing broadcast.
-COUNTER_BITS, CHUNKS = 21, 64
+#: Tasks whose forests of candidate edges are merged into one before they are shuffled as rows.
+MERGED = 16
+#: Counters of token frequency: 2 ** 24 of 2 bytes, the largest thing broadcast.
+COUNTER_BITS, CHUNKS = 24, 64
 _LEAF, _FANOUT = 4, 4
 _REMEMBERED = 1_000_000
 
@@ -48,19 +50,27 @@ def prefix_length(size: int, percent: int = PERCENT) -> int:
     return size - -(-percent * size // 100) + 1
 
 
+def bitmap(tokens: np.ndarray, bits: int) -> np.ndarray:
+    """The token bitmap of a set, as 64-bit words."""
+    flags = np.zeros(bits, dtype=bool)
+    flags[(tokens >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)] = True
+    return np.packbits(flags).view(np.uint64)
+
+
+def bitmap_bits(most: int) -> int:
+    """The bitmap size for sets of at most ``most`` tokens: twice as many bits, within 2**8 and 2**16."""
+    return 1 << min(16, max(8, (2 * most - 1).bit_length()))
+
+
 class SignatureTree:
-    """A tree over sets of tokens. Bitmaps of all trees that meet must have the same number of bits."""
+    """A tree over documents' sizes and bitmaps, which must be equally long for trees that meet; with ``sets`` leaf pairs can be compared."""
 
-    def __init__(self, sets: list[np.ndarray], bits: int):
+    def __init__(self, sizes: list[int], bitmaps: list[np.ndarray], sets: list[np.ndarray] | None = None):
         self.sets = sets
-        order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
-        shift = np.uint64(64 - bits.bit_length() + 1)
+        order = sorted(range(len(sizes)), key=sizes.__getitem__)
         self.words, self.low, self.high, self.excess, self.below = [], [], [], [], []
         for i in order:
-            flags = np.zeros(bits, dtype=bool)
-            flags[(sets[i] >> shift).astype(np.int64)] = True
-            words = np.packbits(flags).view(np.uint64)
-            self._add(words, len(sets[i]), len(sets[i]), len(sets[i]) - int(np.bitwise_count(words).sum()), i)
+            self._add(bitmaps[i], sizes[i], sizes[i], sizes[i] - int(np.bitwise_count(bitmaps[i]).sum()), i)
         layer, width = list(range(len(order))), _LEAF
         while len(layer) > 1:
             parents = []
@@ -71,6 +81,11 @@ class SignatureTree:
             layer, width = parents, _FANOUT
         self.root = layer[0] if layer else None
 
+    @classmethod
+    def of(cls, sets: list[np.ndarray], bits: int | None = None) -> SignatureTree:
+        bits = bits or bitmap_bits(max(map(len, sets), default=1))
+        return cls([len(x) for x in sets], [bitmap(x, bits) for x in sets], sets)
+
     def _add(self, words, low, high, excess, below) -> None:
         for column, v in ((self.words, words), (self.low, low), (self.high, high), (self.excess, excess), (self.below, below)):
             column.append(v)
@@ -84,14 +99,11 @@ class SignatureTree:
         return min(most, self.high[a], other.high[b]) >= need
 
 
-def bitmap_bits(sets: list[np.ndarray]) -> int:
-    return 1 << min(16, max(8, (2 * max(map(len, sets), default=1) - 1).bit_length()))
-
-
 def tree_links(left: SignatureTree, right: SignatureTree, linked: list[int], percent: int = PERCENT, shift: int = 0) -> Iterator[tuple[int, int]]:
     """Links between two trees, or within one, that join what ``linked`` (a union-find forest) still holds apart.
 
-    Documents of ``right`` are numbered after those of ``left`` by ``shift``.
+    Documents of ``right`` are numbered after those of ``left`` by ``shift``. Trees without sets give
+    all pairs that bitmaps and sizes allow, and join nothing.
     """
 
     def top(i: int) -> int:
@@ -115,7 +127,9 @@ def tree_links(left: SignatureTree, right: SignatureTree, linked: list[int], per
             continue
         if not left.may_link(a, right, b, percent):
             continue
-        if ends:
+        if ends and left.sets is None:
+            yield one, two + shift
+        elif ends:
             x, y = left.sets[one], right.sets[two]
             both = len(np.intersect1d(x, y, assume_unique=True))
             if 100 * both >= percent * (len(x) + len(y) - both):
@@ -129,7 +143,7 @@ def tree_links(left: SignatureTree, right: SignatureTree, linked: list[int], per
 
 def token_sets(docs: DataFrame, staging: Staging) -> DataFrame:
     """Staged ``doc_id, n, key`` of each row (the key digests the set, null if empty), and each task's token counters in chunks."""
-    fields = "doc_id long, n long, key binary, chunk int, places binary, counts binary"
+    fields = "doc_id long, n long, key binary, chunk int, seen binary, dense boolean, places binary, counts binary"
     names = [c.split()[0] for c in fields.split(", ")]
     per = (1 << COUNTER_BITS) // CHUNKS
 
@@ -146,15 +160,17 @@ def token_sets(docs: DataFrame, staging: Staging) -> DataFrame:
                             seen.add(key)
                     keys.append(key)
                     n.append(len(tokens))
-                none = [pa.nulls(len(n), t) for t in (pa.int32(), pa.binary(), pa.binary())]
+                none = [pa.nulls(len(n), t) for t in (pa.int32(), pa.binary(), pa.bool_(), pa.binary(), pa.binary())]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), *none], names)
-        for chunk in range(CHUNKS):
+        for chunk in range(CHUNKS):  # which counters are used, as places or as bits, and places and counts of those above one
             part = counters[chunk * per : (chunk + 1) * per]
-            places = np.flatnonzero(part)
-            if len(places):
-                row = [[None], [None], [None], [chunk], [places.astype("<u2").tobytes()], [part[places].astype("<i4").tobytes()]]
-                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names)
+            used, more = np.flatnonzero(part), np.flatnonzero(part > 1)
+            if len(used):
+                dense = 32 * len(used) > per
+                seen_bytes = np.packbits(part > 0).tobytes() if dense else used.astype("<u4").tobytes()
+                row = [None, None, None, chunk, seen_bytes, dense, more.astype("<u4").tobytes(), part[more].astype("<i4").tobytes()]
+                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.bool_(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
 
     return staging.table(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, fields), "sets")
 
@@ -166,15 +182,20 @@ def token_counters(found: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for chunk, places, counts in zip(*(batch.column(c).to_pylist() for c in ("chunk", "places", "counts")), strict=True):
-                total.setdefault(chunk, np.zeros(per, dtype=np.int64))[np.frombuffer(places, "<u2")] += np.frombuffer(counts, "<i4")
+            for chunk, seen, dense, places, counts in zip(*(batch.column(c).to_pylist() for c in ("chunk", "seen", "dense", "places", "counts")), strict=True):
+                own = total.setdefault(chunk, np.zeros(per, dtype=np.int64))
+                if dense:
+                    own += np.unpackbits(np.frombuffer(seen, np.uint8))
+                else:
+                    own[np.frombuffer(seen, "<u4")] += 1
+                own[np.frombuffer(places, "<u4")] += np.frombuffer(counts, "<i4") - 1
         for chunk, counts in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([np.minimum(counts, 2**31 - 1).astype("<i4").tobytes()])], ["chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([np.minimum(counts, 2**16 - 1).astype("<u2").tobytes()])], ["chunk", "counts"])
 
-    parts = found.where(F.col("chunk").isNotNull()).select("chunk", "places", "counts").repartition(CHUNKS, "chunk").mapInArrow(run, "chunk int, counts binary")
-    out = np.zeros(1 << COUNTER_BITS, dtype=np.int32)
-    for r in parts.collect():  # 64 rows of 128 kB
-        out[r["chunk"] * per : (r["chunk"] + 1) * per] = np.frombuffer(r["counts"], "<i4")
+    parts = found.where(F.col("chunk").isNotNull()).select("chunk", "seen", "dense", "places", "counts").repartition(CHUNKS, "chunk").mapInArrow(run, "chunk int, counts binary")
+    out = np.zeros(1 << COUNTER_BITS, dtype=np.uint16)
+    for r in parts.toLocalIterator():  # 64 rows of 512 kB
+        out[r["chunk"] * per : (r["chunk"] + 1) * per] = np.frombuffer(r["counts"], "<u2")
     return out
 
 
@@ -200,6 +221,7 @@ def candidate_edges(docs: DataFrame, counters: np.ndarray, percent: int = PERCEN
     """Edges ``a, b`` whose components hold every link: documents that share a prefix token and may by their sizes link."""
     spark = docs.sparkSession
     parts = 2 * shuffle_partitions(spark)
+    merges = -(-shuffle_partitions(spark) // MERGED)
     shared = spark.sparkContext.broadcast(counters)
     fields = "part int, docs binary, sizes binary, owner binary, tokens binary"
     names = [c.split()[0] for c in fields.split(", ")]
@@ -248,6 +270,9 @@ def candidate_edges(docs: DataFrame, counters: np.ndarray, percent: int = PERCEN
             yield from out()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        held_a, held_b = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for table in groups(batches, ["part"]):
             columns = {c: [np.frombuffer(x, k) for x in table.column(c).to_pylist()] for c, k in (("docs", "<i8"), ("sizes", "<i4"), ("owner", "<u4"), ("tokens", "<u8"))}
             node = np.concatenate([d[o] for d, o in zip(columns["docs"], columns["owner"], strict=True)])
@@ -258,20 +283,27 @@ def candidate_edges(docs: DataFrame, counters: np.ndarray, percent: int = PERCEN
             close = (token[1:] == token[:-1]) & (100 * size[:-1] >= percent * size[1:]) & (node[1:] != node[:-1])
             at = np.flatnonzero(close)
             if len(at):
-                a, b = _forest(node[at], node[at + 1])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                held_a, held_b = _forest(np.concatenate((held_a, node[at])), np.concatenate((held_b, node[at + 1])))
+        if len(held_a):
+            row = [[TaskContext.get().partitionId() % merges], [held_a.tobytes()], [held_b.tobytes()]]
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["merge", "a", "b"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, ["merge"]):
+            a, b = (np.concatenate([np.frombuffer(x, np.int64) for x in table.column(c).to_pylist()]) for c in ("a", "b"))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _forest(a, b)], ["a", "b"])
 
     packed = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(emit, fields)
     dealt = packed.repartition(shuffle_partitions(spark), "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(meet, "a long, b long").distinct()
+    forests = dealt.mapInArrow(meet, "merge int, a binary, b binary").repartition(merges, "merge").sortWithinPartitions("merge")
+    return forests.mapInArrow(merge, "a long, b long").distinct()
 
 
-def _with_texts(rows: DataFrame, docs: DataFrame, keys: list[str]) -> DataFrame:
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
-    return rows.join(texts, "node").repartition(shuffle_partitions(docs.sparkSession), *keys).sortWithinPartitions(*keys)
+def _with_texts(rows: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.join(texts, "node").repartition(shuffle_partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
 
 
-def links_within(rows: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def links_within(rows: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links ``a, b`` that span what is connected inside each (cluster, block) of ``rows`` (cluster, block, node)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,15 +311,15 @@ def links_within(rows: DataFrame, docs: DataFrame, percent: int = PERCENT) -> Da
             table = table.combine_chunks()
             nodes = table.column("node").to_pylist()
             sets = [s for chunk in table.to_batches() for s in shingle_sets(chunk.column("text"))]
-            tree = SignatureTree(sets, bitmap_bits(sets))
+            tree = SignatureTree.of(sets)
             found = [(nodes[i], nodes[j]) for i, j in tree_links(tree, tree, list(range(len(sets))), percent)]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
-    return _with_texts(rows, docs, ["cluster", "block"]).mapInArrow(run, "a long, b long")
+    return _with_texts(rows, texts, ["cluster", "block"]).mapInArrow(run, "a long, b long")
 
 
-def links_between(rows: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def links_between(rows: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links between the two sides of each (cluster, one, two) of ``rows`` (cluster, one, two, side, node, comp), where ``comp`` differs."""
     keys = ["cluster", "one", "two"]
 
@@ -302,12 +334,46 @@ def links_between(rows: DataFrame, docs: DataFrame, percent: int = PERCENT) -> D
             nodes, comps = (sides[0][k] + sides[1][k] for k in (0, 1))
             first: dict[int, int] = {}
             linked = [first.setdefault(c, i) for i, c in enumerate(comps)]
-            bits, n = bitmap_bits(sides[0][2] + sides[1][2]), len(sides[0][0])
-            found = [(nodes[i], nodes[j]) for i, j in tree_links(SignatureTree(sides[0][2], bits), SignatureTree(sides[1][2], bits), linked, percent, n)]
+            bits, n = bitmap_bits(max(map(len, sides[0][2] + sides[1][2]), default=1)), len(sides[0][0])
+            found = [(nodes[i], nodes[j]) for i, j in tree_links(SignatureTree.of(sides[0][2], bits), SignatureTree.of(sides[1][2], bits), linked, percent, n)]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
-    return _with_texts(rows, docs, keys).mapInArrow(run, "a long, b long")
+    return _with_texts(rows, texts, keys).mapInArrow(run, "a long, b long")
+
+
+def signatures(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """``node, size, words``: size and bitmap of each of ``rows`` (node, bits)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                sets = shingle_sets(batch.column("text"))
+                words = [bitmap(s, n).tobytes() for s, n in zip(sets, batch.column("bits").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(map(len, sets), pa.int64()), pa.array(words, pa.binary())], ["node", "size", "words"])
+
+    return rows.join(texts, "node").select("node", "bits", "text").mapInArrow(run, "node long, size long, words binary")
+
+
+def possible_pairs(rows: DataFrame, signed: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Those of ``rows`` (cluster, one, two, side, node, comp) that bitmaps allow a link to another component on the other side."""
+    keys = ["cluster", "one", "two"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, keys):
+            rows = list(zip(*(table.column(c).to_pylist() for c in ("side", "node", "comp", "size", "words")), strict=True))
+            sides = [[r for r in rows if r[0] == k] for k in (0, 1)]
+            both = sides[0] + sides[1]
+            first: dict[int, int] = {}
+            linked = [first.setdefault(r[2], i) for i, r in enumerate(both)]
+            trees = [SignatureTree([r[3] for r in side], [np.frombuffer(r[4], np.uint64) for r in side]) for side in sides]
+            found = {i for pair in tree_links(*trees, linked, percent, len(sides[0])) for i in pair}
+            if found:
+                same = [[table.column(c)[0].as_py()] * len(found) for c in keys]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([*same, *zip(*(both[i][:3] for i in sorted(found)), strict=True)], kinds, strict=True)], [*keys, "side", "node", "comp"])
+
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+    return _with_texts(rows, signed, keys).mapInArrow(run, "cluster long, one int, two int, side int, node long, comp long")
 
 
 def _each(n: str) -> F.Column:
@@ -333,14 +399,16 @@ def jaccard_components(docs: DataFrame, staging: Staging | None = None, percent:
     nodes = apart.select(F.col("a").alias("doc_id"), F.col("b").alias("cluster")).unionByName(apart.select(F.col("b").alias("doc_id"), F.col("b").alias("cluster")).distinct())
     members = staging.table(nodes.join(owned, "doc_id").select("cluster", F.col("rep").alias("node")).distinct(), "members")
     sized = staging.table(
-        members.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("c"), *[F.min(F.struct(F.xxhash64("node", F.lit(s)), "node")).alias(f"p{s}") for s in range(PIVOTS)]).where("c > 1"),
+        members.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("c"), F.min(F.struct("node")).alias("p0"), *[F.min(F.struct(F.xxhash64("node", F.lit(s)), "node")).alias(f"p{s}") for s in range(1, PIVOTS)]).where("c > 1"),
         "clusters",
     )
     rows = members.join(sized.select("cluster", "blocks"), "cluster")
+    wanted = staging.table(rows.select("node").distinct(), "wanted")
+    texts = staging.table(docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted.hint("merge"), "node", "left_semi"), "texts")
     own = rows.select("cluster", _deal("node", "blocks", 0).alias("block"), "node")
     large = sized.where("blocks > 1")
     pivots = large.select("cluster", _each("blocks").alias("block"), F.array_distinct(F.array(*[f"p{s}.node" for s in range(PIVOTS)])).alias("nodes")).select("cluster", "block", F.explode("nodes").alias("node"))
-    links = staging.table(links_within(staging.table(own.unionByName(pivots).distinct(), "blocks"), docs, percent), "links")
+    links = staging.table(links_within(staging.table(own.unionByName(pivots).distinct(), "blocks"), texts, percent), "links")
     joined = components(links, staging)
 
     if large.limit(1).count():  # what stays apart in large groups meets all other blocks
@@ -350,10 +418,14 @@ def jaccard_components(docs: DataFrame, staging: Staging | None = None, percent:
         )
         main = placed.groupBy("cluster", "comp").agg(F.count("*").alias("c")).groupBy("cluster").agg(F.max(F.struct("c", "comp")).alias("main"), F.sum("c").alias("all"))
         main = staging.table(main.where(F.col("main.c") < F.col("all")).select("cluster", F.col("main.comp").alias("main"), F.ceil((F.col("all") - F.col("main.c")) / block).cast("int").alias("rests")), "main")
-        open_ = placed.join(main, "cluster")
+        open_ = staging.table(placed.join(main, "cluster"), "open")
+        bits = F.least(F.lit(1 << 16), F.greatest(F.lit(1 << 8), F.pow(F.lit(2), F.ceil(F.log2(2 * F.col("n"))))).cast("int"))
+        widest = open_.join(owned.select(F.col("doc_id").alias("node"), "n"), "node").groupBy("cluster").agg(F.max("n").alias("n")).select("cluster", bits.alias("bits"))
+        signed = staging.table(signatures(open_.join(widest, "cluster").select("node", "bits"), texts), "signatures")
         rest = open_.where("comp <> main").select("cluster", _deal("node", "rests", 1).alias("one"), _each("blocks").alias("two"), F.lit(0).alias("side"), "node", "comp")
         every = open_.select("cluster", _each("rests").alias("one"), _deal("node", "blocks", 0).alias("two"), F.lit(1).alias("side"), "node", "comp")
-        more = staging.table(links_between(staging.table(rest.unionByName(every), "pairs"), docs, percent), "more-links")
+        possible = staging.table(possible_pairs(staging.table(rest.unionByName(every), "pairs"), signed, percent), "possible")
+        more = staging.table(links_between(possible, texts, percent), "more-links")
         joined = components(joined.unionByName(more), staging)
 
     ends = joined.select(F.col("a").alias("rep"), F.col("b").alias("component"))

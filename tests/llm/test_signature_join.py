@@ -74,7 +74,7 @@ def test_tree_finds_all_links(sets, percent):
     rng = np.random.default_rng(3)
     names = rng.integers(0, 2**63, 41).astype(np.uint64) * np.uint64(2)
     arrays = [np.unique(names[sorted(s)]) for s in sets]
-    tree = j.SignatureTree(arrays, 256)
+    tree = j.SignatureTree.of(arrays, 256)
     linked = list(range(len(sets)))
     for a, b in j.tree_links(tree, tree, linked, percent):
         assert 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])

@@ -163,7 +163,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, staging: Staging |
     cut = staging.table(removals(table, overlapping(table, staging), staging, min_chars), "removals")
     lines = F.split("text", "\n")
     left = F.array_join(F.flatten(F.transform("keep", lambda r: F.slice(lines, r["start"] + 1, r["stop"] - r["start"]))), "\n")
-    return table.select("uid", "doc_id", "text", F.size("hashes").alias("n_lines")).join(cut, "uid", "left").select(
+    return table.select("uid", "doc_id", "text", F.size("hashes").alias("n_lines")).join(cut.hint("merge"), "uid", "left").select(
         "doc_id", F.when(F.col("keep").isNull(), F.col("text")).otherwise(left).alias("text"), "n_lines",
         F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("from_ids", F.array().cast("array<long>")).alias("from_ids"),
     )

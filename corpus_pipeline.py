@@ -31,7 +31,7 @@ def _staging(spark: SparkSession) -> Staging:
 
 def _only(docs: DataFrame, kept: DataFrame, staging: Staging) -> DataFrame:
     """The rows of ``docs`` whose doc_id is among ``kept``; both sides may be large."""
-    return docs.join(staging.table(kept.select("doc_id"), "kept"), "doc_id", "left_semi").select(docs.columns)
+    return docs.join(staging.table(kept.select("doc_id"), "kept").hint("merge"), "doc_id", "left_semi").select(docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from corpusflow.functions import text as T
 
@@ -28,7 +29,7 @@ def _ws(pattern: str) -> str:
     return pattern.replace("{WS}", T.WS)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Character references, named ones included."""
     for s in batches:

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Character classes, in a spelling that Java and RE2 both read.
 WS = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -30,8 +31,8 @@ def strip(c: Column) -> Column:
 def clean_text(c: Column) -> Column:
     """Drop bracket artefacts of scraped headings, line by line, and blank lines."""
     lines = F.transform(F.split(c, "\n"), strip)
-    words = F.filter(lines, lambda x: ~x.rlike(r"\A(\[[+-]?|\]+)\z"))
-    bare = F.transform(words, lambda x: F.regexp_replace(F.regexp_replace(x, rf"\A\[[+-]?{WS}*", ""), rf"{WS}*\]+\z", ""))
+    words = F.filter(lines, lambda x: ~x.rlike(r"\A(\[+-?|\]+)\z"))
+    bare = F.transform(words, lambda x: F.regexp_replace(F.regexp_replace(x, rf"\A\[+-?{WS}*", ""), rf"{WS}*\]+\z", ""))
     return strip(F.array_join(F.filter(bare, lambda x: x != ""), "\n"))
 
 
@@ -52,7 +53,7 @@ def strip_diacritics(c: Column) -> Column:
     return F.regexp_replace(c, MARKS, "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Unicode compatibility composition, which Spark has no function for."""
     for s in batches:

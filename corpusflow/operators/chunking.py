@@ -1,12 +1,14 @@
-"""Token-bounded chunks with overlap, as a native fold over segment lengths.
+"""Token-bounded chunks with overlap, as a fold over segment lengths.
 
-The fold carries integers only, (start of the open chunk, its tokens, closed
-chunks); texts are sliced out of the segment array at the end. The token counter is the
-number of words.
+Segments, their lengths and the slices of text are native; the fold itself, the one sequential
+step, runs over arrays of integers in Arrow batches. The token counter is the number of words.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,36 +33,36 @@ def segments(text: Column, most: int = MAX_TOKENS) -> Column:
     return F.flatten(F.transform(T.sentences(text), lambda s: F.when(F.size(words(s)) > most, hard_split(s, most)).otherwise(F.array(s))))
 
 
-def bounds(tokens: Column, most: int, overlap: int, least: int) -> Column:
+BOUNDS = "array<struct<lo:int,hi:int,tok:int,lo2:int,hi2:int>>"
+
+
+def fold(tokens: list[int], most: int, overlap: int, least: int) -> list[tuple[int, int, int, int, int]]:
     """Chunks ``(lo, hi, tok, lo2, hi2)`` over 1-based segments; ``lo2`` to ``hi2`` is a short end that was merged in, 0 if none."""
-    total = lambda lo, hi: F.aggregate(F.slice(tokens, lo, hi - lo + 1), F.lit(0), lambda a, x: a + x)
-    chunk = "array<struct<lo:int,hi:int,tok:int,lo2:int,hi2:int>>"
-    one = lambda lo, hi, tok, lo2, hi2: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"), tok.cast("int").alias("tok"), lo2.cast("int").alias("lo2"), hi2.cast("int").alias("hi2"))
-    zero = F.lit(0)
-
-    def tail(lo: Column, last: Column) -> Column:
-        """The first segment that a new chunk repeats: from ``last`` back while the sum fits, ``last`` always."""
-        fits = F.filter(F.sequence(lo, last), lambda j: total(j, last) <= overlap)
-        return F.coalesce(F.try_element_at(fits, F.lit(1)), last)
-
-    def step(s: Column, i: Column) -> Column:
-        t = F.element_at(tokens, i)
-        full = (s["cur"] > 0) & (s["cur"] + t > most)
-        start = F.when(full, tail(s["lo"], i - 1)).otherwise(s["lo"])
-        held = F.when(full, total(start, i - 1)).otherwise(s["cur"])
-        closed = F.when(full, F.concat(s["out"], F.array(one(s["lo"], i - 1, s["cur"], zero, zero)))).otherwise(s["out"])
-        return F.struct(start.cast("int").alias("lo"), (held + t).cast("int").alias("cur"), closed.alias("out"))
-
-    begin = F.struct(F.lit(1).alias("lo"), F.lit(0).alias("cur"), F.array().cast(chunk).alias("out"))
-
-    def finish(s: Column) -> Column:
-        n = F.size(tokens)
-        before = F.try_element_at(s["out"], F.lit(-1))
-        merged = F.concat(F.slice(s["out"], 1, F.greatest(F.size(s["out"]) - 1, zero)), F.array(one(before["lo"], before["hi"], before["tok"] + s["cur"], s["lo"], n)))
-        return F.when((F.size(s["out"]) > 0) & (s["cur"] < least), merged).otherwise(F.concat(s["out"], F.array(one(s["lo"], n, s["cur"], zero, zero))))
-
-    folded = F.aggregate(F.sequence(F.lit(1), F.size(tokens)), begin, step, finish)
-    return F.when(F.size(tokens) == 0, F.array().cast(chunk)).otherwise(folded)
+    out, lo, held = [], 1, 0
+    for i, t in enumerate(tokens, 1):
+        if held and held + t > most:
+            out.append((lo, i - 1, held, 0, 0))
+            start, held = i - 1, tokens[i - 2]  # the last segment is repeated always, earlier ones while they fit
+            while start > lo and held + tokens[start - 2] <= overlap:
+                start -= 1
+                held += tokens[start - 1]
+            lo = start
+        held += t
+    if tokens and out and held < least:
+        out[-1] = (*out[-1][:2], out[-1][2] + held, lo, len(tokens))
+    elif tokens:
+        out.append((lo, len(tokens), held, 0, 0))
+    return out
+
+
+def bounds(tokens: Column, most: int, overlap: int, least: int) -> Column:
+    """``fold`` of an array column of token counts; only these integers go to Python."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda t: [dict(zip(("lo", "hi", "tok", "lo2", "hi2"), c, strict=True)) for c in fold([int(x) for x in t], most, overlap, least)] if t is not None else [])
+
+    return F.pandas_udf(run, BOUNDS)(tokens)
 
 
 def chunk_text(df: DataFrame, text: str = "text", most: int = MAX_TOKENS, overlap: int = OVERLAP, least: int = MIN_TOKENS) -> DataFrame:

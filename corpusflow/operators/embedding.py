@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 BATCH = 64
 
@@ -43,7 +44,7 @@ def embed_pending(df: DataFrame, provider: Callable[[list[str]], list[list[float
     pending = df.where("embedding IS NULL")
     if concurrency:
         pending = pending.repartition(concurrency)
-    schema = df.drop("embedding", "error").schema.add("embedding", "array<float>").add("error", "string")
+    schema = df.drop("embedding", "error").schema.add("embedding", ArrayType(FloatType())).add("error", "string")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -41,15 +41,17 @@ def retrieve(chunks: DataFrame, queries: DataFrame, k: int = K, filter_col: str
     nc, nq = -(-chunks.count() // CHUNK_ROWS) or 1, -(-queries.count() // QUERY_ROWS) or 1
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    left = chunks.select(deal(nc).alias("c"), each(nq).alias("q"), "*")
-    right = queries.select(each(nc).alias("c"), deal(nq).alias("q"), "*")
+    rows = chunks.select(deal(nc).alias("c"), each(nq).alias("q"), F.lit(False).alias("asks"), "*").unionByName(
+        queries.select(each(nc).alias("c"), deal(nq).alias("q"), F.lit(True).alias("asks"), "*")
+    )
 
     def unit(vectors: pd.Series) -> np.ndarray:
         m = np.array(vectors.tolist(), dtype=np.float64)
         norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
         return m / np.where(norm == 0, np.nan, norm)
 
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def meet(block: pd.DataFrame) -> pd.DataFrame:
+        a, b = block[~block["asks"]], block[block["asks"]]
         out = {"query_id": [], "chunk_id": [], "score": []}
         if len(a) and len(b):
             a = a.sort_values("id")
@@ -64,7 +66,7 @@ def retrieve(chunks: DataFrame, queries: DataFrame, k: int = K, filter_col: str
         frame = pd.DataFrame(out)
         return frame.astype({"query_id": "int64", "chunk_id": "int64", "score": "float64"})
 
-    best = left.groupBy("c", "q").cogroup(right.groupBy("c", "q")).applyInPandas(meet, "query_id long, chunk_id long, score double")
+    best = rows.groupBy("c", "q").applyInPandas(meet, "query_id long, chunk_id long, score double")
     best = best.withColumn("score", F.nanvl("score", F.lit(None).cast("double")))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last(F.round("score", 12)), "chunk_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")

@@ -53,7 +53,7 @@ def write_snapshot_table(df: DataFrame, path: str) -> str:
     version = f"v={uuid.uuid4().hex}"
     df.write.parquet(f"{path}/{version}")
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    fresh, pointer = jvm.org.apache.hadoop.fs.Path(f"{path}/_next-{version}"), jvm.org.apache.hadoop.fs.Path(f"{path}/_current")
+    fresh, pointer = jvm.org.apache.hadoop.fs.Path(f"{path}/NEXT-{version}"), jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT")
     fs = pointer.getFileSystem(conf)
     out = fs.create(fresh, True)
     out.write(bytearray(version.encode()))
@@ -64,5 +64,5 @@ def write_snapshot_table(df: DataFrame, path: str) -> str:
 
 
 def read_snapshot_table(spark: SparkSession, path: str) -> DataFrame:
-    version = spark.read.text(f"{path}/_current").first()[0]
+    version = spark.read.text(f"{path}/CURRENT").first()[0]
     return spark.read.parquet(f"{path}/{version}")

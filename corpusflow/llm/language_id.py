@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import documents, utf8
+from corpusflow.llm.common import documents, slices, utf8
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -49,29 +49,30 @@ def _fold() -> np.ndarray:
     return _FOLD[0]
 
 
+def _characters(raw: np.ndarray) -> np.ndarray:
+    return _fold()[np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype="<u4")]
+
+
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Folded characters of some texts or of a slice of one: characters, offsets of the parts, row of each part.
 
-    A slice repeats the last two characters of the one before, as context that is not counted again:
-    its offset starts at the first n-gram that is its own.
+    About ``_SLICE`` bytes are unfolded at once, as each takes some tens of bytes on the way. A
+    slice of a text is followed by the characters that its last n-grams reach
+    into; its offsets are 0, the end of its own characters and the end of all.
     """
-    raw, at = utf8(batch.column("text"))
-    codes = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype="<u4")
-    heads = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))  # characters before each byte
-    ends = heads[at]
-    folded = _fold()[codes]
-    row = 0
-    while row < batch.num_rows:
-        stop = max(row + 1, int(np.searchsorted(ends, ends[row] + _SLICE, side="right")) - 1)
-        if stop == row + 1:
-            for lo in range(int(ends[row]), max(int(ends[stop]), int(ends[row]) + 1), _SLICE):
-                hi = min(lo + _SLICE, int(ends[stop]))
-                more = min(hi + max(ORDERS) - 1, int(ends[stop]))  # n-grams that start in this slice
-                yield folded[lo:more], np.array([0, hi - lo, more - lo]), np.array([row])
+    first = 0
+    for part in slices(batch, "text", _SLICE):
+        raw, at = utf8(part.column("text"))
+        begins = (raw & 0xC0) != 0x80  # bytes that begin a character
+        if part.num_rows > 1:
+            yield _characters(raw), np.concatenate(([0], np.cumsum(begins)))[at], np.arange(first, first + part.num_rows)
         else:
-            part = ends[row : stop + 1] - ends[row]
-            yield folded[ends[row] : ends[stop]], part, np.arange(row, stop)
-        row = stop
+            for lo in range(0, max(len(raw), 1), _SLICE):
+                ends = [min(len(raw), k) for k in (lo, lo + _SLICE, lo + _SLICE + 4 * max(ORDERS))]
+                ends = [k if k in (0, len(raw)) else k + int(np.argmax(np.append(begins[k : k + 4], True))) for k in ends]
+                own, following = _characters(raw[ends[0] : ends[1]]), _characters(raw[ends[1] : ends[2]])[: max(ORDERS) - 1]
+                yield np.concatenate((own, following)), np.array([0, len(own), len(own) + len(following)]), np.array([first])
+        first += part.num_rows
 
 
 def _grams(chars: np.ndarray, n: int, buckets: int) -> np.ndarray:

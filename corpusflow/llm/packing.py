@@ -31,7 +31,7 @@ CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
 #: Words kept by a worker, and the longest word that is kept.
-KEPT_WORDS, KEPT_CHARS = 1_500_000, 48
+KEPT_WORDS, KEPT_CHARS = 700_000, 48
 MARKS = string.punctuation
 #: Letters whose lower case depends on their place or is more than one character.
 UNEVEN = "\u03a3\u0130"

@@ -62,7 +62,8 @@ def bounds(tokens: Column, most: int, overlap: int, least: int) -> Column:
         for s in batches:
             yield s.map(lambda t: [dict(zip(("lo", "hi", "tok", "lo2", "hi2"), c, strict=True)) for c in fold([int(x) for x in t], most, overlap, least)] if t is not None else [])
 
-    return F.pandas_udf(run, BOUNDS)(tokens)
+    # not to be moved: the optimizer would put a copy of it into a filter below the explode
+    return F.pandas_udf(run, BOUNDS).asNondeterministic()(tokens)
 
 
 def chunk_text(df: DataFrame, text: str = "text", most: int = MAX_TOKENS, overlap: int = OVERLAP, least: int = MIN_TOKENS) -> DataFrame:

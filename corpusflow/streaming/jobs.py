@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -68,11 +69,11 @@ class Segmenter(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("open", "buffer string, next long, n long, early map<long,string>, last long")
+        self.state = handle.getValueState("open", "buffer string, next long, n long, early string, last long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         held = self.state.get() if self.state.exists() else None
-        buffer, place, n, early, last = (held[0], held[1], held[2], dict(held[3]), held[4]) if held else ("", 0, 0, {}, -1)
+        buffer, place, n, early, last = (held[0], held[1], held[2], {int(k): v for k, v in json.loads(held[3]).items()}, held[4]) if held else ("", 0, 0, {}, -1)
         if not held:
             self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.stale_ms)
         for frame in rows:
@@ -93,7 +94,7 @@ class Segmenter(StatefulProcessor):
         for s in segments:
             out.append((key[0], n, s))
             n += 1
-        self.state.update((buffer, place, n, early, last))
+        self.state.update((buffer, place, n, json.dumps(early), last))
         if ended:
             self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.finished_ms)
         if out:

@@ -31,6 +31,7 @@ def test_segments_of_out_of_order_pieces(spark, tmp_path):
     text = "First one. Second [1] one! Then a tail"
     pieces = [("g", i, text[i * 5 : i * 5 + 5], i == 7) for i in range(8)]
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # else batches go on until the timers are due
     spark.createDataFrame(pieces[::-1], "generation_id string, seq long, piece string, final boolean").repartition(3).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("generation_id string, seq long, piece string, final boolean").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     J.segment_stream(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()

@@ -1,7 +1,7 @@
 """Token-bounded chunks with overlap, as a fold over segment lengths.
 
-Segments, their lengths and the slices of text are native; the fold itself, the one sequential
-step, runs over arrays of integers in Arrow batches. The token counter is the number of words.
+Sentences and their lengths are native; the fold itself, the one sequential step, runs over
+arrays in Arrow batches and joins each chunk's segments. The token counter is the number of words.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType
 
 from corpusflow.functions import text as T
 
@@ -33,9 +34,6 @@ def segments(text: Column, most: int = MAX_TOKENS) -> Column:
     return F.flatten(F.transform(T.sentences(text), lambda s: F.when(F.size(words(s)) > most, hard_split(s, most)).otherwise(F.array(s))))
 
 
-BOUNDS = "array<struct<lo:int,hi:int,tok:int,lo2:int,hi2:int>>"
-
-
 def fold(tokens: list[int], most: int, overlap: int, least: int) -> list[tuple[int, int, int, int, int]]:
     """Chunks ``(lo, hi, tok, lo2, hi2)`` over 1-based segments; ``lo2`` to ``hi2`` is a short end that was merged in, 0 if none."""
     out, lo, held = [], 1, 0
@@ -55,24 +53,23 @@ def fold(tokens: list[int], most: int, overlap: int, least: int) -> list[tuple[i
     return out
 
 
-def bounds(tokens: Column, most: int, overlap: int, least: int) -> Column:
-    """``fold`` of an array column of token counts; only these integers go to Python."""
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(lambda t: [dict(zip(("lo", "hi", "tok", "lo2", "hi2"), c, strict=True)) for c in fold([int(x) for x in t], most, overlap, least)] if t is not None else [])
-
-    # not to be moved: the optimizer would put a copy of it into a filter below the explode
-    return F.pandas_udf(run, BOUNDS).asNondeterministic()(tokens)
-
-
 def chunk_text(df: DataFrame, text: str = "text", most: int = MAX_TOKENS, overlap: int = OVERLAP, least: int = MIN_TOKENS) -> DataFrame:
     """``df`` without ``text``, one row per chunk: ``chunk_index, chunk_text, token_count``."""
-    split = df.withColumn("_segments", segments(F.col(text), most)).drop(text)
-    sized = split.withColumn("_tokens", F.transform("_segments", lambda s: F.size(words(s))))
-    folded = sized.withColumn("_chunks", bounds(F.col("_tokens"), most, overlap, least))
     keep = [c for c in df.columns if c != text]
-    out = folded.select(*keep, "_segments", F.posexplode("_chunks").alias("chunk_index", "_c"))
-    part = lambda lo, hi: F.array_join(F.slice("_segments", F.col(f"_c.{lo}"), F.col(f"_c.{hi}") - F.col(f"_c.{lo}") + 1), " ")
-    merged = F.when(F.col("_c.lo2") > 0, F.concat(part("lo", "hi"), F.lit(" "), part("lo2", "hi2"))).otherwise(part("lo", "hi"))
-    return out.select(*keep, "chunk_index", merged.alias("chunk_text"), F.col("_c.tok").alias("token_count"))
+    split = df.select(*keep, segments(F.col(text), most).alias("_segments"))
+    sized = split.withColumn("_tokens", F.transform("_segments", lambda s: F.size(words(s))))
+    schema = df.select(*keep).schema.add("chunk_index", IntegerType()).add("chunk_text", StringType()).add("token_count", IntegerType())
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows, index, texts, counts = [], [], [], []
+            for at, (parts, tokens) in enumerate(zip(frame["_segments"], frame["_tokens"], strict=True)):
+                for k, (lo, hi, tok, lo2, hi2) in enumerate(fold([int(t) for t in tokens], most, overlap, least) if tokens is not None else []):
+                    rows.append(at)
+                    index.append(k)
+                    texts.append(" ".join([*parts[lo - 1 : hi], *(parts[lo2 - 1 : hi2] if lo2 else [])]))
+                    counts.append(tok)
+            if rows:
+                yield frame[keep].iloc[rows].assign(chunk_index=index, chunk_text=texts, token_count=counts)
+
+    return sized.mapInPandas(run, schema)

@@ -62,8 +62,8 @@ You should have received a copy of the GNU General Public License along with thi
 }
 #: Spellings that count as one.
 SPELLINGS = [("licence", "license"), ("sub-license", "sublicense"), ("non-infringement", "noninfringement"), ("non-commercial", "noncommercial"), ("acknowledgement", "acknowledgment"), ("merchantibility", "merchantability"), ("organisation", "organization"), ("http://", "https://"), ("&", " and ")]
-#: A line that states a copyright: it starts with the word or sign, after marks at most.
-COPYRIGHT_LINE = r"(?m)^[ \t#*/;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+#: A line that states a copyright by sign, year or formula; a wrapped "copyright notice" is none.
+COPYRIGHT_LINE = r"(?m)^[ \t#*/;-]*(copyright[ \t]*(\(c\)|©|[0-9]{4}|by[ \t])|\(c\)[ \t]*(copyright[ \t]*)?[0-9]{4}|©|all rights reserved)[^\n]*$"
 
 
 def canonical(text: Column) -> Column:

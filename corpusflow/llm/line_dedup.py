@@ -90,7 +90,7 @@ def line_table(docs: DataFrame, staging: Staging) -> DataFrame:
     """``uid, doc_id, text, hashes, chars`` of each row; the hash of a blank line is 0."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.split(text, "\n")
-    stripped = F.transform(lines, F.trim)
+    stripped = F.transform(lines, lambda x: F.trim(x, F.lit(" \t\r")))
     return staging.table(
         docs.select(
             F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), text.alias("text"),

@@ -2,8 +2,12 @@
 
 Documents that share a line hash overlap. A shared line pairs each document
 that has it with the first document that has it, so a line costs one pair a
-document at most, however common it is; a third document needs no pair with the
-second, since the first holds the line as well. The lines of a pair
+document at most, however common it is. The first document may hold the lines of
+a block in another order, or only a part of it too short to go, so runs of lines
+pair as well, each with its own first document: runs of 2, 4, 8, ... lines, from
+each line on and back to each line the shortest run of ``min_chars`` characters,
+and the second, third, ... occurrence of a line in one document. Runs are made of
+shared lines only, with the blank lines between them. The lines of a pair
 are aligned by patience diff (anchors are lines that occur once in both, the
 rarest common line where there is none), and aligned common blocks are deleted
 from the later document, the one with the larger doc_id.
@@ -23,6 +27,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,13 +106,96 @@ def line_table(docs: DataFrame, staging: Staging) -> DataFrame:
     )
 
 
-def overlapping(table: DataFrame, staging: Staging) -> DataFrame:
-    """Pairs ``uid, first_uid``: a document and the first one that has some line of it."""
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def _runs(uid: np.ndarray, rank: np.ndarray, line: np.ndarray, lines: np.ndarray, chars: np.ndarray, min_chars: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of shared lines, by ``uid`` and ``rank`` (place among lines that are not blank): rows that begin a run, and the run's hash."""
+    n = len(uid)
+    at = np.arange(n)
+    stretch = np.cumsum(np.concatenate(([True], (uid[1:] != uid[:-1]) | (rank[1:] != rank[:-1] + 1))))
+    ends = np.searchsorted(stretch, stretch, side="right") - 1
+    starts = np.searchsorted(stretch, stretch, side="left")
+    gap = np.diff(line, prepend=line[0]).astype(np.uint64)
+    own, after = _mix(lines), _mix(lines + gap * np.uint64(0xD6E8FEB86659FD93))
+    up = np.cumprod(np.concatenate(([1], np.full(n, 0x1F0A3))).astype(np.uint64))
+    down = np.cumprod(np.concatenate(([1], np.full(n, pow(0x1F0A3, -1, 1 << 64)))).astype(np.uint64))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(after * down[:n], dtype=np.uint64)))
+
+    def key(i: np.ndarray, e: np.ndarray) -> np.ndarray:
+        rest = (total[e + 1] - total[i + 1]) * up[e]
+        return _mix(own[i] * up[e - i] + rest + (e - i).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+
+    found = []
+    length = 2
+    while len(i := at[at + length - 1 <= ends]):
+        found.append((i, key(i, i + length - 1)))
+        length *= 2
+    held = np.concatenate(([0], np.cumsum(chars)))
+    e = np.searchsorted(held, held[:-1] + min_chars, side="left") - 1
+    i = np.flatnonzero((e > at) & (e <= ends))
+    found.append((i, key(i, e[i])))
+    b = np.searchsorted(held, held[1:] - min_chars, side="right") - 1
+    e = np.flatnonzero((b < at) & (b >= starts))
+    found.append((b[e], key(b[e], e)))
+    order = np.lexsort((at, lines, uid))
+    new = np.concatenate(([True], (uid[order][1:] != uid[order][:-1]) | (lines[order][1:] != lines[order][:-1])))
+    nth = at - np.maximum.accumulate(np.where(new, at, 0))
+    found.append((order[nth > 0], _mix(lines[order][nth > 0] ^ _mix(nth[nth > 0].astype(np.uint64)))))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def run_table(table: DataFrame, shared: DataFrame, staging: Staging, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``uid, place, hash`` of runs of lines that are all in ``shared`` (hash)."""
+    of = F.transform(F.arrays_zip("hashes", "chars"), lambda x, i: F.struct(x["hashes"].alias("hash"), x["chars"].alias("chars"), i.alias("line")))
+    lines = table.select("uid", "doc_id", F.posexplode(F.filter(of, lambda x: x["hash"] != BLANK)).alias("rank", "x")).select("uid", "doc_id", "rank", "x.*")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def cut() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            column = {c: rows.column(c).to_numpy() for c in ("uid", "rank", "line", "hash", "chars")}
+            with np.errstate(over="ignore"):
+                i, key = _runs(column["uid"], column["rank"], column["line"], column["hash"].view(np.uint64), column["chars"], min_chars)
+            out = pa.table([pa.array(column["uid"][i]), rows.column("doc_id").take(pa.array(i)), pa.array(key.view(np.int64))], names=["uid", "doc_id", "hash"])
+            yield from out.combine_chunks().to_batches(max_chunksize=20_000)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            uid = batch.column("uid").to_numpy()
+            last = int(np.searchsorted(uid, uid[-1]))  # the last document may go on in the next batch
+            if last or (held and held[-1].column("uid")[-1].as_py() != uid[0]):
+                held.append(batch.slice(0, last))
+                yield from cut()
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield from cut()
+
+    dealt = lines.join(shared.select("hash"), "hash", "left_semi").select("uid", "doc_id", "rank", "line", "hash", "chars")
+    dealt = dealt.repartition(shuffle_partitions(table.sparkSession), "uid").sortWithinPartitions("uid", "rank")
+    runs = staging.table(dealt.mapInArrow(run, "uid long, doc_id long, hash long"), "runs")
+    return runs.select("uid", F.struct("doc_id", "uid").alias("place"), "hash")
+
+
+def first_holders(keys: DataFrame, staging: Staging) -> DataFrame:
+    """``hash, first_uid``: the first document of each hash that several documents have."""
+    shared = keys.groupBy("hash").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last")
+    return staging.table(shared.select("hash", F.col("first.uid").alias("first_uid")), "firsts")
+
+
+def overlapping(table: DataFrame, staging: Staging, min_chars: int = MIN_CHARS) -> DataFrame:
+    """Pairs ``uid, first_uid``: a document and the first one that has some line, or run of lines, of it."""
     lines = table.select("uid", F.struct("doc_id", "uid").alias("place"), F.explode(F.array_distinct("hashes")).alias("hash")).where(F.col("hash") != BLANK)
-    shared = lines.groupBy("hash").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last")
-    firsts = staging.table(shared.select("hash", F.col("first.uid").alias("first_uid")), "firsts")
-    pairs = lines.select("uid", "hash").join(firsts, "hash").where("uid <> first_uid").select("uid", "first_uid").distinct()
-    return staging.table(pairs, "pairs")
+    firsts = first_holders(lines, staging)
+    runs = run_table(table, firsts, staging, min_chars)
+    pairs = [k.select("uid", "hash").join(f, "hash").where("uid <> first_uid").select("uid", "first_uid") for k, f in ((lines, firsts), (runs, first_holders(runs, staging)))]
+    return staging.table(pairs[0].unionByName(pairs[1]).distinct(), "pairs")
 
 
 def removals(table: DataFrame, pairs: DataFrame, staging: Staging, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -160,7 +248,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, staging: Staging |
     """``doc_id, text, n_lines, n_removed, from_ids``: each row's text without blocks that earlier documents have."""
     staging = staging or Staging(docs.sparkSession)
     table = line_table(docs, staging)
-    cut = staging.table(removals(table, overlapping(table, staging), staging, min_chars), "removals")
+    cut = staging.table(removals(table, overlapping(table, staging, min_chars), staging, min_chars), "removals")
     lines = F.split("text", "\n")
     left = F.array_join(F.flatten(F.transform("keep", lambda r: F.slice(lines, r["start"] + 1, r["stop"] - r["start"]))), "\n")
     return table.select("uid", "doc_id", "text", F.size("hashes").alias("n_lines")).join(cut.hint("merge"), "uid", "left").select(

@@ -37,6 +37,48 @@ def test_each_line_is_left_once_and_nothing_else_goes(spark, table):
     assert d.dedup_lines(table([])).count() == 0
 
 
+def every_pair(rows, min_chars=d.MIN_CHARS):
+    """What stays of each row if it is aligned with every earlier one that shares a line."""
+    out, before = {}, []
+    for doc, text in sorted(rows):
+        lines = text.split("\n")
+        hashes = [hash(x.strip(" \t\r")) or 1 if x.strip(" \t\r") else 0 for x in lines]
+        gone = set()
+        for other in before:
+            for i, _, n in d.align(hashes, other):
+                if sum(len(x.strip(" \t\r")) for x in lines[i : i + n]) >= min_chars:
+                    gone |= set(range(i, i + n))
+        before.append(hashes)
+        out[doc] = [x for i, x in enumerate(lines) if i not in gone and x.strip(" \t\r")]
+    return out
+
+
+def left_of(spark, table, rows):
+    return {r["doc_id"]: [x for x in r["text"].split("\n") if x.strip(" \t\r")] for r in d.dedup_lines(table(rows).repartition(3)).collect()}
+
+
+def test_blocks_meet_a_holder_in_their_order_and_length(spark, table):
+    crossed = [(1, f"{A}\n{B}"), (2, f"{B}\n{A}"), (3, f"{B}\n{A}")]
+    short = [(11, "first r1"), (12, "r2 short"), (13, "r3 short"), (14, "r4 short"), (15, "first r1\nr2 short\nr3 short\nr4 short"), (16, "first r1\nr2 short\nr3 short\nr4 short")]
+    halves = [(21, "seven x1\nseven x2"), (22, "seven x2\nseven x3"), (23, "seven x1\nseven x2\nseven x3"), (24, "seven x1\nseven x2\nseven x3")]
+    blanks = [(31, "nine abc1\nnine abc2"), (32, "nine abc1\n\nnine abc2 longer"), (33, "nine abc1\n\nnine abc2 longer")]
+    twice = [(41, C), (42, f"{C}\nx of 42\n{C}"), (43, f"{C}\ny of 43\n{C}")]
+    rows = crossed + short + halves + blanks + twice
+    got = left_of(spark, table, rows)
+    assert got == every_pair(rows)
+    assert got[3] == got[16] == got[24] == got[33] == [] and got[43] == ["y of 43"]
+
+
+def test_copies_go_as_if_every_pair_were_aligned(spark, table):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(i, "\n".join(rng.choice(words) + rng.choice(["", " and more"]) for _ in range(rng.randint(1, 9)))) for i in range(40)]
+    rows += [(100 + i, rng.choice(rows)[1]) for i in range(40)]
+    got, want = left_of(spark, table, rows), every_pair(rows)
+    assert all(set(want[k]) <= set(got[k]) for k in want)
+    assert all(got[k] == want[k] for k in got if k >= 100)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 6), max_size=20), st.lists(st.integers(0, 6), max_size=20))
 def test_blocks_are_common_and_rise(a, b):

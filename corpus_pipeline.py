@@ -1,15 +1,21 @@
 """A training-data pipeline over ``documents``: each stage reads what the one before it kept.
 
-Every stage but the last returns the columns of its input. doc_id is taken to be
-unique, as in ``documents``; rows with one doc_id are kept or dropped together.
+Every stage but the last returns the columns of its input. Language ID, exact
+dedup and the Jaccard join decide row by row, by a row key that each of them
+stages with its input, so null and repeated doc_ids lose and bring back nothing.
+Of exact copies the row with the largest doc_id stays, of a near-duplicate
+component the one with the smallest; null ids count as smallest, and of rows
+with one doc_id one stays. Mixing keeps or leaves rows with one doc_id alike if
+their cell is one. An empty table passes all stages as such.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpusflow.llm.exact_dedup import exact_duplicates
-from corpusflow.llm.language_id import UNKNOWN, identify
+from corpusflow.llm.language_id import UNKNOWN, held_out, predict, train
 from corpusflow.llm.packing import pack_documents
 from corpusflow.llm.signature_join import jaccard_components
 from corpusflow.llm.source_mixing import mix
@@ -18,6 +24,8 @@ from corpusflow.plans.staging import Staging
 #: A document stays if its language is known with this posterior at least.
 LEAST_SCORE = 0.5
 
+ROW = "_row_key"
+
 #: What the stage before has staged; its result is written by the time the next one starts.
 _STAGED: dict[str, Staging] = {}
 
@@ -29,24 +37,41 @@ def _staging(spark: SparkSession) -> Staging:
     return _STAGED["last"]
 
 
-def _only(docs: DataFrame, kept: DataFrame, staging: Staging) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is among ``kept``; both sides may be large."""
-    return docs.join(staging.table(kept.select("doc_id"), "kept").hint("merge"), "doc_id", "left_semi").select(docs.columns)
+def _keyed(docs: DataFrame, staging: Staging) -> DataFrame:
+    """``docs`` staged with a row key, so that every reader sees the same one."""
+    return staging.table(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def _as_id(keyed: DataFrame) -> DataFrame:
+    """``doc_id, text`` with the row key for an id, for operators that name rows by doc_id."""
+    return keyed.select(F.col(ROW).alias("doc_id"), "text")
+
+
+def _only(keyed: DataFrame, kept: DataFrame, staging: Staging) -> DataFrame:
+    """The rows of ``keyed`` whose key is among ``kept``; both sides may be large."""
+    return keyed.join(staging.table(kept.select(ROW), "kept").hint("merge"), ROW, "left_semi").drop(ROW)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = identify(docs).where(f"lang_pred <> '{UNKNOWN}' AND score >= {LEAST_SCORE}")
-    return _only(docs, found, _staging(spark))
+    staging = _staging(spark)
+    keyed = _keyed(docs, staging)
+    model = train(keyed.where(~F.coalesce(held_out(), F.lit(False))))
+    found = predict(_as_id(keyed), *model).where(f"lang_pred <> '{UNKNOWN}' AND score >= {LEAST_SCORE}")
+    return _only(keyed, found.withColumnRenamed("doc_id", ROW), staging).select(docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     staging = _staging(spark)
-    return _only(docs, exact_duplicates(docs, staging).where("kept"), staging)
+    keyed = _keyed(docs, staging)
+    return _only(keyed, exact_duplicates(keyed, staging, key=ROW).where("kept"), staging).select(docs.columns)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     staging = _staging(spark)
-    return _only(docs, jaccard_components(docs, staging).where("doc_id = component_id"), staging)
+    keyed = _keyed(docs, staging)
+    found = jaccard_components(_as_id(keyed), staging).select(F.col("doc_id").alias(ROW), "component_id")
+    first = found.join(keyed.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(F.min(F.struct("doc_id", ROW)).alias("first"))
+    return _only(keyed, first.select(f"first.{ROW}"), staging).select(docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,15 +33,15 @@ REMEMBERED = 48 << 20
 BLOCKS = "uid long, doc_id long, pos int, n_blocks int, first_uid long, first_pos int, block binary, text_sha256 string"
 
 
-def cut_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per block. ``uid`` names the row of the document; ``first_*`` the task's first copy of the block, which alone carries it."""
+def cut_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, key: str | None = None) -> DataFrame:
+    """One row per block. ``uid`` names the row of the document (by ``key``, if given); ``first_*`` the task's first copy of the block, which alone carries it."""
     names = [c.split()[0] for c in BLOCKS.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        uid = TaskContext.get().partitionId() << 33
+        count = TaskContext.get().partitionId() << 33
         seen: dict[bytes, tuple[int, int]] = {}
         held = 0
         for whole in batches:
@@ -50,7 +50,9 @@ def cut_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                 raw, at = utf8(batch.column("text"))
                 raw = raw.tobytes()
                 rows = []
-                for doc, i, j in zip(batch.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                uids = batch.column("uid").to_pylist() if key else range(count, count + batch.num_rows)
+                count += batch.num_rows
+                for uid, doc, i, j in zip(uids, batch.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
                     n = max(1, -(-(j - i) // block_bytes))
                     sha = hashlib.sha256(raw[i:j]).hexdigest()
                     for pos in range(n):
@@ -59,13 +61,12 @@ def cut_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                         new = first == (uid, pos)
                         rows.append((uid, doc, pos, n, *first, block if new else None, None if pos else sha))
                         held += len(block) * new
-                    uid += 1
                     if held > REMEMBERED:
                         seen, held = {}, 0
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, BLOCKS)
+    return docs.select(F.col("doc_id").cast("long"), "text", *([F.col(key).alias("uid")] if key else [])).mapInArrow(run, BLOCKS)
 
 
 def name_blocks(blocks: DataFrame) -> DataFrame:
@@ -94,9 +95,9 @@ def name_pairs(level: DataFrame, staging: Staging) -> DataFrame:
     return pairs.join(names, ["left", "right"]).select("uid", "pos", "name")
 
 
-def identities(docs: DataFrame, staging: Staging, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def identities(docs: DataFrame, staging: Staging, block_bytes: int = BLOCK_BYTES, key: str | None = None) -> DataFrame:
     """``uid, doc_id, text_sha256, level, name``: equal ``(level, name)`` if and only if equal text."""
-    blocks = staging.table(cut_blocks(docs, block_bytes), "blocks")
+    blocks = staging.table(cut_blocks(docs, block_bytes, key), "blocks")
     heads = blocks.where("pos = 0").select("uid", "doc_id", "n_blocks", "text_sha256")
     most = heads.agg(F.max("n_blocks")).first()[0] or 1
     named = staging.table(name_blocks(blocks), "level-0")
@@ -115,10 +116,10 @@ def identities(docs: DataFrame, staging: Staging, block_bytes: int = BLOCK_BYTES
     return heads.drop("n_blocks").join(ends, "uid")
 
 
-def exact_duplicates(docs: DataFrame, staging: Staging | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``doc_id, keep_id, group_size, kept, text_sha256`` for every row of ``docs`` (doc_id, text)."""
+def exact_duplicates(docs: DataFrame, staging: Staging | None = None, block_bytes: int = BLOCK_BYTES, key: str | None = None) -> DataFrame:
+    """``doc_id, keep_id, group_size, kept, text_sha256`` for every row of ``docs`` (doc_id, text), and ``key``, a unique long of each row, if given."""
     staging = staging or Staging(docs.sparkSession)
-    named = staging.table(identities(docs, staging, block_bytes), "identities")
+    named = staging.table(identities(docs, staging, block_bytes, key), "identities")
     several = staging.table(
         named.groupBy("level", "name").agg(F.max(F.struct("doc_id", "uid")).alias("keep"), F.count("*").alias("n")).where("n > 1"), "groups"
     )
@@ -129,6 +130,7 @@ def exact_duplicates(docs: DataFrame, staging: Staging | None = None, block_byte
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
         (F.col("n").isNull() | (F.col("keep.uid") == F.col("uid"))).alias("kept"),
         "text_sha256",
+        *([F.col("uid").alias(key)] if key else []),
     )
 
 

@@ -46,3 +46,29 @@ def test_stages_against_brute_force(spark, sf_dir, tmp_path):
     ran = corpus_pipeline.run(spark, sf_dir).collect()
     strip = lambda rows: sorted((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in rows)
     assert strip(ran) == strip(seen["packing"])
+
+
+def test_stages_keep_rows_with_null_and_repeated_ids(spark, sf_dir, table):
+    def run(stage, rows):
+        return sorted(((r["doc_id"], r["text"]) for r in stage(spark, table(rows), sf_dir).collect()), key=str)
+
+    words = lambda k: " ".join(f"word{'abcdefghij'[(i * k) % 10]} thing{'klmnopqrst'[(i + k) % 10]}" for i in range(1, 30))
+    one, two, three = words(3), words(7), words(9)
+    near = f"{one} and"
+    rows = [(None, one), (None, two), (5, one), (5, one), (6, three), (6, two), (7, three), (7, three), (6, None), (8, "12 34")]
+    lang = run(corpus_pipeline.language_id, rows)
+    assert lang == sorted([(i, t) for i, t in rows if t and t != "12 34"], key=str)
+    exact = run(corpus_pipeline.exact_dedup, rows)
+    assert exact == sorted([(5, one), (6, two), (7, three), (6, None), (8, "12 34")], key=str)
+    assert run(corpus_pipeline.exact_dedup, [(None, one), (None, one), (None, two)]) == sorted([(None, one), (None, two)], key=str)
+    jaccard = run(corpus_pipeline.ngram_jaccard, [(None, two), (5, one), (5, near), (6, three), (6, one), (4, None), (None, "")])
+    assert jaccard == sorted([(None, two), (5, one), (6, three), (4, None), (None, "")], key=str) or jaccard == sorted([(None, two), (5, near), (6, three), (4, None), (None, "")], key=str)
+    mixed = run(corpus_pipeline.source_mixing, [(None, two), (None, two)])
+    assert len(mixed) in (0, 2)
+    packed = corpus_pipeline.packing(spark, table([(None, one), (5, two), (5, two)]), sf_dir).select("doc_id").collect()
+    assert sorted(str(r["doc_id"]) for r in packed) == ["5", "5", "None"]
+
+
+def test_stages_take_an_empty_table(spark, sf_dir, table):
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, table([]), sf_dir).count() == 0

@@ -19,22 +19,44 @@ MOST_CHARS = 300
 ENDS = ".!؟\n"
 
 
-def incremental_ingest(stream: DataFrame, snapshot: str, keys: list[str], checkpoint: str, changed: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+def last_versions(batch: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """One row per key: the last in ``order``, of equals the one with the largest hash. Without ``order`` two texts of one key are an error."""
+    text_hash = F.coalesce("content_hash", F.lit(""))
+    row = F.max_by(F.struct(*batch.columns), F.struct(*(order or []), text_hash))
+    if not order:
+        two = F.raise_error(F.lit(f"two versions of one key ({', '.join(keys)}) in a batch; name the columns that order them"))
+        row = F.when(F.min(text_hash) == F.max(text_hash), row).otherwise(two.cast(batch.schema))
+    return batch.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(row.alias("_p")).select("_p.*")
+
+
+def incremental_ingest(
+    stream: DataFrame, snapshot: str, keys: list[str], checkpoint: str, changed: Callable[[DataFrame, int], None] | None = None, order: list[str] | None = None
+) -> StreamingQuery:
     """Merge each batch of pages into a snapshot table by content hash; ``changed`` gets the new and updated rows, once each.
 
-    A batch that is repeated after a failure finds its rows unchanged.
+    Of the versions of a page the last in ``order`` (columns, such as a file and
+    a line, or a time) stays, in a batch and against the table, so the table does
+    not depend on how the stream is cut. Without ``order`` a later batch wins, and
+    two texts of one page in a batch are an error. A batch that is repeated after
+    a failure finds its rows unchanged.
     """
 
     def merge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        hashed = batch.withColumn("content_hash", T.content_hash(F.col("text"))).dropDuplicates(keys)
+        hashed = batch.withColumn("content_hash", T.content_hash(F.col("text")))
+        hashed = last_versions(hashed, keys, order)
         try:
             stored = read_snapshot_table(spark, snapshot)
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             stored = hashed.limit(0)
-        merged = merge_documents(hashed, stored, keys).persist()
+        if order:
+            s, t = hashed.alias("s"), stored.alias("t")
+            same = [F.col(f"s.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]
+            older = F.struct(*[F.col(f"s.{c}") for c in order]) < F.struct(*[F.col(f"t.{c}") for c in order])
+            hashed = s.join(t, [*same, older], "left_anti")
+        merged = merge_documents(hashed, stored, keys, refresh=order).persist()
         try:
             if changed:
                 changed(merged.where(F.col("_action").isin("new", "updated")), epoch)

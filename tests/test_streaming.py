@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from corpusflow.sources.sinks import read_snapshot_table
@@ -21,6 +22,25 @@ def test_incremental_ingest_skips_unchanged_pages(spark, tmp_path):
     assert sorted((r["page_id"], r["text"]) for r in read_snapshot_table(spark, str(tmp_path / "table")).collect()) == [(1, "a"), (2, "c"), (3, "d")]
 
 
+def test_last_version_of_a_page_stays_however_the_stream_is_cut(spark, tmp_path):
+    rows = [(1, "old", 1), (1, "newest", 5), (1, "middle", 3), (2, "only", 2), (3, "b", 4), (3, "a", 9), (2, "only", 8), (2, "between", 6)]
+    for many in (1, len(rows)):
+        src, at = str(tmp_path / f"in{many}"), tmp_path / f"t{many}"
+        for i in range(0, len(rows), len(rows) // many):
+            spark.createDataFrame(rows[i : i + len(rows) // many], "page_id long, text string, line long").coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema("page_id long, text string, line long").option("maxFilesPerTrigger", 1).parquet(src)
+        J.incremental_ingest(stream, str(at), ["page_id"], f"{at}-check", order=["line"]).awaitTermination()
+        got = read_snapshot_table(spark, str(at)).collect()
+        assert sorted((r["page_id"], r["text"], r["line"]) for r in got) == [(1, "newest", 5), (2, "only", 8), (3, "a", 9)]
+
+
+def test_two_versions_without_an_order_are_an_error(spark):
+    df = lambda rows: spark.createDataFrame(rows, "page_id long, content_hash string")
+    assert J.last_versions(df([(1, "a"), (1, "a"), (None, "b")]), ["page_id"]).count() == 2
+    with pytest.raises(Exception, match="two versions"):
+        J.last_versions(df([(1, "a"), (1, "b")]), ["page_id"]).collect()
+
+
 def test_cut_segments():
     assert J.cut_segments("one. two! three") == (["one.", "two!"], " three")
     assert J.cut_segments("word " * 10, 12)[0][0] == "word word"

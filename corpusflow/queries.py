@@ -347,10 +347,9 @@ def grounding_gate(spark, d):
 @query()
 def retry_rewrite(spark, d):
     c, asks = _vectors(spark, d)
-    few = c.where("chunk_id % 3 <> 0")
-    hits = R.retrieve(few, asks)
+    badly = asks.withColumn("embedding", F.when(F.col("query_id") % 2 == 0, F.reverse("embedding")).otherwise(F.col("embedding")))  # these find nothing close
     again = asks.select("query_id", F.lit("rewritten").alias("rewritten"), F.transform("embedding", lambda x: x + F.lit(0.01).cast("float")).alias("embedding"))
-    return R.retry_with_rewrite(hits, again, few, least=0.6).withColumn("score", F.round("score", 6))
+    return R.retry_with_rewrite(R.retrieve(c, badly), again, c, least=0.6).withColumn("score", F.round("score", 6))
 
 
 @query()

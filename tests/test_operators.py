@@ -145,3 +145,13 @@ def test_story_rotation(spark):
     got = {r["story_date"]: (r["slug"], r["curated"]) for r in O.story_of_day(days, overrides, roster).collect()}
     index = int(hashlib.sha256(b"2026-08-12").hexdigest(), 16) % 7
     assert got["2026-08-12"] == (["c0", "c1", "c2", "c3", "c4", "c5", "c7"][index], False) and index == 3 and not got["2026-08-13"][1]
+
+
+def test_retry_searches_all_chunks(spark, sf_dir):
+    from corpusflow.queries import QUERIES
+
+    rows = QUERIES["retry_rewrite"](spark, sf_dir).collect()
+    asked = {r["vec_id"] for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id % 25 = 0").collect()}
+    assert {r["query_id"] for r in rows} == asked and any(q % 3 == 0 for q in asked)
+    assert all(r["chunk_id"] == r["query_id"] for r in rows if r["rank"] == 1)
+    assert {r["retried"] for r in rows} == {True, False}

@@ -48,6 +48,8 @@ class WordIds(dict):
 
     The vocabulary is of words with ends: its pre-tokenizer never joins
     characters across white space, so a text's ids are those of its chunks.
+    Added tokens, such as ``<|endoftext|>``, are found before any pre-tokenizer
+    runs: a chunk that may hold one goes to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -62,6 +64,9 @@ class WordIds(dict):
         tokens = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(tokens.values()) + 1, dtype=bool)
         self.ends[[i for t, i in tokens.items() if t.endswith("</w>")]] = True
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(c.isspace() for t in self.added for c in t):
+            raise ValueError("an added token holds white space, at which texts are cut")
 
     def encode(self, chunks: list[str]) -> list[bytes]:
         out = []
@@ -82,7 +87,9 @@ class WordIds(dict):
     def __missing__(self, chunk: str) -> bytes:
         word = chunk.strip(MARKS)
         head = chunk[: chunk.find(word)] if word else ""
-        if word and word.isalpha() and "'" not in head and not any(c in UNEVEN for c in word) and (word != chunk or word != word.lower()):
+        if any(t in chunk.lower() for t in self.added):
+            found = self.encode([chunk])[0]
+        elif word and word.isalpha() and "'" not in head and not any(c in UNEVEN for c in word) and (word != chunk or word != word.lower()):
             found = self[head] + self[word.lower()] + self[chunk[len(head) + len(word) :]]  # the pre-tokenizer cuts here
         else:
             found = self.encode([chunk])[0] if chunk else b""
@@ -114,7 +121,7 @@ class WordIds(dict):
         if other and all(c.isalnum() and c not in UNEVEN for c in other):
             self.plain.update(other)
             other = None
-        if not other and not any(pair in text for pair in ("..", ",,", ".,", ",.")):
+        if not other and not any(t.isalnum() for t in self.added) and not any(pair in text for pair in ("..", ",,", ".,", ",.")):
             text = text.lower().replace(".", " .").replace(",", " ,")
         return text.split(" ")
 
@@ -236,7 +243,7 @@ def pack(pieces: DataFrame, staging: Staging, capacity: int = CAPACITY) -> DataF
         "before",
     )
     own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = salted.withColumn("own", F.row_number().over(own) - 1).join(before, ["length", "salt"])
+    ranked = salted.withColumn("own", F.row_number().over(own) - 1).join(before.hint("merge"), ["length", "salt"])  # grows with the partitions; both sides are dealt alike
     columns = [c.split()[0] for c in PIECES.split(", ")]
     ranked = ranked.select(*columns, (F.col("own") + F.col("before")).alias("rank"))
 

@@ -1,7 +1,9 @@
 import math
+import random
 import struct
 import zlib
 from collections import Counter
+from functools import cache
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -9,10 +11,15 @@ from hypothesis import strategies as st
 from corpusflow.llm import packing as p
 
 
-def ids_of(text):
+@cache
+def _tokenizer():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(p.tokenizer_path()).encode(text or "", add_special_tokens=False).ids + [0]
+    return Tokenizer.from_file(p.tokenizer_path())
+
+
+def ids_of(text):
+    return _tokenizer().encode(text or "", add_special_tokens=False).ids + [0]
 
 
 def test_pieces_are_the_tokenizers_ids_and_sequences_are_gapless(spark, table):
@@ -36,6 +43,23 @@ def test_pieces_are_the_tokenizers_ids_and_sequences_are_gapless(spark, table):
     assert len(by) == math.ceil(sum(r["length"] for r in got) / p.CAPACITY)
 
 
+def test_added_tokens_are_whole_wherever_they_stand():
+    words = p.WordIds(p.tokenizer_path())
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|", "endoftext", "'s", "'", ".", ",", "word", "É", "\u0130", "\u03a3", " ", "\n", "\t", "1", "<|", "|>"]
+    rng = random.Random(3)
+    texts = ["<|endoftext|>", "<|endoftext|><|endoftext|>", "a<|endoftext|>b", "'<|startoftext|>.", " x <|endoftext|> y", "<|endoftext|>'s"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    chunks = [words.chunks(t) for t in texts]
+    words.learn(chunks)
+    for text, own in zip(texts, chunks, strict=True):
+        assert list(struct.unpack(f"<{len(raw := b''.join(map(words.__getitem__, own))) // 4}I", raw)) == ids_of(text)[:-1], text
+
+
+def test_null_and_repeated_ids_are_packed_each(spark, table):
+    got = p.pack_documents(table([(None, "a b"), (None, "a b"), (3, None)])).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == ["3", "None", "None"] and len({(r["sequence_id"], r["offset"]) for r in got}) == 3
+
+
 def test_sequences_hold_the_ids(spark, table):
     docs = table([(1, "one two three"), (2, "four five"), (3, None)])
     from corpusflow.plans.staging import Staging

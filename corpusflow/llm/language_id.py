@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpusflow.llm.common import documents, slices, utf8
 
@@ -145,8 +146,14 @@ def train(labelled: DataFrame, training_rows: int = TRAINING_ROWS, buckets: int
     return langs, np.log(seen / max(1, seen.sum())), np.log(counts / counts.sum(axis=0, keepdims=True))
 
 
-def predict(docs: DataFrame, langs: list[str], prior: np.ndarray, logs: np.ndarray) -> DataFrame:
-    """``doc_id, lang_pred, score`` of ``docs`` (doc_id, text); the score is the posterior of the language."""
+def predict(docs: DataFrame, langs: list[str], prior: np.ndarray, logs: np.ndarray, carry: list[str] | None = None) -> DataFrame:
+    """``doc_id, lang_pred, score`` of ``docs`` (doc_id, text); the score is the posterior of the language.
+
+    Columns named in ``carry`` (none of these three) come along, so that a filter needs no join.
+    """
+    carry = carry or []
+    given = docs.select(F.col("doc_id").cast("long"), "text", *[c for c in carry if c != "text"])
+    schema = StructType([*StructType.fromDDL(SCORED).fields, *[given.schema[c] for c in carry]])
     model = docs.sparkSession.sparkContext.broadcast((langs, prior, np.ascontiguousarray(logs.T, dtype=np.float32)))
     buckets = logs.shape[0]
 
@@ -173,9 +180,10 @@ def predict(docs: DataFrame, langs: list[str], prior: np.ndarray, logs: np.ndarr
                 best = total.argmax(axis=1)
                 score = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
                 best[letters == 0], score[letters == 0] = len(names), 0.0
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(labels[best], pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+            columns = [batch.column("doc_id"), pa.array(labels[best], pa.string()), pa.array(score), *map(batch.column, carry)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score", *carry])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCORED)
+    return given.mapInArrow(run, schema)
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:

@@ -1,4 +1,5 @@
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 
 import corpus_pipeline
 from corpusflow.llm.packing import CAPACITY
@@ -72,3 +73,22 @@ def test_stages_keep_rows_with_null_and_repeated_ids(spark, sf_dir, table):
 def test_stages_take_an_empty_table(spark, sf_dir, table):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, table([]), sf_dir).count() == 0
+
+
+def test_stages_take_extra_columns_with_names_of_their_own(spark, sf_dir):
+    fields = "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, score double, kept boolean, prob double, topic string, _row_key long, uid long, name string, component_id long, n_tokens long"
+    text = "these are some plain words of english text that were written for a test"
+    rows = [(i, f"{text} {i}" if i else text, "en", "s", 1, "x", 0.1, False, 0.2, "t", 5, 6, "n", 7, 8) for i in range(3)]
+    docs = spark.createDataFrame(rows, fields)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, sf_dir)
+        assert got.columns == docs.columns
+        assert {tuple(r) for r in got.collect()} <= set(rows), name
+    assert corpus_pipeline.packing(spark, docs, sf_dir).count() == 3
+
+
+def test_two_runs_at_once_do_not_touch_each_others_tables(spark, sf_dir):
+    with ThreadPoolExecutor(2) as pool:
+        runs = [pool.submit(lambda: sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, sf_dir).collect())) for _ in range(2)]
+        one, two = (r.result() for r in runs)
+    assert one and one == two

@@ -1,17 +1,23 @@
 """Line deduplication by pairwise alignment.
 
-Documents that share a line hash overlap. A shared line pairs each document
-that has it with the first document that has it, so a line costs one pair a
-document at most, however common it is. The first document may hold the lines of
+Rows with the same lines are copies: the later ones lose all lines to the first
+and take no other part. Of the texts that differ any two that share a rare line,
+one that at most ``RARE`` of them hold, overlap and are aligned. A line that
+more hold pairs each of them with its first holder, so it costs one pair a text
+however common it is. That first holder may have the lines of
 a block in another order, or only a part of it too short to go, so runs of lines
-pair as well, each with its own first document: runs of 2, 4, 8, ... lines, from
+pair by the same two rules: runs of 2, 4, 8, ... lines, from
 each line on and back to each line the shortest run of ``min_chars`` characters,
-and the second, third, ... occurrence of a line in one document. Runs are made of
+and the second, third, ... occurrence of a line in one text. Runs are made of
 shared lines only, with the blank lines between them. The lines of a pair
 are aligned by patience diff (anchors are lines that occur once in both, the
 rarest common line where there is none), and aligned common blocks are deleted
 from the later document, the one with the larger doc_id.
 
+So the result is that of aligning all overlapping pairs where no line or run of
+a pair is common to more than ``RARE`` texts; beyond, a block stays only if every holder
+that it was paired with, by any of its lines and runs, has it in an order that crosses a longer aligned part.
+
 A first document of a line has no earlier one to lose it to, so of every line
 one copy at least is left. All alignments are of the documents as given.
 
@@ -36,6 +42,8 @@ from corpusflow.llm.common import documents, groups, shuffle_partitions
 from corpusflow.plans.staging import Staging
 
 MIN_CHARS = 20
+#: Texts that hold a rare line, at most: each is paired with all others.
+RARE = 8
 BLANK = 0
 
 
@@ -92,18 +100,24 @@ def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def line_table(docs: DataFrame, staging: Staging) -> DataFrame:
-    """``uid, doc_id, text, hashes, chars`` of each row; the hash of a blank line is 0."""
+    """``uid, doc_id, text, hashes, chars, lines_hash`` of each row; the hash of a blank line is 0, that of all lines has 128 bits."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.split(text, "\n")
     stripped = F.transform(lines, lambda x: F.trim(x, F.lit(" \t\r")))
-    return staging.table(
-        docs.select(
-            F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), text.alias("text"),
-            F.transform(stripped, lambda x: F.when(x == "", F.lit(BLANK)).otherwise(F.xxhash64(x))).alias("hashes"),
-            F.transform(stripped, F.length).alias("chars"),
-        ),
-        "lines",
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), text.alias("text"),
+        F.transform(stripped, lambda x: F.when(x == "", F.lit(BLANK)).otherwise(F.xxhash64(x))).alias("hashes"),
+        F.transform(stripped, F.length).alias("chars"),
     )
+    return staging.table(rows.withColumn("lines_hash", F.struct(F.xxhash64("hashes").alias("one"), F.xxhash64(F.lit(1), "hashes").alias("two"))), "lines")
+
+
+def copies(table: DataFrame, staging: Staging) -> DataFrame:
+    """``uid, first_uid, first_id``: rows whose lines an earlier row has all, with the first such row."""
+    rows = table.select("uid", "lines_hash", F.struct("doc_id", "uid").alias("place"))
+    several = staging.table(rows.groupBy("lines_hash").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").drop("last"), "copied")
+    found = rows.join(several, "lines_hash").where(F.col("uid") != F.col("first.uid"))
+    return staging.table(found.select("uid", F.col("first.uid").alias("first_uid"), F.col("first.doc_id").alias("first_id")), "copies")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -161,6 +175,10 @@ def run_table(table: DataFrame, shared: DataFrame, staging: Staging, min_chars:
             column = {c: rows.column(c).to_numpy() for c in ("uid", "rank", "line", "hash", "chars")}
             with np.errstate(over="ignore"):
                 i, key = _runs(column["uid"], column["rank"], column["line"], column["hash"].view(np.uint64), column["chars"], min_chars)
+            order = np.lexsort((key, column["uid"][i]))  # each run of a text once
+            i, key = i[order], key[order]
+            new = np.concatenate(([True], (column["uid"][i][1:] != column["uid"][i][:-1]) | (key[1:] != key[:-1])))[: len(i)]
+            i, key = i[new], key[new]
             out = pa.table([pa.array(column["uid"][i]), rows.column("doc_id").take(pa.array(i)), pa.array(key.view(np.int64))], names=["uid", "doc_id", "hash"])
             yield from out.combine_chunks().to_batches(max_chunksize=20_000)
 
@@ -183,23 +201,35 @@ def run_table(table: DataFrame, shared: DataFrame, staging: Staging, min_chars:
     return runs.select("uid", F.struct("doc_id", "uid").alias("place"), "hash")
 
 
-def first_holders(keys: DataFrame, staging: Staging) -> DataFrame:
-    """``hash, first_uid``: the first document of each hash that several documents have."""
-    shared = keys.groupBy("hash").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last")
-    return staging.table(shared.select("hash", F.col("first.uid").alias("first_uid")), "firsts")
+def holders(keys: DataFrame, staging: Staging) -> DataFrame:
+    """``hash, first_uid, n`` of each hash that several of ``keys`` (uid, place, hash, one row each) have."""
+    shared = keys.groupBy("hash").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
+    return staging.table(shared.select("hash", F.col("first.uid").alias("first_uid"), "n"), "holders")
 
 
-def overlapping(table: DataFrame, staging: Staging, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Pairs ``uid, first_uid``: a document and the first one that has some line, or run of lines, of it."""
+def meetings(keys: DataFrame, shared: DataFrame, staging: Staging, rare: int) -> DataFrame:
+    """``uid, first_uid``: of a hash that at most ``rare`` texts have, each with all before it; of others each with the first."""
+    held = staging.table(keys.join(shared, "hash"), "held")
+    few = held.where(F.col("n") <= rare).groupBy("hash").agg(F.array_sort(F.collect_list("place")).alias("p"))  # at most ``rare`` in a list
+    each = few.select(F.posexplode("p").alias("k", "later"), "p").select(F.col("later.uid").alias("uid"), F.explode(F.slice("p", 1, F.col("k"))).alias("earlier"))
+    many = held.where((F.col("n") > rare) & (F.col("uid") != F.col("first_uid")))
+    return each.select("uid", F.col("earlier.uid").alias("first_uid")).unionByName(many.select("uid", "first_uid"))
+
+
+def overlapping(table: DataFrame, staging: Staging, min_chars: int = MIN_CHARS, rare: int = RARE) -> DataFrame:
+    """Pairs ``uid, first_uid``: a text and an earlier one that shares a line, or a run of lines, with it. ``table`` has no copies."""
     lines = table.select("uid", F.struct("doc_id", "uid").alias("place"), F.explode(F.array_distinct("hashes")).alias("hash")).where(F.col("hash") != BLANK)
-    firsts = first_holders(lines, staging)
-    runs = run_table(table, firsts, staging, min_chars)
-    pairs = [k.select("uid", "hash").join(f, "hash").where("uid <> first_uid").select("uid", "first_uid") for k, f in ((lines, firsts), (runs, first_holders(runs, staging)))]
-    return staging.table(pairs[0].unionByName(pairs[1]).distinct(), "pairs")
+    shared = holders(lines, staging)
+    runs = run_table(table, shared, staging, min_chars)
+    pairs = meetings(lines, shared, staging, rare).unionByName(meetings(runs, holders(runs, staging), staging, rare))
+    return staging.table(pairs.distinct(), "pairs")
+
 
+def removals(table: DataFrame, pairs: DataFrame, copied: DataFrame, staging: Staging, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``uid, keep, n_removed, from_ids``: the line ranges [start, stop) that stay, of documents that lose lines.
 
-def removals(table: DataFrame, pairs: DataFrame, staging: Staging, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``uid, keep, n_removed, from_ids``: the line ranges [start, stop) that stay, of documents that lose lines."""
+    A row of ``copied`` is one block with its first copy, if it is long enough.
+    """
     own = table.select("uid", "hashes", "chars")
     other = table.select(F.col("uid").alias("first_uid"), F.col("doc_id").alias("first_id"), F.col("hashes").alias("first_hashes"))
     joined = pairs.join(other, "first_uid").select("uid", "first_id", "first_hashes")
@@ -218,7 +248,10 @@ def removals(table: DataFrame, pairs: DataFrame, staging: Staging, min_chars: in
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["uid", "first_id", "start", "stop", "n_lines"])
 
-    found = staging.table(joined.mapInArrow(blocks, "uid long, first_id long, start int, stop int, n_lines int"), "blocks")
+    whole = table.join(copied.hint("merge"), "uid").where(F.aggregate("chars", F.lit(0), lambda acc, x: acc + x) >= min_chars)
+    whole = whole.select("uid", "first_id", F.lit(0).alias("start"), F.size("hashes").alias("stop"), F.size("hashes").alias("n_lines"))
+    aligned = joined.mapInArrow(blocks, "uid long, first_id long, start int, stop int, n_lines int")
+    found = staging.table(aligned.unionByName(whole), "blocks")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, ["uid"]):
@@ -244,11 +277,13 @@ def removals(table: DataFrame, pairs: DataFrame, staging: Staging, min_chars: in
     return dealt.mapInArrow(merge, "uid long, keep array<struct<start:int,stop:int>>, n_removed int, from_ids array<long>")
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, staging: Staging | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, staging: Staging | None = None, rare: int = RARE) -> DataFrame:
     """``doc_id, text, n_lines, n_removed, from_ids``: each row's text without blocks that earlier documents have."""
     staging = staging or Staging(docs.sparkSession)
     table = line_table(docs, staging)
-    cut = staging.table(removals(table, overlapping(table, staging, min_chars), staging, min_chars), "removals")
+    copied = copies(table, staging)
+    pairs = overlapping(table.join(copied.select("uid").hint("merge"), "uid", "left_anti"), staging, min_chars, rare)
+    cut = staging.table(removals(table, pairs, copied, staging, min_chars), "removals")
     lines = F.split("text", "\n")
     left = F.array_join(F.flatten(F.transform("keep", lambda r: F.slice(lines, r["start"] + 1, r["stop"] - r["start"]))), "\n")
     return table.select("uid", "doc_id", "text", F.size("hashes").alias("n_lines")).join(cut.hint("merge"), "uid", "left").select(

@@ -53,8 +53,26 @@ def every_pair(rows, min_chars=d.MIN_CHARS):
     return out
 
 
-def left_of(spark, table, rows):
-    return {r["doc_id"]: [x for x in r["text"].split("\n") if x.strip(" \t\r")] for r in d.dedup_lines(table(rows).repartition(3)).collect()}
+def left_of(spark, table, rows, rare=d.RARE):
+    return {r["doc_id"]: [x for x in r["text"].split("\n") if x.strip(" \t\r")] for r in d.dedup_lines(table(rows).repartition(3), rare=rare).collect()}
+
+
+def test_rare_lines_pair_all_that_hold_them(spark, table):
+    """Where no line is common to more texts than a rare one is, the result is that of aligning every pair."""
+    for seed in range(3):
+        rng = random.Random(seed)
+        lines = [f"w{i}" + rng.choice(["", " and more", " and a good deal more"]) for i in range(90) for _ in range(6)]
+        rng.shuffle(lines)
+        rows = [(i, "\n".join(lines[i * 9 : i * 9 + 9] + [""] * rng.randint(0, 2))) for i in range(60)]
+        rows += [(100 + i, rng.choice(rows)[1]) for i in range(20)]
+        rows += [(200 + i, "\n".join(rng.sample(rng.choice(rows)[1].split("\n"), 3))) for i in range(10)]
+        assert left_of(spark, table, rows, rare=100) == every_pair(rows)
+
+
+def test_null_ids_and_copies_of_copies(spark, table):
+    rows = [(None, f"{A}\n{B}"), (None, f"{A}\n{B}"), (5, f"{A} \n{B}"), (6, f"{A}\n\n{B}"), (7, "short"), (8, "short")]
+    got = d.dedup_lines(table(rows)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == [(0, ""), (0, f"{A}\n{B}"), (5, ""), (6, ""), (7, "short"), (8, "short")]
 
 
 def test_blocks_meet_a_holder_in_their_order_and_length(spark, table):

@@ -3,7 +3,9 @@
 A text is normalised (case, copyright lines, equivalent spellings, punctuation
 and white space), and the digest of all of it is looked up among the digests of
 known licences, which go through the same normalisation. The known texts are a
-fixed table of some dozen rows, so their side of the hash join is broadcast.
+fixed table: the files in ``licenses`` beside this module (each also without what follows its end
+mark, such as instructions to apply it), and the short texts and notices below. They are
+some dozen rows, so their side of the hash join is broadcast.
 
 Defined cases: null and empty texts, and texts of copyright lines and
 punctuation only, have the digest of the empty text, which is no licence's;
@@ -14,13 +16,17 @@ read, whatever their names.
 
 from __future__ import annotations
 
+import re
+from functools import cache
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.llm.common import documents
 
 #: Licence texts and customary notices, without their copyright lines.
-KNOWN = {
+SHORT = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -60,6 +66,23 @@ This program is distributed in the hope that it will be useful, but WITHOUT ANY
 
 You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
 }
+#: Fixed value: what follows this line of a licence is no part of it.
+END = re.compile(r"END OF (?:THE )?TERMS AND CONDITIONS")
+
+
+@cache
+def known_licenses() -> list[tuple[str, str]]:
+    """``(license id, text)`` of all known texts; some licences have several."""
+    out = list(SHORT.items())
+    for file in sorted(resources.files(__package__).joinpath("licenses").iterdir(), key=lambda f: f.name):
+        if file.name.endswith(".txt"):
+            name, text = file.name.removesuffix(".txt"), file.read_text(encoding="utf-8")
+            out.append((name, text))
+            if end := END.search(text):
+                out += [(name, text[: end.start()]), (name, text[: end.end()])]
+    return out
+
+
 #: Spellings that count as one.
 SPELLINGS = [("licence", "license"), ("sub-license", "sublicense"), ("non-infringement", "noninfringement"), ("non-commercial", "noncommercial"), ("acknowledgement", "acknowledgment"), ("merchantibility", "merchantability"), ("organisation", "organization"), ("http://", "https://"), ("&", " and ")]
 #: A line that states a copyright by sign, year or formula; a wrapped "copyright notice" is none.
@@ -74,10 +97,10 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
 
 
-def scan(docs: DataFrame, known: dict[str, str] | None = None) -> DataFrame:
-    """``doc_id, license_id, is_license, digest`` of ``docs`` (doc_id, text) against ``known`` texts by name."""
+def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFrame:
+    """``doc_id, license_id, is_license, digest`` of ``docs`` (doc_id, text) against ``known`` (license id, text)."""
     digest = lambda text: F.sha2(canonical(text).cast("binary"), 256)
-    table = docs.sparkSession.createDataFrame(list((KNOWN if known is None else known).items()), "license_id string, known string")
+    table = docs.sparkSession.createDataFrame(known_licenses() if known is None else known, "license_id string, known string")
     table = table.where(canonical(F.col("known")) != "").groupBy(digest(F.col("known")).alias("digest")).agg(F.min("license_id").alias("license_id"))
     found = docs.select("doc_id", digest(F.col("text")).alias("digest")).join(F.broadcast(table), "digest", "left")
     return found.select("doc_id", "license_id", F.col("license_id").isNotNull().alias("is_license"), "digest")
@@ -94,7 +117,7 @@ def _op6_sql() -> str:
         for old, new in SPELLINGS:
             out = f"replace({out}, {quote(old)}, {quote(new)})"
         return f"trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
-    rows = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in KNOWN.items())
+    rows = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in known_licenses())
     return f"""
 WITH k AS (SELECT sha256({canon("known")}) AS digest, min(license_id) AS license_id FROM (VALUES {rows}) v(license_id, known) GROUP BY 1),
 d AS (SELECT doc_id, sha256({canon("text")}) AS digest FROM documents)

@@ -1,17 +1,14 @@
 """Token-bounded chunks with overlap, as a fold over segment lengths.
 
-Sentences and their lengths are native; the fold itself, the one sequential step, runs over
-arrays in Arrow batches and joins each chunk's segments. The token counter is the number of words.
+All of it is native: the fold, the one sequential step, is a higher-order aggregate over
+the segments' lengths, and chunks are slices of the segments. The token counter is the number of words.
+A document is one row and one value; its chunks need no shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType
 
 from corpusflow.functions import text as T
 
@@ -34,23 +31,40 @@ def segments(text: Column, most: int = MAX_TOKENS) -> Column:
     return F.flatten(F.transform(T.sentences(text), lambda s: F.when(F.size(words(s)) > most, hard_split(s, most)).otherwise(F.array(s))))
 
 
-def fold(tokens: list[int], most: int, overlap: int, least: int) -> list[tuple[int, int, int, int, int]]:
-    """Chunks ``(lo, hi, tok, lo2, hi2)`` over 1-based segments; ``lo2`` to ``hi2`` is a short end that was merged in, 0 if none."""
-    out, lo, held = [], 1, 0
-    for i, t in enumerate(tokens, 1):
-        if held and held + t > most:
-            out.append((lo, i - 1, held, 0, 0))
-            start, held = i - 1, tokens[i - 2]  # the last segment is repeated always, earlier ones while they fit
-            while start > lo and held + tokens[start - 2] <= overlap:
-                start -= 1
-                held += tokens[start - 1]
-            lo = start
-        held += t
-    if tokens and out and held < least:
-        out[-1] = (*out[-1][:2], out[-1][2] + held, lo, len(tokens))
-    elif tokens:
-        out.append((lo, len(tokens), held, 0, 0))
-    return out
+def fold(tokens: Column, most: int, overlap: int, least: int) -> Column:
+    """Chunks ``lo, hi, tok, lo2, hi2`` over 1-based segments of ``tokens`` words each; ``lo2`` to ``hi2`` is a short end that was merged in, 0 if none.
+
+    One pass that only looks back when a chunk is full: at most ``overlap`` segments,
+    as each has a word at least. ``tokens`` must be a plain column, as it is read at places.
+    """
+    chunk = lambda lo, hi, tok, lo2=F.lit(0), hi2=F.lit(0): F.struct(lo.alias("lo"), hi.alias("hi"), tok.alias("tok"), lo2.alias("lo2"), hi2.alias("hi2"))
+    state = lambda i, lo, held, out: F.struct(i.alias("i"), lo.alias("lo"), held.alias("held"), out.alias("out"))
+    none = F.array().cast("array<struct<lo:int,hi:int,tok:int,lo2:int,hi2:int>>")
+
+    def carried(acc: Column) -> Column:
+        """The last segment, always, and earlier ones while they fit: how many more, and all their words."""
+        first = F.greatest(acc["lo"], acc["i"] - overlap)
+        earlier = F.reverse(F.slice(tokens, first, acc["i"] - first))
+        begin = F.struct(F.element_at(tokens, acc["i"]).alias("held"), F.lit(0).alias("n"), F.lit(True).alias("open"))
+        more = lambda a, t: F.when(
+            a["open"] & (a["held"] + t <= overlap), F.struct((a["held"] + t).alias("held"), (a["n"] + 1).alias("n"), F.lit(True).alias("open"))
+        ).otherwise(F.struct(a["held"].alias("held"), a["n"].alias("n"), F.lit(False).alias("open")))
+        return F.aggregate(earlier, begin, more)
+
+    def step(acc: Column, t: Column) -> Column:
+        full = (acc["held"] > 0) & (acc["held"] + t > most)
+        flushed = F.transform(
+            F.array(carried(acc)), lambda c: state(acc["i"] + 1, acc["i"] - c["n"], c["held"] + t, F.concat(acc["out"], F.array(chunk(acc["lo"], acc["i"], acc["held"]))))
+        )[0]
+        return F.when(full, flushed).otherwise(state(acc["i"] + 1, acc["lo"], acc["held"] + t, acc["out"]))
+
+    def finish(acc: Column) -> Column:
+        last, n = F.try_element_at(acc["out"], F.lit(-1)), F.size(acc["out"])
+        short = (n > 0) & (acc["held"] < least)
+        merged = F.concat(F.slice(acc["out"], 1, F.greatest(n - 1, F.lit(0))), F.array(chunk(last["lo"], last["hi"], last["tok"] + acc["held"], acc["lo"], acc["i"])))
+        return F.when(acc["i"] == 0, none).when(short, merged).otherwise(F.concat(acc["out"], F.array(chunk(acc["lo"], acc["i"], acc["held"]))))
+
+    return F.aggregate(tokens, state(F.lit(0), F.lit(1), F.lit(0), none), step, finish)
 
 
 def chunk_text(df: DataFrame, text: str = "text", most: int = MAX_TOKENS, overlap: int = OVERLAP, least: int = MIN_TOKENS) -> DataFrame:
@@ -58,18 +72,8 @@ def chunk_text(df: DataFrame, text: str = "text", most: int = MAX_TOKENS, overla
     keep = [c for c in df.columns if c != text]
     split = df.select(*keep, segments(F.col(text), most).alias("_segments"))
     sized = split.withColumn("_tokens", F.transform("_segments", lambda s: F.size(words(s))))
-    schema = df.select(*keep).schema.add("chunk_index", IntegerType()).add("chunk_text", StringType()).add("token_count", IntegerType())
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows, index, texts, counts = [], [], [], []
-            for at, (parts, tokens) in enumerate(zip(frame["_segments"], frame["_tokens"], strict=True)):
-                for k, (lo, hi, tok, lo2, hi2) in enumerate(fold([int(t) for t in tokens], most, overlap, least) if tokens is not None else []):
-                    rows.append(at)
-                    index.append(k)
-                    texts.append(" ".join([*parts[lo - 1 : hi], *(parts[lo2 - 1 : hi2] if lo2 else [])]))
-                    counts.append(tok)
-            if rows:
-                yield frame[keep].iloc[rows].assign(chunk_index=index, chunk_text=texts, token_count=counts)
-
-    return sized.mapInPandas(run, schema)
+    part = lambda lo, hi: F.array_join(F.slice("_segments", lo, hi - lo + 1), " ")
+    whole = lambda x: F.when(x["lo2"] > 0, F.concat(part(x["lo"], x["hi"]), F.lit(" "), part(x["lo2"], x["hi2"]))).otherwise(part(x["lo"], x["hi"]))
+    made = F.transform(fold(F.col("_tokens"), most, overlap, least), lambda x: F.struct(whole(x).alias("text"), x["tok"].alias("tok")))
+    rows = sized.where("_tokens IS NOT NULL").select(*keep, F.posexplode(made).alias("chunk_index", "_chunk"))
+    return rows.select(*keep, "chunk_index", F.col("_chunk.text").alias("chunk_text"), F.col("_chunk.tok").alias("token_count"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,22 +45,53 @@ def write_audit(evidence: DataFrame, path: str) -> None:
     evidence.select(F.to_json(F.struct(*evidence.columns)).alias("value")).write.mode("overwrite").text(path)
 
 
-def write_snapshot_table(df: DataFrame, path: str) -> str:
-    """Write a new version of a table and point to it when it is complete; a failed run leaves the old one."""
+#: A version folder holds this file once it is complete.
+COMPLETE = "_COMPLETE"
+
+
+def _versions(spark: SparkSession, path: str) -> tuple[list[int], list[int]]:
+    """Numbers of all versions of a snapshot table, and of the complete ones, in order."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    number = lambda p: int(p.getName().removeprefix("v="))
+    every = [number(f.getPath()) for f in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/v=*")) or []]
+    done = [number(f.getPath().getParent()) for f in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/v=*/{COMPLETE}")) or []]
+    return sorted(every), sorted(done)
+
+
+def write_snapshot_table(df: DataFrame, path: str, keep: int = 2) -> str:
+    """Write the next version of a table; it is the table's state from the moment that its mark is there.
+
+    Nothing else is replaced or renamed, so a run that stops at any point leaves
+    the version before in force. Of complete versions the last ``keep`` stay, for
+    readers that have begun. Two writers at once are an error of the later one.
+    """
     spark = df.sparkSession
-    version = f"v={uuid.uuid4().hex}"
+    every, done = _versions(spark, path)
+    version = f"v={max(every, default=0) + 1:08d}"
     df.write.parquet(f"{path}/{version}")
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    fresh, pointer = jvm.org.apache.hadoop.fs.Path(f"{path}/NEXT-{version}"), jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT")
-    fs = pointer.getFileSystem(conf)
-    out = fs.create(fresh, True)
-    out.write(bytearray(version.encode()))
-    out.close()
-    fs.delete(pointer, False)
-    fs.rename(fresh, pointer)
+    mark = jvm.org.apache.hadoop.fs.Path(f"{path}/{version}/{COMPLETE}")
+    fs = mark.getFileSystem(conf)
+    fs.create(mark, False).close()
+    stays = set(done[len(done) - keep + 1 :] if keep > 1 else [])
+    for old in every:
+        if old not in stays and (old in done or old < max(done, default=0)):
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/v={old:08d}"), True)
     return version
 
 
+def snapshot_table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a version of the table was ever completed; versions of which none is left are an error, not an empty table."""
+    every, done = _versions(spark, path)
+    if not done and len(every) and max(every) > 1:
+        raise RuntimeError(f"{path} has versions but no complete one")
+    return bool(done)
+
+
 def read_snapshot_table(spark: SparkSession, path: str) -> DataFrame:
-    version = spark.read.text(f"{path}/CURRENT").first()[0]
-    return spark.read.parquet(f"{path}/{version}")
+    """The last complete version."""
+    if not snapshot_table_exists(spark, path):
+        raise FileNotFoundError(f"no complete version of a table in {path}")
+    return spark.read.parquet(f"{path}/v={_versions(spark, path)[1][-1]:08d}")

@@ -13,7 +13,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from corpusflow.functions import text as T
 from corpusflow.operators.merge import merge_documents
-from corpusflow.sources.sinks import read_snapshot_table, write_snapshot_table
+from corpusflow.sources.sinks import read_snapshot_table, snapshot_table_exists, write_snapshot_table
 
 MOST_CHARS = 300
 ENDS = ".!؟\n"
@@ -45,12 +45,7 @@ def incremental_ingest(
         spark = batch.sparkSession
         hashed = batch.withColumn("content_hash", T.content_hash(F.col("text")))
         hashed = last_versions(hashed, keys, order)
-        try:
-            stored = read_snapshot_table(spark, snapshot)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            stored = hashed.limit(0)
+        stored = read_snapshot_table(spark, snapshot) if snapshot_table_exists(spark, snapshot) else hashed.limit(0)
         if order:
             s, t = hashed.alias("s"), stored.alias("t")
             same = [F.col(f"s.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]

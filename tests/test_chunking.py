@@ -1,3 +1,5 @@
+import itertools
+import random
 import re
 
 from corpusflow.operators import chunking as C
@@ -6,31 +8,21 @@ WS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0"
 
 
 def reference(text, most, overlap, least):
-    """The packing rule, word for word, in plain Python."""
-    segments = []
-    for line in text.split("\n"):
-        for s in re.split(r"(?<=[.!؟])\s+", line):
-            w = s.split()
-            segments += [" ".join(w[i : i + most]) for i in range(0, len(w), most)] if len(w) > most else [s.strip()] * bool(w)
-    n = lambda s: len(s.split())
-    out, held = [], []
-    for s in segments:
-        if held and sum(map(n, held)) + n(s) > most:
-            out.append((" ".join(held), sum(map(n, held))))
-            tail = [held[-1]]
-            for prev in reversed(held[:-1]):
-                if sum(map(n, tail)) + n(prev) > overlap:
-                    break
-                tail.insert(0, prev)
-            held = tail
-        held.append(s)
-    if held:
-        size = sum(map(n, held))
-        if out and size < least:
-            out[-1] = (out[-1][0] + " " + " ".join(held), out[-1][1] + size)
-        else:
-            out.append((" ".join(held), size))
-    return out
+    """The packing rule, told by places: where chunks end and start follows from sums of words alone."""
+    parts = [p.split() for line in text.split("\n") for p in re.split(r"(?<=[.!؟])\s+", line) if p.split()]
+    raw = [p.strip() for line in text.split("\n") for p in re.split(r"(?<=[.!؟])\s+", line) if p.split()]
+    segments = [s for words, whole in zip(parts, raw, strict=True) for s in ([whole] if len(words) <= most else [" ".join(words[k : k + most]) for k in range(0, len(words), most)])]
+    total = [0, *itertools.accumulate(len(s.split()) for s in segments)]
+    spans, start, begin = [], 0, 0  # a span starts at ``start``; the segment at ``begin`` belongs to it whatever its size
+    while begin < len(segments):
+        stop = next((k for k in range(begin + 1, len(segments)) if total[k + 1] - total[start] > most), len(segments))
+        spans.append((start, stop))
+        fits = [k for k in range(start, stop) if total[stop] - total[k] <= overlap]
+        start, begin = min([*fits, stop - 1]), stop
+    made = [(" ".join(segments[i:j]), total[j] - total[i]) for i, j in spans]
+    if len(made) > 1 and made[-1][1] < least:
+        made[-2:] = [(made[-2][0] + " " + made[-1][0], made[-2][1] + made[-1][1])]
+    return made
 
 
 def test_documents_against_the_rule(spark, sf_dir):
@@ -53,3 +45,18 @@ def test_blank_short_and_long_texts(spark):
     assert got[4] == reference("w " * 130, 50, 10, 5)
     assert got[5] == reference(rows[4][1], 50, 10, 5)
     assert set(rows[4][1].split()) <= {w for t, _ in got[5] for w in t.split()}
+
+
+def test_random_sentences_against_the_rule(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(" ".join(["w"] * rng.choice([1, 2, 3, 9, 14, 30])) + rng.choice([". ", "! ", ".\n", "؟ "]) for _ in range(rng.randint(1, 40)))) for i in range(60)]
+    for most, overlap, least in ((12, 4, 3), (10, 0, 1), (25, 30, 12)):
+        got = {}
+        for r in C.chunk_text(spark.createDataFrame(rows, "doc_id int, text string"), most=most, overlap=overlap, least=least).collect():
+            got.setdefault(r["doc_id"], []).append((r["chunk_index"], r["chunk_text"], r["token_count"]))
+        assert {k: sorted(v) for k, v in got.items()} == {i: [(k, *x) for k, x in enumerate(reference(t, most, overlap, least))] for i, t in rows}
+
+
+def test_plan_is_native_and_without_a_shuffle(spark, sf_dir):
+    plan = C.chunk_text(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "Exchange"))

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from corpusflow.sources import sinks as S
 from corpusflow.sources.sinks import read_snapshot_table
 from corpusflow.streaming import jobs as J
 
@@ -22,6 +23,34 @@ def test_incremental_ingest_skips_unchanged_pages(spark, tmp_path):
     assert sorted((r["page_id"], r["text"]) for r in read_snapshot_table(spark, str(tmp_path / "table")).collect()) == [(1, "a"), (2, "c"), (3, "d")]
 
 
+def test_a_stop_before_the_mark_leaves_the_table_as_it_was(spark, tmp_path):
+    table, src = str(tmp_path / "table"), str(tmp_path / "in")
+    rows = lambda x: spark.createDataFrame(x, "page_id long, text string").coalesce(1)
+
+    def go(check):
+        stream = spark.readStream.schema("page_id long, text string").parquet(src)
+        J.incremental_ingest(stream, table, ["page_id"], str(tmp_path / check)).awaitTermination()
+
+    rows([(1, "a"), (2, "b")]).write.mode("append").parquet(src)
+    go("c1")
+    # a second version is written, but its mark is not
+    read_snapshot_table(spark, table).limit(0).write.parquet(f"{table}/v=00000002")
+    assert sorted(r["page_id"] for r in read_snapshot_table(spark, table).collect()) == [1, 2]
+    rows([(3, "c")]).write.mode("append").parquet(src)
+    go("c1")
+    assert sorted((r["page_id"], r["text"]) for r in read_snapshot_table(spark, table).collect()) == [(1, "a"), (2, "b"), (3, "c")]
+    for _ in range(4):
+        S.write_snapshot_table(spark.range(1), table)
+    every, done = S._versions(spark, table)
+    assert len(done) == 2 and every == done
+    # versions without any mark are no empty table
+    (tmp_path / "lost" / "v=00000007").mkdir(parents=True)
+    with pytest.raises(RuntimeError, match="no complete one"):
+        read_snapshot_table(spark, str(tmp_path / "lost"))
+    with pytest.raises(FileNotFoundError):
+        read_snapshot_table(spark, str(tmp_path / "absent"))
+
+
 def test_last_version_of_a_page_stays_however_the_stream_is_cut(spark, tmp_path):
     rows = [(1, "old", 1), (1, "newest", 5), (1, "middle", 3), (2, "only", 2), (3, "b", 4), (3, "a", 9), (2, "only", 8), (2, "between", 6)]
     for many in (1, len(rows)):

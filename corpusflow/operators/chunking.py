@@ -15,20 +15,17 @@ from corpusflow.functions import text as T
 MAX_TOKENS, OVERLAP, MIN_TOKENS = 400, 60, 40
 
 
-def words(c: Column) -> Column:
-    return F.filter(F.split(c, T.WS + "+"), lambda x: x != "")
-
-
-def hard_split(segment: Column, most: int) -> Column:
-    """Parts of a segment of at most ``most`` words."""
-    own = words(segment)
-    starts = F.sequence(F.lit(1), F.greatest(F.size(own), F.lit(1)), F.lit(most))
-    return F.transform(starts, lambda i: F.array_join(F.slice(own, i, F.lit(most)), " "))
-
-
 def segments(text: Column, most: int = MAX_TOKENS) -> Column:
-    """Sentences, those longer than ``most`` words cut."""
-    return F.flatten(F.transform(T.sentences(text), lambda s: F.when(F.size(words(s)) > most, hard_split(s, most)).otherwise(F.array(s))))
+    """Sentences with their words, ``text, n``; those longer than ``most`` words are cut on word boundaries.
+
+    Sentences have no white space at their ends, so cutting at white space gives their words.
+    """
+    part = lambda own, i: F.struct(F.array_join(F.slice(own, i, F.lit(most)), " ").alias("text"), F.least(F.lit(most), F.size(own) - i + 1).alias("n"))
+    cut = lambda own: F.transform(F.sequence(F.lit(1), F.size(own), F.lit(most)), lambda i: part(own, i))
+    sized = lambda s: F.transform(
+        F.array(F.split(s, T.WS + "+")), lambda own: F.when(F.size(own) > most, cut(own)).otherwise(F.array(F.struct(s.alias("text"), F.size(own).alias("n"))))
+    )[0]
+    return F.flatten(F.transform(T.sentences(text), sized))
 
 
 def fold(tokens: Column, most: int, overlap: int, least: int) -> Column:
@@ -70,10 +67,10 @@ def fold(tokens: Column, most: int, overlap: int, least: int) -> Column:
 def chunk_text(df: DataFrame, text: str = "text", most: int = MAX_TOKENS, overlap: int = OVERLAP, least: int = MIN_TOKENS) -> DataFrame:
     """``df`` without ``text``, one row per chunk: ``chunk_index, chunk_text, token_count``."""
     keep = [c for c in df.columns if c != text]
-    split = df.select(*keep, segments(F.col(text), most).alias("_segments"))
-    sized = split.withColumn("_tokens", F.transform("_segments", lambda s: F.size(words(s))))
+    split = df.where(F.col(text).isNotNull()).select(*keep, segments(F.col(text), most).alias("_s"))
+    sized = split.select(*keep, F.transform("_s", lambda x: x["text"]).alias("_segments"), F.transform("_s", lambda x: x["n"]).alias("_tokens"))
     part = lambda lo, hi: F.array_join(F.slice("_segments", lo, hi - lo + 1), " ")
     whole = lambda x: F.when(x["lo2"] > 0, F.concat(part(x["lo"], x["hi"]), F.lit(" "), part(x["lo2"], x["hi2"]))).otherwise(part(x["lo"], x["hi"]))
     made = F.transform(fold(F.col("_tokens"), most, overlap, least), lambda x: F.struct(whole(x).alias("text"), x["tok"].alias("tok")))
-    rows = sized.where("_tokens IS NOT NULL").select(*keep, F.posexplode(made).alias("chunk_index", "_chunk"))
+    rows = sized.select(*keep, F.posexplode(made).alias("chunk_index", "_chunk"))
     return rows.select(*keep, "chunk_index", F.col("_chunk.text").alias("chunk_text"), F.col("_chunk.tok").alias("token_count"))

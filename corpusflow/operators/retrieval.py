@@ -32,17 +32,26 @@ def retrieve(chunks: DataFrame, queries: DataFrame, k: int = K, filter_col: str
 
     Blocks of queries (query_id, embedding) meet blocks of chunks (chunk_id, embedding) and only the
     ``k`` best of each meeting are shuffled. With ``filter_col``, which both sides
-    have, a query that has a value there sees only chunks with the same one.
+    have, a query that has a value there sees only chunks with the same one: the two sides join on
+    the value, so a chunk travels only to queries of its value, and nowhere if there are none.
     Chunks without embedding are left out; without length they come last, with a null score.
     """
-    tag = F.col(filter_col).cast("string") if filter_col else F.lit(None).cast("string")
-    chunks = chunks.where("embedding IS NOT NULL").select(F.col("chunk_id").cast("long").alias("id"), "embedding", tag.alias("tag"))
-    queries = queries.where("embedding IS NOT NULL").select(F.col("query_id").cast("long").alias("id"), "embedding", tag.alias("tag"))
-    nc, nq = -(-chunks.count() // CHUNK_ROWS) or 1, -(-queries.count() // QUERY_ROWS) or 1
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    rows = chunks.select(deal(nc).alias("c"), each(nq).alias("q"), F.lit(False).alias("asks"), "*").unionByName(
-        queries.select(each(nc).alias("c"), deal(nq).alias("q"), F.lit(True).alias("asks"), "*")
+    has = F.col("embedding").isNotNull()
+    given = F.col(filter_col).cast("string") if filter_col else F.lit(None).cast("string")
+    tag = F.struct(given.isNotNull().alias("is"), F.coalesce(given, F.lit("")).alias("value"))  # {false, ""}: sees all
+    every = F.struct(F.lit(False).alias("is"), F.lit("").alias("value"))
+    queries = queries.where(has).select(F.col("query_id").cast("long").alias("id"), "embedding", tag.alias("tag"))
+    chunks = chunks.where(has).select(F.col("chunk_id").cast("long").alias("id"), "embedding", F.explode(F.array_distinct(F.array(tag, every))).alias("tag") if filter_col else tag.alias("tag"))
+    # how many blocks each tag has on either side; only tags that queries have
+    count = lambda df, rows, name: df.groupBy("tag").agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
+    sizes = count(chunks, CHUNK_ROWS, "nc").join(count(queries, QUERY_ROWS, "nq"), "tag")
+    if not filter_col:
+        sizes = F.broadcast(sizes)  # one row
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    columns = ["tag", "c", "q", "asks", "id", "embedding"]
+    rows = chunks.join(sizes, "tag").select("*", deal("nc").alias("c"), each("nq").alias("q"), F.lit(False).alias("asks")).select(columns).unionByName(
+        queries.join(sizes, "tag").select("*", each("nc").alias("c"), deal("nq").alias("q"), F.lit(True).alias("asks")).select(columns)
     )
 
     def unit(vectors: pd.Series) -> np.ndarray:
@@ -56,17 +65,15 @@ def retrieve(chunks: DataFrame, queries: DataFrame, k: int = K, filter_col: str
         if len(a) and len(b):
             a = a.sort_values("id")
             ids, score = a["id"].to_numpy(), unit(b["embedding"]) @ unit(a["embedding"]).T
-            tags = a["tag"].to_numpy()
-            for query, want, row in zip(b["id"], b["tag"], score, strict=True):
-                at = np.flatnonzero(tags == want) if want is not None else np.arange(len(ids))
-                order = at[np.argsort(-np.nan_to_num(np.round(row[at], 12), nan=-9.0), kind="stable")[:k]]
+            for query, row in zip(b["id"], score, strict=True):
+                order = np.argsort(-np.nan_to_num(np.round(row, 12), nan=-9.0), kind="stable")[:k]
                 out["query_id"] += [query] * len(order)
                 out["chunk_id"] += ids[order].tolist()
                 out["score"] += row[order].tolist()
         frame = pd.DataFrame(out)
         return frame.astype({"query_id": "int64", "chunk_id": "int64", "score": "float64"})
 
-    best = rows.groupBy("c", "q").applyInPandas(meet, "query_id long, chunk_id long, score double")
+    best = rows.groupBy("tag", "c", "q").applyInPandas(meet, "query_id long, chunk_id long, score double")
     best = best.withColumn("score", F.nanvl("score", F.lit(None).cast("double")))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last(F.round("score", 12)), "chunk_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")

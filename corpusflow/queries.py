@@ -52,12 +52,17 @@ def _strip(x: str) -> str:
 # ---- text ----
 
 
-@query(f"""
-SELECT doc_id, {_strip(f'''array_to_string(list_filter(list_transform(list_filter(list_transform(string_split('[[' || text || chr(10) || ']' || chr(10) || '[+ ' || lang || ' ]]', chr(10)),
-  lambda x: {_strip("x")}), lambda x: NOT regexp_matches(x, '^(\\[+-?|\\]+)$')),
-  lambda x: regexp_replace(regexp_replace(x, '^\\[+-?{T.WS}*', ''), '{T.WS}*\\]+$', '')), lambda x: x <> ''), chr(10))''')} AS cleaned
-FROM documents
-""")
+def clean_sql(text: str) -> str:
+    """SQL for T.clean_text."""
+    lines = f"list_filter(list_transform(string_split({text}, chr(10)), lambda x: {_strip('x')}), lambda x: NOT regexp_matches(x, '^(\\[+-?|\\]+)$'))"
+    bare = f"list_transform({lines}, lambda x: regexp_replace(regexp_replace(x, '^\\[+-?{T.WS}*', ''), '{T.WS}*\\]+$', ''))"
+    return _strip(f"array_to_string(list_filter({bare}, lambda x: x <> ''), chr(10))")
+
+
+_DIRTY = "'[[' || text || chr(10) || ']' || chr(10) || '[+ ' || lang || ' ]]'"
+
+
+@query(f"SELECT doc_id, {clean_sql(_DIRTY)} AS cleaned FROM documents")
 def clean_documents(spark, d):
     docs = read_table(spark, d, "documents")
     dirty = F.concat(F.lit("[["), F.col("text"), F.lit("\n]\n[+ "), F.col("lang"), F.lit(" ]]"))

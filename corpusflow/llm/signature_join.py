@@ -10,7 +10,13 @@ Trees are built over groups that no link leaves: any two linked sets share a
 token among the first ``size - ceil(threshold * size) + 1`` of each in one common
 order, rare tokens first (by a count over all documents, in hashed counters of
 fixed size), so components of "shares such a token, with sizes close enough" are
-a partition. A component larger than ``BLOCK`` is cut into blocks; all blocks hold a
+a partition. A task joins its own documents that share a token before it sends
+any: of each run of close sizes only the first and last of each size class go
+on, which is all that others can be close to. So a token that a third of all documents
+have costs a few rows a task, and nothing is dropped.
+
+Within groups bitmaps go first, and texts follow only for documents to which
+these allow a link. A group larger than ``BLOCK`` is cut into blocks; all blocks hold a
 few common pivots (its first document and some others), which joins most of it. What
 stays apart meets all other blocks, first as bitmaps; the texts that these still allow follow. No pair is capped.
 
@@ -38,10 +44,8 @@ from corpusflow.plans.staging import Staging
 PERCENT = 75
 #: Documents in one block of a large group, and pivots that all its blocks hold.
 BLOCK, PIVOTS = 64, 4
-#: Tasks whose forests of candidate edges are merged into one before they are shuffled as rows.
-MERGED = 16
-#: Counters of token frequency: 2 ** 24 of 2 bytes, the largest thing broadcast.
-COUNTER_BITS, CHUNKS = 24, 64
+#: Counters of token frequency: 2 ** 24 of 2 bytes, the largest thing broadcast. They hold 1365 * log2(1 + count), which no count outgrows.
+COUNTER_BITS, STEPS = 24, 1365
 _LEAF, _FANOUT = 4, 4
 _REMEMBERED = 1_000_000
 
@@ -141,17 +145,29 @@ def tree_links(left: SignatureTree, right: SignatureTree, linked: list[int], per
             todo += [(a, y) for y in two]
 
 
+def folded(words: np.ndarray, bits: int) -> np.ndarray:
+    """A bitmap of fewer bits from a longer one."""
+    flags = np.unpackbits(words.view(np.uint8))
+    return words if len(flags) == bits else np.packbits(flags.reshape(bits, -1).any(axis=1)).view(np.uint64)
+
+
+def counter_chunks(spark: SparkSession) -> int:
+    """Into how many ranges the counters are dealt: a power of two that follows the shuffle's width."""
+    return 1 << min(12, max(6, (shuffle_partitions(spark) - 1).bit_length()))
+
+
 def token_sets(docs: DataFrame, staging: Staging) -> DataFrame:
-    """Staged ``doc_id, n, key`` of each row (the key digests the set, null if empty), and each task's token counters in chunks."""
-    fields = "doc_id long, n long, key binary, chunk int, seen binary, dense boolean, places binary, counts binary"
+    """Staged ``doc_id, n, key, sig`` of each row (the key digests the set, null if empty; ``sig`` is its bitmap), and each task's token counters in chunks."""
+    fields = "doc_id long, n long, key binary, sig binary, chunk int, seen binary, dense boolean, places binary, counts binary"
     names = [c.split()[0] for c in fields.split(", ")]
-    per = (1 << COUNTER_BITS) // CHUNKS
+    chunks = counter_chunks(docs.sparkSession)
+    per = (1 << COUNTER_BITS) // chunks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters, seen = np.zeros(1 << COUNTER_BITS, dtype=np.int32), set()
         for whole in batches:
             for batch in slices(whole, "text"):
-                keys, n = [], []
+                keys, n, sigs = [], [], []
                 for tokens in shingle_sets(batch.column("text")):
                     key = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None
                     if key and key not in seen:
@@ -160,41 +176,42 @@ def token_sets(docs: DataFrame, staging: Staging) -> DataFrame:
                             seen.add(key)
                     keys.append(key)
                     n.append(len(tokens))
+                    sigs.append(bitmap(tokens, bitmap_bits(len(tokens))).tobytes() if key else None)
                 none = [pa.nulls(len(n), t) for t in (pa.int32(), pa.binary(), pa.bool_(), pa.binary(), pa.binary())]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), *none], names)
-        for chunk in range(CHUNKS):  # which counters are used, as places or as bits, and places and counts of those above one
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), *none], names)
+        for chunk in range(chunks):  # which counters are used, as places or as bits, and places and counts of those above one
             part = counters[chunk * per : (chunk + 1) * per]
             used, more = np.flatnonzero(part), np.flatnonzero(part > 1)
             if len(used):
                 dense = 32 * len(used) > per
                 seen_bytes = np.packbits(part > 0).tobytes() if dense else used.astype("<u4").tobytes()
-                row = [None, None, None, chunk, seen_bytes, dense, more.astype("<u4").tobytes(), part[more].astype("<i4").tobytes()]
-                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.bool_(), pa.binary(), pa.binary()]
+                row = [None, None, None, None, chunk, seen_bytes, dense, more.astype("<u4").tobytes(), part[more].astype("<i4").tobytes()]
+                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.bool_(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
 
     return staging.table(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, fields), "sets")
 
 
 def token_counters(found: DataFrame) -> np.ndarray:
-    """The counters of all tasks, summed: a fixed number."""
-    per = (1 << COUNTER_BITS) // CHUNKS
+    """The counters of all tasks, summed, on a scale of logarithms: a fixed number."""
+    chunks = counter_chunks(found.sparkSession)
+    per = (1 << COUNTER_BITS) // chunks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for chunk, seen, dense, places, counts in zip(*(batch.column(c).to_pylist() for c in ("chunk", "seen", "dense", "places", "counts")), strict=True):
-                own = total.setdefault(chunk, np.zeros(per, dtype=np.int64))
+        for table in groups(batches, ["chunk"]):
+            own = np.zeros(per, dtype=np.int64)
+            for seen, dense, places, counts in zip(*(table.column(c).to_pylist() for c in ("seen", "dense", "places", "counts")), strict=True):
                 if dense:
                     own += np.unpackbits(np.frombuffer(seen, np.uint8))
                 else:
                     own[np.frombuffer(seen, "<u4")] += 1
                 own[np.frombuffer(places, "<u4")] += np.frombuffer(counts, "<i4") - 1
-        for chunk, counts in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([np.minimum(counts, 2**16 - 1).astype("<u2").tobytes()])], ["chunk", "counts"])
+            scaled = np.minimum(STEPS * np.log2(1.0 + own), 2**16 - 1).astype("<u2")
+            yield pa.RecordBatch.from_arrays([table.column("chunk").combine_chunks().slice(0, 1), pa.array([scaled.tobytes()])], ["chunk", "counts"])
 
-    parts = found.where(F.col("chunk").isNotNull()).select("chunk", "seen", "dense", "places", "counts").repartition(CHUNKS, "chunk").mapInArrow(run, "chunk int, counts binary")
+    parts = found.where(F.col("chunk").isNotNull()).select("chunk", "seen", "dense", "places", "counts").repartition(shuffle_partitions(found.sparkSession), "chunk")
     out = np.zeros(1 << COUNTER_BITS, dtype=np.uint16)
-    for r in parts.toLocalIterator():  # 64 rows of 512 kB
+    for r in parts.sortWithinPartitions("chunk").mapInArrow(run, "chunk int, counts binary").toLocalIterator():  # 32 MB in all
         out[r["chunk"] * per : (r["chunk"] + 1) * per] = np.frombuffer(r["counts"], "<u2")
     return out
 
@@ -221,30 +238,43 @@ def candidate_edges(docs: DataFrame, counters: np.ndarray, percent: int = PERCEN
     """Edges ``a, b`` whose components hold every link: documents that share a prefix token and may by their sizes link."""
     spark = docs.sparkSession
     parts = 2 * shuffle_partitions(spark)
-    merges = -(-shuffle_partitions(spark) // MERGED)
     shared = spark.sparkContext.broadcast(counters)
-    fields = "part int, docs binary, sizes binary, owner binary, tokens binary"
+    fields = "part int, docs binary, sizes binary, owner binary, tokens binary, a binary, b binary"
     names = [c.split()[0] for c in fields.split(", ")]
+    width = max(0.99 * np.log(100 / percent), 1e-9)  # sizes of one class are close enough to link
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         count, seen = shared.value, set()
+        turn = TaskContext.get().partitionId()
         ids: list[int] = []
         sizes: list[int] = []
         tokens: list[np.ndarray] = []
 
-        def out() -> Iterator[pa.RecordBatch]:
-            flat = np.concatenate(tokens)
+        def out() -> pa.RecordBatch:
+            flat, node, size = np.concatenate(tokens), np.array(ids), np.array(sizes)
             owner = np.repeat(np.arange(len(ids)), [len(t) for t in tokens])
+            order = np.lexsort((size[owner], flat))
+            flat, owner = flat[order], owner[order]
+            n = size[owner]
+            close = (flat[1:] == flat[:-1]) & (100 * n[:-1] >= percent * n[1:])
+            kind = np.floor(np.log(n) / width)
+            new = np.concatenate(([True], ~close | (kind[1:] != kind[:-1])))
+            sent = np.flatnonzero(new | np.concatenate((new[1:], [True])))
+            at = np.flatnonzero(close & (node[owner[1:]] != node[owner[:-1]]))
+            own = _forest(node[owner[at]], node[owner[at + 1]]) if len(at) else (np.zeros(0, np.int64),) * 2
+            flat, owner = flat[sent], owner[sent]
             part = (flat % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[order], np.arange(parts + 1))
-            rows = []
+            rows = [(turn % parts, b"", b"", b"", b"", own[0].astype("<i8").tobytes(), own[1].astype("<i8").tobytes())]  # what this task has joined itself
             for p in np.flatnonzero(np.diff(cuts)):
-                own = order[cuts[p] : cuts[p + 1]]
-                used, place = np.unique(owner[own], return_inverse=True)
-                rows.append((int(p), np.array(ids)[used].astype("<i8").tobytes(), np.array(sizes)[used].astype("<i4").tobytes(), place.astype("<u4").tobytes(), flat[own].astype("<u8").tobytes()))
-            kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                mine = order[cuts[p] : cuts[p + 1]]
+                used, place = np.unique(owner[mine], return_inverse=True)
+                rows.append((int(p), node[used].astype("<i8").tobytes(), size[used].astype("<i4").tobytes(), place.astype("<u4").tobytes(), flat[mine].astype("<u8").tobytes(), b"", b""))
+            kinds = [pa.int32(), *[pa.binary()] * 6]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
         held = 0
         for whole in batches:
@@ -264,17 +294,15 @@ def candidate_edges(docs: DataFrame, counters: np.ndarray, percent: int = PERCEN
                     tokens.append(found[np.lexsort((found, often))[:first]])
                     held += first
                 if held > 1_500_000:
-                    yield from out()
-                    ids, sizes, tokens, held = [], [], [], 0
+                    yield out()
+                    ids, sizes, tokens, held, turn = [], [], [], 0, turn + 1
         if ids:
-            yield from out()
+            yield out()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         held_a, held_b = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for table in groups(batches, ["part"]):
-            columns = {c: [np.frombuffer(x, k) for x in table.column(c).to_pylist()] for c, k in (("docs", "<i8"), ("sizes", "<i4"), ("owner", "<u4"), ("tokens", "<u8"))}
+            columns = {c: [np.frombuffer(x, k) for x in table.column(c).to_pylist()] for c, k in (("docs", "<i8"), ("sizes", "<i4"), ("owner", "<u4"), ("tokens", "<u8"), ("a", "<i8"), ("b", "<i8"))}
             node = np.concatenate([d[o] for d, o in zip(columns["docs"], columns["owner"], strict=True)])
             size = np.concatenate([s[o] for s, o in zip(columns["sizes"], columns["owner"], strict=True)]).astype(np.int64)
             token = np.concatenate(columns["tokens"])
@@ -282,21 +310,30 @@ def candidate_edges(docs: DataFrame, counters: np.ndarray, percent: int = PERCEN
             node, size, token = node[order], size[order], token[order]
             close = (token[1:] == token[:-1]) & (100 * size[:-1] >= percent * size[1:]) & (node[1:] != node[:-1])
             at = np.flatnonzero(close)
-            if len(at):
-                held_a, held_b = _forest(np.concatenate((held_a, node[at])), np.concatenate((held_b, node[at + 1])))
-        if len(held_a):
-            row = [[TaskContext.get().partitionId() % merges], [held_a.tobytes()], [held_b.tobytes()]]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["merge", "a", "b"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in groups(batches, ["merge"]):
-            a, b = (np.concatenate([np.frombuffer(x, np.int64) for x in table.column(c).to_pylist()]) for c in ("a", "b"))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _forest(a, b)], ["a", "b"])
+            a, b = np.concatenate((held_a, node[at], *columns["a"])), np.concatenate((held_b, node[at + 1], *columns["b"]))
+            if len(a):
+                held_a, held_b = _forest(a, b)
+        for lo in range(0, len(held_a), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 50_000]) for x in (held_a, held_b)], ["a", "b"])
 
     packed = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(emit, fields)
     dealt = packed.repartition(shuffle_partitions(spark), "part").sortWithinPartitions("part")
-    forests = dealt.mapInArrow(meet, "merge int, a binary, b binary").repartition(merges, "merge").sortWithinPartitions("merge")
-    return forests.mapInArrow(merge, "a long, b long").distinct()
+    return dealt.mapInArrow(meet, "a long, b long")
+
+
+def possible_nodes(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``cluster, node`` of those ``rows`` (cluster, node, n, sig) to which sizes and bitmaps allow a link with another node of their cluster."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, ["cluster"]):
+            nodes, sizes, sigs = (table.column(c).to_pylist() for c in ("node", "n", "sig"))
+            bits = 8 * min(map(len, sigs))
+            tree = SignatureTree(sizes, [folded(np.frombuffer(x, np.uint64), bits) for x in sigs])
+            found = {nodes[i] for pair in tree_links(tree, tree, list(range(len(nodes))), percent) for i in pair}
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([table.column("cluster")[0].as_py()] * len(found), sorted(found))], ["cluster", "node"])
+
+    return rows.repartition(shuffle_partitions(rows.sparkSession), "cluster").sortWithinPartitions("cluster").mapInArrow(run, "cluster long, node long")
 
 
 def _with_texts(rows: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:
@@ -391,9 +428,9 @@ def jaccard_components(docs: DataFrame, staging: Staging | None = None, percent:
     counters = token_counters(found)
 
     # equal sets are one class, named by its smallest doc_id
-    sets = found.where(F.col("n").isNotNull()).select("doc_id", "n", "key")
+    sets = found.where(F.col("n").isNotNull()).select("doc_id", "n", "key", "sig")
     several = staging.table(sets.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c"), "classes")
-    owned = staging.table(sets.join(several, "key", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "owned")
+    owned = staging.table(sets.drop("sig").join(several, "key", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "owned")
 
     apart = components(candidate_edges(docs, counters, percent), staging)
     nodes = apart.select(F.col("a").alias("doc_id"), F.col("b").alias("cluster")).unionByName(apart.select(F.col("b").alias("doc_id"), F.col("b").alias("cluster")).distinct())
@@ -402,7 +439,11 @@ def jaccard_components(docs: DataFrame, staging: Staging | None = None, percent:
         members.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("c"), F.min(F.struct("node")).alias("p0"), *[F.min(F.struct(F.xxhash64("node", F.lit(s)), "node")).alias(f"p{s}") for s in range(1, PIVOTS)]).where("c > 1"),
         "clusters",
     )
-    rows = members.join(sized.select("cluster", "blocks"), "cluster")
+    # bitmaps first: in a group of one block, texts are only read where these allow a link
+    rows = staging.table(members.join(sized.select("cluster", "blocks"), "cluster"), "rows")
+    small = rows.where("blocks = 1").select("cluster", "node").join(sets.where("sig IS NOT NULL").select(F.col("doc_id").alias("node"), "n", "sig").hint("merge"), "node")
+    possible = possible_nodes(small, percent).withColumn("blocks", F.lit(1))
+    rows = staging.table(rows.where("blocks > 1").select("cluster", "node", "blocks").unionByName(possible), "open-rows")
     wanted = staging.table(rows.select("node").distinct(), "wanted")
     texts = staging.table(docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted.hint("merge"), "node", "left_semi"), "texts")
     own = rows.select("cluster", _deal("node", "blocks", 0).alias("block"), "node")

@@ -3,8 +3,10 @@
 Vectors are quantised to integers. Candidates are dealt into blocks; each block
 gets an index whose posting segments hold, for one dimension and one level of
 the component, the rows that have it. A query reads segments by descending
-quantised impact (score at a time) and adds their upper impact to accumulators.
-It stops when the bound of all unread segments proves that few rows can still
+quantised impact (score at a time) and adds their upper impact to accumulators,
+counting each row's dimensions that were read. The frontier's impact bounds every
+segment unread, so a row can gain at most that much in each dimension that it
+still lacks. Reading stops when this proves that few rows can still
 be among the k best; those are scored exactly. No row is left out without proof.
 
 Defined cases: a vector that is null or holds a null or non-finite component is
@@ -27,10 +29,14 @@ from corpusflow.llm.common import groups, shuffle_partitions
 
 SCALE = 256
 K = 5
-#: Candidates in a block and queries in a block: what one task holds.
-BLOCK_ROWS, QUERY_ROWS = 2048, 1024
-#: Values of a component in one level.
-LEVEL = 16
+#: Candidates in a block and queries in a block: what one task holds. A row is sent once for each block of the other side.
+BLOCK_ROWS, QUERY_ROWS = 8192, 4096
+#: Candidates in a block where there are too few to fill all tasks.
+LEAST_ROWS = 1024
+#: Values of a component in one level: the coarser, the fewer segments and the wider the slack of a score.
+LEVEL = 4
+#: Shares of the postings after which the proof is tried, and the share of rows that is few.
+STOPS, FEW = (0.6, 0.78, 0.84, 0.89, 0.94), 0.03
 
 
 def quantise(vector: Column, scale: int = SCALE) -> Column:
@@ -60,42 +66,55 @@ class ImpactIndex:
         self.length = np.array(length, dtype=np.int64)
         self.rows = np.concatenate(rows) if rows else np.zeros(0, np.int64)
         self.start = np.concatenate(([0], np.cumsum(self.length)))[:-1]
+        self.first = np.flatnonzero(np.diff(self.dim, prepend=-1))  # the first segment of each dimension
 
     def search(self, query: np.ndarray, own: int, k: int = K) -> tuple[np.ndarray, np.ndarray]:
         """Ids and exact scores of the ``k`` best rows other than ``own``, best first."""
-        n, size = len(self.ids), len(query)
-        possible = np.flatnonzero(self.ids != own)
-        if size and len(possible) > 4 * k:
-            q = query[self.dim]
-            best, least = np.where(q > 0, q * self.high, q * self.low), np.where(q > 0, q * self.low, q * self.high)
-            base = np.full(size, np.iinfo(np.int64).max)
-            np.minimum.at(base, self.dim, least)
-            gain = best - base[self.dim]  # what a segment can add to the least of its dimension
-            width = np.zeros(size, dtype=np.int64)
-            np.maximum.at(width, self.dim, best - least)
-            order = np.argsort(-gain, kind="stable")
-            order = order[: np.searchsorted(-gain[order], 0)]  # segments without gain change nothing
-            read = np.cumsum(self.length[order])
-            slack, done = int(width.sum()), 0
-            got = np.zeros(n)
-            for goal in (*(n * size * np.array([0.15, 0.25, 0.35, 0.45, 0.55, 0.65, 0.75, 0.85])), np.inf):
-                stop = int(np.searchsorted(read, goal, side="right"))
-                if stop > done:
-                    part = order[done:stop]
-                    at = np.repeat(self.start[part] - np.concatenate(([0], np.cumsum(self.length[part])))[:-1], self.length[part]) + np.arange(self.length[part].sum())
-                    got += np.bincount(self.rows[at], np.repeat(gain[part], self.length[part]), n)
-                    done = stop
-                rest = np.zeros(size, dtype=np.int64)  # what unread segments can still add, by dimension
-                np.maximum.at(rest, self.dim[order[done:]], gain[order[done:]])
-                score = got[possible]
-                proof = np.partition(score, len(score) - k)[len(score) - k] - slack
-                possible = possible[score + rest.sum() >= proof]
-                if len(possible) <= max(4 * k, n // 32):
-                    break
+        possible = self.possible(query, own, k)
         exact = self.vectors[possible] @ query
         first = np.lexsort((self.ids[possible], -exact))[:k]
         return self.ids[possible[first]], exact[first]
 
+    def possible(self, query: np.ndarray, own: int, k: int = K) -> np.ndarray:
+        """Rows other than ``own`` that may be among the ``k`` best; all others are proven not to be."""
+        n, size = len(self.ids), len(query)
+        possible = np.flatnonzero(self.ids != own)
+        if not size or len(possible) <= 4 * k:
+            return possible
+        q = query[self.dim]
+        best, least = np.where(q > 0, q * self.high, q * self.low), np.where(q > 0, q * self.low, q * self.high)
+        base = np.minimum.reduceat(least, self.first)
+        gain = best - base[self.dim]  # what a segment can add to the least of its dimension
+        slack = int(np.maximum.reduceat(best - least, self.first).sum())
+        order = np.argsort(-gain, kind="stable")
+        order = order[: np.searchsorted(-gain[order], 0)]  # segments without gain change nothing
+        read, done = np.cumsum(self.length[order]), 0
+        got, lacks = np.zeros(n), np.full(n, size)
+        lacks -= np.bincount(self._postings(np.flatnonzero(gain == 0)), minlength=n)
+        for goal in (*(n * size * np.array(STOPS)), np.inf):
+            stop = int(np.searchsorted(read, goal, side="right"))
+            if stop > done:
+                part = order[done:stop]
+                rows = self._postings(part)
+                got += np.bincount(rows, np.repeat(gain[part], self.length[part]), n)
+                lacks -= np.bincount(rows, minlength=n)
+                done = stop
+            frontier = gain[order[done]] if done < len(order) else 0
+            unread = gain.copy()
+            unread[order[:done]] = 0
+            rest = np.minimum(lacks[possible] * frontier, np.maximum.reduceat(unread, self.first).sum())
+            score = got[possible]
+            proof = np.partition(score, len(score) - k)[len(score) - k] - slack  # the k-th best has this at least
+            possible = possible[score + rest >= proof]
+            if len(possible) <= max(4 * k, FEW * n):
+                break
+        return possible
+
+    def _postings(self, segments: np.ndarray) -> np.ndarray:
+        """The rows of some segments, end to end."""
+        length = self.length[segments]
+        return self.rows[np.repeat(self.start[segments] - np.concatenate(([0], np.cumsum(length)))[:-1], length) + np.arange(length.sum())]
+
 
 def _matrix(table: pa.Table, size: int) -> np.ndarray:
     column = table.column("v").combine_chunks()
@@ -118,7 +137,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block_rows: int =
     """
     spark = vectors.sparkSession
     counts = vectors.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first(), queries.agg(F.count("*")).first()
-    blocks, query_blocks, size = -(-counts[0][0] // block_rows) or 1, -(-counts[1][0] // query_rows) or 1, counts[0][1]
+    spread = min(shuffle_partitions(spark), -(-counts[0][0] // min(block_rows, LEAST_ROWS)))  # no fewer blocks than tasks, if there are rows for them
+    blocks, query_blocks, size = max(-(-counts[0][0] // block_rows), spread, 1), -(-counts[1][0] // query_rows) or 1, counts[0][1]
     block = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     rows = vectors.select(block(blocks, 1).alias("b"), each(query_blocks).alias("qb"), F.lit(0).alias("asks"), "vec_id", "v").unionByName(

@@ -19,7 +19,7 @@ def expected(rows, k):
     return out
 
 
-@pytest.mark.parametrize("blocks", [(7, 2), (2048, 1024)])
+@pytest.mark.parametrize("blocks", [(7, 2), (t.BLOCK_ROWS, t.QUERY_ROWS)])
 def test_against_brute_force(spark, blocks):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=8).tolist()) for i in range(150)] + [(200 + i, [0.5] * 8) for i in range(30)]
@@ -49,3 +49,17 @@ def test_index_stops_only_on_proof(seed, spread):
     found, score = index.search(query, int(ids[3]), 5)
     best = sorted((-int(v @ query), int(i)) for i, v in zip(ids, vectors, strict=True) if i != ids[3])[:5]
     assert [(-s, i) for s, i in zip(score.tolist(), found.tolist(), strict=True)] == best
+
+
+def test_proof_stops_early_on_the_given_table():
+    import pyarrow.parquet as pq
+
+    e = pq.read_table("/root/testdata/sf0.1/embeddings.parquet", columns=["vec_id", "embedding"]).to_pandas()
+    ids, v = e["vec_id"].to_numpy(), np.floor(256 * np.stack(e["embedding"].to_numpy()).astype(np.float64)).astype(np.int64)
+    index = t.ImpactIndex(ids, v)
+    for i in np.flatnonzero(ids % 50 == 0):
+        possible = index.possible(v[i], int(ids[i]))
+        assert len(possible) < 0.1 * len(ids)
+        scores = v @ v[i]
+        best = sorted((-int(scores[j]), int(ids[j])) for j in range(len(ids)) if j != i)[:5]
+        assert {x for _, x in best} <= set(ids[possible].tolist())

@@ -61,9 +61,10 @@ def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def normalize_for_match(c: Column, compose=nfkc) -> Column:
-    """Arabic spelling variants to one form. NFKC changes no ASCII text, so such rows skip the UDF's work."""
+    """Arabic spelling variants to one form. NFKC changes no ASCII text, so such rows go to the UDF as null and skip its work."""
     bare = strip_diacritics(c)
-    folded = F.translate(compose(bare), "أإآى", "اااي")
+    ascii_only = F.octet_length(bare) == F.length(bare)
+    folded = F.translate(F.coalesce(compose(F.when(~ascii_only, bare)), bare), "أإآى", "اااي")
     return strip(F.regexp_replace(folded, WS + "+", " "))
 
 
@@ -132,15 +133,12 @@ def speech_segments(c: Column, most: int = 300) -> Column:
     ended, tail = F.slice(parts, 1, F.size(parts) - 1), strip(F.element_at(parts, -1))
     # the tail's words fold into lines; a word longer than a line is cut hard
     pieces = F.flatten(F.transform(F.split(tail, " "), lambda w: F.when(F.length(w) <= most, F.array(w)).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.length(w) - 1) / most).cast("int")), lambda i: F.substring(w, i * most + 1, F.lit(most))))))
-    empty = F.array().cast("array<string>")
-    last = lambda acc: F.try_element_at(acc, F.lit(-1))
-    wrapped = F.aggregate(
-        pieces, empty,
-        lambda acc, w: F.when(F.size(acc) == 0, F.array(w)).when(
-            F.length(last(acc)) + 1 + F.length(w) <= most,
-            F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat(last(acc), F.lit(" "), w))),
-        ).otherwise(F.concat(acc, F.array(w))),
-    )
+    # lines that are full, and the line that grows: the list is only copied when a line is full
+    begin = F.struct(F.array().cast("array<string>").alias("full"), F.lit(None).cast("string").alias("line"))
+    add = lambda acc, w: F.when(acc["line"].isNull(), F.struct(acc["full"].alias("full"), w.alias("line"))).when(
+        F.length(acc["line"]) + 1 + F.length(w) <= most, F.struct(acc["full"].alias("full"), F.concat(acc["line"], F.lit(" "), w).alias("line"))
+    ).otherwise(F.struct(F.concat(acc["full"], F.array(acc["line"])).alias("full"), w.alias("line")))
+    wrapped = F.aggregate(pieces, begin, add, lambda acc: F.concat(acc["full"], F.array(acc["line"])))
     every = F.concat(ended, F.when(F.length(tail) <= most, F.array(tail)).otherwise(wrapped))
     return F.filter(F.transform(every, strip), lambda x: x != "")
 

@@ -1,6 +1,8 @@
 """Pages assigned to biographies: identity from neighbours, islands, aggregates.
 
-Windows are per book, so a book is the largest thing that one task sorts.
+Windows are per book, so a book is the largest thing that one task sorts; a biography
+(an island) is the largest text that becomes one value. A character's pages of all books stay
+one row each: their sizes are summed first, and only characters below a bound are rendered as one text.
 """
 
 from __future__ import annotations
@@ -21,10 +23,8 @@ def resolve_character_context(pages: DataFrame, book: str = "book_id") -> DataFr
     blank = lambda c: F.nullif(T.strip(F.col(c)), F.lit(""))
     name = F.coalesce(blank("character_name"), blank("entry_name"))
     own = F.when(blank("character_id").isNotNull() & name.isNotNull(), F.struct(blank("character_id").alias("id"), name.alias("name")))
-    w = Window.partitionBy(book).orderBy("page_id")
-    df = pages.withColumn("_own", own)
-    df = df.withColumn("_before", F.last("_own", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    df = df.withColumn("_after", F.first("_own", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    nearest = lambda order: F.last("_own", ignorenulls=True).over(Window.partitionBy(book).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    df = pages.withColumn("_own", own).withColumn("_after", nearest(F.desc("page_id"))).withColumn("_before", nearest(F.asc("page_id")))  # both frames only grow
     shared = F.when(F.col("_before.id") == F.col("_after.id"), F.col("_before"))
     kind = F.when(F.col("_own").isNotNull(), "source").when(shared.isNotNull(), "inferred").otherwise("unassigned")
     who = F.coalesce("_own", shared)
@@ -61,6 +61,11 @@ def entry_counts(pages: DataFrame) -> DataFrame:
     return pages.where(T.strip(F.col("entry_name")) != "").groupBy("entry_name").agg(F.count("*").alias("n_pages"), F.min("page_id").alias("first_page_id"))
 
 
+def section_counts(pages: DataFrame) -> DataFrame:
+    """Pages per source section; blank names are left out."""
+    return pages.where(F.coalesce("source_section", F.lit("")) != "").groupBy("source_section").agg(F.count("*").alias("n_pages"))
+
+
 def manifest(pages: DataFrame) -> DataFrame:
     """One row of totals over resolved pages."""
     kind = lambda k: F.count_if(F.col("assignment") == k).alias(f"n_{k}")
@@ -74,13 +79,25 @@ def dedupe_pages(pages: DataFrame) -> DataFrame:
     return pages.groupBy("dataset_id", key.alias("page_key")).agg(best.alias("_p"), F.count("*").alias("n_seen")).select("page_key", "n_seen", "_p.*")
 
 
-def merge_biography(pages: DataFrame) -> DataFrame:
-    """``character_id, n_pages, page_ids, rendered``: a character's pages, those with an id first, each under its source line."""
+def biography_pages(pages: DataFrame) -> DataFrame:
+    """``character_id, place, page_id, rendered``: each page under its source line, and where it stands: those with an id first."""
     part = lambda name, c: F.concat(F.lit(f"{name}="), F.col(c).cast("string"))
     head = F.concat(F.lit("[SOURCE_PAGE "), F.concat_ws(" | ", part("dataset", "dataset_id"), part("page_id", "page_id"), part("printed_page", "printed_page"), part("url", "url")), F.lit("]"))
-    page = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "source_file", F.concat(head, F.lit("\n"), F.col("text")).alias("rendered"))
-    rows = pages.groupBy("character_id").agg(F.count("*").alias("n_pages"), F.array_sort(F.collect_list(page)).alias("p"))
-    return rows.select("character_id", "n_pages", F.filter(F.col("p.page_id"), lambda x: x.isNotNull()).alias("page_ids"), F.array_join(F.col("p.rendered"), "\n\n").alias("rendered"))
+    place = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "source_file")
+    return pages.select("character_id", place.alias("place"), "page_id", F.concat(head, F.lit("\n"), F.col("text")).alias("rendered"))
+
+
+def biography_sizes(rendered: DataFrame) -> DataFrame:
+    """``character_id, n_pages, n_chars, n_bytes`` of the text that a character's pages make, blank lines between them; no text is joined."""
+    total = lambda f: F.sum(f("rendered")) + 2 * (F.count("*") - 1)
+    return rendered.groupBy("character_id").agg(F.count("*").alias("n_pages"), total(F.length).alias("n_chars"), total(F.octet_length).alias("n_bytes"))
+
+
+def merge_biography(rendered: DataFrame, sizes: DataFrame, most_bytes: int) -> DataFrame:
+    """``character_id, n_pages, page_ids, rendered``: the whole text of characters that take at most ``most_bytes``."""
+    small = rendered.join(sizes.where(F.col("n_bytes") <= most_bytes).select("character_id"), "character_id", "left_semi")
+    rows = small.groupBy("character_id").agg(F.count("*").alias("n_pages"), F.array_sort(F.collect_list(F.struct("place", "rendered"))).alias("p"))
+    return rows.select("character_id", "n_pages", F.filter(F.col("p.place.page_id"), lambda x: x.isNotNull()).alias("page_ids"), F.array_join(F.col("p.rendered"), "\n\n").alias("rendered"))
 
 
 def canonical_metadata(biographies: DataFrame, first_order: int = 5) -> DataFrame:

@@ -23,22 +23,32 @@ def parse_custom_id(c: Column) -> Column:
     return F.when(c.rlike(CUSTOM_ID), F.struct(part(1).alias("slug"), (part(2) == "1").alias("want_categories"), (part(3) == "1").alias("want_description")))
 
 
-def worklist(roster: DataFrame, biographies: DataFrame, force: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Active characters that lack categories or a description, with their biography; and those without one."""
+def worklist(roster: DataFrame, sizes: DataFrame, force: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Active characters that lack categories or a description, with the sizes of their biography (character_id, n_pages, n_chars, n_bytes); and those without one."""
     need_c = F.lit(force) | (F.size(F.coalesce("categories", F.array())) == 0)
     need_d = F.lit(force) | (T.strip(F.coalesce("short_description", F.lit(""))) == "")
     todo = roster.where("is_active").withColumn("want_categories", need_c).withColumn("want_description", need_d).where("want_categories OR want_description")
-    joined = todo.join(biographies.select(F.col("character_id").alias("slug"), "rendered", "n_pages"), "slug", "left")
-    ready = joined.where("rendered IS NOT NULL").withColumn("custom_id", custom_id(F.col("slug"), F.col("want_categories"), F.col("want_description")))
-    return ready, joined.where("rendered IS NULL").select("slug")
+    joined = todo.join(sizes.select(F.col("character_id").alias("slug"), "n_pages", "n_chars", "n_bytes"), "slug", "left")
+    ready = joined.where("n_pages IS NOT NULL").withColumn("custom_id", custom_id(F.col("slug"), F.col("want_categories"), F.col("want_description")))
+    return ready, joined.where("n_pages IS NULL").select("slug")
 
 
-def requests(ready: DataFrame, system: str) -> DataFrame:
-    """``custom_id, slug, n_chars, tokens, request`` with the request as JSON."""
-    user = F.concat(F.lit("slug: "), F.col("slug"), F.lit("\n\n"), F.col("rendered"))
+def _head(slug: Column) -> Column:
+    return F.concat(F.lit("slug: "), slug, F.lit("\n\n"))
+
+
+def request_sizes(ready: DataFrame, system: str) -> DataFrame:
+    """``custom_id, slug, n_chars, tokens`` of the requests that ``ready`` calls for, before any is made."""
+    user = F.ceil((F.octet_length(_head(F.col("slug"))) + F.col("n_bytes")) / 4).cast("int")
+    return ready.select("custom_id", "slug", "n_chars", (user + T.estimate_tokens(F.lit(system))).alias("tokens"))
+
+
+def requests(ready: DataFrame, biographies: DataFrame, system: str, most: int = MOST_TOKENS) -> DataFrame:
+    """``custom_id, slug, request``, the request as JSON, for those of at most ``most`` tokens; ``biographies`` has (character_id, rendered)."""
+    fitting = request_sizes(ready, system).where(F.col("tokens") <= most).select("custom_id", "slug")
     message = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
-    body = F.struct(F.col("custom_id"), F.array(message("system", F.lit(system)), message("user", user)).alias("messages"))
-    return ready.select("custom_id", "slug", F.length("rendered").alias("n_chars"), (T.estimate_tokens(user) + T.estimate_tokens(F.lit(system))).alias("tokens"), F.to_json(body).alias("request"))
+    body = F.struct(F.col("custom_id"), F.array(message("system", F.lit(system)), message("user", F.concat(_head(F.col("slug")), F.col("rendered")))).alias("messages"))
+    return fitting.join(biographies.select(F.col("character_id").alias("slug"), "rendered"), "slug").select("custom_id", "slug", F.to_json(body).alias("request"))
 
 
 def preflight(made: DataFrame, missing: DataFrame, most: int = MOST_TOKENS) -> DataFrame:
@@ -65,9 +75,9 @@ def latest_status(log: DataFrame) -> DataFrame:
     )
 
 
-def run_id(log: DataFrame) -> DataFrame:
-    """One row: the log's run id if it has one only."""
-    return log.agg(F.when(F.countDistinct("run_id") == 1, F.min("run_id")).alias("run_id"))
+def run_id(log: DataFrame, *by: str) -> DataFrame:
+    """One row, or one for each ``by``: the log's run id if it has one only."""
+    return log.groupBy(*by).agg(F.when(F.min("run_id") == F.max("run_id"), F.min("run_id")).alias("run_id"))
 
 
 def retry_candidates(log: DataFrame, roster: DataFrame, biographies: DataFrame) -> DataFrame:

@@ -42,6 +42,9 @@ QUESTION, SOURCES, NO_SOURCES = "سؤال المستخدم: ", "\n\nالمصاد
 ANSWER_RULE = "\n\nأجب بالاعتماد فقط على هذه المصادر، مع ذكر أرقام المصادر [رقم] بجانب كل معلومة تستخدمها."
 CHARACTER, CONTEXT, NO_CONTEXT, CURRENT, REWRITE = "الشخصية: ", "\n\nسياق المحادثة السابقة (إن وُجد):\n", "(لا يوجد سياق سابق)", "\n\nسؤال المستخدم الحالي: ", "\n\nأعد صياغة هذا كاستعلام بحث أكثر تحديدًا وفق القواعد أعلاه."
 USER, NARRATOR = "المستخدم", "الراوي"
+AUDIENCE, CHILD, ADULT, ANSWER = "\nالجمهور: ", "طفل", "بالغ", "\n\nالإجابة السردية التي قُدّمت له:\n"
+USED_SOURCES, NO_USED_SOURCES = "\n\nالمصادر المستخدمة في هذه الإجابة:\n", "(لا توجد مصادر)"
+ASKED, NONE_ASKED, SUGGEST = "\n\nأسئلة سبق طرحها في هذه المحادثة (لا تقترح أيًا منها ولا ما يماثلها):\n", "(لا يوجد)", "\n\nاقترح أسئلة متابعة وفق القواعد أعلاه."
 
 
 def history_window(log: DataFrame, n: int = HISTORY) -> DataFrame:
@@ -107,12 +110,12 @@ def rewrite_prompt(turns: DataFrame, name: Column, last: int = 4) -> DataFrame:
 
 def suggestions_prompt(turns: DataFrame, name: Column, most: int = MOST_SUGGESTIONS) -> DataFrame:
     """``turns`` (mode, content, answer, context, asked, predefined) with ``prompt`` and the ``slots`` left."""
-    asked = F.when(F.size("asked") > 0, F.array_join(F.transform("asked", lambda q: F.concat(F.lit("- "), q)), "\n")).otherwise("(لا يوجد)")
-    audience = F.when(F.col("mode") == "kids", "طفل").otherwise("بالغ")
-    context = F.coalesce(F.nullif(F.col("context"), F.lit("")), F.lit("(لا توجد مصادر)"))
+    asked = F.when(F.size("asked") > 0, F.array_join(F.transform("asked", lambda q: F.concat(F.lit("- "), q)), "\n")).otherwise(NONE_ASKED)
+    audience = F.when(F.col("mode") == "kids", CHILD).otherwise(ADULT)
+    context = F.coalesce(F.nullif(F.col("context"), F.lit("")), F.lit(NO_USED_SOURCES))
     prompt = F.concat(
-        F.lit(CHARACTER), name, F.lit("\nالجمهور: "), audience, F.lit("\n\n" + QUESTION), F.col("content"), F.lit("\n\nالإجابة السردية التي قُدّمت له:\n"), F.col("answer"),
-        F.lit("\n\nالمصادر المستخدمة في هذه الإجابة:\n"), context, F.lit("\n\nأسئلة سبق طرحها في هذه المحادثة (لا تقترح أيًا منها ولا ما يماثلها):\n"), asked, F.lit("\n\nاقترح أسئلة متابعة وفق القواعد أعلاه."),
+        F.lit(CHARACTER), name, F.lit(AUDIENCE), audience, F.lit("\n\n" + QUESTION), F.col("content"), F.lit(ANSWER), F.col("answer"),
+        F.lit(USED_SOURCES), context, F.lit(ASKED), asked, F.lit(SUGGEST),
     )
     return turns.withColumn("slots", F.greatest(F.lit(most) - F.size("predefined"), F.lit(0))).withColumn("prompt", prompt)
 
@@ -142,13 +145,15 @@ def needs_model(predefined: Column, asked: Column, most: int = MOST_SUGGESTIONS)
     return F.size(filter_unused(predefined, asked)) < most
 
 
-def finalize_answer(pieces: DataFrame) -> DataFrame:
-    """Stored content and extra of generations from pieces (generation_id, seq, piece)."""
+def finalize_answer(pieces: DataFrame, suggestions: DataFrame | None = None) -> DataFrame:
+    """Stored content and extra of generations from pieces (generation_id, seq, piece); ``suggestions`` (generation_id, suggestions) go into extra where there are any."""
     joined = pieces.groupBy("generation_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "piece"))), lambda x: x["piece"]), "").alias("raw"))
-    return joined.select(
-        "generation_id", F.concat(T.strip_diacritics(F.col("raw")), F.lit("\n\n" + T.CLOSING_QUESTION)).alias("content"),
-        F.to_json(F.struct(F.concat("raw", F.lit("\n\n" + T.CLOSING_QUESTION_SPOKEN)).alias("diacritized_content"))).alias("extra"),
-    )
+    more = F.lit(None).cast("array<string>")
+    if suggestions is not None:
+        joined = joined.join(suggestions.select("generation_id", "suggestions"), "generation_id", "left")
+        more = F.when(F.size("suggestions") > 0, F.col("suggestions"))
+    extra = F.struct(F.concat("raw", F.lit("\n\n" + T.CLOSING_QUESTION_SPOKEN)).alias("diacritized_content"), more.alias("suggestions"))  # JSON leaves nulls out
+    return joined.select("generation_id", F.concat(T.strip_diacritics(F.col("raw")), F.lit("\n\n" + T.CLOSING_QUESTION)).alias("content"), F.to_json(extra).alias("extra"))
 
 
 def message_speech_text(log: DataFrame, most: int = SPOKEN_CHARS) -> DataFrame:

@@ -119,15 +119,33 @@ def format_context(hits: DataFrame) -> DataFrame:
     return grouped.select("query_id", F.array_join(F.col("_b.block"), "\n\n").alias("context"), F.when(F.size("_b") > 0, F.col("_b.cited")).alias("citations"))
 
 
-def lsh_neighbours(chunks: DataFrame, queries: DataFrame, k: int = K, length: float = 0.6, tables: int = 4) -> DataFrame:
-    """Approximate hits by random projections of unit vectors: ``query_id, rank, chunk_id``."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
-
-    unit = Normalizer(inputCol="v", outputCol="u")
-    left = unit.transform(chunks.where("embedding IS NOT NULL").select("chunk_id", array_to_vector("embedding").alias("v")))
-    right = unit.transform(queries.where("embedding IS NOT NULL").select("query_id", array_to_vector("embedding").alias("v")))
-    model = BucketedRandomProjectionLSH(inputCol="u", outputCol="h", bucketLength=length, numHashTables=tables, seed=7).fit(left)
-    near = model.approxSimilarityJoin(left, right, 2.0, "d").select(F.col("datasetB.query_id").alias("query_id"), F.col("datasetA.chunk_id").alias("chunk_id"), "d")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d", "chunk_id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id")
+def _bands(size: int, tables: int, bits: int):
+    """Keys of ``tables`` bands of ``bits`` signs: on which side of random hyperplanes a vector lies."""
+
+    @F.pandas_udf("array<long>")
+    def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        planes = np.random.default_rng(7).normal(size=(size, tables * bits))
+        for s in batches:
+            sides = (np.array(s.tolist(), dtype=np.float64).reshape(-1, size) @ planes > 0).reshape(len(s), tables, bits)
+            yield pd.Series(list((sides << np.arange(bits)).sum(axis=2) * tables + np.arange(tables)))
+
+    return keys
+
+
+def lsh_candidates(chunks: DataFrame, queries: DataFrame, tables: int = 16, bits: int = 10) -> DataFrame:
+    """``query_id, chunk_id, score`` of pairs that agree in all signs of one band at least, with their cosine.
+
+    Vectors at a cosine c agree in a sign with probability 1 - acos(c) / pi; by
+    these defaults those at 0.9 meet with 0.98, and of random ones 1.5 % do.
+    """
+    size = chunks.where("embedding IS NOT NULL").select(F.max(F.size("embedding"))).first()[0] or 0
+    band = _bands(size, tables, bits)
+    keyed = lambda df, name: df.where("embedding IS NOT NULL").select(name, F.col("embedding").alias(f"{name}_v"), F.explode(band("embedding")).alias("band"))
+    met = keyed(chunks, "chunk_id").join(keyed(queries, "query_id"), "band").drop("band").dropDuplicates(["query_id", "chunk_id"])
+    return met.select("query_id", "chunk_id", cosine(F.col("query_id_v"), F.col("chunk_id_v")).alias("score"))
+
+
+def lsh_neighbours(chunks: DataFrame, queries: DataFrame, k: int = K, tables: int = 16, bits: int = 10) -> DataFrame:
+    """Approximate hits by signs of random projections: ``query_id, rank, chunk_id, score``; ``retrieve`` is the exact search."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last(F.round("score", 12)), "chunk_id"))
+    return lsh_candidates(chunks, queries, tables, bits).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")

@@ -122,7 +122,23 @@ def sentence_segments(spark, d):
     return docs.withColumn("segment", F.col("segment").cast("long"))
 
 
-@query()
+_SPEECH = f"""
+WITH src AS (SELECT doc_id, {_strip(r"regexp_replace(text || ' [1] ' || repeat(lang, 200), '" + T.WS + r"*[\[\x{ff3b}][0-9\x{660}-\x{669}]+[\]\x{ff3d}]', '', 'g')")} AS x FROM documents),
+p AS (SELECT doc_id, string_split(regexp_replace(x, '([.!؟\n])', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM src),
+t AS (SELECT doc_id, parts[1:len(parts) - 1] AS ended, {_strip("parts[len(parts)]")} AS tail FROM p),
+w AS (SELECT doc_id, ended, tail, flatten(list_transform(string_split(tail, ' '), lambda y: CASE WHEN length(y) <= 300 THEN [y] ELSE list_transform(range(0, (length(y) - 1) // 300 + 1), lambda i: substr(y, i * 300 + 1, 300)) END)) AS ws FROM t),
+n AS (SELECT doc_id, ws, list_transform(range(0, len(ws) + 1), lambda k: CAST(coalesce(list_sum(list_transform(ws[1:k], lambda y: length(y) + 1)), 0) AS BIGINT)) AS p FROM w WHERE length(tail) > 300),
+wrapped AS (WITH RECURSIVE r AS (
+  SELECT doc_id, 0 AS line, 1::BIGINT AS lo, coalesce(list_filter(range(2, len(ws) + 1), lambda j: p[j + 1] - 1 > 300)[1], len(ws) + 1) - 1 AS hi FROM n
+  UNION ALL SELECT r.doc_id, line + 1, r.hi + 1, coalesce(list_filter(range(r.hi + 2, len(n.ws) + 1), lambda j: n.p[j + 1] - n.p[r.hi + 1] - 1 > 300)[1], len(n.ws) + 1) - 1 FROM r JOIN n ON n.doc_id = r.doc_id WHERE r.hi < len(n.ws)
+) SELECT * FROM r),
+lines AS (SELECT doc_id, list(array_to_string(ws[lo:hi], ' ') ORDER BY line) AS l FROM wrapped JOIN n USING (doc_id) GROUP BY doc_id),
+s AS (SELECT doc_id, list_filter(list_transform(ended || coalesce(l, [tail]), lambda x: {_strip("x")}), lambda x: x <> '') AS s FROM t LEFT JOIN lines USING (doc_id))
+SELECT doc_id, CAST(unnest(range(1, len(s) + 1)) - 1 AS INTEGER) AS segment, unnest(s) AS text FROM s
+"""
+
+
+@query(_SPEECH)
 def speech_segments(spark, d):
     docs = read_table(spark, d, "documents")
     return docs.select("doc_id", F.posexplode(T.speech_segments(T.strip_citation_markers(F.concat("text", F.lit(" [1] "), F.repeat("lang", 200))))).alias("segment", "text"))
@@ -396,7 +412,20 @@ def grounding_gate(spark, d):
     return R.grounding(hits.where("query_id <> chunk_id"), 0.6).withColumn("top_score", F.round("top_score", 6))
 
 
-@query()
+def _ranked_sql(vector: str, table: str) -> str:
+    """Best five of all chunks for each ``query_id`` of a table with a vector."""
+    cos = f"list_cosine_similarity({vector}, CAST(c.embedding AS DOUBLE[]))"
+    return f"SELECT * FROM (SELECT q.query_id, c.vec_id AS chunk_id, {cos} AS score, CAST(row_number() OVER (PARTITION BY q.query_id ORDER BY round({cos}, 12) DESC, c.vec_id) AS INTEGER) AS rank FROM {table} q CROSS JOIN embeddings c) WHERE rank <= 5"
+
+
+@query(f"""
+WITH a AS (SELECT vec_id AS query_id, CAST(CASE WHEN vec_id % 2 = 0 THEN list_reverse(embedding) ELSE embedding END AS DOUBLE[]) AS v, list_transform(embedding, lambda x: CAST(x + 0.01::FLOAT AS DOUBLE)) AS w FROM embeddings WHERE vec_id % 25 = 0),
+h AS ({_ranked_sql("q.v", "a")}), g AS (SELECT query_id, max(score) >= 0.6 AS grounded FROM h GROUP BY query_id),
+b AS (SELECT * FROM a WHERE query_id NOT IN (SELECT query_id FROM g WHERE grounded)), s AS ({_ranked_sql("q.w", "b")}),
+cleared AS (SELECT query_id FROM s GROUP BY query_id HAVING max(score) >= 0.6)
+SELECT query_id, rank, chunk_id, round(score, 6) AS score, FALSE AS retried FROM h WHERE query_id NOT IN (SELECT query_id FROM cleared)
+UNION ALL SELECT query_id, rank, chunk_id, round(score, 6), TRUE FROM s WHERE query_id IN (SELECT query_id FROM cleared)
+""")
 def retry_rewrite(spark, d):
     c, asks = _vectors(spark, d)
     badly = asks.withColumn("embedding", F.when(F.col("query_id") % 2 == 0, F.reverse("embedding")).otherwise(F.col("embedding")))  # these find nothing close
@@ -406,10 +435,13 @@ def retry_rewrite(spark, d):
 
 @query()
 def lsh_recall(spark, d):
+    """Of questions that are chunks moved by a third of another chunk: whether the near one is found, and the share of chunks that was compared."""
     c, asks = _vectors(spark, d)
-    exact, near = R.retrieve(c, asks), R.lsh_neighbours(c, asks, length=2.0)
-    found = exact.join(near.select("query_id", "chunk_id", F.lit(1).alias("hit")), ["query_id", "chunk_id"], "left")
-    return found.groupBy("query_id").agg(F.round(F.count("hit") / F.count("*"), 4).alias("recall"))
+    other = c.select((F.col("chunk_id") - 1).alias("query_id"), F.col("embedding").alias("noise"))
+    asks = asks.join(other, "query_id").select("query_id", F.zip_with("embedding", "noise", lambda x, y: x + y / 3).alias("embedding"))
+    near = R.lsh_candidates(c, asks).groupBy("query_id").agg(F.count("*").alias("compared"), F.max((F.col("chunk_id") == F.col("query_id")).cast("int")).alias("found"))
+    all_ = c.agg(F.count("*").alias("n"))
+    return asks.select("query_id").join(near, "query_id", "left").crossJoin(all_).select("query_id", F.coalesce("found", F.lit(0)).alias("found"), F.round(F.coalesce("compared", F.lit(0)) / F.col("n"), 4).alias("compared"))  # one row of a count
 
 
 # ---- conversations ----
@@ -457,12 +489,35 @@ def chat_messages(spark, d):
     return m.select("conversation_id", "turn", F.size("messages").cast("long").alias("n_messages"), F.col("messages")[0]["content"].alias("system_text"), F.try_element_at("messages", F.lit(-1))["content"].alias("user_text"))
 
 
-@query()
+def _lit(x: str) -> str:
+    return q(x).replace("\n", "' || chr(10) || '")
+
+
+@query(f"""
+WITH h AS ({_HIST}), l AS (SELECT conv_id, turn, any_value(text) AS text, list(CASE WHEN br = 'user' THEN {q(V.USER)} ELSE {q(V.NARRATOR)} END || ': ' || bx ORDER BY bt) FILTER (WHERE bt IS NOT NULL) AS lines FROM h WHERE role = 'user' GROUP BY conv_id, turn)
+SELECT conv_id AS conversation_id, turn, {q(V.CHARACTER)} || 'conv ' || conv_id || {_lit(V.CONTEXT)} || CASE WHEN lines IS NULL THEN {q(V.NO_CONTEXT)} ELSE array_to_string(lines[-4:], chr(10)) END || {_lit(V.CURRENT)} || text || {_lit(V.REWRITE)} AS rewrite FROM l
+""")
 def rewrite_prompt(spark, d):
     h = V.history_window(_log(spark, d)).where("role = 'user'")
     return V.rewrite_prompt(h, F.concat(F.lit("conv "), F.col("conversation_id"))).select("conversation_id", "turn", "rewrite")
 
 
+@query(f"""
+WITH a AS (SELECT a.conv_id, a.turn, list(DISTINCT b.text ORDER BY b.text) AS asked FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn <= a.turn AND b.role = 'user' WHERE a.role = 'user' GROUP BY a.conv_id, a.turn)
+SELECT conv_id AS conversation_id, turn, CASE WHEN conv_id % 2 = 0 THEN 1 ELSE 2 END AS slots,
+  {q(V.CHARACTER)} || 'conv ' || conv_id || {_lit(V.AUDIENCE)} || CASE WHEN conv_id % 2 = 0 THEN {q(V.CHILD)} ELSE {q(V.ADULT)} END || {_lit(chr(10) + chr(10) + V.QUESTION)} || text || {_lit(V.ANSWER)} || 'the answer'
+  || {_lit(V.USED_SOURCES)} || CASE WHEN turn = 0 THEN {q(V.NO_USED_SOURCES)} ELSE 'ctx' END || {_lit(V.ASKED)} || array_to_string(list_transform(asked, lambda x: '- ' || x), chr(10)) || {_lit(V.SUGGEST)} AS prompt
+FROM conversations JOIN a USING (conv_id, turn) WHERE role = 'user'
+""")
+def suggestions_prompt(spark, d):
+    log = _log(spark, d)
+    turns = log.where("role = 'user'").join(V.already_asked(log), ["conversation_id", "turn"])
+    mode = F.when(F.col("conversation_id") % 2 == 0, "kids").otherwise("adults")
+    turns = turns.withColumn("mode", mode).withColumn("answer", F.lit("the answer")).withColumn("context", F.when(F.col("turn") == 0, "").otherwise("ctx"))
+    turns = turns.withColumn("predefined", V.predefined_suggestions(F.col("mode"), F.array().cast("array<string>")))
+    return V.suggestions_prompt(turns, F.concat(F.lit("conv "), F.col("conversation_id"))).select("conversation_id", "turn", "slots", "prompt")
+
+
 @query(f"""
 WITH a AS (SELECT conv_id, list(DISTINCT text) AS asked FROM conversations WHERE role = 'user' GROUP BY conv_id),
 t AS (SELECT c.conv_id, c.turn, c.text, coalesce(a.asked, []) AS asked FROM conversations c LEFT JOIN a USING (conv_id) WHERE role = 'assistant'),
@@ -481,17 +536,21 @@ def suggestions(spark, d):
 
 
 @query(f"""
-SELECT conv_id AS generation_id, string_agg(text, '' ORDER BY turn) || chr(10) || chr(10) || {q(T.CLOSING_QUESTION)} AS content FROM conversations GROUP BY conv_id
+SELECT conv_id AS generation_id, string_agg(text, '' ORDER BY turn) || chr(10) || chr(10) || {q(T.CLOSING_QUESTION)} AS content, string_agg(text, '' ORDER BY turn) || chr(10) || chr(10) || {q(T.CLOSING_QUESTION_SPOKEN)} AS spoken,
+  CASE WHEN conv_id % 3 = 0 THEN 'more|' || conv_id END AS suggestions FROM conversations GROUP BY conv_id
 """)
 def finalize_answer(spark, d):
     pieces = _log(spark, d).select(F.col("conversation_id").alias("generation_id"), F.col("turn").alias("seq"), F.col("content").alias("piece"))
-    return V.finalize_answer(pieces).select("generation_id", "content")
+    ids = pieces.select("generation_id").distinct()
+    more = ids.select("generation_id", F.when(F.col("generation_id") % 3 == 0, F.array(F.lit("more"), F.col("generation_id").cast("string"))).otherwise(F.array().cast("array<string>")).alias("suggestions"))
+    extra = F.from_json("extra", "diacritized_content string, suggestions array<string>")
+    return V.finalize_answer(pieces, more).select("generation_id", "content", extra["diacritized_content"].alias("spoken"), F.array_join(extra["suggestions"], "|").alias("suggestions"))
 
 
-@query("SELECT conv_id AS conversation_id, count(*) AS n_messages, string_agg(turn || ':' || role, ',' ORDER BY turn) AS outline FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id AS conversation_id, count(*) AS n_messages, sha256(string_agg(turn || ':' || role || ':' || text, ',' ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")
 def export_conversation(spark, d):
     e = V.export_conversation(_log(spark, d))
-    return e.select("conversation_id", "n_messages", F.array_join(F.transform("messages", lambda m: F.concat(m["turn"], F.lit(":"), m["role"])), ",").alias("outline"))
+    return e.select("conversation_id", "n_messages", T.content_hash(F.array_join(F.transform("messages", lambda m: F.concat(m["turn"], F.lit(":"), m["role"], F.lit(":"), m["content"])), ",")).alias("digest"))
 
 
 @query("SELECT conv_id AS conversation_id, greatest(timestamp '2024-01-01', timestamp '2024-01-01' + to_hours(max(turn))) AS updated_at FROM conversations GROUP BY conv_id")
@@ -536,14 +595,14 @@ def _pages(spark, d):
     docs = read_table(spark, d, "documents")
     has = F.col("doc_id") % 3 != 1
     return docs.select(
-        F.col("lang").alias("book_id"), F.col("doc_id").alias("page_id"), F.when(has, F.concat(F.lit("p"), (F.floor(F.col("doc_id") / 20) % 4).cast("string"))).alias("character_id"),
+        F.concat("lang", F.lit("-"), F.floor(F.col("doc_id") / 200)).alias("book_id"), F.col("doc_id").alias("page_id"), F.when(has, F.concat(F.lit("p"), (F.floor(F.col("doc_id") / 20) % 4).cast("string"))).alias("character_id"),
         F.when(has & (F.col("doc_id") % 2 == 0), F.concat(F.lit("name "), "source")).alias("character_name"), F.when(has, F.concat(F.lit("entry "), "source")).alias("entry_name"),
         F.when(F.col("doc_id") % 5 != 0, F.col("doc_id").cast("string")).alias("printed_page"), F.lit(1).alias("printed_volume"), F.when(F.col("doc_id") % 4 != 0, F.concat(F.lit("u"), "doc_id")).alias("url"), "text",
     )
 
 
 _RESOLVED = """
-WITH p AS (SELECT lang AS book_id, doc_id AS page_id, CASE WHEN doc_id % 3 <> 1 THEN 'p' || ((doc_id // 20) % 4) END AS own,
+WITH p AS (SELECT lang || '-' || (doc_id // 200) AS book_id, doc_id AS page_id, CASE WHEN doc_id % 3 <> 1 THEN 'p' || ((doc_id // 20) % 4) END AS own,
                   CASE WHEN doc_id % 3 <> 1 THEN CASE WHEN doc_id % 2 = 0 THEN 'name ' || source ELSE 'entry ' || source END END AS name, text,
                   CASE WHEN doc_id % 5 <> 0 THEN CAST(doc_id AS VARCHAR) END AS printed_page, CASE WHEN doc_id % 4 <> 0 THEN 'u' || doc_id END AS url FROM documents),
 n AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY book_id ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b,
@@ -587,6 +646,12 @@ def entry_counts(spark, d):
     return B.entry_counts(_pages(spark, d))
 
 
+@query("SELECT source AS source_section, count(*) AS n_pages FROM documents WHERE doc_id % 5 <> 0 GROUP BY source")
+def section_counts(spark, d):
+    docs = read_table(spark, d, "documents")
+    return B.section_counts(docs.select(F.when(F.col("doc_id") % 5 != 0, F.col("source")).when(F.col("doc_id") % 2 == 0, "").alias("source_section")))
+
+
 @query("""
 WITH t AS (SELECT *, CASE WHEN doc_id % 6 = 0 THEN 'sha256:' || sha256(text) ELSE 'page:' || (doc_id // 4) END AS page_key FROM documents)
 SELECT page_key, n_seen, doc_id AS seq FROM (SELECT page_key, doc_id, count(*) OVER (PARTITION BY lang, page_key) AS n_seen, row_number() OVER (PARTITION BY lang, page_key ORDER BY length(text) DESC, doc_id) AS r FROM t) WHERE r = 1
@@ -603,18 +668,30 @@ SELECT source AS slug, count(*) AS n_pages, string_agg('[SOURCE_PAGE dataset=' |
 """
 
 
-def _merged_biography(spark, d):
+#: Biographies of more bytes are not rendered as one value: the limit of tokens of a request.
+_MOST_BYTES = 4 * K.MOST_TOKENS
+
+
+def _biography_pages(spark, d):
     docs = read_table(spark, d, "documents")
     pages = docs.select(
         F.col("source").alias("character_id"), F.col("lang").alias("dataset_id"), F.when(F.col("doc_id") % 6 != 0, F.col("doc_id")).alias("page_id"), F.when(F.col("doc_id") % 2 == 0, F.col("n_chars")).alias("printed_page"),
         F.concat(F.lit("u"), "doc_id").alias("url"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("source_file"), "text",
     )
-    return B.merge_biography(pages)
+    rendered = B.biography_pages(pages)
+    return rendered, B.biography_sizes(rendered)
 
 
-@query(f"SELECT slug AS character_id, n_pages, sha256(rendered) AS digest FROM ({_MERGED_BIO})")
+@query(f"SELECT slug AS character_id, n_pages, length(rendered) AS n_chars, CASE WHEN strlen(rendered) <= {_MOST_BYTES} THEN sha256(rendered) END AS digest FROM ({_MERGED_BIO})")
 def merged_biography(spark, d):
-    return _merged_biography(spark, d).select("character_id", "n_pages", T.content_hash(F.col("rendered")).alias("digest"))
+    rendered, sizes = _biography_pages(spark, d)
+    made = B.merge_biography(rendered, sizes, _MOST_BYTES).select("character_id", T.content_hash(F.col("rendered")).alias("digest"))
+    return sizes.join(made, "character_id", "left").select("character_id", "n_pages", "n_chars", "digest")
+
+
+@query(f"SELECT source AS character_id, doc_id AS seq, sha256(r) AS digest FROM (SELECT source, doc_id, '[SOURCE_PAGE dataset=' || lang || CASE WHEN doc_id % 6 <> 0 THEN ' | page_id=' || doc_id ELSE '' END || CASE WHEN doc_id % 2 = 0 THEN ' | printed_page=' || n_chars ELSE '' END || ' | url=u' || doc_id || ']' || chr(10) || text AS r FROM documents)")
+def biography_pages(spark, d):
+    return _biography_pages(spark, d)[0].select("character_id", F.col("place.source_file").cast("long").alias("seq"), T.content_hash(F.col("rendered")).alias("digest"))
 
 
 @query("SELECT source AS character_id, arg_min(lang, doc_id) AS character_name, min(doc_id) AS page_id_start, CAST(row_number() OVER (ORDER BY min(doc_id), source) + 4 AS INTEGER) AS sort_order FROM documents GROUP BY source")
@@ -683,10 +760,12 @@ def story_rotation(spark, d):
     return O.story_of_day(days, overrides, r)
 
 
-@query(_ROSTER + "SELECT count(*) AS n_characters, count(*) FILTER (WHERE NOT bare) AS n_labelled FROM c")
+@query(_ROSTER + "SELECT slug, CAST(row_number() OVER (ORDER BY slug) - 1 AS INTEGER) AS place, CASE WHEN bare THEN '' ELSE era || '|x|' || era END AS categories, descr AS short_description FROM c")
 def export_snapshot(spark, d):
-    parsed = O.export_snapshot(_roster(spark, d)).select(F.from_json("snapshot", "map<string,struct<categories:array<string>,short_description:string>>").alias("m"))
-    return parsed.select(F.size("m").cast("long").alias("n_characters"), F.size(F.filter(F.map_values("m"), lambda v: F.size(v["categories"]) > 0)).cast("long").alias("n_labelled"))
+    snapshot = O.export_snapshot(_roster(spark, d))
+    keys = snapshot.select(F.posexplode(F.json_object_keys("snapshot")).alias("place", "slug"))
+    values = snapshot.select(F.explode(F.from_json("snapshot", "map<string,struct<categories:array<string>,short_description:string>>")).alias("slug", "v"))
+    return keys.join(values, "slug").select("slug", "place", F.array_join("v.categories", "|").alias("categories"), "v.short_description")
 
 
 @query(_ROSTER + "SELECT slug, CASE WHEN k % 2 = 0 THEN 'new' WHEN bare THEN '' ELSE era || '|x|' || era END AS categories, CASE WHEN k % 2 = 0 AND k % 5 <> 0 THEN 'from snapshot' ELSE descr END AS short_description, k % 2 = 0 AS changed FROM c")
@@ -716,8 +795,9 @@ def merge_generated(spark, d):
 def _work(spark, d):
     r = _roster(spark, d)
     slugs = read_table(spark, d, "nation").select(F.concat(F.lit("src"), "n_nationkey").alias("character_id"), F.lower("n_name").alias("slug"))
-    bios = _merged_biography(spark, d).join(slugs, "character_id").drop("character_id").withColumnRenamed("slug", "character_id")
-    return K.worklist(r, bios)
+    rename = lambda df: df.join(slugs, "character_id").drop("character_id").withColumnRenamed("slug", "character_id")
+    rendered, sizes = _biography_pages(spark, d)
+    return *K.worklist(r, rename(sizes)), rename(rendered), rename(sizes)
 
 
 _WORK = _ROSTER + f", b AS (SELECT * FROM ({_MERGED_BIO})), w AS (SELECT c.slug, bare, trim(descr) = '' AS want_d, b.rendered FROM c LEFT JOIN b ON b.slug = 'src' || c.k WHERE active AND (bare OR trim(descr) = ''))"
@@ -738,13 +818,21 @@ _TOKENS = "CAST(ceil(strlen('slug: ' || slug || chr(10) || chr(10) || rendered)
 
 @query(_WORK + f"SELECT count(rendered) AS n_requests, CAST(coalesce(sum(length(rendered)), 0) AS BIGINT) AS n_chars, CAST(coalesce(sum({_TOKENS}), 0) AS BIGINT) AS tokens, count(*) FILTER (WHERE {_TOKENS} > 20000) AS n_oversized, count(*) - count(rendered) AS n_missing, count(*) FILTER (WHERE {_TOKENS} > 20000) > 0 OR count(*) > count(rendered) AS blocked FROM w")
 def preflight(spark, d):
-    ready, missing = _work(spark, d)
-    return K.preflight(K.requests(ready, "classify"), missing, 20_000)
+    ready, missing, *_ = _work(spark, d)
+    return K.preflight(K.request_sizes(ready, "classify"), missing, 20_000)
+
+
+@query(_WORK + f"""SELECT slug || '::c' || CASE WHEN bare THEN 1 ELSE 0 END || 'd' || CASE WHEN want_d THEN 1 ELSE 0 END AS custom_id, 'system|user' AS roles, sha256('slug: ' || slug || chr(10) || chr(10) || rendered) AS digest FROM w WHERE rendered IS NOT NULL AND {_TOKENS} <= {K.MOST_TOKENS}""")
+def requests(spark, d):
+    ready, _, rendered, sizes = _work(spark, d)
+    made = K.requests(ready, B.merge_biography(rendered, sizes, _MOST_BYTES), "classify")
+    parsed = made.select("custom_id", F.from_json("request", "custom_id string, messages array<struct<role:string,content:string>>").alias("r"))
+    return parsed.where("custom_id = r.custom_id").select("custom_id", F.array_join("r.messages.role", "|").alias("roles"), T.content_hash(F.col("r.messages")[1]["content"]).alias("digest"))
 
 
 @query(_WORK + f"SELECT slug || '::c' || CASE WHEN bare THEN 1 ELSE 0 END || 'd' || CASE WHEN want_d THEN 1 ELSE 0 END AS custom_id, CAST({_TOKENS} AS INTEGER) AS tokens FROM w WHERE rendered IS NOT NULL ORDER BY 2 DESC, 1 LIMIT 5")
 def largest_requests(spark, d):
-    return K.largest_requests(K.requests(_work(spark, d)[0], "classify"), 5)
+    return K.largest_requests(K.request_sizes(_work(spark, d)[0], "classify"), 5)
 
 
 def _results(spark, d):
@@ -778,6 +866,12 @@ def usage_totals(spark, d):
     return K.usage_totals(_results(spark, d))
 
 
+@query("SELECT doc_id % 4 AS part, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 'run' || (doc_id % 4) END AS run_id FROM labels GROUP BY 1, 2")
+def run_id(spark, d):
+    log = read_table(spark, d, "labels").select((F.col("doc_id") % 4).alias("part"), F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("run"), F.col("doc_id") % 12)).otherwise(F.concat(F.lit("run"), F.col("doc_id") % 4)).alias("run_id"))
+    return K.run_id(log, "part")
+
+
 @query(_RESULTS + "SELECT custom_id, CASE WHEN k % 2 = 1 THEN 'not in roster' WHEN k % 3 = 0 THEN 'no biography' END AS blocked_by FROM (SELECT custom_id, min(line_no % 30) AS k FROM l WHERE custom_id <> 'broken' GROUP BY custom_id HAVING NOT bool_or(status = 'completed'))")
 def retry_candidates(spark, d):
     log = _results(spark, d)
@@ -817,22 +911,46 @@ def apply_classification(spark, d):
 # ---- HTML, files, streams ----
 
 
-@query()
+def _html_lines(html: str) -> str:
+    """SQL for H.html_lines; RE2 has no back references, so each kind of element goes on its own. Only references that the given pages hold are known."""
+    out = html
+    for tag in ("script", "style", "noscript", "svg"):
+        out = f"regexp_replace({out}, '(?is)<{tag}\\b.*?</{tag}\\s*>', '', 'g')"
+    out = f"regexp_replace({out}, '(?s)<!--.*?-->|<[!/?a-zA-Z][^>]*>', chr(10), 'g')"
+    for name, c in (("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"')):
+        out = f"replace({out}, '{name}', '{c}')"
+    out = f"regexp_replace({out}, '&amp;?', '&', 'g')"
+    clean = _strip(r"regexp_replace(regexp_replace(x, '[\x{200e}\x{200f}]', '', 'g'), '[ \t\x{a0}]+', ' ', 'g')")
+    return f"list_filter(list_transform(string_split_regex({out}, '{H.LINE_END}'), lambda x: {clean}), lambda x: x <> '')"
+
+
+@query(f"SELECT page_id, CAST(len(l) AS INTEGER) AS n_lines, sha256(array_to_string(l, chr(10))) AS content_hash FROM (SELECT page_id, {_html_lines('html')} AS l FROM pages)")
 def html_pages(spark, d):
     pages = read_table(spark, d, "pages").withColumn("lines", H.html_lines(H.unescape(H.raw_lines(F.col("html")))))
     return pages.select("page_id", F.size("lines").alias("n_lines"), T.content_hash(F.array_join("lines", "\n")).alias("content_hash"))
 
 
-@query("SELECT page_id, url FROM pages WHERE page_id IS NOT NULL")
+_BODY = "نص عربي طويل يكفي للاختبار هنا"
+
+
+@query(f"""
+WITH l AS (SELECT page_id, url, {_html_lines('html')} AS l FROM pages WHERE page_id % 3 <> 0), b AS (SELECT page_id, url, '{_BODY}' || CASE WHEN len(l) > 0 THEN chr(10) || array_to_string(l, chr(10)) ELSE '' END AS text FROM l)
+SELECT page_id, url, 2 AS printed_volume, 15 AS printed_page, sha256(text) AS content_hash FROM b
+""")
 def html_extract(spark, d):
-    """Pages wrapped in the markers of the scraped site, through the whole extraction."""
-    wrapped = read_table(spark, d, "pages").withColumn("html", F.concat(F.lit(f"<p>{H.PAGE_START}</p><p>نص عربي طويل يكفي للاختبار هنا</p>"), F.regexp_replace("html", "<title>", "<title>ج ٢ ص ١٥ "), F.lit(f"<p>{H.PAGE_END}</p>")))
-    return H.extract_pages(wrapped)[0].where("printed_volume = 2 AND printed_page = 15").select("page_id", "url")
+    """Pages in the markers of the scraped site, two of three, through the whole extraction."""
+    p = lambda x: F.lit(f"<p>{x}</p>")
+    body = F.when(F.col("page_id") % 3 != 0, F.concat(F.lit("<title>ج ٢ ص ١٥</title>"), p("before"), p(H.PAGE_START), p(_BODY), F.col("html"), p(H.PAGE_END), p("after"))).otherwise(F.col("html"))
+    return H.extract_pages(read_table(spark, d, "pages").withColumn("html", body))[0].select("page_id", "url", "printed_volume", "printed_page", "content_hash")
 
 
-@query("SELECT page_id, 'no start or end marker' AS reason FROM pages")
+@query(f"SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'no start or end marker' ELSE 'text too short or not Arabic' END AS reason FROM pages WHERE page_id % 3 = 0 OR page_id % 3 = 1 AND NOT regexp_matches(array_to_string({_html_lines('html')}, chr(10)), '{T.ARABIC}')")
 def html_rejects(spark, d):
-    return H.extract_pages(read_table(spark, d, "pages"))[1]
+    """Pages without markers, with markers around a text that is not Arabic, and good ones."""
+    p = lambda x: F.lit(f"<p>{x}</p>")
+    more = F.when(F.col("page_id") % 3 == 2, p(_BODY)).otherwise(F.lit(""))
+    body = F.when(F.col("page_id") % 3 != 0, F.concat(p(H.PAGE_START), more, F.col("html"), p(H.PAGE_END))).otherwise(F.col("html"))
+    return H.extract_pages(read_table(spark, d, "pages").withColumn("html", body))[1]
 
 
 @query(r"SELECT page_id, coalesce(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title\s*>', 1), '') AS title FROM pages")
@@ -840,11 +958,10 @@ def html_titles(spark, d):
     return read_table(spark, d, "pages").select("page_id", H.title_text(F.col("html")).alias("title"))
 
 
-@query(f"SELECT source AS book, count(*) AS n_pages, sha256(string_agg('===== page_id=' || doc_id || ' | volume=1 | page=' || n_chars || ' =====' || chr(10) || {_strip('text')}, chr(10) || chr(10) ORDER BY doc_id)) AS digest FROM documents GROUP BY source")
+@query(f"SELECT source AS book, doc_id AS page_id, sha256('===== page_id=' || doc_id || ' | volume=1 | page=' || coalesce(CAST(nullif(n_chars % 4, 0) AS VARCHAR), 'None') || ' =====' || chr(10) || {_strip('text')}) AS digest FROM documents")
 def review_text(spark, d):
-    pages = read_table(spark, d, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("page_id"), F.lit(1).alias("printed_volume"), F.col("n_chars").alias("printed_page"), "text")
-    made = S.review_text(pages, "book").select("book", T.content_hash(F.col("value")).alias("digest"))
-    return made.join(pages.groupBy("book").agg(F.count("*").alias("n_pages")), "book").select("book", "n_pages", "digest")
+    pages = read_table(spark, d, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("page_id"), F.lit(1).alias("printed_volume"), F.nullif(F.col("n_chars") % 4, F.lit(0)).alias("printed_page"), "text")
+    return S.review_text(pages, "book").select("book", "page_id", T.content_hash(F.col("block")).alias("digest"))
 
 
 @query("SELECT doc_id AS page_id, source AS character_id, lang AS collection, CAST(n_chars AS VARCHAR) AS printed_page, sha256(text) AS content_hash FROM documents")
@@ -854,9 +971,9 @@ def jsonl_round_trip(spark, d):
         F.lit(1).alias("book_id"), F.lit("b").alias("book_title"), F.lit("a").alias("author"), F.col("lang").alias("collection"), F.col("source").alias("caliph_id"), F.lit("n").alias("caliph_name"),
         F.col("doc_id").alias("page_id"), F.col("n_chars").cast("string").alias("printed_page"), F.lit("u").alias("url"), "text",
     )
-    path = f"{Staging(spark).root}/rows_pages.jsonl"
-    S.write_jsonl(rows, path)
-    pages = P.to_source_page(spark.read.schema(P.JSONL_PAGE).option("mode", "FAILFAST").json(path))
+    root = Staging(spark).root
+    S.write_jsonl(rows, f"{root}/rows_pages.jsonl")
+    pages = P.load_source_pages(spark, root)
     return pages.select(F.col("page_id").cast("long"), "character_id", "collection", "printed_page", T.content_hash(F.col("text")).alias("content_hash"))
 
 
@@ -864,7 +981,7 @@ def jsonl_round_trip(spark, d):
 def stream_ingest(spark, d):
     from corpusflow.streaming.jobs import incremental_ingest
 
-    root = f"{Staging(spark).root}-stream"
+    root = Staging(spark).root
     read_table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), "text").write.parquet(f"{root}/in")
     stream = spark.readStream.schema("page_id long, text string").option("maxFilesPerTrigger", 4).parquet(f"{root}/in")
     job = incremental_ingest(stream, f"{root}/table", ["page_id"], f"{root}/checkpoint")

@@ -51,9 +51,9 @@ def to_source_page(df: DataFrame) -> DataFrame:
 
 
 def read_jsonl_pages(spark: SparkSession, path: str) -> DataFrame:
-    """All ``*_pages.jsonl`` of a folder but the combined one; a malformed line is an error."""
-    raw = spark.read.schema(JSONL_PAGE).option("mode", "FAILFAST").option("pathGlobFilter", "*_pages.jsonl").json(path)
-    raw = raw.where(F.col("_metadata.file_name") != COMBINED)
+    """All ``*_pages.jsonl`` of a folder, files or folders of part files, but the combined one; a malformed line is an error."""
+    paths = [p for p in _exists(spark, f"{path}/*_pages.jsonl") if p.rsplit("/", 1)[-1] != COMBINED]
+    raw = spark.read.schema(JSONL_PAGE).option("mode", "FAILFAST").json(paths) if paths else spark.createDataFrame([], JSONL_PAGE)
     return _required(raw, [c for c in raw.columns if c != "printed_page"])
 
 
@@ -114,13 +114,22 @@ def validate_cached_records(df: DataFrame, names: tuple[str, ...] = ("page_id",
 
 
 def read_biography_segments(spark: SparkSession, root: str) -> DataFrame:
-    """Pages of all biography folders by character; a folder without pages gives its ``raw.txt`` as one."""
-    folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
-    meta = spark.read.schema("character_id string, character_name string, dataset_id string").option("multiLine", True).json(f"{root}/*/metadata.json").withColumn("folder", folder)
-    pages = spark.read.schema("page_id int, printed_page int, url string, text string").json(f"{root}/*/pages.jsonl").withColumn("folder", folder)
-    raw = spark.read.option("wholetext", True).text(f"{root}/*/raw.txt").select(F.col("value").alias("text"), folder.alias("folder"))
-    rest = raw.join(pages.select("folder").distinct(), "folder", "left_anti")
-    return pages.unionByName(rest, allowMissingColumns=True).join(meta, "folder").withColumn("source_file", F.col("folder"))
+    """Pages of all biography folders by character; a folder without pages gives its ``raw.txt`` as one.
+
+    Folders are ``NAME/metadata.json`` and so on, or as ``write_biographies`` leaves them, ``folder=NAME/file=metadata.json``.
+    """
+    written = bool(_exists(spark, f"{root}/folder=*"))
+    at = lambda file: f"{root}/folder=*/file={file}" if written else f"{root}/*/{file}"
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"/folder=([^/]+)/" if written else r"([^/]+)/[^/]+$", 1)
+    meta = spark.read.schema("character_id string, character_name string, dataset_id string").option("multiLine", not written).json(at("metadata.json")).withColumn("folder", folder)
+    fields = "page_id int, printed_page int, url string, text string"
+    pages = spark.createDataFrame([], f"{fields}, folder string")
+    if _exists(spark, at("pages.jsonl")):
+        pages = spark.read.schema(fields).json(at("pages.jsonl")).withColumn("folder", folder)
+    if _exists(spark, at("raw.txt")):
+        raw = spark.read.text(at("raw.txt"), wholetext=True).select(F.col("value").alias("text"), folder.alias("folder"))
+        pages = pages.unionByName(raw.join(pages.select("folder").distinct(), "folder", "left_anti"), allowMissingColumns=True)
+    return pages.join(meta, "folder").withColumn("source_file", F.col("folder"))
 
 
 def read_result_log(spark: SparkSession, path: str) -> DataFrame:
@@ -146,7 +155,7 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     empty = spark.createDataFrame([], "slug string, categories array<string>, short_description string")
     if not _exists(spark, path):
         return empty
-    text = spark.read.option("wholetext", True).text(path).select(F.col("value").alias("v"))
+    text = spark.read.text(path, wholetext=True).select(F.col("value").alias("v"))
     inner = F.coalesce(F.get_json_object("v", "$.characters"), F.col("v"))
     by_slug = text.select(F.explode(F.from_json(F.when(inner.startswith("{"), inner), f"map<string,struct<{fields}>>")).alias("slug", "x")).where("x IS NOT NULL").select("slug", "x.*")
     listed = text.select(F.explode(F.from_json(F.when(inner.startswith("["), inner), f"array<struct<slug:string,{fields}>>")).alias("x")).where("x.slug IS NOT NULL").select("x.*")

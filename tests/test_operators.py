@@ -1,8 +1,10 @@
 import hashlib
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
+from corpusflow.functions import html as H
 from corpusflow.operators import biographies as B
 from corpusflow.operators import classification as K
 from corpusflow.operators import conversations as V
@@ -155,3 +157,105 @@ def test_retry_searches_all_chunks(spark, sf_dir):
     assert {r["query_id"] for r in rows} == asked and any(q % 3 == 0 for q in asked)
     assert all(r["chunk_id"] == r["query_id"] for r in rows if r["rank"] == 1)
     assert {r["retried"] for r in rows} == {True, False}
+
+
+def test_biography_folders_come_back(spark, tmp_path):
+    fields = "book_id int, page_id int, character_id string, character_name string, entry_name string, printed_volume int, printed_page int, url string, text string, dataset_id string"
+    rows = [(1, i, c, f"name {c}" if c else None, None, 1, 10 + i, f"u{i}", f"  text {i}\nof {c}  ", "d") for i, c in enumerate(["a", "a", None, "b", None, "a"], 1)]
+    pages = B.split_contiguous(B.resolve_character_context(spark.createDataFrame(rows, fields)))
+    made = B.aggregate_biographies(pages)
+    path = str(tmp_path / "out")
+    for _ in range(2):  # the second run replaces the first
+        S.write_biographies(made.withColumn("dataset_id", F.lit("d")), pages, path)
+    got = P.read_biography_segments(spark, path).collect()
+    assert sorted((r["page_id"], r["character_id"], r["text"].strip(), r["source_file"]) for r in got) == [
+        (1, "a", "text 1\nof a", "0001_name_a"), (2, "a", "text 2\nof a", "0001_name_a"), (4, "b", "text 4\nof b", "0004_name_b"), (6, "a", "text 6\nof a", "0006_name_a"),
+    ]
+    raw = next((tmp_path / "out" / "folder=0001_name_a" / "file=raw.txt").glob("part-*")).read_text()
+    assert raw == "===== page_id=1 | volume=1 | page=11 =====\ntext 1\nof a\n\n===== page_id=2 | volume=1 | page=12 =====\ntext 2\nof a\n\n"
+    assert [r["page_id"] for r in spark.read.json(f"{path}/unassigned_pages.jsonl").collect()] == [3, 5]
+
+
+def test_biography_folders_in_the_plain_layout(spark, tmp_path):
+    for name, files in (("0001_x", {"metadata.json": json.dumps({"character_id": "x", "character_name": "X", "dataset_id": "d"}, indent=1), "pages.jsonl": '{"page_id": 1, "text": "p"}\n', "raw.txt": "unused"}), ("0002_y", {"metadata.json": '{"character_id": "y"}', "raw.txt": "whole\nraw"})):
+        (tmp_path / name).mkdir()
+        for file, body in files.items():
+            (tmp_path / name / file).write_text(body)
+    got = sorted((r["character_id"], r["page_id"], r["text"]) for r in P.read_biography_segments(spark, str(tmp_path)).collect())
+    assert got == [("x", 1, "p"), ("y", None, "whole\nraw")]
+
+
+def test_strict_pages_logs_and_batches(spark, tmp_path):
+    ok, bad, empty = tmp_path / "ok.jsonl", tmp_path / "bad.jsonl", tmp_path / "empty.jsonl"
+    ok.write_text('{"page_id": 2, "text": "b"}\n{"page_id": 1, "text": "a"}\n')
+    bad.write_text('{"page_id": 2}\n')
+    empty.write_text("")
+    assert [r["page_id"] for r in P.read_pages_strict(spark, str(ok)).collect()] == [1, 2]
+    with pytest.raises(Exception, match="missing text"):
+        P.read_pages_strict(spark, str(bad)).collect()
+    with pytest.raises(ValueError, match="no pages"):
+        P.read_pages_strict(spark, str(empty))
+    log = tmp_path / "log.jsonl"
+    log.write_text('{"custom_id": "s::c1d0", "status": "completed", "run_id": "r", "response": {"content": "{}", "usage": {"prompt_tokens": 3, "completion_tokens": 4}}}\n\n{"custom_id": "t::c0d1", "status": "failed", "run_id": "r", "error": {"type": "E", "message": "m"}}\n')
+    got = P.read_result_log(spark, str(log))
+    assert sorted((r["custom_id"], r["status"], r["prompt_tokens"]) for r in got.collect()) == [("s::c1d0", "completed", 3), ("t::c0d1", "failed", None)]
+    assert K.run_id(got).first()["run_id"] == "r" and K.run_id(got.withColumn("run_id", F.col("custom_id"))).first()["run_id"] is None
+    log.write_text("[1]\n")
+    with pytest.raises(Exception):
+        P.read_result_log(spark, str(log)).collect()
+    batch = tmp_path / "batch.jsonl"
+    line = lambda i, code, content: json.dumps({"custom_id": i, "response": {"status_code": code, "body": {"choices": [{"message": {"content": content}}] if content else []}}})
+    batch.write_text("\n".join([line("a", 200, "{}"), line("b", 500, "x"), line("c", 200, None)]))
+    assert sorted((r["custom_id"], r["status"], r["content"]) for r in P.read_batch_output(spark, str(batch)).collect()) == [("a", "completed", "{}"), ("b", "failed", "x"), ("c", "failed", None)]
+    with pytest.raises(ValueError, match="missing columns: z"):
+        P.require_columns(got, ["status", "z"])
+    assert P.require_columns(got, ["status"]) is got
+
+
+def test_request_and_audit_files(spark, tmp_path):
+    ready = spark.createDataFrame([("s", "s::c1d1", 1, 2, 2), ("big", "big::c1d1", 1, 900, 900)], "slug string, custom_id string, n_pages int, n_chars int, n_bytes int")
+    made = K.requests(ready, spark.createDataFrame([("s", "نص"), ("big", "x" * 900)], "character_id string, rendered string"), "sys", most=100)
+    S.write_requests(made, str(tmp_path / "r"))
+    S.write_audit(spark.createDataFrame([("s", ["t"])], "slug string, labels array<string>"), str(tmp_path / "a"))
+    rows = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "r")).collect()]
+    assert rows == [{"custom_id": "s::c1d1", "messages": [{"role": "system", "content": "sys"}, {"role": "user", "content": "slug: s\n\nنص"}]}]
+    assert json.loads(spark.read.text(str(tmp_path / "a")).first()["value"]) == {"slug": "s", "labels": ["t"]}
+    totals = K.preflight(K.request_sizes(ready, "sys"), ready.limit(0).select("slug"), 100).first()
+    assert (totals["n_requests"], totals["n_oversized"], totals["blocked"]) == (2, 1, True)
+
+
+def test_review_text_files_are_pages_in_order(spark, tmp_path):
+    pages = spark.createDataFrame([("b", i, 1, None, f" t{i} ") for i in (3, 1, 2)] + [("c", 9, None, 4, "x")], "book string, page_id int, printed_volume int, printed_page int, text string")
+    S.write_review_text(pages.repartition(3), "book", str(tmp_path / "out"))
+    text = "".join(f.read_text() for f in sorted((tmp_path / "out" / "book=b").glob("part-*")))
+    assert text == "".join(f"===== page_id={i} | volume=1 | page=None =====\nt{i}\n\n" for i in (1, 2, 3))
+
+
+def test_boundary_guard(spark):
+    rows = [(H.NEXT_SECTION, []), ("x", ["a", f"1 - {H.NEXT_SECTION}"]), (None, ["a"]), ("x", [])]
+    df = spark.createDataFrame(rows, "section string, crumbs array<string>")
+    assert [r[0] for r in df.select(H.crosses_boundary(F.col("section"), F.col("crumbs"))).collect()] == [True, True, False, False]
+
+
+def test_lsh_finds_near_chunks_among_few(spark):
+    from corpusflow.queries import QUERIES
+
+    rows = QUERIES["lsh_recall"](spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) >= 15 and sum(r["found"] for r in rows) >= 0.9 * len(rows)
+    assert sum(r["compared"] for r in rows) / len(rows) < 0.1
+
+
+def test_filtered_retrieval_meets_chunks_of_its_value_only(spark):
+    chunks = spark.createDataFrame([(i, [1.0, float(i)], f"t{i % 3}") for i in range(30)], "chunk_id long, embedding array<float>, label string")
+    asks = spark.createDataFrame([(1, [0.0, 1.0], "t1"), (2, [0.0, 1.0], None), (3, [0.0, 1.0], "absent")], "query_id long, embedding array<float>, label string")
+    got = {}
+    for r in R.retrieve(chunks, asks, 4, "label").orderBy("rank").collect():
+        got.setdefault(r["query_id"], []).append(r["chunk_id"])
+    assert got == {1: [28, 25, 22, 19], 2: [29, 28, 27, 26]}
+
+
+def test_finalize_answer_keeps_suggestions_in_extra_if_any(spark):
+    pieces = spark.createDataFrame([("g", 1, "ب"), ("g", 0, "أَ"), ("h", 0, "x")], "generation_id string, seq int, piece string")
+    more = spark.createDataFrame([("g", ["q"]), ("h", [])], "generation_id string, suggestions array<string>")
+    got = {r["generation_id"]: json.loads(r["extra"]) for r in V.finalize_answer(pieces, more).collect()}
+    assert got["g"]["suggestions"] == ["q"] and "suggestions" not in got["h"] and got["g"]["diacritized_content"].startswith("أَب")

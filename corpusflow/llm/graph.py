@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from corpusflow.plans.staging import Staging
 
 
-def _measure(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node of ``edges`` (a > b) is either a centre or tied to one centre alone, which then is the smallest of its component."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("tied"), F.lit(0).alias("centre")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("tied"), F.lit(1).alias("centre")))
+    return ends.groupBy("node").agg(F.sum("tied").alias("tied"), F.max("centre").alias("centre")).where("tied > 1 OR tied = 1 AND centre = 1").isEmpty()
 
 
 def components(edges: DataFrame, staging: Staging, most_rounds: int = 60) -> DataFrame:
@@ -21,10 +23,9 @@ def components(edges: DataFrame, staging: Staging, most_rounds: int = 60) -> Dat
     of neighbours is ever gathered and a hot node's join can be split.
     """
     now = staging.table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = _measure(now)
-    if not before[0]:
-        return now
     for _ in range(most_rounds):
+        if _are_stars(now):
+            return now
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = staging.table(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), "least")
         # large star: of each pair (a < b) the larger end goes to a's minimum
@@ -33,8 +34,4 @@ def components(edges: DataFrame, staging: Staging, most_rounds: int = 60) -> Dat
         least = staging.table(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         now = staging.table(small.select("e.*").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-        after = _measure(now)
-        if after == before:
-            return now
-        before = after
     raise RuntimeError(f"components have not settled after {most_rounds} rounds")

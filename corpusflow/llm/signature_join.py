@@ -341,7 +341,7 @@ def _with_texts(rows: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame
 
 
 def links_within(rows: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links ``a, b`` that span what is connected inside each (cluster, block) of ``rows`` (cluster, block, node)."""
+    """What is connected inside each (cluster, block) of ``rows`` (cluster, block, node): ``a, b``, each node with the smallest that it is linked to over others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, ["cluster", "block"]):
@@ -349,7 +349,14 @@ def links_within(rows: DataFrame, texts: DataFrame, percent: int = PERCENT) -> D
             nodes = table.column("node").to_pylist()
             sets = [s for chunk in table.to_batches() for s in shingle_sets(chunk.column("text"))]
             tree = SignatureTree.of(sets)
-            found = [(nodes[i], nodes[j]) for i, j in tree_links(tree, tree, list(range(len(sets))), percent)]
+            linked = list(range(len(sets)))
+            for _ in tree_links(tree, tree, linked, percent):
+                pass
+            least = list(nodes)
+            for i, up in enumerate(linked):  # a document's way up leads to smaller places only
+                linked[i] = linked[up]
+                least[linked[i]] = min(least[linked[i]], nodes[i])
+            found = [(n, least[up]) for n, up in zip(nodes, linked, strict=True) if n != least[up]]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 

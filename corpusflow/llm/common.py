@@ -48,8 +48,9 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         columns = [batch.column(k) for k in keys]
         change = np.zeros(batch.num_rows, dtype=bool)
         for c in columns:
-            a = c.to_numpy(zero_copy_only=False)
-            change[1:] |= a[1:] != a[:-1]
+            a, null = c.fill_null(0) if c.null_count and pa.types.is_integer(c.type) else c, c.is_null().to_numpy(zero_copy_only=False)
+            a = a.to_numpy(zero_copy_only=False)
+            change[1:] |= (a[1:] != a[:-1]) | (null[1:] != null[:-1])
         starts = np.concatenate(([0], np.flatnonzero(change), [batch.num_rows]))
         for i, j in zip(starts[:-1], starts[1:], strict=True):
             if i == j:

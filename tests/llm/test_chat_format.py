@@ -30,6 +30,12 @@ def test_round_trip_and_masks(spark):
     assert c.read_back(c.expand(spark.createDataFrame([], FIELDS))).count() == 0
 
 
+def test_rows_without_a_conversation_stand_alone(spark):
+    rows = [(None, 0, "user", f"t{i}", 1, True) for i in range(50)] + [(0, 0, "user", "a", 1, True), (0, 1, "assistant", "b", 1, True)]
+    got = c.read_back(c.expand(spark.createDataFrame(rows, FIELDS).repartition(3))).collect()
+    assert sorted((r["conv_id"] is None, r["n_turns"]) for r in got) == [(False, 2)] + [(True, 1)] * 50
+
+
 @given(st.lists(st.tuples(st.text(alphabet="\\<#:> /turn\nä", max_size=12), st.text(alphabet="\\<#:> /turn\nä", max_size=30)), max_size=5))
 def test_any_text_comes_back(turns):
     assert c.parse_turns("".join(c.format_turn(r, t)[0] for r, t in turns)) == turns

@@ -1,5 +1,7 @@
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -53,3 +55,35 @@ def test_slices_of_a_long_text_count_each_gram_once(monkeypatch):
     whole = grams()
     monkeypatch.setattr(lang, "_SLICE", 17)
     assert grams() == whole and len(whole) == (300 + 299 + 298) + (2 + 1)
+
+
+def bucket_of(gram):
+    mask = (1 << 64) - 1
+    code = 0
+    for ch in gram:
+        code = (code * 0x1F0A3 + ord(ch)) & mask
+    code = (code + len(gram)) * 0x9E3779B97F4A7C15 & mask
+    code ^= code >> 29
+    return (code * 0xBF58476D1CE4E5B9 & mask) >> (64 - (lang.BUCKETS.bit_length() - 1))
+
+
+def grams_of(text):
+    folded = "".join((ch.lower() if len(ch.lower()) == 1 else ch) if ch.isalpha() else " " for ch in text)
+    return Counter(bucket_of(folded[i : i + n]) for n in lang.ORDERS for i in range(len(folded) - n + 1))
+
+
+def test_query_against_plain_naive_bayes(spark, sf_dir):
+    """Every document of the given table, its n-grams counted one by one."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    counted = {r["doc_id"]: grams_of(r["text"]) for r in docs}
+    counts, rows = {}, Counter()
+    for r in docs:
+        if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2:
+            counts.setdefault(r["lang"], Counter()).update(counted[r["doc_id"]])
+            rows[r["lang"]] += 1
+    total = {x: sum(c.values()) + 0.5 * lang.BUCKETS for x, c in counts.items()}
+    for r in lang.op3_language_id(spark, sf_dir).collect():
+        scores = {x: math.log(rows[x] / sum(rows.values())) + sum(n * math.log((counts[x][b] + 0.5) / total[x]) for b, n in counted[r["doc_id"]].items()) for x in counts}
+        best = max(sorted(scores), key=scores.get)
+        score = 1 / sum(math.exp(v - scores[best]) for v in scores.values())
+        assert r["lang_pred"] == best and abs(r["score"] - score) < 1e-3

@@ -1,3 +1,4 @@
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +92,41 @@ def test_segments_of_out_of_order_pieces(spark, tmp_path):
 def test_deltas(spark):
     df = spark.createDataFrame([("مَا",), ("ذَا",)], "piece string")
     assert "".join(r[0] for r in J.strip_deltas(df).select(F.col("piece")).collect()) == "ماذا"
+
+
+class Handle:
+    """What a stateful processor asks of its handle, in memory."""
+
+    def __init__(self):
+        self.value, self.timers = None, []
+
+    def getValueState(self, *_):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def getCurrentProcessingTimeInMs(self):
+        return 1000
+
+
+def test_state_of_finished_and_stale_generations_expires():
+    s, handle = J.Segmenter(finished_ms=5, stale_ms=70), Handle()
+    s.init(handle)
+    feed = lambda *rows: [x for f in s.handleInputRows(("g",), iter([pd.DataFrame(rows, columns=["seq", "piece", "final"])]), handle) for x in f["text"]]
+    assert feed((0, "One. Tw", False)) == ["One."] and handle.timers == [1070]
+    assert feed((1, "o", True)) == ["Two"] and handle.timers == [1070, 1005]
+    assert handle.exists() and list(s.handleExpiredTimer(("g",), handle, None)) == [] and not handle.exists()
+    assert feed((0, "Again.", False)) == ["Again."]

@@ -96,8 +96,7 @@ SELECT doc_id, name, 'siyar_' || substr(sha256(name), 1, 16) AS character_id FRO
 """)
 def normalize_match_ids(spark, d):
     name = F.concat(F.lit("  أَ "), F.col("text"))
-    named = read_table(spark, d, "documents").select("doc_id", T.normalize_for_match(name).alias("name"))
-    return named.select("doc_id", "name", F.concat(F.lit("siyar_"), F.substring(T.content_hash(F.col("name")), 1, 16)).alias("character_id"))
+    return read_table(spark, d, "documents").select("doc_id", T.normalize_for_match(name).alias("name"), T.stable_character_id(name).alias("character_id"))
 
 
 @query("SELECT doc_id, sha256(text) AS content_hash FROM documents")
@@ -398,11 +397,12 @@ def citations(spark, d):
 
 @query(f"""
 SELECT query_id, string_agg('[' || h.rank || '] الكتاب: book ' || c.label || ' | المؤلف: author | الشخصية: name ' || c.label || ' | الصفحة: ' || {_LABEL} || ' | الرابط: https://x/' || c.vec_id || chr(10) || 'chunk ' || c.vec_id, chr(10) || chr(10) ORDER BY h.rank) AS context,
-       count(*) AS n_citations FROM ({_hits_sql(5)}) h JOIN embeddings c ON c.vec_id = h.chunk_id GROUP BY query_id
+       count(*) AS n_citations, string_agg(h.rank || ':book ' || c.label || ':author:c' || c.label || ':' || {_LABEL} || ':https://x/' || c.vec_id || ':' || CAST(round(h.score * 1000) AS BIGINT), '|' ORDER BY h.rank) AS cited FROM ({_hits_sql(5)}) h JOIN embeddings c ON c.vec_id = h.chunk_id GROUP BY query_id
 """)
 def build_citations(spark, d):
     hits = R.with_citations(R.retrieve(*_vectors(spark, d)), _chunk_meta(spark, d))
-    return R.format_context(hits).select("query_id", "context", F.size("citations").cast("long").alias("n_citations"))
+    line = lambda c: F.concat_ws(":", c["index"], c["book_title"], c["author"], c["character"], c["page"], c["source_url"], F.round(c["score"] * 1000).cast("long"))
+    return R.format_context(hits).select("query_id", "context", F.size("citations").cast("long").alias("n_citations"), F.array_join(F.transform("citations", line), "|").alias("cited"))
 
 
 @query(f"SELECT query_id, round(max(score), 6) AS top_score, max(score) >= 0.6 AS grounded FROM ({_hits_sql(5, 'q.vec_id <> c.vec_id')}) GROUP BY query_id")
@@ -884,7 +884,7 @@ def _validated(spark, d):
     parsed = K.parse_results(_results(spark, d)).where("failure IS NULL")
     one = parsed.groupBy("slug").agg(F.max_by("parsed", "parsed.short_description").alias("parsed"), F.max("parsed.short_description").alias("description"))
     pages = read_table(spark, d, "documents").select(F.concat(F.lit("s"), (F.col("doc_id") % 30).cast("string")).alias("slug"), (F.col("doc_id") % 45).cast("int").alias("page_id"))
-    taxonomy = read_table(spark, d, "labels").limit(1).select(F.explode(F.array(F.lit("quality"), F.lit("toxic"), F.lit("extra"))).alias("label"))
+    taxonomy = spark.createDataFrame([("quality",), ("toxic",), ("extra",)], "label string")
     return one, K.validate_evidence(one, pages, taxonomy, ["extra"])
 
 

@@ -198,16 +198,25 @@ def token_counters(found: DataFrame) -> np.ndarray:
     per = (1 << COUNTER_BITS) // chunks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in groups(batches, ["chunk"]):
-            own = np.zeros(per, dtype=np.int64)
-            for seen, dense, places, counts in zip(*(table.column(c).to_pylist() for c in ("seen", "dense", "places", "counts")), strict=True):
-                if dense:
-                    own += np.unpackbits(np.frombuffer(seen, np.uint8))
-                else:
-                    own[np.frombuffer(seen, "<u4")] += 1
-                own[np.frombuffer(places, "<u4")] += np.frombuffer(counts, "<i4") - 1
+        at, own = None, np.zeros(0, dtype=np.int64)
+
+        def out() -> pa.RecordBatch:
             scaled = np.minimum(STEPS * np.log2(1.0 + own), 2**16 - 1).astype("<u2")
-            yield pa.RecordBatch.from_arrays([table.column("chunk").combine_chunks().slice(0, 1), pa.array([scaled.tobytes()])], ["chunk", "counts"])
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([scaled.tobytes()])], ["chunk", "counts"])
+
+        for batch in batches:  # in order of chunks; one range of counters is held, and what one task has found of it
+            for chunk, seen, dense, places, counts in zip(*(batch.column(c) for c in ("chunk", "seen", "dense", "places", "counts")), strict=True):
+                if chunk.as_py() != at:
+                    if at is not None:
+                        yield out()
+                    at, own = chunk.as_py(), np.zeros(per, dtype=np.int64)
+                if dense.as_py():
+                    own += np.unpackbits(np.frombuffer(seen.as_py(), np.uint8))
+                else:
+                    own[np.frombuffer(seen.as_py(), "<u4")] += 1
+                own[np.frombuffer(places.as_py(), "<u4")] += np.frombuffer(counts.as_py(), "<i4") - 1
+        if at is not None:
+            yield out()
 
     parts = found.where(F.col("chunk").isNotNull()).select("chunk", "seen", "dense", "places", "counts").repartition(shuffle_partitions(found.sparkSession), "chunk")
     out = np.zeros(1 << COUNTER_BITS, dtype=np.uint16)

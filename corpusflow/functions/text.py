@@ -122,9 +122,9 @@ def safe_filename(c: Column, most: int = 72) -> Column:
 
 
 def sentences(c: Column) -> Column:
-    """Segments that end at a line feed or at white space after ``.``, ``!`` or ``؟``."""
-    parts = F.flatten(F.transform(F.split(c, "\n"), lambda line: F.split(line, rf"(?<=[.!؟]){WS}+")))
-    return F.filter(F.transform(parts, strip), lambda x: x != "")
+    """Segments that end at a line feed or at white space after ``.``, ``!`` or ``؟``; a stripped line's segments have no white space at their ends."""
+    parts = F.flatten(F.transform(F.split(c, "\n"), lambda line: F.split(strip(line), rf"(?<=[.!؟]){WS}+")))
+    return F.filter(parts, lambda x: x != "")
 
 
 def speech_segments(c: Column, most: int = 300) -> Column:

@@ -94,6 +94,13 @@ def test_deltas(spark):
     assert "".join(r[0] for r in J.strip_deltas(df).select(F.col("piece")).collect()) == "ماذا"
 
 
+def test_deltas_of_a_stream(spark, tmp_path):
+    spark.createDataFrame([("g", 0, "مَا"), ("g", 1, "ذَا")], "generation_id string, seq long, piece string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("generation_id string, seq long, piece string").parquet(str(tmp_path / "in"))
+    J.strip_deltas(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert [r["piece"] for r in spark.read.parquet(str(tmp_path / "out")).orderBy("seq").collect()] == ["ما", "ذا"]
+
+
 class Handle:
     """What a stateful processor asks of its handle, in memory."""
 

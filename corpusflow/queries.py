@@ -405,11 +405,11 @@ def build_citations(spark, d):
     return R.format_context(hits).select("query_id", "context", F.size("citations").cast("long").alias("n_citations"), F.array_join(F.transform("citations", line), "|").alias("cited"))
 
 
-@query(f"SELECT query_id, round(max(score), 6) AS top_score, max(score) >= 0.6 AS grounded FROM ({_hits_sql(5, 'q.vec_id <> c.vec_id')}) GROUP BY query_id")
+@query(f"SELECT query_id, round(max(score), 6) AS top_score, max(score) >= 0.35 AS grounded FROM ({_hits_sql(5, 'q.vec_id <> c.vec_id')}) GROUP BY query_id")
 def grounding_gate(spark, d):
     c, asks = _vectors(spark, d)
     hits = R.retrieve(c, asks, 6)  # one more, for the query's own row
-    return R.grounding(hits.where("query_id <> chunk_id"), 0.6).withColumn("top_score", F.round("top_score", 6))
+    return R.grounding(hits.where("query_id <> chunk_id"), 0.35).withColumn("top_score", F.round("top_score", 6))
 
 
 def _ranked_sql(vector: str, table: str) -> str:

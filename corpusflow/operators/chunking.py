@@ -67,7 +67,7 @@ def fold(tokens: Column, most: int, overlap: int, least: int) -> Column:
 def chunk_text(df: DataFrame, text: str = "text", most: int = MAX_TOKENS, overlap: int = OVERLAP, least: int = MIN_TOKENS) -> DataFrame:
     """``df`` without ``text``, one row per chunk: ``chunk_index, chunk_text, token_count``."""
     keep = [c for c in df.columns if c != text]
-    split = df.where(F.col(text).isNotNull()).select(*keep, segments(F.col(text), most).alias("_s"))
+    split = df.select(*keep, segments(F.col(text), most).alias("_s"))  # a null text explodes to no row; a filter on it would compute a derived text twice
     sized = split.select(*keep, F.transform("_s", lambda x: x["text"]).alias("_segments"), F.transform("_s", lambda x: x["n"]).alias("_tokens"))
     part = lambda lo, hi: F.array_join(F.slice("_segments", lo, hi - lo + 1), " ")
     whole = lambda x: F.when(x["lo2"] > 0, F.concat(part(x["lo"], x["hi"]), F.lit(" "), part(x["lo2"], x["hi2"]))).otherwise(part(x["lo"], x["hi"]))

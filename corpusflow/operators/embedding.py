@@ -16,9 +16,9 @@ BATCH = 64
 
 def hash_embedding(text: Column, size: int = 1536) -> Column:
     """A deterministic stand-in: byte i of the text's sha256 (cyclic) over 255."""
-    digest = F.sha2(text.cast("binary"), 256)
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255.0)
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.element_at(pairs, (i % 32) + 1).cast("float"))
+    value = lambda d, i: (F.conv(F.substring(d, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255.0).cast("float")
+    once = F.transform(F.array(F.sha2(text.cast("binary"), 256)), lambda d: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: value(d, i)))[0]  # bound, so that each text is digested once
+    return F.slice(F.flatten(F.array_repeat(once, -(-size // 32))), 1, size)
 
 
 def with_retries(call: Callable, attempts: int = 5, most_wait: float = 20.0) -> Callable:

@@ -7,9 +7,12 @@ from corpusflow.llm.license_scan import OP6_SQL, op6_license_scan
 from corpusflow.llm.line_dedup import op7_line_dedup
 from corpusflow.llm.packing import op1_best_fit_packing
 from corpusflow.llm.signature_join import op4_jaccard_join
+from corpusflow.llm.simhash import op11_simhash
 from corpusflow.llm.source_mixing import OP5_SQL, op5_source_mixing
+from corpusflow.llm.spelling import OP12_SQL, op12_spelling_variants
 from corpusflow.llm.topk_search import OP2_SQL, op2_exact_topk
 from corpusflow.llm.url_filter import op10_url_filter
+from corpusflow.llm.vector_codes import OP13_SQL, op13_vector_codes
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
@@ -22,6 +25,9 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_url_filter": op10_url_filter,
+    "op11_simhash": op11_simhash,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLE = {
@@ -30,4 +36,6 @@ ORACLE = {
     "op6_license_scan": OP6_SQL,
     "op8_chat_formatting": OP8_SQL,
     "op9_exact_dedup": OP9_SQL,
+    "op12_spelling_variants": OP12_SQL,
+    "op13_vector_codes": OP13_SQL,
 }

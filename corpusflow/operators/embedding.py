@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import time
 from collections.abc import Callable, Iterator
@@ -21,6 +22,16 @@ def hash_embedding(text: Column, size: int = 1536) -> Column:
     return F.slice(F.flatten(F.array_repeat(once, -(-size // 32))), 1, size)
 
 
+def hash_provider(size: int = 1536) -> Callable[[list[str]], list[list[float]]]:
+    """A provider that needs no model: the same vectors as ``hash_embedding``."""
+
+    def provide(texts: list[str]) -> list[list[float]]:
+        digests = [hashlib.sha256(t.encode()).digest() for t in texts]
+        return [[d[i % 32] / 255.0 for i in range(size)] for d in digests]
+
+    return provide
+
+
 def with_retries(call: Callable, attempts: int = 5, most_wait: float = 20.0) -> Callable:
     """``call`` again after a random, growing wait when it raises, ``attempts`` times in all."""
 
@@ -36,20 +47,23 @@ def with_retries(call: Callable, attempts: int = 5, most_wait: float = 20.0) ->
     return tried
 
 
-def embed_pending(df: DataFrame, provider: Callable[[list[str]], list[list[float]]], text: str = "text", batch: int = BATCH, concurrency: int | None = None) -> DataFrame:
+def embed_pending(df: DataFrame, provider: Callable[[list[str]], list[list[float]]], text: str = "text", batch: int = BATCH, concurrency: int | None = None, within: str | None = None) -> DataFrame:
     """``df`` (with ``text`` and ``embedding``) where null embeddings are filled, and ``error`` where the provider failed.
 
-    Rows that have one never reach the provider. ``concurrency`` bounds the partitions that call it.
+    Rows that have one never reach the provider. ``concurrency`` bounds the partitions that call it. A call
+    has rows of one value of ``within`` only, so that a failure is that value's own.
     """
     pending = df.where("embedding IS NULL")
     if concurrency:
         pending = pending.repartition(concurrency)
+    if within:
+        pending = pending.sortWithinPartitions(within)
     schema = df.drop("embedding", "error").schema.add("embedding", ArrayType(FloatType())).add("error", "string")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for at in range(0, len(frame), batch):
-                part = frame.iloc[at : at + batch].copy()
+            whole = [own for _, own in frame.groupby(within, sort=False, dropna=False)] if within else [frame]
+            for part in (own.iloc[at : at + batch].copy() for own in whole for at in range(0, len(own), batch)):
                 try:
                     part["embedding"], part["error"] = pd.Series(list(provider(part[text].tolist())), index=part.index), None
                 except Exception as e:

@@ -58,16 +58,17 @@ def merge_chunks(new: DataFrame, old: DataFrame, keys: tuple[str, str] = ("docum
     return joined.select(*columns, action.alias("_action"))
 
 
-def ingestion_stats(documents: DataFrame, chunks: DataFrame, rejects: DataFrame | None = None, characters: DataFrame | None = None, batch: int = 64) -> DataFrame:
+def ingestion_stats(documents: DataFrame, chunks: DataFrame, rejects: DataFrame | None = None, characters: DataFrame | None = None, batch: int = 64, embedded: str | None = None) -> DataFrame:
     """One row of 14 counters from the actions of both merges.
 
     ``rejects`` are pages without an identity, ``characters`` (failed) those that
-    were looked at for missing ones. A document's chunks are embedded in calls of ``batch``.
+    were looked at for missing ones. A document's chunks are embedded in calls of ``batch``; ``embedded`` names
+    a column of ``chunks`` that says which were, by default all that are new or updated.
     """
     count = lambda kind, *actions: F.count_if(F.col("_action").isin(*actions)).alias(kind)
     d = documents.agg(count("pages_seen", "new", "updated", "unchanged"), count("pages_new", "new"), count("pages_updated", "updated"), count("pages_unchanged", "unchanged"))
     kinds = [(f"chunks_{k}", k) for k in ("new", "updated", "unchanged", "deleted")]
-    by_document = chunks.groupBy("document_id").agg(*[count(*k) for k in kinds], count("embedded_chunks", "new", "updated"))
+    by_document = chunks.groupBy("document_id").agg(*[count(*k) for k in kinds], F.count_if(F.col(embedded)).alias("embedded_chunks") if embedded else count("embedded_chunks", "new", "updated"))
     total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
     c = by_document.agg(*[total(k, k) for k, _ in kinds], total(F.ceil(F.col("embedded_chunks") / batch), "embedding_calls"), total("embedded_chunks", "embedded_chunks"))
     rows = lambda df, *columns: df.agg(*columns) if df is not None else documents.limit(0).agg(*[F.lit(0).cast("long").alias(n) for n in ("characters_checked", "characters_added", "characters_failed")])

@@ -22,10 +22,12 @@ from corpusflow.operators import embedding as E
 from corpusflow.operators import merge as M
 from corpusflow.operators import retrieval as R
 from corpusflow.operators import roster as O
+from corpusflow.plans import ingestion as I
 from corpusflow.plans.session import read_table
 from corpusflow.plans.staging import Staging
 from corpusflow.sources import pages as P
 from corpusflow.sources import sinks as S
+from corpusflow.sources.snapshots import SnapshotStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -984,6 +986,34 @@ def stream_ingest(spark, d):
     root = Staging(spark).root
     read_table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), "text").write.parquet(f"{root}/in")
     stream = spark.readStream.schema("page_id long, text string").option("maxFilesPerTrigger", 4).parquet(f"{root}/in")
-    job = incremental_ingest(stream, f"{root}/table", ["page_id"], f"{root}/checkpoint")
-    job.awaitTermination()
-    return S.read_snapshot_table(spark, f"{root}/table").select("page_id", "content_hash")
+    store = SnapshotStore(spark, f"{root}/table", {"pages": ["page_id"]}, buckets=8)
+    incremental_ingest(stream, store, "pages", ["page_id"], f"{root}/checkpoint").awaitTermination()
+    return store.read("pages").select("page_id", "content_hash")
+
+
+_EDIT = "doc_id % 7 = 0"
+
+
+@query(f"""
+WITH {chunk_sql(f"SELECT 'o' || doc_id AS doc, {clean_sql('text')} AS text FROM documents UNION ALL SELECT 'n' || doc_id, {clean_sql("text || ' edited'")} FROM documents WHERE {_EDIT}", _MOST, _OVERLAP, _LEAST)},
+o AS (SELECT substr(doc, 2) AS page, chunk_index, chunk_text FROM chunk WHERE doc[1] = 'o'), n AS (SELECT substr(doc, 2) AS page, chunk_index, chunk_text FROM chunk WHERE doc[1] = 'n'),
+e AS (SELECT CASE WHEN o.page IS NULL THEN 'new' WHEN n.page IS NULL THEN 'deleted' WHEN o.chunk_text = n.chunk_text THEN 'unchanged' ELSE 'updated' END AS action
+  FROM n FULL JOIN (SELECT * FROM o WHERE page IN (SELECT CAST(doc_id AS VARCHAR) FROM documents WHERE {_EDIT})) o ON o.page = n.page AND o.chunk_index = n.chunk_index),
+c AS (SELECT count(*) AS n, count(*) FILTER (WHERE {_EDIT}) AS edited FROM documents),
+k AS (SELECT count(*) FILTER (WHERE action = 'new') AS added, count(*) FILTER (WHERE action = 'updated') AS updated, count(*) FILTER (WHERE action = 'unchanged') AS same, count(*) FILTER (WHERE action = 'deleted') AS gone FROM e)
+SELECT 1 AS run, c.n AS pages_seen, c.n AS pages_new, 0::BIGINT AS pages_updated, 0::BIGINT AS pages_unchanged, (SELECT count(*) FROM o) AS chunks_new, 0::BIGINT AS chunks_updated, 0::BIGINT AS chunks_unchanged, 0::BIGINT AS chunks_deleted, (SELECT count(*) FROM o) AS embedded_chunks FROM c
+UNION ALL SELECT 2, c.n, 0, 0, c.n, 0, 0, 0, 0, 0 FROM c
+UNION ALL SELECT 3, c.n, 0, c.edited, c.n - c.edited, k.added, k.updated, k.same, k.gone, k.added + k.updated FROM c CROSS JOIN k
+""")
+def ingest_runs(spark, d):
+    """Counters of three runs of the whole ingest over all documents: into an empty store, of the same pages again, and after an edit."""
+    docs = read_table(spark, d, "documents")
+    pages = docs.select(F.lit(1).alias("book_id"), F.col("doc_id").alias("page_id"), F.col("source").alias("character_id"), F.col("lang").alias("character_name"), "text")
+    edited = pages.withColumn("text", F.when(F.col("page_id") % 7 == 0, F.concat("text", F.lit(" edited"))).otherwise(F.col("text")))
+    store = I.corpus_store(spark, f"{Staging(spark).root}/corpus", buckets=16)
+    counters = ["pages_seen", "pages_new", "pages_updated", "pages_unchanged", "chunks_new", "chunks_updated", "chunks_unchanged", "chunks_deleted", "embedded_chunks"]
+    out = None
+    for run, batch in enumerate((pages, pages, edited), 1):
+        stats = I.ingest_pages(store, batch, E.hash_provider(32), most=_MOST, overlap=_OVERLAP, least=_LEAST).select(F.lit(run).alias("run"), *counters)
+        out = stats if out is None else out.unionByName(stats)
+    return out

@@ -13,55 +13,60 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from corpusflow.functions import text as T
 from corpusflow.operators.merge import merge_documents
-from corpusflow.sources.sinks import read_snapshot_table, snapshot_table_exists, write_snapshot_table
+from corpusflow.plans.ingestion import Provider, ingest_pages, last_versions
+from corpusflow.plans.staging import Staging
+from corpusflow.sources.snapshots import SnapshotStore
 
 MOST_CHARS = 300
 ENDS = ".!؟\n"
 
 
-def last_versions(batch: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
-    """One row per key: the last in ``order``, of equals the one with the largest hash. Without ``order`` two texts of one key are an error."""
-    text_hash = F.coalesce("content_hash", F.lit(""))
-    row = F.max_by(F.struct(*batch.columns), F.struct(*(order or []), text_hash))
-    if not order:
-        two = F.raise_error(F.lit(f"two versions of one key ({', '.join(keys)}) in a batch; name the columns that order them"))
-        row = F.when(F.min(text_hash) == F.max(text_hash), row).otherwise(two.cast(batch.schema))
-    return batch.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(row.alias("_p")).select("_p.*")
-
-
 def incremental_ingest(
-    stream: DataFrame, snapshot: str, keys: list[str], checkpoint: str, changed: Callable[[DataFrame, int], None] | None = None, order: list[str] | None = None
+    stream: DataFrame, store: SnapshotStore, table: str, keys: list[str], checkpoint: str, changed: Callable[[DataFrame, int], None] | None = None, order: list[str] | None = None
 ) -> StreamingQuery:
-    """Merge each batch of pages into a snapshot table by content hash; ``changed`` gets the new and updated rows, once each.
+    """Merge each batch of pages into a table of a store by content hash; ``changed`` gets the new and updated rows, once each.
 
-    Of the versions of a page the last in ``order`` (columns, such as a file and
-    a line, or a time) stays, in a batch and against the table, so the table does
+    A batch reads and writes the buckets of its own keys only; the table is bucketed by ``keys``. Of the versions of a page the
+    last in ``order`` (columns, such as a file and a line, or a time) stays, in a batch and against the table, so the table does
     not depend on how the stream is cut. Without ``order`` a later batch wins, and
     two texts of one page in a batch are an error. A batch that is repeated after
     a failure finds its rows unchanged.
     """
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        hashed = batch.withColumn("content_hash", T.content_hash(F.col("text")))
-        hashed = last_versions(hashed, keys, order)
-        stored = read_snapshot_table(spark, snapshot) if snapshot_table_exists(spark, snapshot) else hashed.limit(0)
-        if order:
-            s, t = hashed.alias("s"), stored.alias("t")
-            same = [F.col(f"s.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]
-            older = F.struct(*[F.col(f"s.{c}") for c in order]) < F.struct(*[F.col(f"t.{c}") for c in order])
-            hashed = s.join(t, [*same, older], "left_anti")
-        merged = merge_documents(hashed, stored, keys, refresh=order).persist()
-        try:
+        with Staging(batch.sparkSession) as staging:
+            hashed = last_versions(batch.withColumn("content_hash", T.content_hash(F.col("text"))), keys, order)
+            hashed = staging.table(hashed, "batch")
+            touched = store.touched(hashed, table)
+            if not touched:
+                return
+            stored = store.read(table, touched) if store.exists() else hashed.limit(0)
+            if order:
+                s, t = hashed.alias("s"), stored.alias("t")
+                same = [F.col(f"s.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]
+                older = F.struct(*[F.col(f"s.{c}") for c in order]) < F.struct(*[F.col(f"t.{c}") for c in order])
+                hashed = s.join(t, [*same, older], "left_anti")
+            merged = staging.table(merge_documents(hashed, stored, keys, refresh=order), "merged")
             if changed:
                 changed(merged.where(F.col("_action").isin("new", "updated")), epoch)
-            write_snapshot_table(merged.drop("_action"), snapshot)
-        finally:
-            merged.unpersist()
+            store.write({table: merged.drop("_action")}, touched)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def corpus_ingest(stream: DataFrame, store: SnapshotStore, provider: Provider, checkpoint: str, order: list[str] | None = None, counted: Callable[[DataFrame, int], None] | None = None, **settings) -> StreamingQuery:
+    """``ingest_pages`` for each batch of a stream of pages: documents, chunks and embeddings under one mark; ``counted`` gets each batch's counters."""
+
+    def ingest(batch: DataFrame, epoch: int) -> None:
+        if batch.isEmpty():
+            return
+        counters = ingest_pages(store, batch, provider, order, newer_only=bool(order), **settings)
+        if counted:
+            counted(counters, epoch)
+
+    return stream.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def cut_segments(buffer: str, most: int = MOST_CHARS) -> tuple[list[str], str]:
     """Complete segments of a buffer and what is left: ends of sentences cut, and a tail longer than ``most`` is cut at its last blank."""
     out, start = [], 0

@@ -134,10 +134,6 @@ def test_sources_and_snapshot_table(spark, tmp_path):
     accepted, rejects = P.split_identity_rejects(pages)
     assert [r["page_id"] for r in accepted.collect()] == [1] and [r["page_id"] for r in rejects.collect()] == [7]
     assert {r["printed_page"] for r in pages.collect()} == {"5"} and len(skipped) == 1
-    table = str(tmp_path / "table")
-    S.write_snapshot_table(spark.range(3), table)
-    S.write_snapshot_table(spark.range(5), table)
-    assert S.read_snapshot_table(spark, table).count() == 5
 
 
 def test_story_rotation(spark):

@@ -2,66 +2,64 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from corpusflow.sources import sinks as S
-from corpusflow.sources.sinks import read_snapshot_table
+from corpusflow.operators.embedding import hash_provider
+from corpusflow.plans.ingestion import corpus_store
+from corpusflow.sources.snapshots import SnapshotStore
 from corpusflow.streaming import jobs as J
 
 
-def test_incremental_ingest_skips_unchanged_pages(spark, tmp_path):
-    seen = []
-    src = str(tmp_path / "in")
+def ingest(spark, store, src, check, seen=None, order=None):
+    stream = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 1).parquet(src)
+    J.incremental_ingest(stream, store, "pages", ["page_id"], check, (lambda df, _: seen.append(df.count())) if seen is not None else None, order).awaitTermination()
 
-    def go():
-        stream = spark.readStream.schema("page_id long, text string").parquet(src)
-        J.incremental_ingest(stream, str(tmp_path / "table"), ["page_id"], str(tmp_path / "check"), lambda df, _: seen.append(df.count())).awaitTermination()
 
+def test_incremental_ingest_skips_unchanged_pages(spark, tmp_path):
+    seen, src, store = [], str(tmp_path / "in"), SnapshotStore(spark, str(tmp_path / "table"), {"pages": ["page_id"]}, buckets=4)
     rows = lambda x: spark.createDataFrame(x, "page_id long, text string").coalesce(1)
     rows([(1, "a"), (2, "b")]).write.mode("append").parquet(src)
-    go()
+    ingest(spark, store, src, str(tmp_path / "check"), seen)
     rows([(1, "a"), (2, "c"), (3, "d")]).write.mode("append").parquet(src)
-    go()
+    ingest(spark, store, src, str(tmp_path / "check"), seen)
     assert seen == [2, 2]
-    assert sorted((r["page_id"], r["text"]) for r in read_snapshot_table(spark, str(tmp_path / "table")).collect()) == [(1, "a"), (2, "c"), (3, "d")]
-
-
-def test_a_stop_before_the_mark_leaves_the_table_as_it_was(spark, tmp_path):
-    table, src = str(tmp_path / "table"), str(tmp_path / "in")
-    rows = lambda x: spark.createDataFrame(x, "page_id long, text string").coalesce(1)
-
-    def go(check):
-        stream = spark.readStream.schema("page_id long, text string").parquet(src)
-        J.incremental_ingest(stream, table, ["page_id"], str(tmp_path / check)).awaitTermination()
-
-    rows([(1, "a"), (2, "b")]).write.mode("append").parquet(src)
-    go("c1")
-    # a second version is written, but its mark is not
-    read_snapshot_table(spark, table).limit(0).write.parquet(f"{table}/v=00000002")
-    assert sorted(r["page_id"] for r in read_snapshot_table(spark, table).collect()) == [1, 2]
-    rows([(3, "c")]).write.mode("append").parquet(src)
-    go("c1")
-    assert sorted((r["page_id"], r["text"]) for r in read_snapshot_table(spark, table).collect()) == [(1, "a"), (2, "b"), (3, "c")]
-    for _ in range(4):
-        S.write_snapshot_table(spark.range(1), table)
-    every, done = S._versions(spark, table)
-    assert len(done) == 2 and every == done
-    # versions without any mark are no empty table
-    (tmp_path / "lost" / "v=00000007").mkdir(parents=True)
-    with pytest.raises(RuntimeError, match="no complete one"):
-        read_snapshot_table(spark, str(tmp_path / "lost"))
-    with pytest.raises(FileNotFoundError):
-        read_snapshot_table(spark, str(tmp_path / "absent"))
+    assert sorted((r["page_id"], r["text"]) for r in store.read("pages").collect()) == [(1, "a"), (2, "c"), (3, "d")]
 
 
 def test_last_version_of_a_page_stays_however_the_stream_is_cut(spark, tmp_path):
     rows = [(1, "old", 1), (1, "newest", 5), (1, "middle", 3), (2, "only", 2), (3, "b", 4), (3, "a", 9), (2, "only", 8), (2, "between", 6)]
     for many in (1, len(rows)):
-        src, at = str(tmp_path / f"in{many}"), tmp_path / f"t{many}"
+        src, store = str(tmp_path / f"in{many}"), SnapshotStore(spark, str(tmp_path / f"t{many}"), {"pages": ["page_id"]}, buckets=4)
         for i in range(0, len(rows), len(rows) // many):
             spark.createDataFrame(rows[i : i + len(rows) // many], "page_id long, text string, line long").coalesce(1).write.mode("append").parquet(src)
-        stream = spark.readStream.schema("page_id long, text string, line long").option("maxFilesPerTrigger", 1).parquet(src)
-        J.incremental_ingest(stream, str(at), ["page_id"], f"{at}-check", order=["line"]).awaitTermination()
-        got = read_snapshot_table(spark, str(at)).collect()
-        assert sorted((r["page_id"], r["text"], r["line"]) for r in got) == [(1, "newest", 5), (2, "only", 8), (3, "a", 9)]
+        ingest(spark, store, src, str(tmp_path / f"c{many}"), order=["line"])
+        assert sorted((r["page_id"], r["text"], r["line"]) for r in store.read("pages").collect()) == [(1, "newest", 5), (2, "only", 8), (3, "a", 9)]
+
+
+PAGE = "book_id int, page_id long, character_id string, character_name string, text string, line long"
+
+
+def test_a_stream_of_pages_becomes_documents_chunks_and_embeddings(spark, tmp_path):
+    src, counted, calls = str(tmp_path / "in"), [], spark.sparkContext.accumulator(0)
+    store = corpus_store(spark, str(tmp_path / "corpus"), buckets=4)
+    own = hash_provider(4)
+
+    def provider(texts):
+        calls.add(len(texts))
+        return own(texts)
+
+    def go(rows):
+        spark.createDataFrame(rows, PAGE).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(PAGE).parquet(src)
+        J.corpus_ingest(stream, store, provider, str(tmp_path / "check"), ["line"], lambda df, _: counted.append(df.first())).awaitTermination()
+        return counted[-1]
+
+    first = go([(1, 1, "a", "A", "one text.", 1), (1, 2, "b", "B", "another text.", 2), (1, 3, None, "C", "no identity", 3)])
+    assert (first["pages_new"], first["pages_skipped"], first["embedded_chunks"], calls.value) == (2, 1, 2, 2)
+    again = go([(1, 1, "a", "A", "one text.", 4), (1, 2, "b", "B", "another text, edited.", 5)])
+    assert (again["pages_unchanged"], again["pages_updated"], again["chunks_updated"], calls.value) == (1, 1, 1, 3)
+    late = go([(1, 2, "b", "B", "another text, as it was before.", 3)])
+    assert (late["pages_updated"], late["embedded_chunks"], calls.value) == (0, 0, 3)
+    assert sorted((r["page_id"], r["text"]) for r in store.read("documents").collect()) == [(1, "one text."), (2, "another text, edited.")]
+    assert store.read("chunks").join(store.read("embeddings").where("embedding IS NOT NULL"), ["document_id", "chunk_index", "chunk_hash"]).count() == store.read("chunks").count() == 2
 
 
 def test_two_versions_without_an_order_are_an_error(spark):

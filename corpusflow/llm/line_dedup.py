@@ -1,34 +1,35 @@
 """Line deduplication by pairwise alignment.
 
-Rows with the same lines are copies: the later ones lose all lines to the first
-and take no other part. Of the texts that differ any two that share a rare line,
-one that at most ``RARE`` of them hold, overlap and are aligned. A line that
-more hold pairs each of them with its first holder, so it costs one pair a text
-however common it is. That first holder may have the lines of
-a block in another order, or only a part of it too short to go, so runs of lines
-pair by the same two rules: runs of 2, 4, 8, ... lines, from
-each line on and back to each line the shortest run of ``min_chars`` characters,
-and the second, third, ... occurrence of a line in one text. Runs are made of
-shared lines only, with the blank lines between them. The lines of a pair
-are aligned by patience diff (anchors are lines that occur once in both, the
-rarest common line where there is none), and aligned common blocks are deleted
-from the later document, the one with the larger doc_id.
-
-So the result is that of aligning all overlapping pairs where no line or run of
-a pair is common to more than ``RARE`` texts; beyond, a block stays only if every holder
-that it was paired with, by any of its lines and runs, has it in an order that crosses a longer aligned part.
+The result is that of aligning each document with every earlier one that shares lines
+with it, by patience diff (anchors are lines that occur once in both, the rarest
+common line where there is none), and deleting the aligned common blocks of
+``min_chars`` characters from the later document, the one with the larger doc_id. Pairs that can change
+nothing are not aligned, however many documents hold a line:
+
+* Rows with the same lines are copies. The later ones lose all lines to the first and take no other part.
+* Lines that no other text has match nothing, so a text's shape, its shared lines in order with a
+  mark for whatever lies between, decides all of its alignments. Texts of one shape lose to the first of them
+  whatever they could lose to others, so only that one meets the first texts of other shapes. Shapes are what is sent and aligned, not texts.
+* A block is long enough only if it holds a window of lines: the shortest run of ``min_chars`` characters from a
+  line on, or back to a line. A text meets only holders of its windows.
+* Holders of a window are numbered in order. A text is aligned with the first one, then with the next seven, the
+  next 56, and so on (``GROWTH``), by those of its windows that still have a line that is not deleted. It ends when
+  all are deleted, which a common passage mostly is after its first holder, or when no holder is left.
 
 A first document of a line has no earlier one to lose it to, so of every line
-one copy at least is left. All alignments are of the documents as given.
+one copy at least is left. All alignments are of the documents as given. Lines are
+equal by 64-bit hashes, shapes by 128 bits of theirs; texts are not compared again.
 
 Defined cases: null text counts as empty, one empty line; blank lines never
 make a pair but go with a block around them; of rows with one doc_id the order
 of reading decides which is later; blocks under ``min_chars`` characters stay;
+``from_ids`` are the documents whose alignment has taken lines, of those that were aligned;
 an empty table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -42,9 +43,11 @@ from corpusflow.llm.common import documents, groups, shuffle_partitions
 from corpusflow.plans.staging import Staging
 
 MIN_CHARS = 20
-#: Texts that hold a rare line, at most: each is paired with all others.
-RARE = 8
+#: A text meets as many times more holders of a window in each round.
+GROWTH = 8
 BLANK = 0
+#: What stands for a stretch of unshared lines in a shape, and for that of the other text: they match nothing.
+APART, OTHER = 1, 2
 
 
 def align(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
@@ -126,62 +129,79 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _runs(uid: np.ndarray, rank: np.ndarray, line: np.ndarray, lines: np.ndarray, chars: np.ndarray, min_chars: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of shared lines, by ``uid`` and ``rank`` (place among lines that are not blank): rows that begin a run, and the run's hash."""
-    n = len(uid)
+def _windows(stretch: np.ndarray, line: np.ndarray, lines: np.ndarray, chars: np.ndarray, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of shared lines in order, by ``stretch`` (those with blank lines only between them): first and last row of each window, and its hash."""
+    n = len(lines)
     at = np.arange(n)
-    stretch = np.cumsum(np.concatenate(([True], (uid[1:] != uid[:-1]) | (rank[1:] != rank[:-1] + 1))))
     ends = np.searchsorted(stretch, stretch, side="right") - 1
     starts = np.searchsorted(stretch, stretch, side="left")
-    gap = np.diff(line, prepend=line[0]).astype(np.uint64)
+    gap = np.diff(line, prepend=line[:1]).astype(np.uint64)
     own, after = _mix(lines), _mix(lines + gap * np.uint64(0xD6E8FEB86659FD93))
     up = np.cumprod(np.concatenate(([1], np.full(n, 0x1F0A3))).astype(np.uint64))
     down = np.cumprod(np.concatenate(([1], np.full(n, pow(0x1F0A3, -1, 1 << 64)))).astype(np.uint64))
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(after * down[:n], dtype=np.uint64)))
-
-    def key(i: np.ndarray, e: np.ndarray) -> np.ndarray:
-        rest = (total[e + 1] - total[i + 1]) * up[e]
-        return _mix(own[i] * up[e - i] + rest + (e - i).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-
-    found = []
-    length = 2
-    while len(i := at[at + length - 1 <= ends]):
-        found.append((i, key(i, i + length - 1)))
-        length *= 2
     held = np.concatenate(([0], np.cumsum(chars)))
     e = np.searchsorted(held, held[:-1] + min_chars, side="left") - 1
-    i = np.flatnonzero((e > at) & (e <= ends))
-    found.append((i, key(i, e[i])))
     b = np.searchsorted(held, held[1:] - min_chars, side="right") - 1
-    e = np.flatnonzero((b < at) & (b >= starts))
-    found.append((b[e], key(b[e], e)))
-    order = np.lexsort((at, lines, uid))
-    new = np.concatenate(([True], (uid[order][1:] != uid[order][:-1]) | (lines[order][1:] != lines[order][:-1])))
-    nth = at - np.maximum.accumulate(np.where(new, at, 0))
-    found.append((order[nth > 0], _mix(lines[order][nth > 0] ^ _mix(nth[nth > 0].astype(np.uint64)))))
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+    forward, back = np.flatnonzero(e <= ends), np.flatnonzero(b >= starts)
+    i, e = np.unique(np.concatenate((np.stack((forward, e[forward])), np.stack((b[back], back))), axis=1), axis=1)
+    rest = (total[e + 1] - total[i + 1]) * up[e]
+    return i, e, _mix(own[i] * up[e - i] + rest + (e - i).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
-def run_table(table: DataFrame, shared: DataFrame, staging: Staging, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``uid, place, hash`` of runs of lines that are all in ``shared`` (hash)."""
-    of = F.transform(F.arrays_zip("hashes", "chars"), lambda x, i: F.struct(x["hashes"].alias("hash"), x["chars"].alias("chars"), i.alias("line")))
-    lines = table.select("uid", "doc_id", F.posexplode(F.filter(of, lambda x: x["hash"] != BLANK)).alias("rank", "x")).select("uid", "doc_id", "rank", "x.*")
+SHAPES = "uid long, doc_id long, n_lines int, shape binary, tokens array<long>, lines array<int>, chars array<int>, windows array<struct<key:long,start:int,stop:int>>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
 
-        def cut() -> Iterator[pa.RecordBatch]:
-            rows = pa.Table.from_batches(held).combine_chunks()
-            column = {c: rows.column(c).to_numpy() for c in ("uid", "rank", "line", "hash", "chars")}
-            with np.errstate(over="ignore"):
-                i, key = _runs(column["uid"], column["rank"], column["line"], column["hash"].view(np.uint64), column["chars"], min_chars)
-            order = np.lexsort((key, column["uid"][i]))  # each run of a text once
-            i, key = i[order], key[order]
-            new = np.concatenate(([True], (column["uid"][i][1:] != column["uid"][i][:-1]) | (key[1:] != key[:-1])))[: len(i)]
-            i, key = i[new], key[new]
-            out = pa.table([pa.array(column["uid"][i]), rows.column("doc_id").take(pa.array(i)), pa.array(key.view(np.int64))], names=["uid", "doc_id", "hash"])
-            yield from out.combine_chunks().to_batches(max_chunksize=20_000)
+def _shapes(rows: pa.Table, min_chars: int) -> pa.RecordBatch:
+    """``SHAPES`` of whole documents from their shared lines, by ``uid`` and ``rank`` (place among lines that are not blank)."""
+    column = {c: rows.column(c).to_numpy() for c in ("uid", "rank", "line", "hash", "chars", "before", "after", "last", "n_lines")}
+    uid, rank, line, before = column["uid"], column["rank"], column["line"], column["before"]
+    n = len(uid)
+    first = np.append(True, uid[1:] != uid[:-1])
+    follows = np.append(False, ~first[1:] & (rank[1:] == rank[:-1] + 1))
+    ends = np.append(first[1:], True)
+    # each line's tokens: a mark, the blank lines before it, itself, and at the end of a stretch the blank lines behind it and at the end of a text a mark
+    mark = ~follows & ~(first & (rank == 0))
+    behind = np.where(np.append(~follows[1:], True), column["after"], 0)
+    closing = ends & (column["last"] == 0)
+    size = mark + before + 1 + behind + closing
+    stop = np.cumsum(size)
+    start = stop - size
+    own = start + mark + before
+    tokens, chars = np.full(stop[-1], BLANK, np.int64), np.zeros(stop[-1], np.int32)
+    tokens[own], chars[own] = column["hash"], column["chars"]
+    lines = (np.arange(stop[-1]) - np.repeat(own, size) + np.repeat(line, size)).astype(np.int32)
+    for place in (start[mark], stop[closing] - 1):
+        tokens[place], lines[place] = APART, -1
+    with np.errstate(over="ignore"):
+        i, e, key = _windows(np.cumsum(~follows), line, column["hash"].view(np.uint64), column["chars"], min_chars)
+    row = np.flatnonzero(first)
+    at = np.append(start[row], stop[-1]).astype(np.int32)
+    raw = tokens.tobytes()
+    shape = [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    windows = pa.StructArray.from_arrays([pa.array(key.view(np.int64)), pa.array(line[i].astype(np.int32)), pa.array((line[e] + 1).astype(np.int32))], ["key", "start", "stop"])
+    lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(v)) for v in (tokens, lines, chars)]
+    cuts = np.append(np.searchsorted(i, row), len(i)).astype(np.int32)
+    taken = pa.array(row)
+    columns = [pa.array(uid[row]), rows.column("doc_id").combine_chunks().take(taken), pa.array(column["n_lines"][row]), pa.array(shape, pa.binary()), *lists, pa.ListArray.from_arrays(pa.array(cuts), windows)]
+    return pa.RecordBatch.from_arrays(columns, ["uid", "doc_id", "n_lines", "shape", "tokens", "lines", "chars", "windows"])
+
+
+def shape_table(table: DataFrame, staging: Staging, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``SHAPES`` of each text of ``table`` (none twice) that shares a line with another."""
+    own = F.transform(F.arrays_zip("hashes", "chars"), lambda x, i: F.struct(x["hashes"].alias("hash"), x["chars"].alias("chars"), i.alias("line")))
+    kept = table.select("uid", "doc_id", F.size("hashes").alias("n_lines"), F.filter(own, lambda x: x["hash"] != BLANK).alias("own"))
+    beside = lambda i, k, other: F.coalesce(F.get("own", i + k)["line"], other)
+    full = F.transform("own", lambda x, i: F.struct(
+        x["hash"].alias("hash"), x["chars"].alias("chars"), x["line"].alias("line"), (x["line"] - F.when(i == 0, -1).otherwise(beside(i, -1, F.lit(-1))) - 1).alias("before"),
+        (beside(i, 1, F.col("n_lines")) - x["line"] - 1).alias("after"), (i + 1 == F.size("own")).cast("int").alias("last"),
+    ))
+    lines = kept.select("uid", "doc_id", "n_lines", F.posexplode(full).alias("rank", "x")).select("uid", "doc_id", "n_lines", "rank", "x.*")
+    each = table.select(F.explode(F.array_distinct("hashes")).alias("hash")).where(F.col("hash") != BLANK)
+    shared = staging.table(each.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "shared")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -189,69 +209,109 @@ def run_table(table: DataFrame, shared: DataFrame, staging: Staging, min_chars:
             last = int(np.searchsorted(uid, uid[-1]))  # the last document may go on in the next batch
             if last or (held and held[-1].column("uid")[-1].as_py() != uid[0]):
                 held.append(batch.slice(0, last))
-                yield from cut()
+                yield _shapes(pa.Table.from_batches(held).combine_chunks(), min_chars)
                 held = []
             held.append(batch.slice(last))
         if held:
-            yield from cut()
+            yield _shapes(pa.Table.from_batches(held).combine_chunks(), min_chars)
 
-    dealt = lines.join(shared.select("hash"), "hash", "left_semi").select("uid", "doc_id", "rank", "line", "hash", "chars")
+    dealt = lines.join(shared, "hash", "left_semi").select("uid", "doc_id", "rank", "line", "hash", "chars", "before", "after", "last", "n_lines")
     dealt = dealt.repartition(shuffle_partitions(table.sparkSession), "uid").sortWithinPartitions("uid", "rank")
-    runs = staging.table(dealt.mapInArrow(run, "uid long, doc_id long, hash long"), "runs")
-    return runs.select("uid", F.struct("doc_id", "uid").alias("place"), "hash")
-
-
-def holders(keys: DataFrame, staging: Staging) -> DataFrame:
-    """``hash, first_uid, n`` of each hash that several of ``keys`` (uid, place, hash, one row each) have."""
-    shared = keys.groupBy("hash").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
-    return staging.table(shared.select("hash", F.col("first.uid").alias("first_uid"), "n"), "holders")
-
+    return staging.table(dealt.mapInArrow(run, SHAPES), "shapes")
 
-def meetings(keys: DataFrame, shared: DataFrame, staging: Staging, rare: int) -> DataFrame:
-    """``uid, first_uid``: of a hash that at most ``rare`` texts have, each with all before it; of others each with the first."""
-    held = staging.table(keys.join(shared, "hash"), "held")
-    few = held.where(F.col("n") <= rare).groupBy("hash").agg(F.array_sort(F.collect_list("place")).alias("p"))  # at most ``rare`` in a list
-    each = few.select(F.posexplode("p").alias("k", "later"), "p").select(F.col("later.uid").alias("uid"), F.explode(F.slice("p", 1, F.col("k"))).alias("earlier"))
-    many = held.where((F.col("n") > rare) & (F.col("uid") != F.col("first_uid")))
-    return each.select("uid", F.col("earlier.uid").alias("first_uid")).unionByName(many.select("uid", "first_uid"))
 
+def numbered(holders: DataFrame, staging: Staging) -> DataFrame:
+    """``key, uid, n``: the holders of each key (key, doc_id, uid) with their places in order, from 0; a key's holders may fill many tasks."""
+    ranged = holders.repartitionByRange(shuffle_partitions(holders.sparkSession), "key", "doc_id", "uid").sortWithinPartitions("key", "doc_id", "uid")
+    placed = staging.table(ranged.select("key", "uid", F.monotonically_increasing_id().alias("at")), "placed")
+    begins, before = [], 0
+    for task, rows in sorted(placed.groupBy(F.shiftright("at", 33).alias("task")).agg(F.count("*")).collect()):  # a row for each task
+        begins.append((task, before))
+        before += rows
+    begins = F.broadcast(placed.sparkSession.createDataFrame(begins, "task long, before long"))
+    counted = placed.withColumn("task", F.shiftright("at", 33)).join(begins, "task").select("key", "uid", (F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("place"))
+    first = counted.groupBy("key").agg(F.min("place").alias("first"))
+    return staging.table(counted.join(first, "key").select("key", "uid", (F.col("place") - F.col("first")).alias("n")), "numbered")
 
-def overlapping(table: DataFrame, staging: Staging, min_chars: int = MIN_CHARS, rare: int = RARE) -> DataFrame:
-    """Pairs ``uid, first_uid``: a text and an earlier one that shares a line, or a run of lines, with it. ``table`` has no copies."""
-    lines = table.select("uid", F.struct("doc_id", "uid").alias("place"), F.explode(F.array_distinct("hashes")).alias("hash")).where(F.col("hash") != BLANK)
-    shared = holders(lines, staging)
-    runs = run_table(table, shared, staging, min_chars)
-    pairs = meetings(lines, shared, staging, rare).unionByName(meetings(runs, holders(runs, staging), staging, rare))
-    return staging.table(pairs.distinct(), "pairs")
 
-
-def removals(table: DataFrame, pairs: DataFrame, copied: DataFrame, staging: Staging, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``uid, keep, n_removed, from_ids``: the line ranges [start, stop) that stay, of documents that lose lines.
-
-    A row of ``copied`` is one block with its first copy, if it is long enough.
-    """
-    own = table.select("uid", "hashes", "chars")
-    other = table.select(F.col("uid").alias("first_uid"), F.col("doc_id").alias("first_id"), F.col("hashes").alias("first_hashes"))
-    joined = pairs.join(other, "first_uid").select("uid", "first_id", "first_hashes")
-    joined = joined.join(own, "uid")
+def aligned(pairs: DataFrame, shapes: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``uid, first_id, start, stop``: the blocks of lines that texts lose to earlier ones, of ``pairs`` (uid, first_uid)."""
+    other = shapes.select(F.col("uid").alias("first_uid"), F.col("doc_id").alias("first_id"), F.col("tokens").alias("first_tokens"))
+    joined = pairs.join(other, "first_uid").join(shapes.select("uid", "tokens", "lines", "chars"), "uid").select("uid", "first_id", "first_tokens", "tokens", "lines", "chars")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                out: list[list] = [[], [], [], [], []]
-                for uid, first, theirs, ours, chars in zip(*(part.column(c).to_pylist() for c in ("uid", "first_id", "first_hashes", "hashes", "chars")), strict=True):
-                    for i, _, n in align(ours, theirs):
+                out: list[list] = [[], [], [], []]
+                for uid, first, theirs, ours, lines, chars in zip(*(part.column(c).to_pylist() for c in ("uid", "first_id", "first_tokens", "tokens", "lines", "chars")), strict=True):
+                    for i, _, n in align(ours, [OTHER if x == APART else x for x in theirs]):
                         if sum(chars[i : i + n]) >= min_chars:
-                            for column, v in zip(out, (uid, first, i, i + n, len(ours)), strict=True):
+                            for column, v in zip(out, (uid, first, lines[i], lines[i + n - 1] + 1), strict=True):
                                 column.append(v)
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["uid", "first_id", "start", "stop", "n_lines"])
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["uid", "first_id", "start", "stop"])
+
+    return joined.mapInArrow(blocks, "uid long, first_id long, start int, stop int")
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def _still_open(windows: DataFrame, found: DataFrame) -> DataFrame:
+    """``windows`` (uid, start, stop) of which not every line is in a range of ``found``."""
+    ranges = F.array_sort(F.collect_set(F.struct("start", "stop")))  # of one text's lines
+    last = lambda acc: F.element_at(acc, -1)
+    add = lambda acc, x: F.when(F.size(acc) == 0, F.array(x)).when(
+        x["start"] <= last(acc)["stop"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["stop"], x["stop"]).alias("stop"))))
+    ).otherwise(F.concat(acc, F.array(x)))
+    none = F.array().cast("array<struct<start:int,stop:int>>")
+    gone = found.groupBy("uid").agg(ranges.alias("r")).select("uid", F.aggregate("r", none, add).alias("gone"))
+    inside = F.exists("gone", lambda r: (r["start"] <= F.col("start")) & (F.col("stop") <= r["stop"]))
+    return windows.join(gone, "uid", "left").where(~F.coalesce(inside, F.lit(False))).drop("gone")
+
+
+def lost_blocks(shapes: DataFrame, staging: Staging, min_chars: int = MIN_CHARS, growth: int = GROWTH) -> DataFrame:
+    """``uid, first_id, start, stop`` of all blocks that texts lose, by ``shape_table``."""
+    firsts = staging.table(shapes.groupBy("shape").agg(F.min(F.struct("doc_id", "uid")).alias("first")).select("shape", F.col("first.uid").alias("first_uid")), "firsts")
+    members = staging.table(shapes.select("uid", "shape").join(firsts, "shape").select("uid", "first_uid"), "members")
+    own = shapes.join(members.where("uid = first_uid").select("uid").hint("merge"), "uid", "left_semi")
+    windows = staging.table(own.select("uid", "doc_id", F.explode("windows").alias("w")).select("uid", "doc_id", "w.*"), "windows")
+    several = windows.groupBy("key").agg(F.min("uid").alias("one"), F.max("uid").alias("another")).where("one < another").select("key")
+    held = numbered(windows.select("key", "doc_id", "uid").distinct().join(several, "key", "left_semi"), staging)
+    digits = lambda n: F.when(n == 0, 0).otherwise(F.floor(F.log(float(growth), n + F.lit(0.5))).cast("int") + 1)  # noqa: E731 - the round in which a holder's turn comes
+    held = staging.table(held.withColumn("turn", digits(F.col("n"))), "holders")
+    rest = staging.table(windows.join(held.where("n > 0").select("key", "uid", "n"), ["key", "uid"]).select("key", "uid", "n", "start", "stop"), "open")
+    tried, found, turn = [], [], 0
+    while True:
+        now = held.where(F.col("turn") == turn).select("key", F.col("uid").alias("first_uid"), F.col("n").alias("before"))
+        pairs = rest.select("key", "uid", "n").distinct().join(now, "key").where("before < n").select("uid", "first_uid").distinct()
+        if tried:
+            pairs = pairs.join(_union(tried), ["uid", "first_uid"], "left_anti")
+        else:
+            pairs = pairs.unionByName(members.where("uid <> first_uid"))
+        tried.append(staging.table(pairs, f"pairs-{turn}"))
+        found.append(staging.table(aligned(tried[-1], shapes, min_chars), f"blocks-{turn}"))
+        more = rest.where(F.col("n") > F.lit(growth**turn))  # holders that have not had their turn
+        rest = staging.table(_still_open(more, _union(found)), f"open-{turn}")
+        if rest.isEmpty():
+            return _union(found)
+        turn += 1
 
+
+def removals(table: DataFrame, blocks: DataFrame, copied: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``uid, keep, n_removed, from_ids``: the line ranges [start, stop) that stay, of documents that lose lines.
+
+    A row of ``copied`` is one block with its first copy, if it is long enough.
+    """
+    sizes = table.select("uid", F.size("hashes").alias("n_lines"))
     whole = table.join(copied.hint("merge"), "uid").where(F.aggregate("chars", F.lit(0), lambda acc, x: acc + x) >= min_chars)
-    whole = whole.select("uid", "first_id", F.lit(0).alias("start"), F.size("hashes").alias("stop"), F.size("hashes").alias("n_lines"))
-    aligned = joined.mapInArrow(blocks, "uid long, first_id long, start int, stop int, n_lines int")
-    found = staging.table(aligned.unionByName(whole), "blocks")
+    whole = whole.select("uid", "first_id", F.lit(0).alias("start"), F.size("hashes").alias("stop"))
+    found = blocks.unionByName(whole).join(sizes, "uid")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, ["uid"]):
@@ -277,13 +337,13 @@ def removals(table: DataFrame, pairs: DataFrame, copied: DataFrame, staging: Sta
     return dealt.mapInArrow(merge, "uid long, keep array<struct<start:int,stop:int>>, n_removed int, from_ids array<long>")
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, staging: Staging | None = None, rare: int = RARE) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, staging: Staging | None = None, growth: int = GROWTH) -> DataFrame:
     """``doc_id, text, n_lines, n_removed, from_ids``: each row's text without blocks that earlier documents have."""
     staging = staging or Staging(docs.sparkSession)
     table = line_table(docs, staging)
     copied = copies(table, staging)
-    pairs = overlapping(table.join(copied.select("uid").hint("merge"), "uid", "left_anti"), staging, min_chars, rare)
-    cut = staging.table(removals(table, pairs, copied, staging, min_chars), "removals")
+    shapes = shape_table(table.join(copied.select("uid").hint("merge"), "uid", "left_anti"), staging, min_chars)
+    cut = staging.table(removals(table, lost_blocks(shapes, staging, min_chars, growth), copied, min_chars), "removals")
     lines = F.split("text", "\n")
     left = F.array_join(F.flatten(F.transform("keep", lambda r: F.slice(lines, r["start"] + 1, r["stop"] - r["start"]))), "\n")
     return table.select("uid", "doc_id", "text", F.size("hashes").alias("n_lines")).join(cut.hint("merge"), "uid", "left").select(

@@ -12,8 +12,8 @@ be among the k best; those are scored exactly. No row is left out without proof.
 Defined cases: a vector that is null or holds a null or non-finite component is
 neither query nor candidate; shorter vectors count as padded with zeros; ties
 go to the smaller vec_id; a query's own vec_id is no candidate of it; repeated
-rows are candidates each; components are exact up to 2**24 after quantising;
-an empty table gives no rows; other columns are not read, whatever their names.
+rows are candidates each; a row without vec_id is neither, as nothing could name it; a
+component beyond 2**24 after quantising, up to which sums are exact, is an error; an empty table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from corpusflow.llm.common import groups, shuffle_partitions
 
 SCALE = 256
 K = 5
+#: A component's largest size after quantising.
+LARGEST = 1 << 24
 #: Candidates in a block and queries in a block: what one task holds. A row is sent once for each block of the other side.
 BLOCK_ROWS, QUERY_ROWS = 8192, 4096
 #: Candidates in a block where there are too few to fill all tasks.
@@ -42,7 +44,9 @@ STOPS, FEW = (0.6, 0.78, 0.84, 0.89, 0.94), 0.03
 def quantise(vector: Column, scale: int = SCALE) -> Column:
     """floor(scale * x) of each component, or null if the vector takes no part."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.when(finite, F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long")))
+    too_large = F.raise_error(F.lit(f"a component is beyond {LARGEST} after quantising")).cast("long")
+    floored = lambda y: F.when(F.abs(y) <= LARGEST, F.floor(y).cast("long")).otherwise(too_large)
+    return F.when(finite, F.transform(vector, lambda x: floored(F.lit(scale) * x.cast("double"))))
 
 
 class ImpactIndex:
@@ -136,6 +140,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block_rows: int =
     returns k rows a query; a window takes the k best of those.
     """
     spark = vectors.sparkSession
+    vectors, queries = vectors.where("vec_id IS NOT NULL"), queries.where("vec_id IS NOT NULL")
     counts = vectors.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first(), queries.agg(F.count("*")).first()
     spread = min(shuffle_partitions(spark), -(-counts[0][0] // min(block_rows, LEAST_ROWS)))  # no fewer blocks than tasks, if there are rows for them
     blocks, query_blocks, size = max(-(-counts[0][0] // block_rows), spread, 1), -(-counts[1][0] // query_rows) or 1, counts[0][1]

@@ -63,3 +63,12 @@ def test_proof_stops_early_on_the_given_table():
         scores = v @ v[i]
         best = sorted((-int(scores[j]), int(ids[j])) for j in range(len(ids)) if j != i)[:5]
         assert {x for _, x in best} <= set(ids[possible].tolist())
+
+
+def test_rows_without_id_and_oversized_components(spark):
+    rows = spark.createDataFrame([(None, [1, 2]), (50, [3, 4]), (3, [5, 6]), (None, None)], "vec_id long, v array<long>").where("v IS NOT NULL")
+    assert [tuple(r) for r in t.top_k(rows, rows.where("vec_id % 50 = 0")).collect()] == [(50, 1, 3, 39)]
+    raw = spark.createDataFrame([(1, [65536.0]), (2, [-65536.0])], "vec_id long, embedding array<float>")
+    assert sorted(r[0][0] for r in raw.select(t.quantise(F.col("embedding"))).collect()) == [-(1 << 24), 1 << 24]
+    with pytest.raises(Exception, match="beyond"):
+        spark.createDataFrame([(1, [1e30])], "vec_id long, embedding array<float>").select(t.quantise(F.col("embedding"))).collect()

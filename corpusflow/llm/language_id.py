@@ -40,12 +40,10 @@ def _fold() -> np.ndarray:
     """For each code point its lower-cased form if it is a letter, else a space."""
     if not _FOLD:
         table = np.full(0x110000, 32, dtype=np.uint32)
-        for cp in range(0x30000):
+        for cp in range(0x110000):
             if (c := chr(cp)).isalpha():
                 low = c.lower()
                 table[cp] = ord(low) if len(low) == 1 else cp
-        for cp in range(0x30000, 0x32000):
-            table[cp] = cp if chr(cp).isalpha() else 32
         _FOLD.append(table)
     return _FOLD[0]
 
@@ -121,20 +119,36 @@ def count_grams(labelled: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return labelled.select("text", "lang").mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
+def sample(rows: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` of ``rows`` (doc_id, text, lang): those whose doc_id hashes lowest; where rows without id or with one id are too many, those of them whose whole row does."""
+
+    def lowest(rows: DataFrame, *by: str) -> tuple[DataFrame, int | None]:
+        drawn = rows.withColumn("_draw", F.xxhash64(*[F.col(c).cast("string") for c in by]))
+        last = drawn.select("_draw").orderBy("_draw").limit(most).agg(F.max("_draw"), F.count("*")).first()
+        return drawn, last[0] if last[1] == most else None
+
+    drawn, last = lowest(rows, "doc_id")
+    if last is None:
+        return rows
+    kept = drawn.where(F.col("_draw") <= last)
+    if kept.select("_draw").limit(most + 1).count() <= most:
+        return kept
+    drawn, last = lowest(kept.drop("_draw"), "doc_id", "text", "lang")
+    below = drawn.where(F.col("_draw") < last)
+    return below.unionByName(drawn.where(F.col("_draw") == last).limit(most - below.count()))  # rows that are equal
+
+
 def train(labelled: DataFrame, training_rows: int = TRAINING_ROWS, buckets: int = BUCKETS, smoothing: float = 0.5) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log-priors and the (buckets x languages) log-probabilities from ``labelled`` (doc_id, text, lang).
 
     Rows with null text or lang are left out. With more than ``training_rows`` of
     them those with the lowest hash of doc_id count.
     """
-    rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").withColumn("_draw", F.xxhash64(F.col("doc_id").cast("string")))
-    last = rows.select("_draw").orderBy("_draw").limit(training_rows).agg(F.max("_draw"), F.count("*")).first()
-    if last[1] == training_rows:
-        rows = rows.where(F.col("_draw") <= last[0])
+    rows = sample(labelled.where("text IS NOT NULL AND lang IS NOT NULL"), training_rows)
+    if rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:  # before anything is counted by language
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     found = count_grams(rows, buckets).collect()  # languages x (buckets + 1) rows at most
     langs = sorted({r["lang"] for r in found})
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; at most {MOST_LANGUAGES} are supported")
     place = {lang: k for k, lang in enumerate(langs)}
     counts, seen = np.zeros((buckets, len(langs))), np.zeros(len(langs))
     for r in found:

@@ -87,3 +87,23 @@ def test_query_against_plain_naive_bayes(spark, sf_dir):
         best = max(sorted(scores), key=scores.get)
         score = 1 / sum(math.exp(v - scores[best]) for v in scores.values())
         assert r["lang_pred"] == best and abs(r["score"] - score) < 1e-3
+
+
+def test_letters_of_all_planes_and_a_dirty_language_column(spark, table, monkeypatch):
+    rare = chr(0x32010)
+    got = lang.identify(table([(i, rare * 20, "zz") for i in range(5)] + [(9, "abc", "en"), (10, rare, None)])).collect()
+    assert {r["lang_pred"] for r in got if r["doc_id"] == 10} == {"zz"}
+    monkeypatch.setattr(lang, "count_grams", None)  # is not reached
+    dirty = table([(i, "text", f"lang{i}") for i in range(lang.MOST_LANGUAGES + 1)])
+    try:
+        lang.train(dirty)
+        raise AssertionError("no error")
+    except ValueError as e:
+        assert "languages" in str(e)
+
+
+def test_the_sample_is_bounded_without_ids_too(spark, table):
+    rows = [(None, f"text {i % 30}", "en") for i in range(60)] + [(1, f"one id {i}", "en") for i in range(40)] + [(i, "own id", "en") for i in range(100, 140)]
+    for most in (1, 10, 30, 90):
+        assert lang.sample(table(rows), most).count() == most
+    assert lang.sample(table(rows), 1000).count() == len(rows)

@@ -4,7 +4,7 @@ Documents are counted in cells of source, language and topic. The cells' token
 weights are raked in turn to the target share of every source, language and
 topic until all three hold to ``TOLERANCE``; a document is then kept with the
 probability that its cell calls for, scaled so that the most wanted cell keeps
-everything. The draw is a hash of the id, so a run can be repeated.
+everything. The draw is a hash of the id, or of the text where there is none, so a run can be repeated.
 
 A raked weight is the cell's share times a factor of its source and one of its
 pair of language and topic. Sources may be many: they stay a distributed table of one row
@@ -19,7 +19,7 @@ none are left as they are; targets that no weights can meet are an error that na
 Defined cases: null source, lang and topic count as ``unknown``; null and empty
 texts have no tokens and the probability of their cell; a cell without tokens keeps
 everything, and so does a table without any; a target without
-documents, or documents without a target, get no weight; repeated rows with one doc_id are kept or left alike;
+documents, or documents without a target, get no weight; repeated rows with one doc_id, or without one and with one text, are kept or left alike;
 an empty table gives no rows; columns of the input with the names made here are
 replaced.
 """
@@ -56,9 +56,10 @@ def coarse_topic(text: Column) -> Column:
     )
 
 
-def draw(doc_id: Column, seed: str = SEED) -> Column:
-    """A number from 0 up to 1 that depends on the id and seed alone."""
-    return F.conv(F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":" + seed)).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
+def draw(doc_id: Column, text: Column, seed: str = SEED) -> Column:
+    """A number from 0 up to 1 that depends on the id, or without one on the text, and on the seed alone."""
+    of = F.coalesce(doc_id.cast("string"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    return F.conv(F.substring(F.md5(F.concat(of, F.lit(":" + seed)).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
 
 
 def _targets(given: dict[str, float]) -> dict[str, float]:
@@ -146,7 +147,7 @@ def mix(docs: DataFrame, topic: Column | None = None, targets: dict[str, dict[st
     probs = probs.select(*[F.col(d).alias(f"_cell_{d}") for d in DIMENSIONS], F.col("prob").alias("_cell_prob"))
     same = [F.coalesce(F.col(d), F.lit("unknown")) == F.col(f"_cell_{d}") for d in DIMENSIONS]
     out = named.drop("prob", "kept").join(probs, same, "left").withColumn("prob", F.col("_cell_prob"))
-    return out.withColumn("kept", draw(F.col("doc_id"), seed) < F.col("prob")).drop("_cell_prob", *[f"_cell_{d}" for d in DIMENSIONS])
+    return out.withColumn("kept", draw(F.col("doc_id"), F.col("text"), seed) < F.col("prob")).drop("_cell_prob", *[f"_cell_{d}" for d in DIMENSIONS])
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,3 +72,11 @@ def test_defined_cases(spark, table):
 def test_no_tokens_at_all_keeps_everything(spark, table):
     got = m.mix(table([(1, None), (2, "")])).collect()
     assert [r["kept"] for r in got] == [True, True]
+
+
+def test_rows_without_id_are_drawn_by_text(spark, table):
+    rows = [(None, f"text of row {i}", "en", "a") for i in range(400)] + [(None, f"much longer text of row {i} " * 40, "fr", "b") for i in range(400)]
+    got = m.mix(table(rows), topic=F.lit("t"), targets={"lang": {"en": 0.5, "fr": 0.5}}).select("lang", "prob", "kept").collect()
+    low = [r for r in got if r["prob"] < 1]
+    share = sum(r["kept"] for r in low) / len(low)
+    assert low and abs(share - low[0]["prob"]) < 0.1

@@ -92,7 +92,8 @@ def _windows(bounds: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray,
         lo, hi = np.array([0]), np.array([min(bounds[1], max(0, bounds[2] - n + 1))])
     else:
         lo, hi = bounds[:-1], np.maximum(bounds[:-1], bounds[1:] - n + 1)
-    return lo, np.maximum(lo, hi)
+    most = max(0, int(bounds[-1]) - n + 1)  # a short text at the end begins behind the last n-gram
+    return np.minimum(lo, most), np.minimum(np.maximum(lo, hi), most)
 
 
 def count_grams(labelled: DataFrame, buckets: int = BUCKETS) -> DataFrame:

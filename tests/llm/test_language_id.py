@@ -107,3 +107,10 @@ def test_the_sample_is_bounded_without_ids_too(spark, table):
     for most in (1, 10, 30, 90):
         assert lang.sample(table(rows), most).count() == most
     assert lang.sample(table(rows), 1000).count() == len(rows)
+
+
+def test_short_texts_at_the_end_of_a_batch(spark, table):
+    rows = [(i, "the and of this", "en") for i in range(9)]
+    for last in ("a", "ab", "", None, "é"):
+        got = lang.identify(table([*rows, (100, last, None)]).coalesce(1)).collect()
+        assert {r["lang_pred"] for r in got if r["doc_id"] == 100} == {"en" if last else "und"}

@@ -41,8 +41,8 @@ def strip_non_content(c: Column) -> Column:
 
 
 def raw_lines(c: Column) -> Column:
-    """Text nodes end to end, with line feeds for tags and comments; entities still escaped."""
-    return F.regexp_replace(strip_non_content(c), r"(?s)<!--.*?-->|<[!/?a-zA-Z][^>]*>", "\n")
+    """Text nodes end to end, with line feeds for tags and comments; entities still escaped. A quoted value of a tag may hold ``>``."""
+    return F.regexp_replace(strip_non_content(c), r"""(?s)<!--.*?-->|<[!/?a-zA-Z][^>=]*+(?:=\s*+(?:"[^"]*"|'[^']*')?+[^>=]*+)*+>""", "\n")
 
 
 def html_lines(unescaped: Column) -> Column:

@@ -129,7 +129,7 @@ def sentences(c: Column) -> Column:
 
 def speech_segments(c: Column, most: int = 300) -> Column:
     """Every terminated sentence whole; an unterminated tail is wrapped at blanks to ``most`` characters."""
-    parts = F.split(F.regexp_replace(c, r"([.!؟\n])", "$1\x01"), "\x01")  # one pass; a pattern for whole sentences would rescan the tail from each place
+    parts = F.split(c, r"(?<=[.!؟\n])")  # one pass; a pattern for whole sentences would rescan the tail from each place
     ended, tail = F.slice(parts, 1, F.size(parts) - 1), strip(F.element_at(parts, -1))
     # the tail's words fold into lines; a word longer than a line is cut hard
     pieces = F.flatten(F.transform(F.split(tail, " "), lambda w: F.when(F.length(w) <= most, F.array(w)).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.length(w) - 1) / most).cast("int")), lambda i: F.substring(w, i * most + 1, F.lit(most))))))

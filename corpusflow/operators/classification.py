@@ -93,7 +93,7 @@ def parse_results(log: DataFrame) -> DataFrame:
     """Completed results as ``slug, want_*, parsed``; what cannot be parsed has a ``failure``."""
     parsed = F.from_json("content", RESPONSE)
     df = log.where("status = 'completed'").withColumn("_id", parse_custom_id(F.col("custom_id"))).withColumn("parsed", parsed)
-    failure = F.when(F.col("_id").isNull(), "bad custom id").when(~F.coalesce(F.col("content").startswith("{"), F.lit(False)) | F.col("parsed").isNull(), "not a JSON object")
+    failure = F.when(F.col("_id").isNull(), "bad custom id").when(~F.coalesce(F.col("content").rlike(r"\A[ \t\r\n]*\{"), F.lit(False)) | F.col("parsed").isNull(), "not a JSON object")
     return df.withColumn("failure", failure).select("custom_id", "_id.*", "parsed", "failure")
 
 

@@ -377,7 +377,44 @@ def retrieve_topk(spark, d):
 
 @query(f"SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM ({_hits_sql(5, 'q.label = c.label')})")
 def retrieve_filtered(spark, d):
-    return R.retrieve(*_vectors(spark, d), filter_col="label").withColumn("score", F.round("score", 6))
+    return R.retrieve(*_vectors(spark, d), filters="label").withColumn("score", F.round("score", 6))
+
+
+_F_CHARACTER, _F_ERA, _F_BOOK = "'c' || (vec_id % 6)", "'e' || label", "'b' || (vec_id % 4)"
+
+
+@query(f"""
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, {_F_CHARACTER} AS ch, {_F_ERA} AS er, {_F_BOOK} AS bk FROM embeddings),
+a AS (SELECT vec_id, v, CASE WHEN vec_id // 25 % 2 = 0 THEN ch END AS ch, CASE WHEN vec_id // 50 % 2 = 0 THEN er END AS er, CASE WHEN vec_id // 100 % 2 = 0 THEN bk END AS bk FROM e WHERE vec_id % 25 = 0),
+h AS (SELECT a.vec_id AS query_id, e.vec_id AS chunk_id, list_cosine_similarity(a.v, e.v) AS s FROM a JOIN e ON (a.ch IS NULL OR a.ch = e.ch) AND (a.er IS NULL OR a.er = e.er) AND (a.bk IS NULL OR a.bk = e.bk)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, chunk_id) AS INTEGER) AS rank FROM h)
+SELECT query_id, rank, 'chunk-' || chunk_id AS chunk_id, round(s, 6) AS score FROM r WHERE rank <= 5
+""")
+def retrieve_by_filters(spark, d):
+    """Questions that restrict character, era and book, each or not, over chunks with ids that are strings."""
+    e = read_table(spark, d, "embeddings")
+    named = e.select("vec_id", "embedding", F.concat(F.lit("c"), F.col("vec_id") % 6).alias("character"), F.concat(F.lit("e"), "label").alias("era"), F.concat(F.lit("b"), F.col("vec_id") % 4).alias("book"))
+    some = lambda c, n: F.when(F.floor(F.col("vec_id") / n) % 2 == 0, F.col(c)).alias(c)
+    asks = named.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), "embedding", some("character", 25), some("era", 50), some("book", 100))
+    # padded, so that ids sort as their numbers do
+    chunks = named.select(F.concat(F.lit("chunk-"), F.lpad("vec_id", 12, "0")).alias("chunk_id"), "embedding", "character", "era", "book")
+    hits = R.retrieve(chunks, asks, filters=("character", "era", "book"))
+    return hits.select("query_id", "rank", F.concat(F.lit("chunk-"), F.substring("chunk_id", 7, 12).cast("long")).alias("chunk_id"), F.round("score", 6).alias("score"))
+
+
+@query()
+def centroid_recall(spark, d):
+    """Of each question's five best chunks but itself, by the exact search, how many the lists of its nearest centroids hold, and the share of chunks that was read."""
+    c, asks = _vectors(spark, d)
+    staging = Staging(spark)
+    index = R.build_lists(c, f"{staging.root}/lists")
+    others = lambda hits: hits.where("query_id <> chunk_id").select("query_id", "chunk_id")
+    exact = others(R.retrieve(c, asks, 6))
+    found = others(R.search_lists(index, asks, 6)).withColumn("hit", F.lit(1))
+    rows = exact.join(found, ["query_id", "chunk_id"], "left").groupBy("query_id").agg(F.count("*").alias("wanted"), F.count("hit").alias("found"))
+    sizes = index.assigned.groupBy("list").count()
+    read = R.probed_lists(index, asks).join(sizes, "list", "left").groupBy("query_id").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("rows_read"))
+    return rows.join(read, "query_id").crossJoin(c.agg(F.count("*").alias("n"))).select("query_id", "wanted", "found", F.round(F.col("rows_read") / F.col("n"), 4).alias("read"))
 
 
 def _chunk_meta(spark, d):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -84,55 +83,59 @@ def cut_segments(buffer: str, most: int = MOST_CHARS) -> tuple[list[str], str]:
 
 
 class Segmenter(StatefulProcessor):
-    """State of one generation: text not yet cut, pieces that came early, the next place, segments so far. Timers drop finished or stale ones."""
+    """State of one generation: text not yet cut with the next place and the number of segments, and by place the pieces that came early.
+
+    All of it goes by itself: ``stale_ms`` after its last change, or, when the last piece has been cut, at once, but for a mark
+    that stays for ``finished_ms`` and lets pieces that come again do nothing. After that the id may name another generation.
+    """
 
     def __init__(self, finished_ms: int = 300_000, stale_ms: int = 900_000):
         self.finished_ms, self.stale_ms = finished_ms, stale_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("open", "buffer string, next long, n long, early string, last long")
+        self.open = handle.getValueState("open", "buffer string, next long, n long, last long", self.stale_ms)
+        self.early = handle.getMapState("early", "seq long", "piece string", self.stale_ms)
+        self.finished = handle.getValueState("finished", "n long", self.finished_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        held = self.state.get() if self.state.exists() else None
-        buffer, place, n, early, last = (held[0], held[1], held[2], {int(k): v for k, v in json.loads(held[3]).items()}, held[4]) if held else ("", 0, 0, {}, -1)
-        if not held:
-            self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.stale_ms)
+        if self.finished.exists():
+            return
+        buffer, place, n, last = self.open.get() if self.open.exists() else ("", 0, 0, -1)
+        came: dict[int, str] = {}
         for frame in rows:
             for seq, piece, final in zip(frame["seq"], frame["piece"], frame["final"], strict=True):
                 if seq >= place:
-                    early[int(seq)] = piece
-                if final:
+                    came[int(seq)] = "" if piece is None or piece != piece else piece  # a null piece has no text
+                if final is True or final == 1:
                     last = int(seq)
-        out = []
-        while place in early:
-            buffer += early.pop(place)
+        while place in came or self.early.containsKey((place,)):
+            if place in came:
+                buffer += came.pop(place)
+            else:
+                buffer += self.early.getValue((place,))[0]
+                self.early.removeKey((place,))
             place += 1
         segments, buffer = cut_segments(buffer)
-        ended = 0 <= last < place
-        if ended and buffer.strip():
-            segments.append(buffer.strip())
-            buffer = ""
-        for s in segments:
-            out.append((key[0], n, s))
-            n += 1
-        self.state.update((buffer, place, n, json.dumps(early), last))
-        if ended:
-            self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.finished_ms)
-        if out:
-            yield pd.DataFrame(out, columns=["generation_id", "segment", "text"])
-
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
-        self.state.clear()
-        return iter(())
+        if 0 <= last < place:
+            segments += [buffer.strip()] if buffer.strip() else []
+            self.open.clear()
+            self.early.clear()
+            self.finished.update((n + len(segments),))
+        else:
+            self.open.update((buffer, place, n + len(segments), last))
+            for seq, piece in came.items():
+                self.early.updateValue((seq,), (piece,))
+        if segments:
+            yield pd.DataFrame([(key[0], n + i, s) for i, s in enumerate(segments)], columns=["generation_id", "segment", "text"])
 
     def close(self) -> None:
         pass
 
 
-def segment_stream(pieces: DataFrame) -> DataFrame:
+def segment_stream(pieces: DataFrame, finished_ms: int = 300_000, stale_ms: int = 900_000) -> DataFrame:
     """``generation_id, segment, text`` from a stream of pieces (generation_id, seq, piece, final), in any order; needs the RocksDB state store."""
-    cut = pieces.groupBy("generation_id").transformWithStateInPandas(Segmenter(), "generation_id string, segment long, text string", "Append", "ProcessingTime")
+    cutter = Segmenter(finished_ms, stale_ms)
+    cut = pieces.groupBy("generation_id").transformWithStateInPandas(cutter, "generation_id string, segment long, text string", "Append", "ProcessingTime")
     return cut.withColumn("text", T.strip_citation_markers(F.col("text"))).where("text <> ''")
 
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusflow.functions import html as H
+from corpusflow.functions import text as T
 from corpusflow.operators import biographies as B
 from corpusflow.operators import classification as K
 from corpusflow.operators import conversations as V
@@ -12,6 +13,7 @@ from corpusflow.operators import embedding as E
 from corpusflow.operators import merge as M
 from corpusflow.operators import retrieval as R
 from corpusflow.operators import roster as O
+from corpusflow.queries import QUERIES
 from corpusflow.sources import pages as P
 from corpusflow.sources import sinks as S
 
@@ -146,8 +148,6 @@ def test_story_rotation(spark):
 
 
 def test_retry_searches_all_chunks(spark, sf_dir):
-    from corpusflow.queries import QUERIES
-
     rows = QUERIES["retry_rewrite"](spark, sf_dir).collect()
     asked = {r["vec_id"] for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id % 25 = 0").collect()}
     assert {r["query_id"] for r in rows} == asked and any(q % 3 == 0 for q in asked)
@@ -234,8 +234,6 @@ def test_boundary_guard(spark):
 
 
 def test_lsh_finds_near_chunks_among_few(spark):
-    from corpusflow.queries import QUERIES
-
     rows = QUERIES["lsh_recall"](spark, "/root/testdata/sf0.01").collect()
     assert len(rows) >= 15 and sum(r["found"] for r in rows) >= 0.9 * len(rows)
     assert sum(r["compared"] for r in rows) / len(rows) < 0.1
@@ -255,3 +253,48 @@ def test_finalize_answer_keeps_suggestions_in_extra_if_any(spark):
     more = spark.createDataFrame([("g", ["q"]), ("h", [])], "generation_id string, suggestions array<string>")
     got = {r["generation_id"]: json.loads(r["extra"]) for r in V.finalize_answer(pieces, more).collect()}
     assert got["g"]["suggestions"] == ["q"] and "suggestions" not in got["h"] and got["g"]["diacritized_content"].startswith("أَب")
+
+
+def test_filters_lengths_and_ids_of_a_search(spark):
+    chunks = spark.createDataFrame(
+        [("a", [1.0, 0.0], "x", "e"), ("b", [0.9, 0.1], "x", None), ("c", [0.0, 1.0], "y", "e"), ("d", [1.0, 0.0, 0.0], "x", "e"), ("e", [0.0, 0.0], "x", "e"), ("f", None, "x", "e"), ("g", [None, 1.0], "y", "e"), ("h", [1.0, 0.0], "x:1", "e")],
+        "chunk_id string, embedding array<float>, who string, era string",
+    )
+    asks = spark.createDataFrame([(1, [1.0, 0.0], "x", None), (2, [1.0, 0.0], None, "e"), (3, [1.0, 0.0], None, None), (4, [1.0, 0.0], "nobody", None), (5, [0.0, 1.0, 0.0], None, None), (6, None, None, None)], "query_id int, embedding array<float>, who string, era string")
+    got = {}
+    for r in R.retrieve(chunks, asks, 9, ("who", "era")).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["chunk_id"])
+    assert got == {1: ["a", "b", "e"], 2: ["a", "h", "c", "e", "g"], 3: ["a", "h", "b", "c", "e", "g"], 5: ["d"]}
+    only = R.retrieve(chunks, asks.where("query_id = 1"), 2, ("who",))
+    assert [r["chunk_id"] for r in only.orderBy("rank").collect()] == ["a", "b"]
+    assert R.retrieve(chunks.limit(0), asks, filters="who").count() == R.retrieve(chunks, asks.limit(0), filters="who").count() == 0
+    with pytest.raises(ValueError, match="filters"):
+        R.retrieve(chunks, asks, filters=tuple("abcdefg"))
+
+
+def test_lists_by_centroid_reach_the_recall_that_is_stated(spark, tmp_path):
+    for sf in ("sf0.01", "sf0.1"):
+        rows = QUERIES["centroid_recall"](spark, f"/root/testdata/{sf}").collect()
+        assert sum(r["found"] for r in rows) >= 0.9 * sum(r["wanted"] for r in rows)
+        assert sum(r["read"] for r in rows) / len(rows) < 0.75
+    vectors = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(200)] + [(900, None), (901, [1.0])], "chunk_id long, embedding array<double>")
+    index = R.build_lists(vectors, str(tmp_path / "lists"), lists=8)
+    asks = vectors.where("chunk_id < 3").withColumnRenamed("chunk_id", "query_id")
+    all_ = R.search_lists(index, asks, 5, nprobe=8).orderBy("query_id", "rank").collect()
+    assert [tuple(r)[:3] for r in all_] == [tuple(r)[:3] for r in R.retrieve(vectors, asks, 5).orderBy("query_id", "rank").collect()]
+    one = R.search_lists(index, asks, 5, nprobe=1)
+    assert "list" in one._jdf.queryExecution().toString() and one.count() == 15
+    assert R.search_lists(R.build_lists(vectors.limit(0), str(tmp_path / "none")), asks).count() == 0
+
+
+def test_quoted_values_of_tags_and_control_characters(spark):
+    pages = spark.createDataFrame([("""<p title="a > b">x</p>y<img alt='1>0' src=q>z<a href=it's>w</a> it's <b c = "d>e" f='>'>v</b>""",)], "html string")
+    lines = pages.select(H.html_lines(H.raw_lines(F.col("html"))).alias("l")).first()["l"]
+    assert lines == ["x", "y", "z", "w", "it's", "v"]
+    text = spark.createDataFrame([("ab\x01cd. ef",)], "t string")
+    assert text.select(T.speech_segments(F.col("t")).alias("s")).first()["s"] == ["ab\x01cd.", "ef"]
+
+
+def test_answers_may_begin_with_white_space(spark):
+    log = spark.createDataFrame([("s::c1d0", "completed", '\n {"categories": [], "short_description": "d"}'), ("t::c1d0", "completed", " [1]")], "custom_id string, status string, content string")
+    assert [(r["slug"], r["failure"]) for r in K.parse_results(log).orderBy("slug").collect()] == [("s", None), ("t", "not a JSON object")]

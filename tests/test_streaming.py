@@ -1,4 +1,5 @@
-import pandas as pd
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,39 +100,34 @@ def test_deltas_of_a_stream(spark, tmp_path):
     assert [r["piece"] for r in spark.read.parquet(str(tmp_path / "out")).orderBy("seq").collect()] == ["ما", "ذا"]
 
 
-class Handle:
-    """What a stateful processor asks of its handle, in memory."""
-
-    def __init__(self):
-        self.value, self.timers = None, []
-
-    def getValueState(self, *_):
-        return self
-
-    def exists(self):
-        return self.value is not None
-
-    def get(self):
-        return self.value
-
-    def update(self, value):
-        self.value = value
+def test_state_expires_and_an_id_is_used_again(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = "generation_id string, seq long, piece string, final boolean"
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
 
-    def clear(self):
-        self.value = None
+    def go(rows, finished_ms=2000, stale_ms=60_000):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).parquet(src)
+        J.segment_stream(stream, finished_ms, stale_ms).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+        return sorted((r["generation_id"], r["segment"], r["text"]) for r in spark.read.schema("generation_id string, segment long, text string").parquet(out).collect())
 
-    def registerTimer(self, at):
-        self.timers.append(at)
+    assert go([("g", 0, "One. ", False), ("g", 1, None, False), ("g", 3, "late.", None), ("h", 1, "waits", None)]) == [("g", 0, "One.")]
+    first = [("g", 0, "One."), ("g", 1, "Two, late."), ("g", 2, "End")]
+    assert go([("g", 2, "Two, ", False), ("g", 4, "End", True), ("g", 0, "again. ", False)]) == first
+    time.sleep(3)
+    assert go([("g", 0, "Another. ", False), ("h", 0, "it ", True)])[:2] == [("g", 0, "Another."), ("g", 0, "One.")]
 
-    def getCurrentProcessingTimeInMs(self):
-        return 1000
 
+def test_stale_pieces_are_forgotten(spark, tmp_path):
+    schema = "generation_id string, seq long, piece string, final boolean"
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
 
-def test_state_of_finished_and_stale_generations_expires():
-    s, handle = J.Segmenter(finished_ms=5, stale_ms=70), Handle()
-    s.init(handle)
-    feed = lambda *rows: [x for f in s.handleInputRows(("g",), iter([pd.DataFrame(rows, columns=["seq", "piece", "final"])]), handle) for x in f["text"]]
-    assert feed((0, "One. Tw", False)) == ["One."] and handle.timers == [1070]
-    assert feed((1, "o", True)) == ["Two"] and handle.timers == [1070, 1005]
-    assert handle.exists() and list(s.handleExpiredTimer(("g",), handle, None)) == [] and not handle.exists()
-    assert feed((0, "Again.", False)) == ["Again."]
+    def go(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).parquet(src)
+        J.segment_stream(stream, 1000, 1500).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+
+    go([("g", 0, "not ended ", False), ("g", 2, "early. ", False)])
+    time.sleep(3)
+    go([("g", 0, "Fresh. ", False), ("g", 1, "one. ", False)])
+    assert sorted(r["text"] for r in spark.read.parquet(out).collect()) == ["Fresh.", "one."]

@@ -1,19 +1,36 @@
 """Pages assigned to biographies: identity from neighbours, islands, aggregates.
 
-Windows are per book, so a book is the largest thing that one task sorts; a biography
-(an island) is the largest text that becomes one value. A character's pages of all books stay
+Windows are over a book's ranges of ``SEGMENT`` page ids, and what each range needs of those before and
+behind it (the nearest identity, the number of islands) is carried over by a table with a row for each range, so a book of any size
+spreads over all tasks. A biography (an island) is the largest text that becomes one value. A character's pages of all books stay
 one row each: their sizes are summed first, and only characters below a bound are rendered as one text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as T
 
+#: Page ids of one book that one window is over.
+SEGMENT = 4096
 
-def resolve_character_context(pages: DataFrame, book: str = "book_id") -> DataFrame:
+
+def _segmented(pages: DataFrame, book: str, segment: int) -> DataFrame:
+    """``pages`` with ``_key``: the book and a range of ``segment`` page ids, which windows are over instead of the whole book."""
+    place = F.coalesce(F.floor(F.col("page_id") / segment), F.lit(-(1 << 62)))  # pages without an id come first
+    return pages.withColumn("_key", F.struct(F.col(book).alias("book"), place.alias("place")))
+
+
+def _carries(ends: DataFrame) -> tuple[WindowSpec, WindowSpec]:
+    """What lies before and behind each range of a book, of a table that has a row for each range: frames that only grow."""
+    by = Window.partitionBy("_key.book")
+    before = lambda order: by.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return before(F.asc("_key.place")), before(F.desc("_key.place"))
+
+
+def resolve_character_context(pages: DataFrame, book: str = "book_id", segment: int = SEGMENT) -> DataFrame:
     """``pages`` (page_id, character_id, character_name, entry_name) with resolved identity and ``assignment``.
 
     An explicit identity (an id and a name, the entry's if there is no other)
@@ -23,20 +40,35 @@ def resolve_character_context(pages: DataFrame, book: str = "book_id") -> DataFr
     blank = lambda c: F.nullif(T.strip(F.col(c)), F.lit(""))
     name = F.coalesce(blank("character_name"), blank("entry_name"))
     own = F.when(blank("character_id").isNotNull() & name.isNotNull(), F.struct(blank("character_id").alias("id"), name.alias("name")))
-    nearest = lambda order: F.last("_own", ignorenulls=True).over(Window.partitionBy(book).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    df = pages.withColumn("_own", own).withColumn("_after", nearest(F.desc("page_id"))).withColumn("_before", nearest(F.asc("page_id")))  # both frames only grow
-    shared = F.when(F.col("_before.id") == F.col("_after.id"), F.col("_before"))
+    df = _segmented(pages.withColumn("_own", own), book, segment)
+    given = df.where("_own IS NOT NULL").groupBy("_key").agg(F.min_by("_own", "page_id").alias("first"), F.max_by("_own", "page_id").alias("last"))
+    ends = df.select("_key").distinct().join(given, "_key", "left")
+    earlier, later = _carries(ends)
+    ends = ends.select("_key", F.last("last", ignorenulls=True).over(earlier).alias("_earlier"), F.last("first", ignorenulls=True).over(later).alias("_later"))
+    nearest = lambda order: F.last("_own", ignorenulls=True).over(Window.partitionBy("_key").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    df = df.withColumn("_after", nearest(F.desc("page_id"))).withColumn("_before", nearest(F.asc("page_id"))).join(ends, "_key")
+    before, after = F.coalesce("_before", "_earlier"), F.coalesce("_after", "_later")
+    shared = F.when(before["id"] == after["id"], before)
     kind = F.when(F.col("_own").isNotNull(), "source").when(shared.isNotNull(), "inferred").otherwise("unassigned")
     who = F.coalesce("_own", shared)
-    return df.withColumn("_who", who).withColumn("assignment", kind).withColumn("resolved_id", F.col("_who.id")).withColumn("resolved_name", F.col("_who.name")).drop("_own", "_before", "_after", "_who")
+    return df.select(*[F.col(c) for c in pages.columns], kind.alias("assignment"), who["id"].alias("resolved_id"), who["name"].alias("resolved_name"))
 
 
-def split_contiguous(pages: DataFrame, book: str = "book_id") -> DataFrame:
+def split_contiguous(pages: DataFrame, book: str = "book_id", segment: int = SEGMENT) -> DataFrame:
     """``pages`` with ``island``: runs of one character, numbered in page order; an unassigned page ends a run and has none."""
-    w = Window.partitionBy(book).orderBy("page_id")
+    w = Window.partitionBy("_key").orderBy("page_id")
     starts = F.col("resolved_id").isNotNull() & ~F.col("resolved_id").eqNullSafe(F.lag("resolved_id").over(w))
-    df = pages.withColumn("_n", F.sum(F.when(starts, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return df.withColumn("island", F.when(F.col("resolved_id").isNotNull(), F.col("_n"))).drop("_n")
+    counted = lambda df: df.withColumn("_n", F.sum(F.when(starts, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # a range's first page begins a run of its own, unless the range before ends in the same character
+    narrow = counted(_segmented(pages.select(book, "page_id", "resolved_id"), book, segment))
+    who = F.struct("resolved_id")
+    ends = narrow.groupBy("_key").agg(F.max("_n").alias("n"), F.min_by(who, F.struct("page_id", "_n")).alias("first"), F.max_by(who, F.struct("page_id", "_n")).alias("last"))
+    over = Window.partitionBy("_key.book").orderBy("_key.place")
+    goes_on = F.coalesce(F.col("first.resolved_id") == F.lag("last.resolved_id").over(over), F.lit(False))
+    ends = ends.withColumn("_same", F.when(goes_on, 1).otherwise(0))
+    ends = ends.select("_key", "_same", F.coalesce(F.sum(F.col("n") - F.col("_same")).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_earlier"))
+    df = counted(_segmented(pages, book, segment)).join(ends, "_key")
+    return df.select(*pages.columns, F.when(F.col("resolved_id").isNotNull(), F.col("_earlier") + F.col("_n") - F.col("_same")).alias("island"))
 
 
 def aggregate_biographies(pages: DataFrame, book: str = "book_id") -> DataFrame:

@@ -175,13 +175,17 @@ def category_labels(spark, d):
 _MOST, _OVERLAP, _LEAST = 60, 10, 15
 
 
-def chunk_sql(source: str, most: int, overlap: int, least: int) -> str:
-    """CTEs that end in ``chunk (doc, chunk_index, chunk_text, token_count)`` of ``source`` (doc, text): a step is a chunk, found by sums of words."""
+def chunk_sql(source: str, most: int, overlap: int, least: int, bytes4: bool = False) -> str:
+    """CTEs that end in ``chunk (doc, chunk_index, chunk_text, token_count)`` of ``source`` (doc, text): a step is a chunk, found by sums of tokens."""
     w = f"list_filter(regexp_split_to_array(x, '{T.WS}+'), lambda y: y <> '')"
+    quarter = lambda x: f"CAST(ceil(strlen({x}) / 4.0) AS BIGINT)"
+    n = quarter("x") if bytes4 else f"len({w})"
+    cut = f"list_transform(range(0, (length(x) - 1) // {most} + 1), lambda i: substr(x, i * {most} + 1, {most}))" if bytes4 else f"list_transform(range(1, len({w}) + 1, {most}), lambda i: array_to_string(({w})[i:i + {most - 1}], ' '))"
+    both = quarter("t || ' ' || t2") if bytes4 else "n + n2"
     return f"""
-seg AS (SELECT doc, flatten(list_transform({_sentences("text")}, lambda x: CASE WHEN len({w}) <= {most} THEN [x] ELSE list_transform(range(1, len({w}) + 1, {most}), lambda i: array_to_string(({w})[i:i + {most - 1}], ' ')) END)) AS s FROM ({source})),
+seg AS (SELECT doc, flatten(list_transform({_sentences("text")}, lambda x: CASE WHEN {n} <= {most} THEN [x] ELSE {cut} END)) AS s FROM ({source})),
 one AS (SELECT doc, unnest(s) AS x, unnest(range(1, len(s) + 1)) AS i FROM seg),
-sums AS (SELECT doc, i, sum(len({w})) OVER (PARTITION BY doc ORDER BY i) AS p FROM one),
+sums AS (SELECT doc, i, sum({n}) OVER (PARTITION BY doc ORDER BY i) AS p FROM one),
 arr AS (SELECT seg.doc, s, p FROM seg JOIN (SELECT doc, [0] || list(CAST(p AS BIGINT) ORDER BY i) AS p FROM sums GROUP BY doc) USING (doc)),
 -- of chunk k: its first segment lo, its last one hi, and the next segment at, 0 if there is none; p[j + 1] is the sum up to segment j
 walk AS (
@@ -196,7 +200,7 @@ steps AS (WITH RECURSIVE r AS (
 ) SELECT * FROM r),
 cut AS (SELECT doc, k, array_to_string(s[lo:hi], ' ') AS t, p[hi + 1] - p[lo] AS n, max(k) OVER (PARTITION BY doc) AS last FROM steps JOIN arr USING (doc)),
 ended AS (SELECT *, last > 0 AND max(n) FILTER (WHERE k = last) OVER (PARTITION BY doc) < {least} AS short, lead(t) OVER (PARTITION BY doc ORDER BY k) AS t2, lead(n) OVER (PARTITION BY doc ORDER BY k) AS n2 FROM cut),
-chunk AS (SELECT doc, CAST(k AS INTEGER) AS chunk_index, CASE WHEN short AND k = last - 1 THEN t || ' ' || t2 ELSE t END AS chunk_text, CAST(CASE WHEN short AND k = last - 1 THEN n + n2 ELSE n END AS INTEGER) AS token_count FROM ended WHERE NOT (short AND k = last))
+chunk AS (SELECT doc, CAST(k AS INTEGER) AS chunk_index, CASE WHEN short AND k = last - 1 THEN t || ' ' || t2 ELSE t END AS chunk_text, CAST(CASE WHEN short AND k = last - 1 THEN {both} ELSE n END AS INTEGER) AS token_count FROM ended WHERE NOT (short AND k = last))
 """
 
 
@@ -217,6 +221,19 @@ def chunk_overlap_stats(spark, d):
     return _chunks(spark, d).groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.max("token_count").alias("most_tokens"), F.sum("token_count").alias("tokens"))
 
 
+@query("WITH " + chunk_sql("SELECT doc_id AS doc, text FROM documents", 90, 20, 30, bytes4=True) + "SELECT doc AS doc_id, chunk_index, chunk_text, token_count FROM chunk")
+def chunks_bytes4(spark, d):
+    return C.chunk_text(read_table(spark, d, "documents").select("doc_id", "text"), most=90, overlap=20, least=30, counter=C.BYTES4)
+
+
+@query()
+def chunks_bpe(spark, d):
+    """Chunks of the default size by a public vocabulary."""
+    import public_tokenizers
+
+    return C.chunk_text(read_table(spark, d, "documents").select("doc_id", "text"), counter=C.bpe(public_tokenizers.path("byte_bpe_50k.json")))
+
+
 # ---- merge ----
 
 _SOURCE = "SELECT 1 AS book_id, doc_id AS page_id, CASE WHEN doc_id % 7 = 0 THEN text || ' edited' ELSE text END AS text FROM documents WHERE doc_id % 11 <> 0"

@@ -1,5 +1,6 @@
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -28,6 +29,29 @@ def test_identity_and_islands(spark):
     assert [r["assignment"] for r in got] == ["source", "inferred", "source", "unassigned", "source", "source", "unassigned", "source"]
 
 
+def test_a_book_in_ranges_is_as_a_whole(spark):
+    """Identities and islands for ranges of any size, with books and pages of no id, against one pass over each book."""
+    rng = random.Random(3)
+    rows = [(b, i * rng.choice([1, 1, 9]), c, f"n{c}" if c else None, None) for b in (1, 2, None) for i in range(150) for c in [rng.choice(["a", "a", "b", None, None, None])]]
+    rows = list({(r[0], r[1]): r for r in rows}.values()) + [(1, None, "b", "nb", None), (7, None, None, "x", "y")]
+    rows += [(3, i, "one" if i in (0, 99) else None, "n", None) for i in range(100)]
+    pages = spark.createDataFrame(rows, "book_id int, page_id int, character_id string, character_name string, entry_name string")
+    want = {}
+    for book in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == book), key=lambda r: (r[1] is not None, r[1] or 0))
+        ids = [r[2] if r[3] else None for r in own]
+        n, last = 0, None
+        for k, r in enumerate(own):
+            before, after = next((x for x in ids[:k][::-1] if x), None), next((x for x in ids[k + 1 :] if x), None)
+            who = ids[k] or (before if before == after else None)
+            n += who is not None and who != last
+            last = who
+            want[book, r[1]] = (who, "source" if ids[k] else "inferred" if who else "unassigned", n if who else None)
+    for segment in (1, 7, 64, B.SEGMENT):
+        got = B.split_contiguous(B.resolve_character_context(pages, segment=segment), segment=segment).collect()
+        assert {(r["book_id"], r["page_id"]): (r["resolved_id"], r["assignment"], r["island"]) for r in got} == want and len(got) == len(rows)
+
+
 def test_merge_is_idempotent_and_touches_changes_only(spark):
     make = lambda rows: M.content_hash(spark.createDataFrame(rows, "book_id int, page_id int, text string"))
     target, source = make([(1, 1, "a"), (1, 2, "b"), (1, 9, "z")]), make([(1, 1, "a"), (1, 2, "B"), (1, 3, "c")])

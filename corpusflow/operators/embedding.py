@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import random
 import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
@@ -80,6 +81,49 @@ def isolate_failures(df: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
     return df.join(failed, group, "left_anti"), failed
 
 
+def answer_log(spark: SparkSession, log: str, answer: str) -> DataFrame:
+    """``key, answer`` of an append-only log; ``key`` is the sha256 of a prompt."""
+    schema = f"key string, answer {answer}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(log)
+    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    return spark.read.schema(schema).parquet(log) if there else spark.createDataFrame([], schema)
+
+
+def answer_logged(df: DataFrame, provider: Callable[[list[str]], list], prompt: str, log: str, answer: str = "array<float>", batch: int = BATCH) -> DataFrame:
+    """``df`` with ``answer`` (of the type ``answer``) from a log at ``log``, which is first completed by calls of ``provider``.
+
+    A prompt that the log has is never called again, and one that is in several rows is called once. A task makes one call and puts its
+    answers into the log as soon as it ends, so that a run that stops loses only the calls that it is in; the next one calls only what is absent.
+    If a call fails its prompts are called one by one, and those that fail then are left out of the log: their ``answer`` is null.
+    """
+    spark = df.sparkSession
+    keyed = df.withColumn("_key", F.sha2(F.col(prompt).cast("binary"), 256))
+    absent = keyed.where(F.col(prompt).isNotNull()).groupBy(F.col("_key").alias("key")).agg(F.first(prompt).alias("prompt")).join(answer_log(spark, log, answer), "key", "left_anti")
+    schema = f"key string, answer {answer}"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), batch):
+                part = frame.iloc[at : at + batch]
+                keys, prompts = part["key"].tolist(), part["prompt"].tolist()
+                try:
+                    rows = list(zip(keys, provider(prompts), strict=True))
+                except Exception:
+                    rows = []
+                    for key, one in zip(keys, prompts, strict=True):
+                        with contextlib.suppress(Exception):
+                            rows.append((key, provider([one])[0]))
+                yield pd.DataFrame(rows, columns=["key", "answer"])
+
+    n = absent.count()
+    if n:
+        dealt = absent.repartition(-(-n // batch), "key")
+        # a task's file is moved to its place when the task ends, not when all have
+        dealt.mapInPandas(run, schema).write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(log)
+    known = answer_log(spark, log, answer).dropDuplicates(["key"]).withColumnRenamed("key", "_key")
+    return keyed.join(known, "_key", "left").drop("_key")
+
+
 def infer_json(df: DataFrame, call: Callable[[str], str], prompt: str, answer: str) -> DataFrame:
     """``df`` with ``raw``, ``parsed`` (by the schema ``answer``), ``status`` and an error; every row is kept."""
     schema = df.schema.add("raw", "string").add("error_type", "string").add("error_message", "string")

@@ -42,14 +42,15 @@ def last_versions(batch: DataFrame, keys: list[str], order: list[str] | None = N
 
 def ingest_pages(
     store: SnapshotStore, pages: DataFrame, provider: Provider, order: list[str] | None = None, unit: str | None = None, carry: tuple[str, ...] = ("character_id", "page_id"),
-    most: int = C.MAX_TOKENS, overlap: int = C.OVERLAP, least: int = C.MIN_TOKENS, batch: int = E.BATCH, newer_only: bool = False,
+    most: int = C.MAX_TOKENS, overlap: int = C.OVERLAP, least: int = C.MIN_TOKENS, batch: int = E.BATCH, newer_only: bool = False, log: str | None = None,
 ) -> DataFrame:
     """Ingest ``pages`` (book_id, page_id, character_id, character_name, text, ...) into a ``corpus_store``; one row of counters.
 
     Of a page's versions the last in ``order`` counts; with ``newer_only`` one that is older in it than the
     stored one is left out. Chunks carry the columns of ``carry``. Without
     ``unit`` a failing call of ``provider`` fails the batch; else the values of that column stand or fall alone, and pages of those that
-    fail stay as they were stored. Pages that were stored and are not in the batch are kept.
+    fail stay as they were stored. Pages that were stored and are not in the batch are kept. With ``log`` vectors go into a log in that
+    folder as calls end, and what it has is not called again, so a run that stopped goes on where it was.
     """
     spark = store.spark
     with Staging(spark) as staging:
@@ -80,7 +81,12 @@ def ingest_pages(
         merged = staging.table(merged.unionByName(gone.withColumn("_action", F.lit("deleted"))), "chunks")
         pending = merged.where("_action IN ('new', 'updated')")
         tagged = pending.join(changed.select("document_id", F.col(unit).alias("_unit")), "document_id") if unit else pending.withColumn("_unit", F.lit(None).cast("string"))
-        embedded = staging.table(E.embed_pending(tagged, provider, "chunk_text", batch, within="_unit" if unit else None), "embedded")
+        if log:
+            logged = E.answer_logged(tagged.drop("embedding"), provider, "chunk_text", log, batch=batch).withColumnRenamed("answer", "embedding")
+            called = logged.withColumn("error", F.when(F.col("embedding").isNull(), "no answer"))
+        else:
+            called = E.embed_pending(tagged, provider, "chunk_text", batch, within="_unit" if unit else None)
+        embedded = staging.table(called, "embedded")
         if not unit and not embedded.where("error IS NOT NULL").isEmpty():
             raise RuntimeError(f"embedding failed: {embedded.where('error IS NOT NULL').select('error').first()[0]}")
         failed = embedded.where("error IS NOT NULL").select(F.col("_unit").alias("_failed")).distinct()

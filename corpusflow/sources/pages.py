@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as T
@@ -18,6 +18,39 @@ SOURCE_PAGE = ["book_id", "book_title", "author", "collection", "character_id",
 COMBINED = "rashidun_pages.jsonl"
 
 
+def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``file, line, line_no, value`` of text files: the line's number in its file, from 1, and in all files, in the order of their paths.
+
+    A large file is read in splits by many tasks. Lines are numbered within their split, where rows stay in order, and
+    splits are counted; sums of the counts before each, a row a split, make these numbers those of the file and of all files.
+    """
+    at = F.col("_metadata")
+    place = F.monotonically_increasing_id()
+    lines = spark.read.text(paths).select("value", at["file_path"].alias("file"), at["file_block_start"].alias("_start"), place.alias("_place"))
+    splits = lines.groupBy("file", "_start").agg(F.count("*").alias("n"), F.min("_place").alias("_first"))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    in_file = splits.withColumn("_in_file", before(Window.partitionBy("file").orderBy("_start")))
+    files = splits.groupBy("file").agg(F.sum("n").alias("n"))
+    files = files.select("file", before(Window.orderBy("file")).alias("_in_all"))  # a row for each file
+    counted = lines.join(in_file.join(files, "file").drop("n"), ["file", "_start"])
+    line = F.col("_place") - F.col("_first") + F.col("_in_file") + 1
+    return counted.select("file", line.alias("line"), (line + F.col("_in_all")).alias("line_no"), "value")
+
+
+def _objects(lines: DataFrame, schema: str, required: tuple[str, ...] = ()) -> DataFrame:
+    """``lines`` with ``r``, each line as an object of ``schema``; blank lines are left out.
+
+    A line that is none, or lacks a field of ``required``, is an error that names file and line.
+    """
+    parsed = F.from_json("value", f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    read = lines.where(T.strip(F.col("value")) != "").withColumn("r", parsed)
+    fault = F.when(F.col("r").isNull() | F.col("r._corrupt").isNotNull(), "not a JSON object of the expected form")
+    for name in required:
+        fault = fault.when(F.col(f"r.{name}").isNull(), f"missing {name}")
+    where = F.concat(F.col("file"), F.lit(":"), F.col("line").cast("string"), F.lit(": "), fault)
+    return read.where(F.when(where.isNotNull(), F.raise_error(where).cast("boolean")).otherwise(F.lit(True)))
+
+
 def _required(df: DataFrame, names: list[str]) -> DataFrame:
     """Fail on a row that lacks one of ``names``, as a missing key would."""
     for n in names:
@@ -32,8 +65,8 @@ def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
     return df
 
 
-def to_source_page(df: DataFrame) -> DataFrame:
-    """Either shape as source pages: ``printed_page`` is a string, ids and collection have one name."""
+def to_source_page(df: DataFrame, more: list[str] | None = None) -> DataFrame:
+    """Either shape as source pages: ``printed_page`` is a string, ids and collection have one name; columns of ``more`` come along."""
     has = set(df.columns)
     own = {
         "character_id": "character_id" if "character_id" in has else "caliph_id",
@@ -47,14 +80,19 @@ def to_source_page(df: DataFrame) -> DataFrame:
         if c == "collection" and name == "source_group":
             col = F.coalesce(col, F.lit(""))
         out.append(col.cast("int" if c in ("book_id", "page_id", "printed_volume") else "string").alias(c))
-    return df.select(*out)
+    return df.select(*out, *(more or []))
 
 
 def read_jsonl_pages(spark: SparkSession, path: str) -> DataFrame:
-    """All ``*_pages.jsonl`` of a folder, files or folders of part files, but the combined one; a malformed line is an error."""
-    paths = [p for p in _exists(spark, f"{path}/*_pages.jsonl") if p.rsplit("/", 1)[-1] != COMBINED]
-    raw = spark.read.schema(JSONL_PAGE).option("mode", "FAILFAST").json(paths) if paths else spark.createDataFrame([], JSONL_PAGE)
-    return _required(raw, [c for c in raw.columns if c != "printed_page"])
+    """All ``*_pages.jsonl`` of a folder, files or folders of part files, but the combined one; a malformed line, or one that lacks a field, is an error that names file and line."""
+    return _jsonl_pages(spark, [p for p in _exists(spark, f"{path}/*_pages.jsonl") if p.rsplit("/", 1)[-1] != COMBINED]).drop("file", "line")
+
+
+def _jsonl_pages(spark: SparkSession, paths: list[str]) -> DataFrame:
+    if not paths:
+        return spark.createDataFrame([], f"{JSONL_PAGE}, file string, line long")
+    required = tuple(c for c in spark.createDataFrame([], JSONL_PAGE).columns if c != "printed_page")
+    return _objects(numbered_lines(spark, paths), JSONL_PAGE, required).select("r.*", "file", "line").drop("_corrupt")
 
 
 def read_page_json(spark: SparkSession, path: str) -> DataFrame:
@@ -79,16 +117,23 @@ def load_source_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def discover_datasets(spark: SparkSession, root: str) -> tuple[DataFrame | None, list[str]]:
-    """Source pages of all folders below ``root`` with ``dataset_dir``, and the folders of no known format."""
-    out, skipped = None, []
-    for path in sorted(_exists(spark, f"{root}/*")):
-        try:
-            pages = load_source_pages(spark, path).withColumn("dataset_dir", F.lit(path.rsplit("/", 1)[-1]))
-        except ValueError:
-            skipped.append(path)
-            continue
-        out = pages if out is None else out.unionByName(pages)
-    return out, skipped
+    """Source pages of all folders below ``root`` with ``dataset_dir``, and the folders of no known format.
+
+    Folders are listed once, and each format is one scan, whatever their number.
+    """
+    folders = sorted(_exists(spark, f"{root}/*"))
+    with_pages = {p.rsplit("/", 2)[0] for p in _exists(spark, f"{root}/*/pages/*.json")}
+    lines = [p for p in _exists(spark, f"{root}/*/*_pages.jsonl") if p.rsplit("/", 1)[-1] != COMBINED]
+    named = lambda pattern: F.try_url_decode(F.replace(F.regexp_extract("file", pattern, 1), F.lit("+"), F.lit("%2B")))  # noqa: E731 - paths are escaped
+    found = []
+    if with_pages:
+        read = read_page_json(spark, f"{root}/*").withColumn("file", F.col("_metadata.file_path"))
+        found.append(to_source_page(read, ["file"]).withColumn("dataset_dir", named(r"([^/]+)/pages/[^/]+$")))
+    known = with_pages | {p.rsplit("/", 1)[0] for p in _exists(spark, f"{root}/*/*_pages.jsonl")}
+    if own := [p for p in lines if p.rsplit("/", 1)[0] not in with_pages]:
+        found.append(to_source_page(_jsonl_pages(spark, own), ["file"]).withColumn("dataset_dir", named(r"([^/]+)/[^/]+_pages\.jsonl(?:/[^/]+)?$")))
+    out = found[0].unionByName(found[1]) if len(found) > 1 else found[0] if found else None
+    return out.drop("file") if out is not None else None, [p for p in folders if p not in known]
 
 
 def split_identity_rejects(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -133,10 +178,9 @@ def read_biography_segments(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_result_log(spark: SparkSession, path: str) -> DataFrame:
-    """Result lines with a place in the file; a line that is no object is an error."""
+    """Result lines of one or several files with ``line_no``, their order of reading over all of them; a line that is no object is an error that names its place."""
     schema = "custom_id string, status string, run_id string, response struct<id:string,model:string,content:string,usage:struct<prompt_tokens:int,completion_tokens:int>>, error struct<type:string,message:string>"
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line_no")).where(T.strip(F.col("value")) != "")
-    parsed = lines.withColumn("r", F.from_json("value", schema, {"mode": "FAILFAST"}))
+    parsed = _objects(numbered_lines(spark, path), schema)
     return parsed.select("line_no", "r.custom_id", "r.status", "r.run_id", F.col("r.response.content").alias("content"), F.col("r.response.usage.prompt_tokens").alias("prompt_tokens"), F.col("r.response.usage.completion_tokens").alias("completion_tokens"), "r.error")
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import documents, shuffle_partitions
+from corpusflow.llm.common import documents, shuffle_partitions, slices
 from corpusflow.plans.staging import Staging
 
 CAPACITY = 2048
@@ -36,6 +36,9 @@ MARKS = string.punctuation
 #: Letters whose lower case depends on their place or is more than one character.
 UNEVEN = "\u03a3\u0130"
 
+#: Characters of one long text that are cut into words at once.
+PART_CHARS = 1 << 20
+
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
@@ -135,6 +138,32 @@ def _words(path: str) -> WordIds:
     return _WORDS[path]
 
 
+def _parts(text: str, most: int) -> Iterator[str]:
+    """A text in parts of about ``most`` characters, cut at spaces and line feeds, where ids never depend on what is beyond."""
+    at = 0
+    while len(text) - at > most:
+        cut = max(text.rfind(" ", at + 1, at + most), text.rfind("\n", at + 1, at + most))
+        if cut < 0:
+            cut = min((k for k in (text.find(" ", at + most), text.find("\n", at + most)) if k >= 0), default=len(text))
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
+def _text_ids(words: WordIds, texts: list[str | None], most: int = PART_CHARS) -> list[bytes]:
+    """The ids of each text."""
+    if len(texts) == 1:
+        ids = []
+        for part in _parts(texts[0] or "", most):
+            chunks = words.chunks(part)
+            words.learn([chunks])
+            ids.append(b"".join(map(words.__getitem__, chunks)))
+        return [b"".join(ids)]
+    cut = [words.chunks(t or "") for t in texts]
+    words.learn(cut)
+    return [b"".join(map(words.__getitem__, chunks)) for chunks in cut]
+
+
 def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, separator: int = 0, with_ids: bool = False) -> DataFrame:
     """Tokenise whole texts, end each with ``separator`` and cut those longer than ``capacity``.
 
@@ -148,13 +177,10 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(path)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                texts = [words.chunks(t or "") for t in batch.column("text").to_pylist()]
-                words.learn(texts)
+            for batch in slices(whole, "text"):  # of some bytes; a longer text is in parts
                 rows: list[list] = [[] for _ in names]
-                for doc, chunks in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-                    ids = b"".join(map(words.__getitem__, chunks)) + end
+                for doc, ids in zip(batch.column("doc_id").to_pylist(), _text_ids(words, batch.column("text").to_pylist()), strict=True):
+                    ids += end
                     for piece, start in enumerate(range(0, len(ids), width)):
                         part = ids[start : start + width]
                         values = [doc, piece, start // 4, len(part) // 4, zlib.crc32(part)]

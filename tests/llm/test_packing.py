@@ -91,3 +91,12 @@ def test_plan_uses_every_piece_once(lengths):
 def test_smallest_gives_way_to_two_that_fit_more_tightly():
     # greedy takes 6 and 3, gap 1; 3 gives way to 2 + 2
     assert p.plan_bins({6: 1, 3: 1, 2: 2}, 10)[0] == (1, [(6, 1), (2, 2)])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="aBé .,'\n\t<|endoftext|>Σ", max_size=80), st.integers(1, 20))
+def test_long_texts_in_parts_have_the_same_ids(text, most):
+    words = p._words(p.tokenizer_path())
+    assert "".join(p._parts(text, most)) == text
+    ids = list(struct.unpack(f"<{len(p._text_ids(words, [text], most)[0]) // 4}I", p._text_ids(words, [text], most)[0]))
+    assert [*ids, 0] == ids_of(text) and p._text_ids(words, [text, None], most)[0] == p._text_ids(words, [text], most)[0]

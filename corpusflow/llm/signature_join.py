@@ -22,7 +22,8 @@ stays apart meets all other blocks, first as bitmaps; the texts that these still
 
 Defined cases: documents without words, with null or empty text are linked with
 nothing; a text of fewer than five words is one shingle of all of them; rows
-that share a doc_id count as one node; very long texts are whole sets like any
+that share a doc_id count as one node; rows without one are nodes by their text, and a component's id is null
+only if none of its documents has one; very long texts are whole sets like any
 other; an empty table gives no rows; other columns are not read, whatever their names.
 """
 
@@ -42,6 +43,8 @@ from corpusflow.llm.shingles import shingle_sets
 from corpusflow.plans.staging import Staging
 
 PERCENT = 75
+#: Documents without an id are nodes from here on, by their text, so that they are no component's smallest if another has an id.
+NO_ID = 1 << 62
 #: Documents in one block of a large group, and pivots that all its blocks hold.
 BLOCK, PIVOTS = 64, 4
 #: Counters of token frequency: 2 ** 24 of 2 bytes, the largest thing broadcast. They hold 1365 * log2(1 + count), which no count outgrows.
@@ -440,6 +443,8 @@ def _deal(node: str, n: str, seed: int) -> F.Column:
 def jaccard_components(docs: DataFrame, staging: Staging | None = None, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``docs`` (doc_id, text)."""
     staging = staging or Staging(docs.sparkSession)
+    by_text = F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("text"), 2)
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), by_text).alias("doc_id"), "text")
     found = token_sets(docs, staging)
     counters = token_counters(found)
 
@@ -486,7 +491,8 @@ def jaccard_components(docs: DataFrame, staging: Staging | None = None, percent:
         joined = components(joined.unionByName(more), staging)
 
     ends = joined.select(F.col("a").alias("rep"), F.col("b").alias("component"))
-    return owned.join(ends, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    given = lambda c: F.when(c < NO_ID, c)
+    return owned.join(ends, "rep", "left").select(given(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), given(F.coalesce("component", "rep")).alias("component_id"))
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,3 +98,13 @@ def test_shingles_are_those_of_the_words(texts):
     assert [len(s) for s in got] == [len(shingles(t)) for t in texts]
     for (a, x), (b, y) in itertools.combinations(zip(texts, got, strict=True), 2):
         assert len(np.intersect1d(x, y)) == len(shingles(a) & shingles(b))
+
+
+def test_rows_without_id(spark, table):
+    """Each is a document; a component has no id only if none of its documents has one."""
+    from corpusflow.llm.signature_join import jaccard_components
+
+    base = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, "one two three four five six"), (4, "one two three four five six"), (None, "another text of more than five words"), (8, None), (None, base), (9, base + " more"), (None, base + " and more of it")]
+    got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in jaccard_components(table(rows)).collect())
+    assert got == [(0, 2, 4), (0, 3, 0), (0, 36, 9), (0, 40, 9), (4, 2, 4), (8, 0, 8), (9, 37, 9)]

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import html as _html
-from collections.abc import Iterator
+import json
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from corpusflow.functions import text as T
 
@@ -29,11 +27,49 @@ def _ws(pattern: str) -> str:
     return pattern.replace("{WS}", T.WS)
 
 
-@F.pandas_udf(StringType())
-def unescape(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Character references, named ones included."""
-    for s in batches:
-        yield s.map(_html.unescape, na_action="ignore")
+def _utf8(cp: Column) -> Column:
+    """The character of a code point, from the bytes of its UTF-8."""
+    tail = lambda shift: F.lit(0x80) + F.shiftright(cp, shift).bitwiseAND(0x3F)
+    two = (F.lit(0xC0) + F.shiftright(cp, 6)) * 0x100 + tail(0)
+    three = ((F.lit(0xE0) + F.shiftright(cp, 12)) * 0x100 + tail(6)) * 0x100 + tail(0)
+    four = (((F.lit(0xF0) + F.shiftright(cp, 18)) * 0x100 + tail(12)) * 0x100 + tail(6)) * 0x100 + tail(0)
+    value = F.when(cp < 0x80, cp).when(cp < 0x800, two).when(cp < 0x10000, three).otherwise(four)
+    return F.unhex(F.lpad(F.hex(value), F.when(cp < 0x80, 2).when(cp < 0x800, 4).when(cp < 0x10000, 6).otherwise(8), F.lit("0"))).cast("string")
+
+
+def _table(pairs: dict[str, str]) -> Column:
+    return F.from_json(F.lit(json.dumps(pairs)), "map<string,string>")
+
+
+def _numeric(s: Column) -> Column:
+    """``#`` and digits, or ``#x`` and hexadecimal ones, as browsers read them."""
+    digits = F.regexp_extract(s, "#[xX]?0*([0-9a-fA-F]*)", 1)
+    digits = F.when(digits == "", "0").otherwise(digits)
+    cp = F.when(F.length(digits) > 8, F.lit(0x7FFFFFFF)).when(s.rlike("^#[xX]"), F.conv(digits, 16, 10).cast("long")).otherwise(F.conv(digits, 10, 10).cast("long")).cast("long")
+    # references to 0x80 to 0x9f mean the characters that Windows has there
+    windows = {str(n): bytes([n]).decode("cp1252") if n not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(n) for n in range(0x80, 0xA0)}
+    named = F.try_element_at(_table(windows | {"0": "\ufffd", "13": "\r"}), cp.cast("string"))
+    none = cp.between(1, 8) | (cp == 11) | cp.between(14, 31) | cp.between(0x7F, 0x9F) | cp.between(0xFDD0, 0xFDEF) | (cp.bitwiseAND(0xFFFE) == 0xFFFE)
+    return F.coalesce(named, F.when(cp.between(0xD800, 0xDFFF) | (cp > 0x10FFFF), "\ufffd").when(none, "").otherwise(_utf8(cp)))
+
+
+def _named(s: Column) -> Column:
+    """A name with its semicolon, or the longest that needs none at the beginning of ``s``."""
+    short = {k: v for k, v in html5.items() if not k.endswith(";")}
+    begins = [F.when(F.length(s) > k, F.concat(F.try_element_at(_table({n: v for n, v in short.items() if len(n) == k}), F.substring(s, 1, k)), F.substr(s, F.lit(k + 1)))) for k in sorted({len(n) for n in short}, reverse=True)]
+    common = {k: html5[k] for k in ("amp;", "lt;", "gt;", "quot;", "nbsp;")}  # looked at first, as a map is read from its beginning
+    return F.coalesce(F.try_element_at(_table(common), s), F.try_element_at(_table(html5), s), *begins, F.concat(F.lit("&"), s))
+
+
+#: A character reference.
+REFERENCE = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
+def unescape(c: Column) -> Column:
+    """Character references decoded, named ones included: the parts between them, and each by itself."""
+    decoded = F.transform(F.regexp_extract_all(c, F.lit(REFERENCE), F.lit(1)), lambda s: F.when(s.startswith("#"), _numeric(s)).otherwise(_named(s)))
+    joined = F.array_join(F.zip_with(F.split(c, REFERENCE), F.concat(decoded, F.array(F.lit(""))), lambda text, ref: F.concat(text, ref)), "")
+    return F.when(c.contains("&"), joined).otherwise(c)
 
 
 def strip_non_content(c: Column) -> Column:
@@ -110,7 +146,9 @@ def crosses_boundary(section: Column, crumbs: Column, label: str = NEXT_SECTION)
 
 def extract_pages(df: DataFrame, start: str = PAGE_START, end: str = PAGE_END, least: int = 20, arabic: bool = True) -> tuple[DataFrame, DataFrame]:
     """Pages (page_id, url, html) as text rows, and rejects (page_id, reason)."""
-    opened = df.withColumn("title", T.clean_line(unescape(title_text(F.col("html"))))).withColumn("lines", html_lines(unescape(raw_lines(F.col("html"))))).drop("html")
+    # exploding a list of one keeps what follows from working out title and lines again wherever they are named
+    read = F.struct(T.clean_line(unescape(title_text(F.col("html")))).alias("title"), html_lines(unescape(raw_lines(F.col("html")))).alias("lines"))
+    opened = df.select(*[c for c in df.columns if c != "html"], F.explode(F.array(read)).alias("_read")).select("*", "_read.*").drop("_read")
     named = opened.withColumn("breadcrumb", breadcrumb(F.col("lines"))).withColumn("meta", printed_meta(F.col("title")))
     named = named.withColumn("named", entry_and_section(F.col("breadcrumb"), title_entry(F.col("title")))).withColumn("body", body_between(F.col("lines"), start, end))
     cut = named.withColumn("cut", trim_at_section(F.col("body"))).withColumn("text", T.strip(F.array_join("cut.lines", "\n")))

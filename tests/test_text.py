@@ -1,5 +1,7 @@
 import hashlib
+import html
 import unicodedata
+from html.entities import html5
 
 from pyspark.sql import functions as F
 
@@ -63,3 +65,16 @@ def test_page_extraction(spark):
     assert len(r) == 1 and (r[0]["printed_volume"], r[0]["printed_page"], r[0]["entry_name"], r[0]["source_section"], r[0]["next_section_trimmed"]) == (2, 15, "أبو فلان", "الصحابة", True)
     assert r[0]["text"] == "نص طويل بما يكفي ليكون صفحة كاملة" and r[0]["content_hash"] == hashlib.sha256(r[0]["text"].encode()).hexdigest()
     assert sorted((x["page_id"], x["reason"]) for x in rejects.collect()) == [(2, "no start or end marker"), (3, "text too short or not Arabic")]
+
+
+def test_character_references_of_every_kind(spark):
+    names = [x for n in html5 for x in (f"&{n}", f"a&{n}b;", f"&{n.rstrip(';')} c", f"&&{n}&{n[:-1]}")]
+    numbers = [0, 1, 9, 11, 13, 31, 65, 127, 128, 129, 150, 159, 160, 233, 0x7FF, 0x800, 0xD7FF, 0xD800, 0xDFFF, 0xE000, 0xFDD0, 0xFDEF, 0xFFFD, 0xFFFE, 0xFFFF, 0x10000, 0x1F600, 0x1FFFE, 0x10FFFF, 0x110000, 2**31, 2**40, 10**12, 2**70]
+    rows = names + [f"x&#{pad}{n};y&#x{n:X}z&#X{n:x}; &#{n}" for n in numbers for pad in ("", "000")]
+    rows += ["", "no reference", "& ;&;&#;&#x;&#xg;", "&unknown;", "&notit;", "AT&T", "&amp;amp;", "a&lt", "&" * 5, "&" + "a" * 40 + ";", "&#12a;", "é&eacute;&nbsp;&hellip;"]
+    df = spark.createDataFrame([(r,) for r in [*rows, None]], "t string").repartition(4)
+    out = df.select("t", H.unescape(F.col("t")).alias("u"))
+    assert "EvalPython" not in out._jdf.queryExecution().executedPlan().toString()
+    got = out.collect()
+    assert [(r["t"], r["u"], html.unescape(r["t"])) for r in got if r["t"] is not None and r["u"] != html.unescape(r["t"])][:5] == []
+    assert [r["u"] for r in got if r["t"] is None] == [None]

@@ -18,7 +18,10 @@ have costs a few rows a task, and nothing is dropped.
 Within groups bitmaps go first, and texts follow only for documents to which
 these allow a link. A group larger than ``BLOCK`` is cut into blocks; all blocks hold a
 few common pivots (its first document and some others), which joins most of it. What
-stays apart meets all other blocks, first as bitmaps; the texts that these still allow follow. No pair is capped.
+stays apart meets the whole group in wider blocks, first as bitmaps of ``SPARSE`` bits a token, so that nodes of
+several documents still tell them apart: two trees are walked together layer by layer, and most pairs end above the leaves.
+The texts that are still allowed follow. No pair is capped. A wide block has up to ``WIDE`` documents and ``TOKENS``
+tokens, or a ``SPREAD``-th of its group if that is less, so its memory is bounded and a group spreads over tasks.
 
 Defined cases: documents without words, with null or empty text are linked with
 nothing; a text of fewer than five words is one shingle of all of them; rows
@@ -47,6 +50,10 @@ PERCENT = 75
 NO_ID = 1 << 62
 #: Documents in one block of a large group, and pivots that all its blocks hold.
 BLOCK, PIVOTS = 64, 4
+#: Most documents and tokens in a wide block, the number of wide blocks that a group has at least if it is not small, and bits of a bitmap for each token there.
+WIDE, TOKENS, SPREAD, SPARSE = 4096, 4_000_000, 32, 32
+#: Prefix tokens that one table of candidate search holds on average.
+PART_TOKENS = 4_000_000
 #: Counters of token frequency: 2 ** 24 of 2 bytes, the largest thing broadcast. They hold 1365 * log2(1 + count), which no count outgrows.
 COUNTER_BITS, STEPS = 24, 1365
 _LEAF, _FANOUT = 4, 4
@@ -148,6 +155,61 @@ def tree_links(left: SignatureTree, right: SignatureTree, linked: list[int], per
             todo += [(a, y) for y in two]
 
 
+class _Layers:
+    """A signature tree's columns as arrays."""
+
+    def __init__(self, tree: SignatureTree):
+        self.words = np.stack(tree.words)
+        self.low, self.high, self.excess = (np.array(x, dtype=np.int64) for x in (tree.low, tree.high, tree.excess))
+        self.first = np.array([-1 if isinstance(x, int) else x[0] for x in tree.below])
+        self.kids = np.array([0 if isinstance(x, int) else len(x) for x in tree.below])
+        self.document = np.array([x if isinstance(x, int) else -1 for x in tree.below])
+
+
+def _opened(nodes: np.ndarray, other: np.ndarray, tree: _Layers) -> tuple[np.ndarray, np.ndarray]:
+    """The children of ``nodes``, each with its parent's partner."""
+    n = tree.kids[nodes]
+    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(tree.first[nodes], n) + nth, np.repeat(other, n)
+
+
+def allowed_pairs(left: SignatureTree, right: SignatureTree, comps: np.ndarray, percent: int = PERCENT, step: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Document pairs of two trees that sizes and bitmaps allow and ``comps`` (left's, then right's) holds apart, as arrays, with the number of node pairs looked at.
+
+    A dual traversal of many node pairs at a time; ``step`` bounds the bytes of bitmaps that are compared at once.
+    """
+    if left.root is None or right.root is None:
+        return
+    a_tree, b_tree, shift = _Layers(left), _Layers(right), sum(isinstance(x, int) for x in left.below)
+    most = max(1, step // a_tree.words[0].nbytes)
+    todo = [(np.array([left.root]), np.array([right.root]))]
+    while todo:
+        a, b = todo.pop()
+        if len(a) > most:
+            todo += [(a[:-most], b[:-most])]
+            a, b = a[-most:], b[-most:]
+        looked = len(a)
+        keep = (100 * a_tree.high[a] >= percent * b_tree.low[b]) & (100 * b_tree.high[b] >= percent * a_tree.low[a])
+        ends = (a_tree.kids[a] == 0) & (b_tree.kids[b] == 0)
+        keep[ends] &= comps[a_tree.document[a[ends]]] != comps[shift + b_tree.document[b[ends]]]
+        a, b = a[keep], b[keep]
+        need = -(-percent * (a_tree.low[a] + b_tree.low[b]) // (100 + percent))
+        shared = np.bitwise_count(a_tree.words[a] & b_tree.words[b]).sum(axis=1, dtype=np.int64) + np.minimum(a_tree.excess[a], b_tree.excess[b])
+        keep = np.minimum(np.minimum(shared, a_tree.high[a]), b_tree.high[b]) >= need
+        a, b = a[keep], b[keep]
+        ends = (a_tree.kids[a] == 0) & (b_tree.kids[b] == 0)
+        yield a_tree.document[a[ends]], b_tree.document[b[ends]], looked
+        a, b = a[~ends], b[~ends]
+        # the side of the wider range of sizes is opened, or the one that is no leaf
+        one = (b_tree.kids[b] == 0) | ((a_tree.kids[a] > 0) & (a_tree.high[a] - a_tree.low[a] >= b_tree.high[b] - b_tree.low[b]))
+        down, partner = _opened(a[one], b[one], a_tree)
+        if len(down):
+            todo.append((down, partner))
+        down, partner = _opened(b[~one], a[~one], b_tree)
+        if len(down):
+            todo.append((partner, down))
+
+
 def folded(words: np.ndarray, bits: int) -> np.ndarray:
     """A bitmap of fewer bits from a longer one."""
     flags = np.unpackbits(words.view(np.uint8))
@@ -246,10 +308,13 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def candidate_edges(docs: DataFrame, counters: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """Edges ``a, b`` whose components hold every link: documents that share a prefix token and may by their sizes link."""
+def candidate_edges(docs: DataFrame, counters: np.ndarray, percent: int = PERCENT, tokens_in_all: int = 0) -> DataFrame:
+    """Edges ``a, b`` whose components hold every link: documents that share a prefix token and may by their sizes link.
+
+    Tokens are dealt into parts by their hash, so many that a part has some ``PART_TOKENS`` of the ``tokens_in_all`` at most.
+    """
     spark = docs.sparkSession
-    parts = 2 * shuffle_partitions(spark)
+    parts = max(2 * shuffle_partitions(spark), -(-tokens_in_all * (100 - percent) // (100 * PART_TOKENS)))
     shared = spark.sparkContext.broadcast(counters)
     fields = "part int, docs binary, sizes binary, owner binary, tokens binary, a binary, b binary"
     names = [c.split()[0] for c in fields.split(", ")]
@@ -420,10 +485,10 @@ def possible_pairs(rows: DataFrame, signed: DataFrame, percent: int = PERCENT) -
             rows = list(zip(*(table.column(c).to_pylist() for c in ("side", "node", "comp", "size", "words")), strict=True))
             sides = [[r for r in rows if r[0] == k] for k in (0, 1)]
             both = sides[0] + sides[1]
-            first: dict[int, int] = {}
-            linked = [first.setdefault(r[2], i) for i, r in enumerate(both)]
             trees = [SignatureTree([r[3] for r in side], [np.frombuffer(r[4], np.uint64) for r in side]) for side in sides]
-            found = {i for pair in tree_links(*trees, linked, percent, len(sides[0])) for i in pair}
+            found: set[int] = set()
+            for one, two, _ in allowed_pairs(*trees, np.array([r[2] for r in both]), percent):
+                found.update(one.tolist(), (two + len(sides[0])).tolist())
             if found:
                 same = [[table.column(c)[0].as_py()] * len(found) for c in keys]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([*same, *zip(*(both[i][:3] for i in sorted(found)), strict=True)], kinds, strict=True)], [*keys, "side", "node", "comp"])
@@ -453,7 +518,8 @@ def jaccard_components(docs: DataFrame, staging: Staging | None = None, percent:
     several = staging.table(sets.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c"), "classes")
     owned = staging.table(sets.drop("sig").join(several, "key", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "owned")
 
-    apart = components(candidate_edges(docs, counters, percent), staging)
+    tokens = sets.agg(F.sum("n")).first()[0] or 0
+    apart = components(candidate_edges(docs, counters, percent, tokens), staging)
     nodes = apart.select(F.col("a").alias("doc_id"), F.col("b").alias("cluster")).unionByName(apart.select(F.col("b").alias("doc_id"), F.col("b").alias("cluster")).distinct())
     members = staging.table(nodes.join(owned, "doc_id").select("cluster", F.col("rep").alias("node")).distinct(), "members")
     sized = staging.table(
@@ -479,13 +545,15 @@ def jaccard_components(docs: DataFrame, staging: Staging | None = None, percent:
             members.join(large.select("cluster", "blocks"), "cluster").join(comp, "node", "left").select("cluster", "blocks", "node", F.coalesce("comp", "node").alias("comp")), "placed"
         )
         main = placed.groupBy("cluster", "comp").agg(F.count("*").alias("c")).groupBy("cluster").agg(F.max(F.struct("c", "comp")).alias("main"), F.sum("c").alias("all"))
-        main = staging.table(main.where(F.col("main.c") < F.col("all")).select("cluster", F.col("main.comp").alias("main"), F.ceil((F.col("all") - F.col("main.c")) / block).cast("int").alias("rests")), "main")
-        open_ = staging.table(placed.join(main, "cluster"), "open")
-        bits = F.least(F.lit(1 << 16), F.greatest(F.lit(1 << 8), F.pow(F.lit(2), F.ceil(F.log2(2 * F.col("n"))))).cast("int"))
-        widest = open_.join(owned.select(F.col("doc_id").alias("node"), "n"), "node").groupBy("cluster").agg(F.max("n").alias("n")).select("cluster", bits.alias("bits"))
-        signed = staging.table(signatures(open_.join(widest, "cluster").select("node", "bits"), texts), "signatures")
-        rest = open_.where("comp <> main").select("cluster", _deal("node", "rests", 1).alias("one"), _each("blocks").alias("two"), F.lit(0).alias("side"), "node", "comp")
-        every = open_.select("cluster", _each("rests").alias("one"), _deal("node", "blocks", 0).alias("two"), F.lit(1).alias("side"), "node", "comp")
+        main = main.where(F.col("main.c") < F.col("all")).select("cluster", F.col("main.comp").alias("main"), "all", (F.col("all") - F.col("main.c")).alias("rest"))
+        most = placed.join(owned.select(F.col("doc_id").alias("node"), "n"), "node").groupBy("cluster").agg(F.max("n").alias("n"))
+        bits = F.least(F.lit(1 << 16), F.greatest(F.lit(1 << 8), F.pow(F.lit(2), F.ceil(F.log2(SPARSE * F.col("n"))))).cast("int"))
+        wide = F.greatest(F.lit(block), F.least(F.lit(WIDE), F.floor(TOKENS / F.col("n")), F.ceil(F.col("all") / SPREAD)))
+        main = staging.table(main.join(most, "cluster").select("cluster", "main", bits.alias("bits"), F.ceil(F.col("rest") / wide).cast("int").alias("rests"), F.ceil(F.col("all") / wide).cast("int").alias("alls")), "main")
+        open_ = staging.table(placed.join(main, "cluster").select("cluster", "node", "comp", "main", "bits", "rests", "alls"), "open")
+        signed = staging.table(signatures(open_.select("node", "bits"), texts), "signatures")
+        rest = open_.where("comp <> main").select("cluster", _deal("node", "rests", 1).alias("one"), _each("alls").alias("two"), F.lit(0).alias("side"), "node", "comp")
+        every = open_.select("cluster", _each("rests").alias("one"), _deal("node", "alls", 0).alias("two"), F.lit(1).alias("side"), "node", "comp")
         possible = staging.table(possible_pairs(staging.table(rest.unionByName(every), "pairs"), signed, percent), "possible")
         more = staging.table(links_between(possible, texts, percent), "more-links")
         joined = components(joined.unionByName(more), staging)

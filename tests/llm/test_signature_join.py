@@ -108,3 +108,44 @@ def test_rows_without_id(spark, table):
     rows = [(None, "one two three four five six"), (4, "one two three four five six"), (None, "another text of more than five words"), (8, None), (None, base), (9, base + " more"), (None, base + " and more of it")]
     got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in jaccard_components(table(rows)).collect())
     assert got == [(0, 2, 4), (0, 3, 0), (0, 36, 9), (0, 40, 9), (4, 2, 4), (8, 0, 8), (9, 37, 9)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 30), min_size=1, max_size=25), max_size=30), st.lists(st.sets(st.integers(0, 30), min_size=1, max_size=25), max_size=30), st.sampled_from([50, 75]), st.sampled_from([100, 1 << 20]))
+def test_layered_traversal_finds_all_links_between_components(left, right, percent, step):
+    rng = np.random.default_rng(3)
+    names = rng.integers(0, 2**63, 31).astype(np.uint64) * np.uint64(2)
+    arrays = [[np.unique(names[sorted(s)]) for s in side] for side in (left, right)]
+    comps = np.array([len(s) % 5 for s in left + right])
+    found = set()
+    for a, b, _ in j.allowed_pairs(*(j.SignatureTree.of(x, 256) for x in arrays), comps, percent, step):
+        found.update(zip(a.tolist(), b.tolist(), strict=True))
+    for a, b in found:
+        assert comps[a] != comps[len(left) + b]
+    for a, x in enumerate(left):
+        for b, y in enumerate(right):
+            if comps[a] != comps[len(left) + b] and 100 * len(x & y) >= percent * len(x | y):
+                assert (a, b) in found
+
+
+def chain(documents, length=60, step=12, twins=50):
+    """Windows over one sequence of words, which share a fifth or more with the next but do not link, and a few that differ from their window in the last word alone."""
+    words = [f"w{i}" for i in range(documents * step + length)]
+    rows = [(i, " ".join(words[i * step : i * step + length])) for i in range(documents)]
+    return rows + [(documents + k, " ".join([*words[i * step : i * step + length - 1], "other"])) for k, i in enumerate(range(0, documents, documents // twins))]
+
+
+def test_a_chained_group_without_links(spark, table):
+    """One group of shared rare shingles, in which only the twins link."""
+    rows = chain(1500)
+    got = {r["doc_id"]: r["component_id"] for r in j.jaccard_components(table(rows).repartition(4)).collect()}
+    assert got == {i: i if i < 1500 else (i - 1500) * 30 for i in range(1550)}
+
+
+def test_most_pairs_end_above_the_leaves():
+    """Unrelated documents of one size: node pairs looked at are far fewer than document pairs."""
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 2**64, 300, dtype=np.uint64)) for _ in range(1024)]
+    tree = j.SignatureTree.of(sets, 1 << 14)
+    looked = sum(n for _, _, n in j.allowed_pairs(tree, tree, np.tile(np.arange(1024), 2)))
+    assert looked < 1024**2 / 4

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions import text as T
 
+#: Numbers of the filter that is broadcast.
+MARKS = 1 << 22
+
 
 def document_id(*keys: str) -> Column:
     return F.sha2(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).cast("binary"), 256)
@@ -44,6 +47,29 @@ def merge_documents(source: DataFrame, target: DataFrame, keys: list[str], hash_
     return joined.select(*columns, action.alias("_action"))
 
 
+def _marked(df: DataFrame, ids: DataFrame, keys: list[str], how: str) -> DataFrame:
+    mark = F.pmod(F.xxhash64(*keys), F.lit(MARKS)).alias("_mark")
+    return df.withColumn("_mark", mark).join(F.broadcast(ids.select(mark).distinct()), "_mark", how).drop("_mark")
+
+
+def _same_keys(a: DataFrame, b: DataFrame, keys: list[str], how: str) -> DataFrame:
+    joined = a.alias("a").join(b.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], how)
+    return joined.select("a.*", *[f"b.{c}" for c in b.columns if c not in keys]) if how == "inner" else joined
+
+
+def rows_of(df: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``df`` whose keys are in ``ids`` (a staged table, keys once each), with the other columns of ``ids``.
+
+    Rows that cannot be meant stay where they are: a filter by a hash of the keys, at most ``MARKS`` numbers, is broadcast, and only what it passes is shuffled to be compared.
+    """
+    return _same_keys(_marked(df, ids, keys, "left_semi"), ids, keys, "inner")
+
+
+def rows_without(df: DataFrame, ids: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``df`` whose keys are not in ``ids``, as two tables: those that have stayed in their tasks and those that were shuffled."""
+    return _marked(df, ids, keys, "left_anti"), _same_keys(_marked(df, ids, keys, "left_semi"), ids, keys, "left_anti")
+
+
 def merge_chunks(new: DataFrame, old: DataFrame, keys: tuple[str, str] = ("document_id", "chunk_index")) -> DataFrame:
     """Chunks of changed documents against stored ones: new, updated (embedding cleared), unchanged, deleted, or kept (document not in ``new``)."""
     doc, index = keys

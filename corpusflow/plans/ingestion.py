@@ -2,7 +2,7 @@
 
 A batch of pages is compared by content hash with the documents that are stored; only what is new or
 changed is chunked, and only chunks whose text is new or changed are embedded. All of it reads and
-writes the buckets that the batch touches, and one mark publishes the three tables. A unit (a character)
+writes the buckets that the batch touches, those without updated rows by adding to them, and one mark publishes the three tables. A unit (a character)
 of which any chunk could not be embedded leaves nothing of this batch in any of them.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as T
@@ -40,6 +40,80 @@ def last_versions(batch: DataFrame, keys: list[str], order: list[str] | None = N
     return batch.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(row.alias("_p")).select("_p.*")
 
 
+def one_version(staging: Staging, batch: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """``last_versions`` that moves no row whose key is in the batch once."""
+    many = staging.table(batch.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*keys), "many")
+    if many.isEmpty():
+        return batch
+    stayed, moved = M.rows_without(batch, many, keys)
+    return stayed.unionByName(moved).unionByName(last_versions(M.rows_of(batch, many, keys), keys, order))
+
+
+class Comparison:
+    """A batch against a table of a store by content hash, on keys and hashes alone; texts move once, into the version to come.
+
+    ``plan`` has keys, content_hash, order and ``_action`` of the batch's rows. ``put`` writes those that are new or updated, ``replace`` what
+    becomes of the buckets in which rows are updated. Buckets with new rows only are not rewritten. The batch is read several times.
+    """
+
+    def __init__(self, staging: Staging, store: SnapshotStore, table: str, batch: DataFrame, keys: list[str], order: list[str] | None, newer_only: bool):
+        self.staging, self.store, self.table, self.keys, self.order = staging, store, table, keys, order or []
+        self.touched = store.touched(batch, table)
+        self.source = one_version(staging, batch, keys, order)
+        self.stored = store.read(table, self.touched) if store.exists() else batch.limit(0)
+        narrow = list(dict.fromkeys([*keys, "content_hash", *self.order]))
+        source, target = self.source.select(*narrow), self.stored.select(*narrow)
+        newer_only = bool(order) and newer_only and store.exists()
+        if newer_only:
+            s, t = source.alias("s"), target.alias("t")
+            older = F.struct(*[F.col(f"s.{c}") for c in order]) < F.struct(*[F.col(f"t.{c}") for c in order])
+            source = s.join(t, [*self._same("s", "t"), older], "left_anti")
+        self.plan = staging.table(M.merge_documents(source, target, keys, refresh=order).where("_action <> 'kept'"), "plan")
+        self.actions = {r["_action"]: r["count"] for r in self.plan.groupBy("_action").count().collect()}
+        self.all_new = set(self.actions) <= {"new"} and not newer_only
+        self.number = store.begin()
+
+    def _same(self, a: str, b: str) -> list[Column]:
+        return [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in self.keys]
+
+    def put(self) -> DataFrame:
+        """New and updated rows with ``_action``, as they lie in the store."""
+        rows = self.source.select(*self.stored.columns)
+        if self.all_new:
+            rows = rows.withColumn("_action", F.lit("new"))
+        else:
+            rows = M.rows_of(rows, self.plan.where("_action IN ('new', 'updated')").select(*self.keys, "_action"), self.keys)
+        self.part = self.store.put(self.number, self.table, self.table, rows)
+        return self.store.read_folders(list(self.part.values()), rows.schema)
+
+    def moved(self) -> DataFrame:
+        """Keys and order of unchanged rows that are stored with another place in the order."""
+        same = self.plan.where("_action = 'unchanged'").select(*self.keys, *self.order)
+        if not self.order:
+            return same.limit(0)
+        s, t = same.alias("s"), self.stored.alias("t")
+        other = ~F.struct(*[F.col(f"s.{c}") for c in self.order]).eqNullSafe(F.struct(*[F.col(f"t.{c}") for c in self.order]))
+        return s.join(t, [*self._same("s", "t"), other], "left_semi")
+
+    def replace(self, updated: DataFrame, dependent: list[str]) -> tuple[set[int], dict[str, list[dict[int, str]]]]:
+        """The buckets that are rewritten, and of each table what they keep: all but the rows of ``updated`` (keys), here also those that have moved in the order, which are written with their new place."""
+        store, keys = self.store, self.keys
+        moved = self.staging.table(self.moved(), "moved")
+        replaced = set(store.touched(updated, self.table)) | set(store.touched(moved, self.table))
+        for table in (self.table, *dependent):
+            replaced |= store.full(table) & set(self.touched)
+        parts: dict[str, list[dict[int, str]]] = {table: [] for table in (self.table, *dependent)}
+        if replaced:
+            gone = self.staging.table(updated.select(*keys).unionByName(moved.select(*keys)), "gone")
+            for table in parts:
+                stayed, shuffled = M.rows_without(store.read(table, sorted(replaced)), updated if table != self.table else gone, keys)
+                parts[table] += [store.put(self.number, table, f"{table}-stayed", stayed, deal=False), store.put(self.number, table, f"{table}-kept", shuffled)]
+            if self.order:
+                again = M.rows_of(self.stored.drop(*self.order), moved, keys).select(*self.stored.columns)
+                parts[self.table].append(store.put(self.number, self.table, f"{self.table}-moved", again))
+        return replaced, parts
+
+
 def ingest_pages(
     store: SnapshotStore, pages: DataFrame, provider: Provider, order: list[str] | None = None, unit: str | None = None, carry: tuple[str, ...] = ("character_id", "page_id"),
     most: int = C.MAX_TOKENS, overlap: int = C.OVERLAP, least: int = C.MIN_TOKENS, batch: int = E.BATCH, newer_only: bool = False, log: str | None = None,
@@ -53,68 +127,79 @@ def ingest_pages(
     folder as calls end, and what it has is not called again, so a run that stopped goes on where it was.
     """
     spark = store.spark
+    place, key = ["document_id", "chunk_index", "chunk_hash"], ["document_id"]
     with Staging(spark) as staging:
         good, rejects = split_identity_rejects(pages)
         hashed = good.withColumn("content_hash", T.content_hash(F.col("text"))).withColumn("document_id", M.document_id(*KEYS))
-        source = staging.table(last_versions(hashed, ["document_id"], order), "source")
-        touched = store.touched(source, "documents")
-        stored = store.read("documents", touched) if store.exists() else source.limit(0)
-        if newer_only and order:
-            s, t = source.alias("s"), stored.alias("t")
-            older = F.struct(*[F.col(f"s.{c}") for c in order]) < F.struct(*[F.col(f"t.{c}") for c in order])
-            source = s.join(t, [F.col("s.document_id") == F.col("t.document_id"), older], "left_anti")
-        documents = staging.table(M.merge_documents(source, stored, ["document_id"], refresh=order), "documents")
-        changed = documents.where("_action IN ('new', 'updated')")
+        own = Comparison(staging, store, "documents", hashed, key, order, newer_only)
+        number, had = own.number, store.exists()
+        changed = own.put()
 
-        cleaned = changed.select("document_id", *carry, T.clean_text(F.col("text")).alias("text"))
+        # changed documents lie by buckets, so their chunks do, where they are made
+        cleaned = changed.select("document_id", *carry, "_action", T.clean_text(F.col("text")).alias("text"))
         cut = C.chunk_text(cleaned, most=most, overlap=overlap, least=least).withColumn("chunk_hash", T.content_hash(F.col("chunk_text")))
-        cut = staging.table(cut, "cut")
-        place = ["document_id", "chunk_index", "chunk_hash"]
-        if store.exists():
-            vectors = store.read("embeddings", touched)
-            old = store.read("chunks", touched).join(vectors, place, "left")
-        else:
-            old = cut.withColumn("embedding", F.lit(None).cast("array<float>")).limit(0)
-        # of a changed document that has no chunks any more its chunks go as well
-        gone = old.join(changed.select("document_id"), "document_id", "left_semi").join(cut.select("document_id").distinct(), "document_id", "left_anti")
-        merged = M.merge_chunks(cut, old.join(gone.select("document_id").distinct(), "document_id", "left_anti"))
-        merged = staging.table(merged.unionByName(gone.withColumn("_action", F.lit("deleted"))), "chunks")
-        pending = merged.where("_action IN ('new', 'updated')")
-        tagged = pending.join(changed.select("document_id", F.col(unit).alias("_unit")), "document_id") if unit else pending.withColumn("_unit", F.lit(None).cast("string"))
+        parts = {"documents": [own.part], "chunks": [store.put(number, "chunks", "chunks", cut, deal=False)]}
+        schemas = {"documents": own.stored.schema, "chunks": cut.drop("_action").schema}
+        cut = store.read_folders(list(parts["chunks"][0].values()), cut.schema)
+        # what is updated meets its stored chunks; what is new has none
+        updated = staging.table(changed.where("_action = 'updated'").select("document_id"), "updated")
+        wide = [*place, "chunk_text", *([unit] if unit in carry else []), "embedding", "_action"]
+        pending = cut.where("_action = 'new'").withColumn("embedding", F.lit(None).cast("array<float>")).select(*wide)
+        gone = cut.limit(0).select("document_id", "_action")
+        if own.actions.get("updated"):
+            now = cut.where("_action = 'updated'").drop("_action").withColumn("embedding", F.lit(None).cast("array<float>"))
+            old = M.rows_of(store.read("embeddings", store.touched(updated, "documents")), updated, key)
+            old = old.select([F.col(c) if c in old.columns else F.lit(None).cast(now.schema[c].dataType).alias(c) for c in wide if c != "_action"])
+            merged = M.merge_chunks(now.select(*old.columns), old)
+            merged = merged.withColumn("_action", F.when(F.col("_action") == "kept", "deleted").otherwise(F.col("_action")))  # its document has no chunks any more
+            # an unchanged chunk is needed for its vector only
+            merged = staging.table(store.dealt("chunks", merged.select(*wide)), "merged")
+            pending = pending.unionByName(merged.where("_action <> 'deleted'"))
+            gone = merged.where("_action = 'deleted'").select("document_id", "_action")
+        whose = F.col(unit) if unit in carry else F.lit(None).cast("string")
+        tagged = pending.withColumn("_unit", whose)
+        if unit and unit not in carry:
+            tagged = pending.join(changed.select("document_id", F.col(unit).alias("_unit")), "document_id")
+        asked = F.col("_action").isin("new", "updated")
         if log:
-            logged = E.answer_logged(tagged.drop("embedding"), provider, "chunk_text", log, batch=batch).withColumnRenamed("answer", "embedding")
+            logged = E.answer_logged(tagged.where(asked).drop("embedding"), provider, "chunk_text", log, batch=batch).withColumnRenamed("answer", "embedding")
             called = logged.withColumn("error", F.when(F.col("embedding").isNull(), "no answer"))
+            called = called.unionByName(tagged.where(~asked).withColumn("error", F.lit(None).cast("string")))
+        else:
+            called = E.embed_pending(tagged.select(*[c for c in tagged.columns if c != unit]), provider, "chunk_text", batch, within="_unit" if unit else None)
+        called = called.select(*place, F.col("embedding").cast("array<float>").alias("embedding"), "_unit", "_action", "error")
+        parts["embeddings"] = [store.put(number, "embeddings", "embeddings", called, deal=bool(log))]
+        schemas["embeddings"] = called.select(*place, "embedding").schema
+        embedded = store.read_folders(list(parts["embeddings"][0].values()), called.schema)
+        failures = embedded.where("error IS NOT NULL")
+        failing = not failures.isEmpty()
+        if failing and not unit:
+            raise RuntimeError(f"embedding failed: {failures.select('error').first()[0]}")
+        failed = failures.select(F.col("_unit").alias("_failed")).distinct()
+        if failing:
+            # documents that failed stay as they were before
+            lost = staging.table(changed.join(failed, F.col(unit) == F.col("_failed"), "left_semi").select("document_id"), "lost")
+            for table, made in (("documents", changed), ("chunks", cut), ("embeddings", embedded)):
+                stayed, shuffled = M.rows_without(made, lost, key)
+                parts[table] = [store.put(number, table, f"{table}-good", stayed, deal=False), store.put(number, table, f"{table}-sound", shuffled)]
+            updated = staging.table(updated.join(lost, "document_id", "left_anti"), "published")
+        if had:
+            replaced, kept = own.replace(updated, ["chunks", "embeddings"])
+            parts = {table: made + kept[table] for table, made in parts.items()}
         else:
-            called = E.embed_pending(tagged, provider, "chunk_text", batch, within="_unit" if unit else None)
-        embedded = staging.table(called, "embedded")
-        if not unit and not embedded.where("error IS NOT NULL").isEmpty():
-            raise RuntimeError(f"embedding failed: {embedded.where('error IS NOT NULL').select('error').first()[0]}")
-        failed = embedded.where("error IS NOT NULL").select(F.col("_unit").alias("_failed")).distinct()
-        whose = F.col(unit) if unit else F.lit(None).cast("string")
-        lost = staging.table(changed.join(failed, whose == F.col("_failed"), "left_semi").select("document_id", "_action"), "lost")
-
-        def after(rows: DataFrame, before: DataFrame, columns: list[str]) -> DataFrame:
-            """What is published: the rows after the merge, and of documents that failed those before it."""
-            return rows.join(lost.select("document_id"), "document_id", "left_anti").select(columns).unionByName(before.join(lost.select("document_id"), "document_id", "left_semi").select(columns))
-
-        left = merged.where("_action <> 'deleted'")
-        chunk_columns = [c for c in merged.columns if c not in ("_action", "embedding")]
-        known = left.where("_action NOT IN ('new', 'updated')").select(*place, "embedding").unionByName(embedded.select(*place, "embedding"))
-        store.write(
-            {
-                "documents": after(documents, stored, [c for c in documents.columns if c != "_action"]),
-                "chunks": after(left, old, chunk_columns),
-                "embeddings": after(known, old, [*place, "embedding"]),
-            },
-            touched,
-        )
-        done = embedded.where("error IS NULL").select(*place).withColumn("_done", F.lit(True))
+            replaced = set()
         characters = None
         if unit:
             every = changed.select(F.col(unit).alias("_u")).distinct()
             characters = every.join(failed, F.col("_u") == F.col("_failed"), "left").select(F.col("_failed").isNotNull().alias("failed"))
-        stats = M.ingestion_stats(documents, merged.join(done, place, "left"), rejects, characters, batch, embedded="_done")
-        return spark.createDataFrame(stats.collect(), stats.schema)  # one row, as its tables are about to go
+        done = embedded.select("document_id", "_action", (asked & F.col("error").isNull()).alias("_done")).unionByName(gone.withColumn("_done", F.lit(False)))
+        stats = M.ingestion_stats(own.plan, done, rejects, characters, batch, embedded="_done")
+        counters = spark.createDataFrame(stats.collect(), stats.schema)  # one row, as its tables are about to go
+        store.publish(number, parts, schemas, replaced)
+        if failing:
+            for table in parts:
+                store.drop(number, table)
+        return counters
 
 
 def ingest_missing_characters(store: SnapshotStore, pages: DataFrame, provider: Provider, **settings) -> DataFrame:

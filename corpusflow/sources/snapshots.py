@@ -1,11 +1,14 @@
 """Snapshot stores: tables in buckets, whose versions are published together.
 
 Every table of a store is split by a hash of its key into a fixed number of buckets. A
-version is a manifest: of each table and bucket the folder that holds its rows. A write
+version is a manifest: of each table and bucket the folders that hold its rows. A write
 replaces some buckets, in folders of its own, and its manifest names these and, for all other
 buckets, the folders of the version before. So what a small batch writes follows the
 buckets that it touches, not the store.
 
+Rows that replace nothing are added: their folders join those that a bucket has, and nothing is rewritten.
+A bucket of ``PARTS`` folders or more is rewritten as one by the next batch that touches it.
+
 A version is in force from the moment that its mark is there, for all tables at once.
 Nothing else is replaced or renamed, so a run that stops at any point leaves the
 version before in force, and a reader that has begun keeps its version while it is among the last ``keep``.
@@ -15,6 +18,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +27,8 @@ from pyspark.sql.types import StructType
 #: A version's folder holds its manifest, and this file once it is complete; the store's folder holds the other once a version ever was.
 COMPLETE, CREATED = "_COMPLETE", "_CREATED"
 BUCKETS, KEEP = 64, 2
+#: Folders that a bucket may have.
+PARTS = 32
 #: The column that folders of buckets are named by.
 BUCKET = "snapshot_bucket"
 
@@ -79,7 +85,7 @@ class SnapshotStore:
             elif "schema" in entry:
                 out["schemas"][entry["table"]] = StructType.fromJson(entry["schema"])
             else:
-                out["folders"][entry["table"], entry["bucket"]] = entry["folder"]
+                out["folders"][entry["table"], entry["bucket"], entry.get("part", 0)] = entry["folder"]
         return out
 
     # ---- buckets ----
@@ -98,32 +104,59 @@ class SnapshotStore:
         """A table of a version, or some of its buckets only."""
         manifest = self.manifest(version)
         wanted = None if buckets is None else set(buckets)
-        folders = [f"{self.path}/{f}" for (t, b), f in sorted(manifest["folders"].items()) if t == table and (wanted is None or b in wanted)]
-        schema = manifest["schemas"][table]
-        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+        folders = [f for (t, b, _), f in sorted(manifest["folders"].items()) if t == table and (wanted is None or b in wanted)]
+        return self.read_folders(folders, manifest["schemas"][table])
+
+    def read_folders(self, folders: list[str], schema: StructType) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{f}" for f in folders]) if folders else self.spark.createDataFrame([], schema)
+
+    def full(self, table: str) -> set[int]:
+        """Buckets with ``PARTS`` folders or more."""
+        many = Counter(b for t, b, _ in self.manifest()["folders"] if t == table) if self.exists() else {}
+        return {b for b, n in many.items() if n >= PARTS}
 
     def write(self, rows: dict[str, DataFrame], touched: list[int] | None = None) -> int:
         """Publish a version in which the ``touched`` buckets (all, if None) of the named tables hold ``rows``, and the number of that version.
 
         Other buckets, and other tables, stay as they are.
         """
-        old = self.manifest() if self.exists() else {"buckets": self._new_buckets, "schemas": {}, "folders": {}}
-        n = old["buckets"]
+        number, n = self.begin(), self.buckets()
         changed = set(range(n) if touched is None else touched)
-        number = max([*self._numbers("v=*"), *self._numbers("data/v=*")], default=0) + 1
-        folders = {k: f for k, f in old["folders"].items() if k[0] not in rows or k[1] not in changed}
-        schemas = dict(old["schemas"])
-        for table, df in rows.items():
-            place = f"data/v={number:08d}/{table}"
-            dealt = df.withColumn(BUCKET, self.bucket(table, n)).hint("rebalance", F.col(BUCKET))
-            dealt.write.option("compression", "zstd").partitionBy(BUCKET).parquet(f"{self.path}/{place}")
-            schemas[table] = df.schema
-            for folder in self._listed(f"{place}/{BUCKET}=*"):
-                b = int(folder.rsplit("=", 1)[1])
-                if b not in changed:
-                    raise ValueError(f"rows of {table} lie in bucket {b}, which is not among those to be written")
-                folders[table, b] = folder
-        lines = [{"buckets": n}, *({"table": t, "schema": s.jsonValue()} for t, s in schemas.items()), *({"table": t, "bucket": b, "folder": f} for (t, b), f in sorted(folders.items()))]
+        parts = {table: [self.put(number, table, table, df)] for table, df in rows.items()}
+        for table, made in parts.items():
+            if other := {b for part in made for b in part} - changed:
+                raise ValueError(f"rows of {table} lie in bucket {min(other)}, which is not among those to be written")
+        return self.publish(number, parts, {t: df.schema for t, df in rows.items()}, changed)
+
+    def begin(self) -> int:
+        """The number of a version to come."""
+        return max([*self._numbers("v=*"), *self._numbers("data/v=*")], default=0) + 1
+
+    def dealt(self, table: str, df: DataFrame) -> DataFrame:
+        """``df`` dealt by buckets, so that each has few files."""
+        return df.withColumn(BUCKET, self.bucket(table, self.buckets())).hint("rebalance", F.col(BUCKET)).drop(BUCKET)
+
+    def put(self, number: int, table: str, name: str, df: DataFrame, deal: bool = True) -> dict[int, str]:
+        """Write rows of a table of a version to come, and the folder of each bucket. Without ``deal`` rows stay in their tasks, for those that come from folders of buckets."""
+        out = df.withColumn(BUCKET, self.bucket(table, self.buckets()))
+        place = f"data/v={number:08d}/{name}"
+        (out.hint("rebalance", F.col(BUCKET)) if deal else out).write.option("compression", "zstd").partitionBy(BUCKET).parquet(f"{self.path}/{place}")
+        return {int(f.rsplit("=", 1)[1]): f for f in self._listed(f"{place}/{BUCKET}=*")}
+
+    def drop(self, number: int, name: str) -> None:
+        """Take back what ``put`` wrote."""
+        self._fs().delete(self._at(f"data/v={number:08d}/{name}"), True)
+
+    def publish(self, number: int, parts: dict[str, list[dict[int, str]]], schemas: dict[str, StructType], replaced: set[int]) -> int:
+        """A version in which the named tables have ``parts``: in ``replaced`` buckets instead of what these hold, in others besides it."""
+        old = self.manifest() if self.exists() else {"buckets": self._new_buckets, "schemas": {}, "folders": {}}
+        folders = {k: f for k, f in old["folders"].items() if k[0] not in parts or k[1] not in replaced}
+        for table, made in parts.items():
+            for part in made:
+                for b, folder in part.items():
+                    folders[table, b, 1 + max((k[2] for k in folders if k[:2] == (table, b)), default=-1)] = folder
+        schemas = {**old["schemas"], **schemas}
+        lines = [{"buckets": old["buckets"]}, *({"table": t, "schema": s.jsonValue()} for t, s in schemas.items()), *({"table": t, "bucket": b, "part": p, "folder": f} for (t, b, p), f in sorted(folders.items()))]
         self._put(f"v={number:08d}/manifest.json", "\n".join(map(json.dumps, lines)))
         self._put(f"v={number:08d}/{COMPLETE}", "")
         if not self._fs().exists(self._at(CREATED)):

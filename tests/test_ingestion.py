@@ -130,3 +130,21 @@ def test_one_failing_character_leaves_nothing(spark, tmp_path):
     with pytest.raises(RuntimeError, match="no answer"):
         I.ingest_pages(store, pages(spark, [(1, "ok1", "BOOM now.")]), flaky)
     assert store.read("documents").count() == 3
+
+
+def test_a_run_writes_what_changed(spark, tmp_path):
+    store = I.corpus_store(spark, str(tmp_path), buckets=4)
+    run = lambda rows: I.ingest_pages(store, pages(spark, rows), hash_provider(4)).first()
+    rows = [(i, "a", f"page {i} has a text of its own.") for i in range(40)]
+    run(rows)
+    first = {f for f in store.manifest()["folders"].values()}
+    run(rows)
+    assert set(store.manifest()["folders"].values()) == first and size(tmp_path / "data" / "v=00000002") == 0  # nothing was written again
+    run([(90, "b", "a new page."), (91, "b", "a new page.")])
+    assert first < set(store.manifest()["folders"].values())  # new pages are added to what is there
+    assert store.read("documents").count() == store.read("chunks").count() == store.read("embeddings").count() == 42
+    stats = run([(90, "b", "a page that was edited."), (3, "a", "edited too."), (3, "a", "edited too.")])
+    assert (stats["pages_updated"], stats["chunks_updated"], stats["embedded_chunks"]) == (2, 2, 2)
+    texts = {r["page_id"]: r["text"] for r in store.read("documents").collect()}
+    chunks = {r["page_id"]: r["chunk_text"] for r in store.read("chunks").join(store.read("embeddings"), PLACE).collect()}
+    assert len(texts) == 42 and chunks == texts and texts[3] == "edited too." and texts[90] == "a page that was edited."

@@ -11,8 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from corpusflow.functions import text as T
-from corpusflow.operators.merge import merge_documents
-from corpusflow.plans.ingestion import Provider, ingest_pages, last_versions
+from corpusflow.plans.ingestion import Comparison, Provider, ingest_pages, last_versions  # noqa: F401 - the tests take it from here
 from corpusflow.plans.staging import Staging
 from corpusflow.sources.snapshots import SnapshotStore
 
@@ -25,7 +24,7 @@ def incremental_ingest(
 ) -> StreamingQuery:
     """Merge each batch of pages into a table of a store by content hash; ``changed`` gets the new and updated rows, once each.
 
-    A batch reads and writes the buckets of its own keys only; the table is bucketed by ``keys``. Of the versions of a page the
+    A batch reads and writes the buckets of its own keys only, and rewrites those with updated rows; the table is bucketed by ``keys``. Of the versions of a page the
     last in ``order`` (columns, such as a file and a line, or a time) stays, in a batch and against the table, so the table does
     not depend on how the stream is cut. Without ``order`` a later batch wins, and
     two texts of one page in a batch are an error. A batch that is repeated after
@@ -34,21 +33,15 @@ def incremental_ingest(
 
     def merge(batch: DataFrame, epoch: int) -> None:
         with Staging(batch.sparkSession) as staging:
-            hashed = last_versions(batch.withColumn("content_hash", T.content_hash(F.col("text"))), keys, order)
-            hashed = staging.table(hashed, "batch")
-            touched = store.touched(hashed, table)
-            if not touched:
+            own = Comparison(staging, store, table, batch.withColumn("content_hash", T.content_hash(F.col("text"))), keys, order, newer_only=True)
+            if not own.touched:
                 return
-            stored = store.read(table, touched) if store.exists() else hashed.limit(0)
-            if order:
-                s, t = hashed.alias("s"), stored.alias("t")
-                same = [F.col(f"s.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]
-                older = F.struct(*[F.col(f"s.{c}") for c in order]) < F.struct(*[F.col(f"t.{c}") for c in order])
-                hashed = s.join(t, [*same, older], "left_anti")
-            merged = staging.table(merge_documents(hashed, stored, keys, refresh=order), "merged")
+            had, rows = store.exists(), own.put()
             if changed:
-                changed(merged.where(F.col("_action").isin("new", "updated")), epoch)
-            store.write({table: merged.drop("_action")}, touched)
+                changed(rows, epoch)
+            updated = staging.table(own.plan.where("_action = 'updated'").select(*keys), "updated")
+            replaced, kept = own.replace(updated, []) if had else (set(), {table: []})
+            store.publish(own.number, {table: [own.part, *kept[table]]}, {table: own.stored.schema}, replaced)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

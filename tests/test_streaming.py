@@ -131,3 +131,15 @@ def test_stale_pieces_are_forgotten(spark, tmp_path):
     time.sleep(3)
     go([("g", 0, "Fresh. ", False), ("g", 1, "one. ", False)])
     assert sorted(r["text"] for r in spark.read.parquet(out).collect()) == ["Fresh.", "one."]
+
+
+def test_new_pages_are_added_and_full_buckets_rewritten(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("corpusflow.sources.snapshots.PARTS", 3)
+    src, store = str(tmp_path / "in"), SnapshotStore(spark, str(tmp_path / "table"), {"pages": ["page_id"]}, buckets=1)
+    counts = []
+    for k in range(5):
+        spark.createDataFrame([(k, f"text {k}"), (k + 100, "other")], "page_id long, text string").coalesce(1).write.mode("append").parquet(src)
+        ingest(spark, store, src, str(tmp_path / "check"))
+        counts.append(len(store.manifest()["folders"]))
+    assert counts[:3] == [1, 2, 3] and counts[3] < 3  # nothing is rewritten before a bucket is full
+    assert sorted(r["page_id"] for r in store.read("pages").collect()) == sorted([*range(5), *range(100, 105)])

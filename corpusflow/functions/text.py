@@ -7,8 +7,9 @@ White space means Unicode's, as Python's ``str.strip`` has it; neither Java's
 from __future__ import annotations
 
 from collections.abc import Iterator
+from unicodedata import normalize
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -24,8 +25,15 @@ CLOSING_QUESTION_SPOKEN = "مَاذَا تُرِيدُ أَنْ تَعْرِفَ
 STRIP = rf"\A{WS}+|{WS}+\z"
 
 
+#: The characters of WS.
+BLANKS = "".join(map(chr, [*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+#: Characters that NFKC leaves as they are in any company: it changes none of them, and none joins the one before.
+INERT = r"\x{0}-\x{9f}\x{a1}-\x{a7}\x{a9}\x{ab}-\x{ae}\x{b0}\x{b1}\x{b6}\x{b7}\x{bb}\x{bf}-\x{131}\x{134}-\x{13e}\x{141}-\x{148}\x{14a}-\x{17e}\x{410}-\x{44f}\x{60c}\x{61b}\x{61f}-\x{64a}\x{660}-\x{66f}\x{671}-\x{674}\x{2010}\x{2012}-\x{2016}\x{2018}-\x{2023}"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, STRIP, "")
+    """Only the ends are looked at; a pattern would try each blank of the text."""
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def clean_text(c: Column) -> Column:
@@ -53,18 +61,20 @@ def strip_diacritics(c: Column) -> Column:
     return F.regexp_replace(c, MARKS, "")
 
 
-@F.pandas_udf(StringType())
-def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Unicode compatibility composition, which Spark has no function for."""
-    for s in batches:
-        yield s.str.normalize("NFKC")
+@F.arrow_udf(StringType())
+def nfkc(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Unicode compatibility composition, which Spark has no function for; few texts at a time are Python strings."""
+    for texts in batches:
+        made = [pa.array([], pa.string())]
+        for at in range(0, len(texts), 64):
+            made.append(pa.array([None if t is None else normalize("NFKC", t) for t in texts[at : at + 64].to_pylist()], pa.string()))
+        yield pa.concat_arrays(made)
 
 
 def normalize_for_match(c: Column, compose=nfkc) -> Column:
-    """Arabic spelling variants to one form. NFKC changes no ASCII text, so such rows go to the UDF as null and skip its work."""
+    """Arabic spelling variants to one form. NFKC changes no text of inert characters, so such rows go to the UDF as null: neither their bytes nor their work reach Python."""
     bare = strip_diacritics(c)
-    ascii_only = F.octet_length(bare) == F.length(bare)
-    folded = F.translate(F.coalesce(compose(F.when(~ascii_only, bare)), bare), "أإآى", "اااي")
+    folded = F.translate(F.coalesce(compose(F.when(bare.rlike(f"[^{INERT}]"), bare)), bare), "أإآى", "اااي")
     return strip(F.regexp_replace(folded, WS + "+", " "))
 
 
@@ -129,8 +139,14 @@ def sentences(c: Column) -> Column:
 
 def speech_segments(c: Column, most: int = 300) -> Column:
     """Every terminated sentence whole; an unterminated tail is wrapped at blanks to ``most`` characters."""
-    parts = F.split(c, r"(?<=[.!؟\n])")  # one pass; a pattern for whole sentences would rescan the tail from each place
-    ended, tail = F.slice(parts, 1, F.size(parts) - 1), strip(F.element_at(parts, -1))
+    # one pass; a pattern for whole sentences would rescan the tail from each place. Parts and tail are bound, as each use would compute them again
+    bound = lambda x, use: F.transform(F.array(x), use)[0]
+    wrap = lambda tail: F.when(F.length(tail) <= most, F.array(tail)).otherwise(_wrapped(tail, most))
+    every = bound(F.split(c, r"(?<=[.!؟\n])"), lambda parts: F.concat(F.slice(parts, 1, F.size(parts) - 1), bound(strip(F.element_at(parts, -1)), wrap)))
+    return F.filter(F.transform(every, strip), lambda x: x != "")
+
+
+def _wrapped(tail: Column, most: int) -> Column:
     # the tail's words fold into lines; a word longer than a line is cut hard
     pieces = F.flatten(F.transform(F.split(tail, " "), lambda w: F.when(F.length(w) <= most, F.array(w)).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.length(w) - 1) / most).cast("int")), lambda i: F.substring(w, i * most + 1, F.lit(most))))))
     # lines that are full, and the line that grows: the list is only copied when a line is full
@@ -138,9 +154,7 @@ def speech_segments(c: Column, most: int = 300) -> Column:
     add = lambda acc, w: F.when(acc["line"].isNull(), F.struct(acc["full"].alias("full"), w.alias("line"))).when(
         F.length(acc["line"]) + 1 + F.length(w) <= most, F.struct(acc["full"].alias("full"), F.concat(acc["line"], F.lit(" "), w).alias("line"))
     ).otherwise(F.struct(F.concat(acc["full"], F.array(acc["line"])).alias("full"), w.alias("line")))
-    wrapped = F.aggregate(pieces, begin, add, lambda acc: F.concat(acc["full"], F.array(acc["line"])))
-    every = F.concat(ended, F.when(F.length(tail) <= most, F.array(tail)).otherwise(wrapped))
-    return F.filter(F.transform(every, strip), lambda x: x != "")
+    return F.aggregate(pieces, begin, add, lambda acc: F.concat(acc["full"], F.array(acc["line"])))
 
 
 def hash_rotation_index(key: Column, n: Column) -> Column:

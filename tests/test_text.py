@@ -78,3 +78,9 @@ def test_character_references_of_every_kind(spark):
     got = out.collect()
     assert [(r["t"], r["u"], html.unescape(r["t"])) for r in got if r["t"] is not None and r["u"] != html.unescape(r["t"])][:5] == []
     assert [r["u"] for r in got if r["t"] is None] == [None]
+
+
+def test_speech_segments_split_their_text_once(spark):
+    df = spark.createDataFrame([("a. b",)], "t string").select(F.explode(T.speech_segments(F.upper("t"))).alias("s"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("upper(") == 1
+    assert [r["s"] for r in df.collect()] == ["A.", "B"]

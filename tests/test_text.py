@@ -84,3 +84,16 @@ def test_speech_segments_split_their_text_once(spark):
     df = spark.createDataFrame([("a. b",)], "t string").select(F.explode(T.speech_segments(F.upper("t"))).alias("s"))
     assert df._jdf.queryExecution().optimizedPlan().toString().count("upper(") == 1
     assert [r["s"] for r in df.collect()] == ["A.", "B"]
+
+
+def test_inert_texts_do_not_reach_the_composition(spark):
+    got = []
+
+    def compose(c):
+        got.append(c)
+        return c
+
+    df = spark.createDataFrame([("أحمد été, Ñandú",), ("ﬁne",), ("é",)], "t string")
+    T.normalize_for_match(F.col("t"), compose)
+    assert [r[0] is None for r in df.select(got[0]).collect()] == [True, False, False]
+    assert [r[0] for r in df.select(T.normalize_for_match(F.col("t"))).collect()] == ["احمد été, Ñandú", "fine", "é"]

@@ -8,10 +8,13 @@ A document is one row and one value; its chunks need no shuffle, and time grows
 
 from __future__ import annotations
 
+import functools
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,32 +66,88 @@ WORDS = Counter(_word_pieces, lambda s: F.size(F.split(T.strip(s), T.WS + "+")))
 BYTES4 = Counter(_cut_each(_bytes4, _character_pieces), _bytes4)
 
 
+class WordCounts:
+    """Tokens of sentences by those of their words, each counted once by the tokenizer.
+
+    A byte-level pre-tokenizer puts a space only before what follows it, so where single spaces stand between words a text's tokens are those of its
+    first word and of a space and a word, for each other one. A text with other white space at such a place, which may go either way, gets -1, to be counted whole.
+    Other kinds of tokenizer are never cut at words.
+    """
+
+    KEPT_WORDS, KEPT_CHARS = 700_000, 48
+
+    def __init__(self, tokenizer):
+        pre = json.loads(tokenizer.to_str())
+        kind = pre.get("pre_tokenizer") or {}
+        self.tokenizer = tokenizer
+        self.able = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space") and not pre.get("normalizer") and all(t.get("special") for t in pre["added_tokens"])
+        self.known: dict[str, int] = {}
+
+    def of(self, sentences: list[str]) -> list[int]:
+        if not self.able:
+            return [-1] * len(sentences)
+        split = [s.replace(" ", "\n ").split("\n") if "\n" not in s else None for s in sentences]
+        if len(self.known) > self.KEPT_WORDS:
+            self.known.clear()
+        new = list({w for words in split if words for w in words if w not in self.known})
+        if new:
+            plain = [w for w in new if w.strip(" ") and w.lstrip(" ") == w.strip()]
+            found = dict.fromkeys(new, -1) | {w: len(e.ids) for w, e in zip(plain, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False), strict=True)}
+            self.known.update((w, n) for w, n in found.items() if len(w) <= self.KEPT_CHARS)
+            known = self.known.get
+            value = lambda w: known(w) if len(w) <= self.KEPT_CHARS else found[w]
+        else:
+            value = self.known.__getitem__
+        out = []
+        for words in split:
+            each = list(map(value, words)) if words else [-1]
+            out.append(-1 if min(each) < 0 else sum(each))
+        return out
+
+
+@functools.lru_cache(maxsize=2)
+def word_counts(path: str) -> WordCounts:
+    """One for all tasks of a Python worker, so that words are counted once a worker."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    return WordCounts(tokenizer)
+
+
 def bpe(path: str) -> Counter:
     """Tokens of the vocabulary file ``path``, which all executors see; a long sentence is cut where a token begins, and no character is lost or said twice."""
 
     def load():
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        return tokenizer
+        return word_counts(path).tokenizer
 
     def cutter(most: int):
-        @F.pandas_udf("array<struct<text:string,n:int>>")
-        def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            tokenizer = load()
-            for s in batches:
-                out = []
-                for sentences in s:
-                    own = list(sentences) if sentences is not None else []
-                    made = []
-                    for at in range(0, len(own), 1000):
-                        for text, e in zip(own[at : at + 1000], tokenizer.encode_batch(own[at : at + 1000], add_special_tokens=False), strict=True):
-                            starts = [e.offsets[i][0] for i in range(most, len(e.ids), most)]
-                            cuts = [0, *starts, len(text)]
-                            made += [{"text": text[i:j], "n": min(most, len(e.ids) - k * most)} for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
-                    out.append([m for m in made if m["text"]])
-                yield pd.Series(out)
+        kind = pa.struct([("text", pa.string()), ("n", pa.int32())])
+
+        @F.arrow_udf("array<struct<text:string,n:int>>")
+        def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            counts = word_counts(path)
+            tokenizer = counts.tokenizer
+            for lists in batches:
+                ends, texts, tokens = [0], [], []
+                for at in range(0, len(lists), 64):
+                    for sentences in lists[at : at + 64].to_pylist():
+                        own = sentences or []
+                        for text, n in zip(own, counts.of(own), strict=True):
+                            if 0 <= n <= most:
+                                texts.append(text)
+                                tokens.append(n)
+                                continue
+                            e = tokenizer.encode(text, add_special_tokens=False)
+                            size, places = len(e.ids), e.offsets  # each use of them makes a list
+                            cuts = [0, *(places[i][0] for i in range(most, size, most)), len(text)]
+                            for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                                if text[i:j]:
+                                    texts.append(text[i:j])
+                                    tokens.append(min(most, size - k * most))
+                        ends.append(len(texts))
+                values = pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(tokens, pa.int32())], fields=list(kind))
+                yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
         return cut
 

@@ -110,3 +110,12 @@ def test_time_grows_with_sentences(spark):
 
     seconds(2_000)
     assert seconds(120_000) < 4 * seconds(30_000) + 10
+
+
+def test_tokens_of_words_add_up():
+    counts = C.word_counts(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["don't <|endoftext|> we're 's x", "a b, c.", "été 12 ab3   end", "two  spaces", "tab\t here", "no break", ""]
+    found = counts.of(texts)
+    whole = [len(counts.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert [f for f in found if f >= 0] == [w for f, w in zip(found, whole, strict=True) if f >= 0]
+    assert [f >= 0 for f in found] == [True, True, False, False, False, True, False]

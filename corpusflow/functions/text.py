@@ -27,8 +27,12 @@ STRIP = rf"\A{WS}+|{WS}+\z"
 
 #: The characters of WS.
 BLANKS = "".join(map(chr, [*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+# The same classes for Java alone: a class asks its ranges one by one, so what most characters are not in is asked first.
+BLANK = rf"[\x{{9}}-\x{{20}}\x{{85}}\x{{a0}}\x{{1680}}-\x{{3000}}&&{WS}]"
+MARK = rf"[\x{{610}}-\x{{6ed}}&&{MARKS}]"
 #: Characters that NFKC leaves as they are in any company: it changes none of them, and none joins the one before.
 INERT = r"\x{0}-\x{9f}\x{a1}-\x{a7}\x{a9}\x{ab}-\x{ae}\x{b0}\x{b1}\x{b6}\x{b7}\x{bb}\x{bf}-\x{131}\x{134}-\x{13e}\x{141}-\x{148}\x{14a}-\x{17e}\x{410}-\x{44f}\x{60c}\x{61b}\x{61f}-\x{64a}\x{660}-\x{66f}\x{671}-\x{674}\x{2010}\x{2012}-\x{2016}\x{2018}-\x{2023}"
+UNSETTLED = rf"[\x{{a0}}-\x{{10ffff}}&&[^{INERT}]]"
 
 
 def strip(c: Column) -> Column:
@@ -58,24 +62,22 @@ def clean_source_text(c: Column) -> Column:
 
 
 def strip_diacritics(c: Column) -> Column:
-    return F.regexp_replace(c, MARKS, "")
+    return F.regexp_replace(c, MARK, "")
 
 
 @F.arrow_udf(StringType())
 def nfkc(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """Unicode compatibility composition, which Spark has no function for; few texts at a time are Python strings."""
+    """Unicode compatibility composition, which Spark has no function for; few texts at a time are Python strings, and each few are a batch of the answer, so only what came in is held whole."""
     for texts in batches:
-        made = [pa.array([], pa.string())]
         for at in range(0, len(texts), 64):
-            made.append(pa.array([None if t is None else normalize("NFKC", t) for t in texts[at : at + 64].to_pylist()], pa.string()))
-        yield pa.concat_arrays(made)
+            yield pa.array([None if t is None else normalize("NFKC", t) for t in texts[at : at + 64].to_pylist()], pa.string())
 
 
 def normalize_for_match(c: Column, compose=nfkc) -> Column:
     """Arabic spelling variants to one form. NFKC changes no text of inert characters, so such rows go to the UDF as null: neither their bytes nor their work reach Python."""
     bare = strip_diacritics(c)
-    folded = F.translate(F.coalesce(compose(F.when(bare.rlike(f"[^{INERT}]"), bare)), bare), "أإآى", "اااي")
-    return strip(F.regexp_replace(folded, WS + "+", " "))
+    folded = F.translate(F.coalesce(compose(F.when(bare.rlike(UNSETTLED), bare)), bare), "أإآى", "اااي")
+    return strip(F.regexp_replace(folded, BLANK + "+", " "))
 
 
 def contains_arabic(c: Column) -> Column:

@@ -1,8 +1,10 @@
 import hashlib
 import html
+import re
 import unicodedata
 from html.entities import html5
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpusflow.functions import html as H
@@ -97,3 +99,20 @@ def test_inert_texts_do_not_reach_the_composition(spark):
     T.normalize_for_match(F.col("t"), compose)
     assert [r[0] is None for r in df.select(got[0]).collect()] == [True, False, False]
     assert [r[0] for r in df.select(T.normalize_for_match(F.col("t"))).collect()] == ["احمد été, Ñandú", "fine", "é"]
+
+
+def test_classes_for_java_are_those_of_the_sql(spark):
+    marks, inert = re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: f"\\U{m[1]:0>8}", T.MARKS)), re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: f"\\U{m[1]:0>8}", f"[{T.INERT}]"))
+    every = [chr(i) for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000]
+    df = spark.createDataFrame([("".join(every),)], "t string").select(F.explode(F.split("t", "")).alias("c"))
+    got = df.groupBy(F.col("c").rlike(T.BLANK), F.col("c").rlike(T.MARK), F.col("c").rlike(T.UNSETTLED)).agg(F.sort_array(F.collect_list("c"))).collect()
+    want = {}
+    for c in every:
+        want.setdefault((c in T.BLANKS, bool(marks.match(c)), not inert.match(c)), []).append(c)
+    assert {tuple(r)[:3]: r[3] for r in got} == want
+
+
+def test_composition_answers_in_small_batches():
+    texts = pa.array(["ﬁ", None, "x"] * 100)
+    got = list(T.nfkc.func(iter([texts, texts[:0]])))
+    assert max(map(len, got)) == 64 and [x for a in got for x in a.to_pylist()] == ["fi", None, "x"] * 100

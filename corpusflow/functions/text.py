@@ -29,6 +29,8 @@ STRIP = rf"\A{WS}+|{WS}+\z"
 BLANKS = "".join(map(chr, [*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 # The same classes for Java alone: a class asks its ranges one by one, so what most characters are not in is asked first.
 BLANK = rf"[\x{{9}}-\x{{20}}\x{{85}}\x{{a0}}\x{{1680}}-\x{{3000}}&&{WS}]"
+#: A blank but a space, or a second one.
+UNEVEN = rf"[\x{{9}}-\x{{1f}}\x{{85}}\x{{a0}}\x{{1680}}-\x{{3000}}&&{WS}]|  "
 MARK = rf"[\x{{610}}-\x{{6ed}}&&{MARKS}]"
 #: Characters that NFKC leaves as they are in any company: it changes none of them, and none joins the one before.
 INERT = r"\x{0}-\x{9f}\x{a1}-\x{a7}\x{a9}\x{ab}-\x{ae}\x{b0}\x{b1}\x{b6}\x{b7}\x{bb}\x{bf}-\x{131}\x{134}-\x{13e}\x{141}-\x{148}\x{14a}-\x{17e}\x{410}-\x{44f}\x{60c}\x{61b}\x{61f}-\x{64a}\x{660}-\x{66f}\x{671}-\x{674}\x{2010}\x{2012}-\x{2016}\x{2018}-\x{2023}"
@@ -43,9 +45,10 @@ def strip(c: Column) -> Column:
 def clean_text(c: Column) -> Column:
     """Drop bracket artefacts of scraped headings, line by line, and blank lines."""
     lines = F.transform(F.split(c, "\n"), strip)
-    words = F.filter(lines, lambda x: ~x.rlike(r"\A(\[+-?|\]+)\z"))
-    bare = F.transform(words, lambda x: F.regexp_replace(F.regexp_replace(x, rf"\A\[+-?{WS}*", ""), rf"{WS}*\]+\z", ""))
-    return strip(F.array_join(F.filter(bare, lambda x: x != ""), "\n"))
+    words = F.filter(lines, lambda x: ~((x.startswith("[") | x.startswith("]")) & x.rlike(r"\A(\[+-?|\]+)\z")))
+    opened = F.transform(words, lambda x: F.when(x.startswith("["), F.regexp_replace(x, rf"\A\[+-?{BLANK}*", "")).otherwise(x))
+    bare = F.transform(opened, lambda x: F.when(x.endswith("]"), F.regexp_replace(x, rf"{BLANK}*\]+\z", "")).otherwise(x))
+    return F.array_join(F.filter(bare, lambda x: x != ""), "\n")  # no line has blanks at its ends
 
 
 def clean_line(c: Column) -> Column:
@@ -61,6 +64,11 @@ def clean_source_text(c: Column) -> Column:
     return strip(out)
 
 
+def count_words(c: Column) -> Column:
+    """Words of a text without blanks at its ends. Single spaces are only counted, as a split compiles its pattern for each text."""
+    return F.when(c.rlike(UNEVEN), F.size(F.split(c, BLANK + "+"))).otherwise(F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit(""))) + 1)
+
+
 def strip_diacritics(c: Column) -> Column:
     return F.regexp_replace(c, MARK, "")
 
@@ -135,7 +143,8 @@ def safe_filename(c: Column, most: int = 72) -> Column:
 
 def sentences(c: Column) -> Column:
     """Segments that end at a line feed or at white space after ``.``, ``!`` or ``؟``; a stripped line's segments have no white space at their ends."""
-    parts = F.flatten(F.transform(F.split(c, "\n"), lambda line: F.split(strip(line), rf"(?<=[.!؟]){WS}+")))
+    # blanks are found first, as few characters are
+    parts = F.flatten(F.transform(F.split(c, "\n"), lambda line: F.split(strip(line), rf"{BLANK}(?<=[.!؟]{BLANK}){BLANK}*")))
     return F.filter(parts, lambda x: x != "")
 
 

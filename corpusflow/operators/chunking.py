@@ -46,7 +46,7 @@ def _word_pieces(sentences: Column, most: int) -> Column:
     part = lambda own, i: F.struct(F.array_join(F.slice(own, i, F.lit(most)), " ").alias("text"), F.least(F.lit(most), F.size(own) - i + 1).alias("n"))
     cut = lambda own: F.transform(F.sequence(F.lit(1), F.size(own), F.lit(most)), lambda i: part(own, i))
     sized = lambda s: F.transform(
-        F.array(F.split(s, T.WS + "+")), lambda own: F.when(F.size(own) > most, cut(own)).otherwise(F.array(F.struct(s.alias("text"), F.size(own).alias("n"))))
+        F.array(T.count_words(s)), lambda n: F.when(n > most, F.transform(F.array(F.split(s, T.BLANK + "+")), cut)[0]).otherwise(F.array(F.struct(s.alias("text"), n.alias("n"))))
     )[0]
     return F.flatten(F.transform(sentences, sized))
 
@@ -61,7 +61,7 @@ def _bytes4(s: Column) -> Column:
 
 
 #: Words between white space; a long sentence is cut at them.
-WORDS = Counter(_word_pieces, lambda s: F.size(F.split(T.strip(s), T.WS + "+")))
+WORDS = Counter(_word_pieces, lambda s: T.count_words(T.strip(s)))
 #: A quarter of the UTF-8 bytes, rounded up; a long sentence is cut at characters.
 BYTES4 = Counter(_cut_each(_bytes4, _character_pieces), _bytes4)
 

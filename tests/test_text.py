@@ -3,6 +3,7 @@ import html
 import re
 import unicodedata
 from html.entities import html5
+from random import Random
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -116,3 +117,20 @@ def test_composition_answers_in_small_batches():
     texts = pa.array(["ﬁ", None, "x"] * 100)
     got = list(T.nfkc.func(iter([texts, texts[:0]])))
     assert max(map(len, got)) == 64 and [x for a in got for x in a.to_pylist()] == ["fi", None, "x"] * 100
+
+
+def test_cheaper_patterns_find_what_plain_ones_find(spark):
+    random, ws = Random(5), f"[{re.escape(T.BLANKS)}]"
+    texts = ["".join(random.choices("ab.!؟[]+- \n\t 　é", weights=[6, 6, 3, 1, 2, 3, 3, 1, 1, 8, 3, 1, 1, 1, 1], k=random.randint(0, 40))) for _ in range(3000)] + ["]", "a ]", "[- a", "[ ]"]
+
+    def cleaned(t):
+        lines = [x for x in (x.strip(T.BLANKS) for x in t.split("\n")) if not re.fullmatch(r"\[+-?|\]+", x)]
+        return "\n".join(x for x in (re.sub(rf"{ws}*\]+\Z", "", re.sub(rf"\A\[+-?{ws}*", "", x), count=1) for x in lines) if x).strip(T.BLANKS)
+
+    def sentences(t):
+        return [x for line in t.split("\n") for x in re.split(rf"(?<=[.!؟]){ws}+", line.strip(T.BLANKS)) if x]
+
+    x = F.col("t")
+    out = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.clean_text(x).alias("c"), T.sentences(x).alias("s"), T.count_words(T.strip(x)).alias("n"))
+    got = out.collect()
+    assert [r for r in got if (r["c"], r["s"], r["n"]) != (cleaned(r["t"]), sentences(r["t"]), len(re.split(ws + "+", r["t"].strip(T.BLANKS))))][:3] == []

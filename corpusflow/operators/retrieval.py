@@ -105,7 +105,8 @@ def retrieve(chunks: DataFrame, queries: DataFrame, k: int = K, filters: str | t
         asked = take(who, [np.repeat(np.arange(len(counts)), counts)])
         return pa.table([asked, take(ids, found), pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=schema.names)
 
-    best = rows.groupBy("tag", "c", "q").applyInArrow(meet, schema)
+    # dealt anew, as the joins above may leave all rows of a tag in one task, and Spark would meet them there
+    best = rows.repartition("tag", "c", "q").groupBy("tag", "c", "q").applyInArrow(meet, schema)
     best = best.withColumn("score", F.nanvl("score", F.lit(None).cast("double")))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last(F.round("score", 12)), "chunk_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")

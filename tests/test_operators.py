@@ -322,3 +322,12 @@ def test_quoted_values_of_tags_and_control_characters(spark):
 def test_answers_may_begin_with_white_space(spark):
     log = spark.createDataFrame([("s::c1d0", "completed", '\n {"categories": [], "short_description": "d"}'), ("t::c1d0", "completed", " [1]")], "custom_id string, status string, content string")
     assert [(r["slug"], r["failure"]) for r in K.parse_results(log).orderBy("slug").collect()] == [("s", None), ("t", "not a JSON object")]
+
+
+def test_meetings_of_one_tag_are_dealt_over_tasks(spark):
+    chunks = spark.range(0, 60, 1, 3).select(F.col("id").alias("chunk_id"), F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("embedding"))
+    asks = chunks.where("chunk_id < 2").withColumnRenamed("chunk_id", "query_id")
+    plan = R.retrieve(chunks, asks)._jdf.queryExecution().executedPlan().toString()
+    meets = plan[plan.index("InArrow") :]
+    exchange = meets[meets.index("Exchange hashpartitioning") :].split("\n")[0]
+    assert meets.index("Exchange") < meets.index("Union") and "c#" in exchange and "q#" in exchange

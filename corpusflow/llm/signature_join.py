@@ -6,14 +6,18 @@ trees whose nodes hold the OR of their documents' token bitmaps and the range of
 their sizes: two nodes are walked together only while the largest overlap that
 bitmaps and sizes allow could still be a link; leaf pairs are compared exactly.
 
-Trees are built over groups that no link leaves: any two linked sets share a
-token among the first ``size - ceil(threshold * size) + 1`` of each in one common
-order, rare tokens first (by a count over all documents, in hashed counters of
-fixed size), so components of "shares such a token, with sizes close enough" are
-a partition. A task joins its own documents that share a token before it sends
+Trees are built over groups that no link leaves: any two linked sets share
+``SHARED`` tokens (or all that they must share, if fewer) among the first
+``size - ceil(threshold * size) + SHARED`` of each in one common order, rare tokens
+first (by a count over all documents, in hashed counters of fixed size), so
+components of "shares as many such tokens, with sizes close enough" are a
+partition. Pairs are counted where at most ``RUN`` sets share a token; a token of more joins all
+of them, so a pair that shares one is together without being counted. One shared token would not do: texts that have
+a phrase in common by chance grow with the square of the table, and chain up to one group.
+A task joins its own documents that share a token of more than ``RUN`` before it sends
 any: of each run of close sizes only the first and last of each size class go
 on, which is all that others can be close to. So a token that a third of all documents
-have costs a few rows a task, and nothing is dropped.
+have costs a few rows a task, and nothing is dropped. Equal sets are one node all the way.
 
 Within groups bitmaps go first, and texts follow only for documents to which
 these allow a link. A group larger than ``BLOCK`` is cut into blocks; all blocks hold a
@@ -52,6 +56,8 @@ NO_ID = 1 << 62
 BLOCK, PIVOTS = 64, 4
 #: Most documents and tokens in a wide block, the number of wide blocks that a group has at least if it is not small, and bits of a bitmap for each token there.
 WIDE, TOKENS, SPREAD, SPARSE = 4096, 4_000_000, 32, 32
+#: Prefix tokens that two sets share at least to be of one group, and the most sets that share a token and are still looked at pair by pair.
+SHARED, RUN = 3, 8
 #: Prefix tokens that one table of candidate search holds on average.
 PART_TOKENS = 4_000_000
 #: Counters of token frequency: 2 ** 24 of 2 bytes, the largest thing broadcast. They hold 1365 * log2(1 + count), which no count outgrows.
@@ -61,7 +67,12 @@ _REMEMBERED = 1_000_000
 
 
 def prefix_length(size: int, percent: int = PERCENT) -> int:
-    return size - -(-percent * size // 100) + 1
+    return min(size, size - -(-percent * size // 100) + SHARED)
+
+
+def class_of(key: bytes) -> int:
+    """A set's node in the candidate search, from its digest."""
+    return int.from_bytes(key[:8], "big") >> 1
 
 
 def bitmap(tokens: np.ndarray, bits: int) -> np.ndarray:
@@ -308,8 +319,31 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
+def shared_runs(token: np.ndarray, size: np.ndarray, node: np.ndarray, many: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    """Of rows ``token, size, node``: edges that join sets with a token of more than ``RUN``, or one marked as ``many``, and else all pairs ``a, b`` with the tokens that they share and those that a link needs."""
+    order = np.lexsort((node, size, token))
+    token, size, node, many = token[order], size[order], node[order], many[order]
+    first = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])))) if len(token) else np.zeros(0, np.int64)
+    many = np.logical_or.reduceat(many, first) if len(first) else many
+    token, size, node = token[first], size[first], node[first]
+    close = (token[1:] == token[:-1]) & (100 * size[:-1] >= percent * size[1:])
+    run = np.concatenate(([0], np.cumsum(~close)))[: len(token)]
+    many = ((np.bincount(run) > RUN) | (np.bincount(run, many) > 0))[run]
+    at = np.flatnonzero(close & many[1:])
+    one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for d in range(1, min(RUN, len(token))):
+        one.append(np.flatnonzero(~many[:-d] & (run[:-d] == run[d:]) & (100 * size[:-d] >= percent * size[d:])))
+        two.append(one[-1] + d)
+    i, j = np.concatenate(one), np.concatenate(two)
+    a, b, need = np.maximum(node[i], node[j]), np.minimum(node[i], node[j]), np.minimum(SHARED, -(-percent * size[j] // 100))
+    order = np.lexsort((b, a))
+    a, b, need = a[order], b[order], need[order]
+    start = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.zeros(0, np.int64)
+    return node[at], node[at + 1], (a[start], b[start], np.diff(np.append(start, len(a))), need[start])
+
+
 def candidate_edges(docs: DataFrame, counters: np.ndarray, percent: int = PERCENT, tokens_in_all: int = 0) -> DataFrame:
-    """Edges ``a, b`` whose components hold every link: documents that share a prefix token and may by their sizes link.
+    """Edges ``a, b`` of sets (``class_of``) whose components hold every link: those that share enough prefix tokens and may by their sizes link.
 
     Tokens are dealt into parts by their hash, so many that a part has some ``PART_TOKENS`` of the ``tokens_in_all`` at most.
     """
@@ -336,12 +370,14 @@ def candidate_edges(docs: DataFrame, counters: np.ndarray, percent: int = PERCEN
             flat, owner = flat[order], owner[order]
             n = size[owner]
             close = (flat[1:] == flat[:-1]) & (100 * n[:-1] >= percent * n[1:])
+            run = np.concatenate(([0], np.cumsum(~close)))
+            many = (np.bincount(run) > RUN)[run]
             kind = np.floor(np.log(n) / width)
             new = np.concatenate(([True], ~close | (kind[1:] != kind[:-1])))
-            sent = np.flatnonzero(new | np.concatenate((new[1:], [True])))
-            at = np.flatnonzero(close & (node[owner[1:]] != node[owner[:-1]]))
+            sent = np.flatnonzero(~many | new | np.concatenate((new[1:], [True])))
+            at = np.flatnonzero(close & many[1:] & (node[owner[1:]] != node[owner[:-1]]))
             own = _forest(node[owner[at]], node[owner[at + 1]]) if len(at) else (np.zeros(0, np.int64),) * 2
-            flat, owner = flat[sent], owner[sent]
+            flat, owner, many = flat[sent], owner[sent], many[sent]
             part = (flat % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[order], np.arange(parts + 1))
@@ -349,7 +385,8 @@ def candidate_edges(docs: DataFrame, counters: np.ndarray, percent: int = PERCEN
             for p in np.flatnonzero(np.diff(cuts)):
                 mine = order[cuts[p] : cuts[p + 1]]
                 used, place = np.unique(owner[mine], return_inverse=True)
-                rows.append((int(p), node[used].astype("<i8").tobytes(), size[used].astype("<i4").tobytes(), place.astype("<u4").tobytes(), flat[mine].astype("<u8").tobytes(), b"", b""))
+                marked = place.astype("<u4") | (many[mine].astype("<u4") << np.uint32(31))
+                rows.append((int(p), node[used].astype("<i8").tobytes(), size[used].astype("<i4").tobytes(), marked.tobytes(), flat[mine].astype("<u8").tobytes(), b"", b""))
             kinds = [pa.int32(), *[pa.binary()] * 6]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
@@ -366,7 +403,7 @@ def candidate_edges(docs: DataFrame, counters: np.ndarray, percent: int = PERCEN
                         seen.add(key)
                     often = count[(found >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
                     first = prefix_length(len(found), percent)
-                    ids.append(doc)
+                    ids.append(class_of(key))
                     sizes.append(len(found))
                     tokens.append(found[np.lexsort((found, often))[:first]])
                     held += first
@@ -380,22 +417,25 @@ def candidate_edges(docs: DataFrame, counters: np.ndarray, percent: int = PERCEN
         held_a, held_b = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for table in groups(batches, ["part"]):
             columns = {c: [np.frombuffer(x, k) for x in table.column(c).to_pylist()] for c, k in (("docs", "<i8"), ("sizes", "<i4"), ("owner", "<u4"), ("tokens", "<u8"), ("a", "<i8"), ("b", "<i8"))}
-            node = np.concatenate([d[o] for d, o in zip(columns["docs"], columns["owner"], strict=True)])
-            size = np.concatenate([s[o] for s, o in zip(columns["sizes"], columns["owner"], strict=True)]).astype(np.int64)
-            token = np.concatenate(columns["tokens"])
-            order = np.lexsort((size, token))
-            node, size, token = node[order], size[order], token[order]
-            close = (token[1:] == token[:-1]) & (100 * size[:-1] >= percent * size[1:]) & (node[1:] != node[:-1])
-            at = np.flatnonzero(close)
-            a, b = np.concatenate((held_a, node[at], *columns["a"])), np.concatenate((held_b, node[at + 1], *columns["b"]))
+            place = [o & np.uint32(0x7FFFFFFF) for o in columns["owner"]]
+            node = np.concatenate([d[o] for d, o in zip(columns["docs"], place, strict=True)])
+            size = np.concatenate([s[o] for s, o in zip(columns["sizes"], place, strict=True)]).astype(np.int64)
+            many = np.concatenate(columns["owner"]) >> np.uint32(31) > 0
+            a, b, pairs = shared_runs(np.concatenate(columns["tokens"]), size, node, many, percent)
+            a, b = np.concatenate((held_a, a, *columns["a"])), np.concatenate((held_b, b, *columns["b"]))
             if len(a):
                 held_a, held_b = _forest(a, b)
-        for lo in range(0, len(held_a), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 50_000]) for x in (held_a, held_b)], ["a", "b"])
+            yield from batches_of(*pairs)
+        yield from batches_of(held_a, held_b, *np.zeros((2, len(held_a)), np.int64))
+
+    def batches_of(*columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(columns[0]), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 50_000]) for x in columns], ["a", "b", "shared", "need"])
 
     packed = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(emit, fields)
     dealt = packed.repartition(shuffle_partitions(spark), "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(meet, "a long, b long")
+    met = dealt.mapInArrow(meet, "a long, b long, shared long, need long")
+    return met.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("a", "b")
 
 
 def possible_nodes(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -516,12 +556,13 @@ def jaccard_components(docs: DataFrame, staging: Staging | None = None, percent:
     # equal sets are one class, named by its smallest doc_id
     sets = found.where(F.col("n").isNotNull()).select("doc_id", "n", "key", "sig")
     several = staging.table(sets.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c"), "classes")
-    owned = staging.table(sets.drop("sig").join(several, "key", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "owned")
+    held = F.shiftrightunsigned(F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long"), 1)  # class_of, of a class's first document
+    owned = staging.table(sets.drop("sig").join(several, "key", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"), F.when(F.coalesce("rep", "doc_id") == F.col("doc_id"), held).alias("class")), "owned")
 
     tokens = sets.agg(F.sum("n")).first()[0] or 0
     apart = components(candidate_edges(docs, counters, percent, tokens), staging)
-    nodes = apart.select(F.col("a").alias("doc_id"), F.col("b").alias("cluster")).unionByName(apart.select(F.col("b").alias("doc_id"), F.col("b").alias("cluster")).distinct())
-    members = staging.table(nodes.join(owned, "doc_id").select("cluster", F.col("rep").alias("node")).distinct(), "members")
+    nodes = apart.select(F.col("a").alias("class"), F.col("b").alias("cluster")).unionByName(apart.select(F.col("b").alias("class"), F.col("b").alias("cluster")).distinct())
+    members = staging.table(nodes.join(owned.where(F.col("class").isNotNull()), "class").select("cluster", F.col("rep").alias("node")).distinct(), "members")
     sized = staging.table(
         members.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("c"), F.min(F.struct("node")).alias("p0"), *[F.min(F.struct(F.xxhash64("node", F.lit(s)), "node")).alias(f"p{s}") for s in range(1, PIVOTS)]).where("c > 1"),
         "clusters",

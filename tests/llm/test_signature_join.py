@@ -149,3 +149,35 @@ def test_most_pairs_end_above_the_leaves():
     tree = j.SignatureTree.of(sets, 1 << 14)
     looked = sum(n for _, _, n in j.allowed_pairs(tree, tree, np.tile(np.arange(1024), 2)))
     assert looked < 1024**2 / 4
+
+
+def test_one_phrase_in_common_makes_no_group(spark, table):
+    """Each text shares a phrase with the next, in an order of tokens that does not know rare ones; only twins are candidates."""
+    phrase = lambda i: " ".join(f"p{i}w{k}" for k in range(5))
+    rows = [(i, f"{phrase(i)} {phrase(i + 1)}") for i in range(2000)] + [(10_000 + i, f"{phrase(i)} {phrase(i + 1)} {'more ' * i}") for i in range(1, 3)]
+    edges = j.candidate_edges(table(rows).repartition(4), np.zeros(1 << j.COUNTER_BITS, np.uint16)).collect()
+    assert 1 <= len(edges) <= 3
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 30), min_size=1, max_size=25), min_size=1, max_size=40), st.sampled_from([50, 75, 90]), st.integers(0, 9))
+def test_shared_runs_join_all_links(sets, percent, seed):
+    rng = np.random.default_rng(seed)
+    rank = rng.permutation(31)
+    nodes = rng.permutation(len(sets))
+    rows = [(t, len(s), nodes[i], rng.random() < 0.05) for i, s in enumerate(sets) for t in sorted(s, key=rank.__getitem__)[: j.prefix_length(len(s), percent)]]
+    token, size, node, many = (np.array(c) for c in zip(*rows, strict=True))
+    a, b, pairs = j.shared_runs(token.astype(np.uint64), size, node, many, percent)
+    edges = [*zip(a.tolist(), b.tolist(), strict=True), *((x, y) for x, y, shared, need in zip(*pairs, strict=True) if shared >= need)]
+    top = list(range(len(sets)))
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for x, y in edges:
+        top[find(x)] = find(y)
+    for (x, s), (y, t) in itertools.combinations(zip(nodes, sets, strict=True), 2):
+        if 100 * len(s & t) >= percent * len(s | t):
+            assert find(x) == find(y)

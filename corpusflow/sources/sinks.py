@@ -42,7 +42,7 @@ def write_biographies(biographies: DataFrame, pages: DataFrame, path: str, book:
     """A folder for each biography: ``metadata.json``, ``pages.jsonl`` and ``raw.txt``, each a folder of part files; the whole tree is replaced.
 
     ``pages`` are the resolved pages (``island``) that the biographies were made of.
-    Pages of no biography go to ``unassigned_pages.jsonl``, which is there only if there are any.
+    Pages of no biography go to ``unassigned_pages.jsonl``, which is there only if there are any; its files, in the order of their names, are these pages in order.
     """
     named = folder_name(biographies)
     meta = named.select("folder", F.lit("metadata.json").alias("file"), F.lit(None).cast("long").alias("page_id"), F.to_json(F.struct(*[c for c in named.columns if c != "text"])).alias("value"))
@@ -54,7 +54,7 @@ def write_biographies(biographies: DataFrame, pages: DataFrame, path: str, book:
     every.select("value", "folder", "file").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("folder", "file").text(path)
     rest = pages.where("island IS NULL").drop("island")
     if not rest.isEmpty():
-        rest.write.mode("overwrite").json(f"{path}/unassigned_pages.jsonl")
+        rest.repartitionByRange(book, "page_id").sortWithinPartitions(book, "page_id").write.mode("overwrite").json(f"{path}/unassigned_pages.jsonl")
 
 
 def write_requests(requests: DataFrame, path: str) -> None:

@@ -196,6 +196,16 @@ def test_biography_folders_come_back(spark, tmp_path):
     assert [r["page_id"] for r in spark.read.json(f"{path}/unassigned_pages.jsonl").collect()] == [3, 5]
 
 
+def test_unassigned_pages_are_written_in_order(spark, tmp_path):
+    fields = "book_id int, page_id int, character_id string, character_name string, entry_name string, printed_volume int, printed_page int, url string, text string, dataset_id string"
+    rows = [(1, i, None, None, None, 1, i, f"u{i}", "t", "d") for i in range(1, 60)] + [(1, 60, "a", "A", None, 1, 60, "u60", "t", "d")]
+    pages = B.split_contiguous(B.resolve_character_context(spark.createDataFrame(rows, fields)))
+    path = tmp_path / "out"
+    S.write_biographies(B.aggregate_biographies(pages).withColumn("dataset_id", F.lit("d")), pages.orderBy(F.desc("page_id")), str(path))
+    files = sorted((path / "unassigned_pages.jsonl").glob("part-*"))
+    assert [json.loads(x)["page_id"] for f in files for x in f.read_text().splitlines()] == list(range(1, 60))
+
+
 def test_biography_folders_in_the_plain_layout(spark, tmp_path):
     for name, files in (("0001_x", {"metadata.json": json.dumps({"character_id": "x", "character_name": "X", "dataset_id": "d"}, indent=1), "pages.jsonl": '{"page_id": 1, "text": "p"}\n', "raw.txt": "unused"}), ("0002_y", {"metadata.json": '{"character_id": "y"}', "raw.txt": "whole\nraw"})):
         (tmp_path / name).mkdir()
